@@ -1,0 +1,11 @@
+"""Operators for large-scale training-data pipelines.
+
+Nothing outside this subpackage imports it.  The package is pickled by value,
+so that executors need no copy of it on their own disks.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
