@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import SPACES, Staged, small_or_plain, word_array
 
 #: Rows of one key-range bucket, on average; more rows make more buckets.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4_000
 #: Relative weights of the sources in order of code point, repeated.
 WEIGHTS = (5, 2, 1)
 #: A source is taken this many times at most.
