@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from . import samples  # noqa: F401  (importing registers)
+from .base import ORACLE, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLE)
