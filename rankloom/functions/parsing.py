@@ -8,6 +8,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 FENCED = re.compile(r"```(?:json)?\s*(\{.*?\})\s*```", re.S)
 BRACE = re.compile(r"[{}]")
@@ -47,19 +48,19 @@ def ranking_in(value: dict | None, k: int) -> list[int] | None:
     return r if right else None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def parse_object(text: pd.Series) -> pd.Series:
     """Canonical text of the JSON object in noisy text, NULL if there is none."""
     found = [json_object(t) for t in text]
     return pd.Series([None if x is None else json.dumps(x, sort_keys=True, separators=(",", ":"), ensure_ascii=False) for x in found], dtype=object)
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def parse_ranking(text: pd.Series, k: pd.Series) -> pd.Series:
     return pd.Series([ranking_in(json_object(t), int(n)) for t, n in zip(text, k, strict=True)], dtype=object)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def is_json(text: pd.Series) -> pd.Series:
     """Strict JSON, nothing behind it."""
 
@@ -73,7 +74,7 @@ def is_json(text: pd.Series) -> pd.Series:
     return pd.Series([right(t) for t in text], dtype=bool)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def pretty_json(text: pd.Series) -> pd.Series:
     """JSON with an indent of two, keys as they stand, no escapes beyond JSON's own."""
     return pd.Series([None if t is None else json.dumps(json.loads(t), indent=2, ensure_ascii=False) for t in text], dtype=object)
@@ -94,12 +95,12 @@ def shuffled(items: list, seed: int, fixed_points: bool = True, tries: int = 200
     return [items[1], items[0], *items[2:]] if fixed_points else [*items[1:], items[0]]
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def shuffled_ranking(ranking: pd.Series, seed: pd.Series) -> pd.Series:
     """seed: hexadecimal text."""
     return pd.Series([None if r is None else shuffled([int(x) for x in r], int(s, 16)) for r, s in zip(ranking, seed, strict=True)], dtype=object)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def deranged(reasons: pd.Series, seed: pd.Series) -> pd.Series:
     return pd.Series([None if r is None else shuffled(list(r), int(s, 16), fixed_points=False) for r, s in zip(reasons, seed, strict=True)], dtype=object)

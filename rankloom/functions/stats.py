@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def chi2_tail(x: float, df: int) -> float:
@@ -58,17 +59,17 @@ def correlation_tail(r: float, n: int) -> float:
     return 1.0 if r == 0 else 0.0 if abs(r) >= 1 else beta_tail(1 - r * r, (n - 2) / 2, 0.5)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_p(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([chi2_tail(a, int(b)) for a, b in zip(x, df, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_p(z: pd.Series) -> pd.Series:
     return pd.Series([math.nan if v is None or math.isnan(v) else normal_tail(v) for v in z], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def correlation_p(r: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([correlation_tail(a, int(b)) for a, b in zip(r, n, strict=True)], dtype="float64")
 

@@ -24,6 +24,11 @@ def holds_keyword(c: Column, keywords: list[str] | None = None) -> Column:
     return F.coalesce(found, F.lit(False))
 
 
+def stripped(c: Column) -> Column:
+    """Without white space at either end, of any kind; NULL gives an empty text."""
+    return F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
+
+
 def snippet(c: Column, limit: int = 200) -> Column:
     """One line: white space (Unicode's too) collapsed, cut at the limit with an ellipsis; NULL gives an empty text."""
     line = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
@@ -36,7 +41,7 @@ def fixed(c: Column, digits: int) -> Column:
 
 
 def history_line(i: Column, name: Column, categories: Column, stars: Column, review: Column) -> Column:
-    text = F.replace(F.trim(F.coalesce(review, F.lit(""))), F.lit("\n"), F.lit(" "))
+    text = F.replace(stripped(review), F.lit("\n"), F.lit(" "))
     short = F.when(F.length(text) > 180, F.concat(F.rtrim(F.substring(text, 1, 180)), F.lit("…"))).otherwise(text)
     return F.concat(i.cast("string"), F.lit(". "), F.coalesce(name, F.lit("(unknown)")), F.lit(" ["), F.coalesce(categories, F.lit("")), F.lit("] user_rating="), fixed(stars, 0), F.lit('/5 review="'), short, F.lit('"'))
 
@@ -64,7 +69,7 @@ def user_prompt(history: Column, candidates: Column) -> Column:
 def judge_prompt(persona: Column, rationales: Column, ranking: Column) -> Column:
     """A model's output for a judge: rationales (struct candidate_index, reason) by index, the ranking on one line."""
     known = F.array_sort(F.filter(rationales, lambda r: r["candidate_index"].isNotNull()))
-    lines = F.transform(known, lambda r: F.concat(F.lit("  "), r["candidate_index"].cast("string"), F.lit(". "), F.replace(F.trim(F.coalesce(r["reason"], F.lit(""))), F.lit("\n"), F.lit(" "))))
+    lines = F.transform(known, lambda r: F.concat(F.lit("  "), r["candidate_index"].cast("string"), F.lit(". "), F.replace(stripped(r["reason"]), F.lit("\n"), F.lit(" "))))
     order = F.when(F.coalesce(F.size(ranking), F.lit(0)) > 0, F.array_join(ranking, ", ")).otherwise("(none)")
     return F.concat(F.lit("Persona: "), F.coalesce(persona, F.lit("(none)")), F.lit("\nRationales:\n"), block(lines, "  (none)"), F.lit("\nRanking: "), order)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import samples  # noqa: F401  (importing registers)
+from . import measures, outputs, ranking, samples  # noqa: F401  (importing registers)
 from .base import ORACLE, QUERIES
 
 
