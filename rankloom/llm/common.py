@@ -22,7 +22,7 @@ MARKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: str.split() also splits on these, which are no separators here.
-ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 #: Bytes up to which a checked table may be broadcast.
 BROADCAST_BYTES = 64 << 20

@@ -57,11 +57,11 @@ def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
     n_grams = grams.df.count()
     sketch = grams.df.join(F.broadcast(classes), "size_class").filter("rank <= sketch").select("hash", "item_id", "least")
     # one row a hash and class bound, however many items share the shingle
-    probe = sketch.groupBy("hash").agg(F.min("least").alias("least"), F.collect_set("item_id").alias("items"))
+    probe = sketch.groupBy("hash").agg(F.min("least").alias("least"), F.collect_set(F.struct("item_id")).alias("items"))
     text = docs.select("doc_id", "text")
     places = shingles(text, ["doc_id"]).select("doc_id", "n_words", F.xxhash64("shingle").alias("hash"))
     hits = places.join(small_or_plain(probe, n_grams, 64), "hash").filter(F.greatest(F.col("n_words") - (SHINGLE - 1), F.lit(1)) >= F.col("least"))
-    pairs = Staged(hits.select("doc_id", F.explode("items").alias("item_id")).distinct(), "candidates")
+    pairs = Staged(hits.select("doc_id", F.inline("items").alias("item_id")).distinct(), "candidates")
     found = pairs.df.select(F.col("doc_id").alias("c_doc")).distinct()
     n_found = found.count()
     suspects = text.join(small_or_plain(found, n_found, 16), F.col("doc_id").eqNullSafe(F.col("c_doc")), "left_semi")

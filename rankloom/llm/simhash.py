@@ -284,11 +284,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """The documents, with all their columns, less all but one of each component (that of the smallest doc_id)."""
+    """The documents, with all their columns, less all but one of each component (that of the smallest doc_id); rows without a doc_id stay."""
     found = Staged(near_duplicates(docs).select("doc_id", "component_id"), "components")
-    lost = Staged(found.df.filter("doc_id <> component_id OR (doc_id IS NULL AND component_id IS NOT NULL)").select(F.col("doc_id").alias("__lost")).distinct(), "lost")
-    kept = docs.join(small_or_plain(lost.df, lost.df.count(), 16), docs["doc_id"].eqNullSafe(F.col("__lost")), "left_anti")
-    repeated = found.df.filter("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("component_id").alias("c")).filter("n > 1")
+    # a row without a doc_id has no name to go by: it stays
+    lost = Staged(found.df.filter("doc_id <> component_id").select(F.col("doc_id").alias("__lost")).distinct(), "lost")
+    kept = docs.join(small_or_plain(lost.df, lost.df.count(), 16), docs["doc_id"] == F.col("__lost"), "left_anti")
+    repeated = found.df.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
     if repeated.isEmpty():
         return kept
     twice = fresh(docs, "__twice")  # rows of one id are copies of one document here: one of them stays
