@@ -73,8 +73,10 @@ def probe_label(mean: Column, low: Column, high: Column, expected: Column) -> Co
 
 def correlation(x: Column, y: Column) -> Column:
     """Pearson's r as an aggregate; NaN for fewer than three pairs or no variance on a side."""
-    fit = (F.count(F.when(x.isNotNull() & y.isNotNull(), 1)) >= 3) & (F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0)
-    return F.when(fit, F.corr(x, y)).otherwise(F.lit(float("nan")))
+    both = x.isNotNull() & y.isNotNull()
+    x, y = F.when(both, x), F.when(both, y)
+    spread = F.stddev_pop(x) * F.stddev_pop(y)  # corr() itself divides by zero where a side doesn't vary
+    return F.when((F.count(x) >= 3) & (spread > 0), F.try_divide(F.covar_pop(x, y), spread)).otherwise(F.lit(float("nan")))
 
 
 def with_correlation_p(df: DataFrame, r: str = "r", n: str = "n") -> DataFrame:
