@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -115,6 +117,21 @@ def small_or_plain(df: DataFrame, rows: int, bytes_each: int) -> DataFrame:
     return F.broadcast(df) if rows * bytes_each <= BROADCAST_BYTES else df
 
 
+def ship(spark: SparkSession, obj) -> Callable:
+    """Broadcast an object by value, its classes included; returns a function that gives it to a task.
+
+    A plain broadcast names classes by module, which executors need not have.
+    """
+    data, opened = spark.sparkContext.broadcast(cloudpickle.dumps(obj)), []
+
+    def get():
+        if not opened:
+            opened.append(pickle.loads(data.value))
+        return opened[0]
+
+    return get
+
+
 # --- Arrow passes over texts --------------------------------------------------
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, map_texts, remainder
+from .common import fresh, map_texts, remainder, ship
 from .sampling import capped, thinned
 
 N = (1, 2, 3, 4)
@@ -129,10 +129,10 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     nothing was learned.  Rows that repeat stay; an empty table gives no rows.
     """
     schema = T.StructType([docs.schema["doc_id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = ship(docs.sparkSession, model)
 
     def of(b):
-        names, scores = shared.value.predict(b.column("text").to_pylist())
+        names, scores = shared().predict(b.column("text").to_pylist())
         return {"doc_id": b.column("doc_id"), "lang_pred": names, "score": scores}
 
     return map_texts(docs.select("doc_id", "text"), of, schema)
@@ -151,12 +151,12 @@ def predictions(docs: DataFrame) -> DataFrame:
 
 def known_language(docs: DataFrame) -> DataFrame:
     """The documents of some learned language, with all their columns; those of none go.  One pass, no shuffle."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs.filter(in_training(F.col("doc_id")))))
+    model = ship(docs.sparkSession, fit(docs.filter(in_training(F.col("doc_id")))))
     name = fresh(docs, "__known")
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.BooleanType())])
 
     def of(b):
-        names, scores = model.value.predict(b.column("text").to_pylist())
+        names, scores = model().predict(b.column("text").to_pylist())
         return {c: b.column(c) for c in b.schema.names} | {name: [n != UNKNOWN and s >= MIN_SCORE for n, s in zip(names, scores, strict=True)]}
 
     return map_texts(docs, of, schema).filter(F.col(name)).drop(name)

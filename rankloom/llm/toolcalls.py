@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACES, Staged, map_texts, word_array
+from .common import SPACES, Staged, map_texts, small_or_plain, word_array
 
 #: Turns of one range of a conversation.
 RANGE = 1024
@@ -126,9 +126,12 @@ def turns_as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     c = conversations.select("conv_id", "turn", "role", "text").withColumn("range", turn_range(F.col("turn")))
     user = F.when(F.col("role") == "user", F.col("turn"))
     ahead = Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    # only ranges behind another one have something to carry: a small table, unless conversations are huge
     carried = c.groupBy("conv_id", "range").agg(F.max(user).alias("last")).withColumn("carried", F.max("last").over(ahead)).drop("last")
+    carried = Staged(carried.filter("carried IS NOT NULL").withColumnsRenamed({"conv_id": "k_conv", "range": "k_range"}), "carried").df
+    carried = small_or_plain(carried, carried.count(), 32)
     within = Window.partitionBy("conv_id", "range").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
-    joined = c.join(carried.withColumnsRenamed({"conv_id": "k_conv", "range": "k_range"}), F.col("conv_id").eqNullSafe(F.col("k_conv")) & (F.col("range") == F.col("k_range")), "left")
+    joined = c.join(carried, F.col("conv_id").eqNullSafe(F.col("k_conv")) & (F.col("range") == F.col("k_range")), "left")
     prior = F.coalesce(F.max(user).over(within), F.col("carried"))
     name = lambda turn: F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), F.lit("null")), F.coalesce(turn.cast("string"), F.lit("null")))
     placed = joined.withColumn("prior", prior).withColumn("text", F.coalesce("text", F.lit("")))
@@ -237,12 +240,13 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     place = ["conv_id", "open", "depth", "range"]
     before = Window.partitionBy("conv_id", "open").orderBy("depth", "range").rowsBetween(Window.unboundedPreceding, -1)
     offset = c.groupBy(*place).agg(F.count("*").alias("m")).withColumn("offset", F.coalesce(F.sum("m").over(before), F.lit(0))).drop("m")
-    offset = offset.withColumnsRenamed({p: f"o_{p}" for p in place})
+    offset = Staged(offset.filter("offset > 0").withColumnsRenamed({p: f"o_{p}" for p in place}), "offsets").df  # a conversation's first range has none
+    offset = small_or_plain(offset, offset.count(), 48)
     within = Window.partitionBy(*place).orderBy("turn", "call_id", "tool", "arguments")
     same = F.lit(True)
     for p in place:
         same = same & F.col(p).eqNullSafe(F.col(f"o_{p}"))
-    ranked = c.join(offset, same).withColumn("position", F.when(~F.col("open"), F.col("offset") + F.row_number().over(within) - 1))
+    ranked = c.join(offset, same, "left").withColumn("position", F.when(~F.col("open"), F.coalesce("offset", F.lit(0)) + F.row_number().over(within) - 1))
     joined = ranked.join(first, F.col("conv_id").eqNullSafe(F.col("r_conv")) & (F.col("call_id") == F.col("r_call")), "left")
     joined = joined.select("conv_id", "turn", "call_id", "tool", "arguments", "position", "result", F.coalesce("n_results", F.lit(0)).cast("long").alias("n_results"), F.lit(False).alias("orphan"))
     orphans = first.join(staged.df.select("conv_id", "call_id").distinct(), F.col("conv_id").eqNullSafe(F.col("r_conv")) & (F.col("call_id") == F.col("r_call")), "left_anti")
