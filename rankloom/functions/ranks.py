@@ -47,17 +47,30 @@ def gain_at(rank: Column, k: int) -> Column:
     return F.when(rank <= k, F.lit(1.0) / F.log2(rank + 1)).otherwise(0.0)
 
 
-def kendall_tau(a: Column, b: Column) -> Column:
-    """(concordant - discordant) / pairs of two orders of one set; NULL if sets or lengths differ or there are fewer than two."""
-    place = F.transform(a, lambda x: F.array_position(b, x).cast("int"))
+def kendall_tau(a: Column, b: Column, k: int = SLOTS) -> Column:
+    """(concordant - discordant) / pairs of two orders of one set; NULL if sets or lengths differ or there are fewer than two.
+
+    Orders of k items have their k (k - 1) / 2 comparisons written out; other
+    lengths go through a loop of the same comparisons.
+    """
     n = F.size(a)
+    place = F.transform(a, lambda x: F.array_position(b, x).cast("int"))
+
+    def written_out(v: Column) -> Column:
+        at = [F.get(v, int_(i)) for i in range(k)]
+        signs = [F.signum((at[j] - at[i]).cast("double")) for j in range(k) for i in range(j)]
+        while len(signs) > 1:  # a balanced sum keeps the expression shallow
+            signs = [x + y for x, y in zip(signs[::2], signs[1::2], strict=False)] + signs[len(signs) // 2 * 2 :]
+        return signs[0]
+
+    def with_later(v: Column):
+        def add(total: Column, j: Column) -> Column:
+            at = F.element_at(v, j)
+            return total + F.aggregate(F.slice(v, F.lit(1), j - 1), F.lit(0.0), lambda s, x: s + F.signum((at - x).cast("double")))
 
-    def with_later(total: Column, j: Column) -> Column:
-        at = F.element_at(place, j)
-        earlier = F.slice(place, F.lit(1), j - 1)
-        return total + F.aggregate(earlier, F.lit(0.0), lambda s, x: s + F.signum((at - x).cast("double")))
+        return F.aggregate(F.sequence(F.lit(2), F.greatest(F.size(v), F.lit(2))), F.lit(0.0), add)
 
-    balance = F.aggregate(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), F.lit(0.0), with_later)
+    balance = F.get(F.transform(F.array(place), lambda v: F.when(F.size(v) == k, written_out(v)).otherwise(with_later(v))), int_(0))
     same = (n >= 2) & (n == F.size(b)) & (F.array_sort(F.array_distinct(a)) == F.array_sort(F.array_distinct(b)))
     return F.when(same, balance / (n * (n - 1) / F.lit(2.0)))
 

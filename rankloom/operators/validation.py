@@ -45,30 +45,33 @@ def fault(output: Column, n_candidates: Column, known: Column) -> Column:
     )
 
 
-def migrate(output: Column, candidates: Column, known: Column, error: Column) -> Column:
-    """struct(outcome, error, rationales, ranking): identifiers to 1-based indices.
+def migrate(df: DataFrame, output: str, candidates: str, known: Column, error: Column) -> DataFrame:
+    """Add outcome, error, rationales, ranking: identifiers to 1-based indices.
 
     output: struct(rationales array<struct(business_id, candidate_index,
-    reason)>, ranking array<string>); candidates: array of identifiers.
+    reason)>, ranking array<string>); candidates: array of identifiers.  Each
+    identifier is looked up once; later rules read the places found.
     """
-    rationales, ranking = output["rationales"], output["ranking"]
+    out, ids = F.col(output), F.col(candidates)
+    rationales, ranking = out["rationales"], out["ranking"]
+    place = lambda x: F.coalesce(F.array_position(ids, x), F.lit(0).cast("long")).cast("int")
+    placed = df.withColumns({"__r": F.transform(rationales, lambda r: place(r["business_id"])), "__k": F.transform(ranking, place)})
     new = F.coalesce(F.get(rationales, F.lit(0))["candidate_index"].isNotNull(), F.lit(False)) | F.coalesce(F.get(ranking, F.lit(0)).rlike("^[0-9]+$"), F.lit(False))
-    bad_ids = (F.size(candidates) < 1) | F.exists(candidates, lambda c: F.coalesce(c == "", F.lit(True)))
-    out = lambda x: ~F.array_contains(candidates, x) | x.isNull()
+    bad_ids = (F.size(ids) < 1) | F.exists(ids, lambda c: F.coalesce(c == "", F.lit(True)))
     why = (
-        F.when(output.isNull(), "migration_failed:teacher_output_shape")
-        .when(new, F.lit(None))
+        F.when(out.isNull(), "migration_failed:teacher_output_shape")
+        .when(F.col("__new"), F.lit(None))
         .when(~known, "migration_failed:no_sample")
         .when(rationales.isNull() | ranking.isNull(), "migration_failed:teacher_output_shape")
-        .when(candidates.isNull() | bad_ids, "migration_failed:no_candidates")
-        .when(F.size(F.array_distinct(candidates)) < F.size(candidates), "migration_failed:duplicate_candidate_id")
-        .when(F.exists(rationales, lambda r: F.coalesce(out(r["business_id"]), F.lit(True))), "migration_failed:rationale_id_not_in_candidates")
-        .when(F.exists(ranking, lambda x: F.coalesce(out(x), F.lit(True))), "migration_failed:ranking_id_not_in_candidates")
+        .when(ids.isNull() | bad_ids, "migration_failed:no_candidates")
+        .when(F.size(F.array_distinct(ids)) < F.size(ids), "migration_failed:duplicate_candidate_id")
+        .when(F.array_contains("__r", 0), "migration_failed:rationale_id_not_in_candidates")
+        .when(F.array_contains("__k", 0), "migration_failed:ranking_id_not_in_candidates")
     )
-    outcome = F.when(error.isNotNull(), "passthrough_error").when(why.isNotNull(), "migration_failed").when(new, "already_new").otherwise("migrated")
-    index = lambda x: F.array_position(candidates, x).cast("int")
-    moved = outcome == "migrated"
-    return F.struct(outcome.alias("outcome"), F.coalesce(error, why).alias("error"), F.when(moved, F.transform(rationales, lambda r: index(r["business_id"]))).alias("rationales"), F.when(moved, F.transform(ranking, index)).alias("ranking"))
+    judged = placed.withColumn("__new", new).withColumn("__why", why)
+    outcome = F.when(error.isNotNull(), "passthrough_error").when(F.col("__why").isNotNull(), "migration_failed").when(F.col("__new"), "already_new").otherwise("migrated")
+    moved = F.col("outcome") == "migrated"
+    return judged.withColumn("outcome", outcome).withColumns({"error": F.coalesce(error, "__why"), "rationales": F.when(moved, F.col("__r")), "ranking": F.when(moved, F.col("__k"))}).drop("__r", "__k", "__new", "__why")
 
 
 def verdict_fault(df: DataFrame, axes: list[str]) -> Column:

@@ -60,17 +60,18 @@ def legacy(t: Tables):
     named = F.transform(ids, lambda b: F.struct(F.when(d == 5, "nobody").otherwise(b).alias("business_id"), F.when(d == 1, F.lit(1)).cast("int").alias("candidate_index"), F.lit("why").alias("reason")))
     ranking = F.transform("teacher", lambda s: F.when(d == 6, "nobody").otherwise(F.get(ids, s - 1)))
     output = F.struct(F.when(d != 3, named).alias("rationales"), ranking.alias("ranking"))
-    return r.select("sample_id", "teacher", v.migrate(output, candidates, d != 2, F.when(d == 0, "http")).alias("m"))
+    made = r.select("sample_id", output.alias("output"), candidates.alias("ids"))
+    return v.migrate(made, "output", "ids", F.col("sample_id") % 8 != 2, F.when(F.col("sample_id") % 8 == 0, "http"))
 
 
 @query(f"WITH {RANKS} SELECT sample_id, outcome, error, CASE WHEN outcome = 'migrated' THEN ranking END AS ranking FROM (SELECT o_orderkey AS sample_id, {OUTCOME_SQL} AS outcome, {WHY_SQL} AS error FROM orders) o JOIN (SELECT sample_id, array_to_string(list(slot ORDER BY t), ',') AS ranking FROM rk GROUP BY 1) USING (sample_id)")
 def migrate_format(t: Tables):
-    return legacy(t).select("sample_id", "m.outcome", "m.error", F.array_join("m.ranking", ",").alias("ranking"))
+    return legacy(t).select("sample_id", "outcome", "error", F.array_join("ranking", ",").alias("ranking"))
 
 
 @query(f"SELECT {OUTCOME_SQL} AS outcome, {WHY_SQL} AS error, count(*) AS n FROM orders GROUP BY ALL")
 def migration_stats(t: Tables):
-    return legacy(t).groupBy("m.outcome", "m.error").agg(F.count("*").alias("n"))
+    return legacy(t).groupBy("outcome", "error").agg(F.count("*").alias("n"))
 
 
 # --- parsing ----------------------------------------------------------------------
