@@ -29,6 +29,9 @@ ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\
 #: Bytes up to which a checked table may be broadcast.
 BROADCAST_BYTES = 64 << 20
 
+#: Rows of an Arrow batch of texts.
+BATCH_ROWS = 1000
+
 
 def words_of(text: str | None) -> list[str]:
     """Whitespace words of a text (null: none)."""
@@ -150,10 +153,18 @@ def slices(batches: Iterable[pa.RecordBatch], chars: int = 8 << 20, rows: int =
         yield b.slice(start)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches than Spark's default, which holds ten thousand whole texts on both sides of the pipe; a session's own setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def map_texts(df: DataFrame, f: Callable[[pa.RecordBatch], dict], schema: T.StructType, **limits) -> DataFrame:
     """Apply f to slices of Arrow batches; f returns a value list or array for each column of the schema."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    bounded_batches(df.sparkSession)
     arrow = to_arrow_schema(schema, prefers_large_types=False)
 
     def run(batches):

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Staged, shared_path, slices, small_or_plain
+from .common import Staged, bounded_batches, shared_path, slices, small_or_plain
 
 #: Payloads of at least so many bytes are stored once.
 MIN_REVISIT = 1000
@@ -148,6 +148,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     again leaves no file that the result names.  The monolithic file goes as
     soon as its normalised form stands.
     """
+    bounded_batches(pages.sparkSession)
     refs = Staged(references(pages), "revisits")
     joined = pages.select("page_id", "url", "html").join(small_or_plain(refs.df, refs.df.count(), 24), F.col("page_id") == F.col("r_page"), "left").drop("r_page")
 
