@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.llm import decontamination, langid, mixing, quality, simhash
+from rankloom.llm import decontamination, langid, mixing, quality, similar
 from rankloom.llm.common import Staged
 
 
@@ -24,8 +24,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return simhash.dedup(docs)
+    """One document of each group of near-duplicates: SimHash links, and texts of five-word similarity 0.8 or more."""
+    return similar.dedup(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Staged, ascii_lower, fresh, map_texts, small_or_plain, words_of
+from .common import Staged, ascii_lower, map_texts, words_of
 
 RADIUS = 2
 WORDS = 3  # of a shingle
@@ -281,18 +281,3 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     least = rooted.groupBy("root").agg(F.min("lead").alias("component_id"))
     of_print = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
     return fps.df.join(of_print, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def dedup(docs: DataFrame) -> DataFrame:
-    """The documents, with all their columns, less all but one of each component (that of the smallest doc_id); rows without a doc_id stay."""
-    found = Staged(near_duplicates(docs).select("doc_id", "component_id"), "components")
-    # a row without a doc_id has no name to go by: it stays
-    lost = Staged(found.df.filter("doc_id <> component_id").select(F.col("doc_id").alias("__lost")).distinct(), "lost")
-    kept = docs.join(small_or_plain(lost.df, lost.df.count(), 16), docs["doc_id"] == F.col("__lost"), "left_anti")
-    repeated = found.df.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
-    if repeated.isEmpty():
-        return kept
-    twice = fresh(docs, "__twice")  # rows of one id are copies of one document here: one of them stays
-    ids = F.broadcast(repeated.select(F.col("doc_id").alias(twice))) if repeated.count() * 16 < 1 << 24 else repeated.select(F.col("doc_id").alias(twice))
-    single = kept.join(ids, F.col("doc_id").eqNullSafe(F.col(twice)), "left_anti")
-    return single.unionByName(kept.join(ids, F.col("doc_id").eqNullSafe(F.col(twice)), "left_semi").dropDuplicates(["doc_id"]))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from rankloom.llm import brown, langid, quality, simhash, toxicity
+from rankloom.llm import brown, langid, quality, simhash, similar, toxicity
 from rankloom.llm.common import ascii_lower, words_of
 
 
@@ -125,8 +125,8 @@ def test_components_of_all_documents(docs):
 
 def test_odd_components(odd_docs, no_docs):
     check_components(odd_docs)
-    assert simhash.near_duplicates(no_docs).count() == simhash.dedup(no_docs).count() == 0
-    kept = simhash.dedup(odd_docs)
+    assert simhash.near_duplicates(no_docs).count() == similar.dedup(no_docs).count() == 0
+    kept = similar.dedup(odd_docs)
     assert kept.columns == odd_docs.columns
     # one of the two rows of 1, one of the wordless, the long one, the others, and rows without an id
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["1", "2", "5", "6", "7", "None", "None"])
@@ -157,6 +157,85 @@ def test_chains_become_one_component(spark):
     assert stars == {i: 0 for i in range(1, 61)} | {150: 100, 200: 100}
 
 
+def plain_groups(rows):
+    """(doc_id, text) rows to the doc_ids that stay: smallest of each group linked by two bits or five-word similarity 0.8."""
+    ids = sorted({i for i, _ in rows})
+    sets = {i: frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) for i, t in rows if (w := words_of(ascii_lower(t or "")))}
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    def join(a, b):
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+
+    for (i, _), k in zip(rows, plain_components([(i, plain_fingerprint(t)) for i, t in rows]), strict=True):
+        join(i, k)
+    holders = {}
+    for i, s in sets.items():
+        for g in s:
+            holders.setdefault(g, []).append(i)
+    first = {}
+    for i, s in sorted(sets.items()):
+        join(i, first.setdefault(s, i))
+    unlike = set(first.values())
+    shared = Counter()
+    for held_by in holders.values():
+        own = sorted(unlike.intersection(held_by))
+        shared.update((a, b) for n, a in enumerate(own) for b in own[n + 1 :])
+    for (a, b), n in shared.items():
+        if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n):
+            join(a, b)
+    return {i for i in ids if find(i) == i}
+
+
+def test_similar_texts_make_one_group(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    rows, number = [], iter(range(10_000))
+    for size, length, edits in [(2, 300, 5), (2, 300, 13), (40, 120, 2), (3, 30, 1), (3, 3000, 40), (2, 4, 1), (2, 200, 0)]:
+        seed = [word() for _ in range(length)]
+        for _ in range(size):
+            w = list(seed)
+            for k in rng.sample(range(length), edits):
+                w[k] = word()
+            rows.append((next(number), " ".join(w)))
+    passage = [word() for _ in range(60)]  # shared by texts that are otherwise unlike
+    for n in [20, 40, 200] * 20:
+        rows.append((next(number), " ".join(passage + [word() for _ in range(n)])))
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = plain_groups(rows)
+    assert {r["doc_id"] for r in similar.dedup(docs).collect()} == want and 60 < len(want) < 110
+
+
+def test_large_blocks_and_rounds(spark, monkeypatch):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    monkeypatch.setattr(similar, "WHOLE_BLOCK", 10)
+    rows, text = [], [word() for _ in range(150)]
+    for i in range(90):  # a chain: neighbours are similar, its ends aren't
+        text[rng.randrange(150)] = word()
+        rows.append((i, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in similar.dedup(docs).collect()} == plain_groups(rows)
+
+
+def test_distances_of_five_digits():
+    rng = np.random.default_rng(3)
+    fps = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    for k in range(1, 300):  # distances of all sizes
+        flips = rng.choice(64, k % 40, replace=False)
+        fps[k] = fps[0] ^ np.bitwise_or.reduce(np.uint64(1) << flips.astype(np.uint64), initial=np.uint64(0))
+    lanes, valid, _, _ = simhash.lanes_of(fps, np.array([300]))
+    got = {(int(a), int(b)) for who, lane in similar.close_pairs(np.arange(300), fps, simhash.planes_of(lanes), valid) for a, b in zip(who, lane, strict=True)}
+    u, v = np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= similar.WIDE)
+    assert got == set(zip(u.tolist(), v.tolist(), strict=True))
+
+
 # --- Brown scoring --------------------------------------------------------------------
 
 

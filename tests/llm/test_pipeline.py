@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 import pytest
-from test_models import brute_cover, plain_components, plain_fingerprint
+from test_models import brute_cover, plain_groups
 
 from rankloom.llm import decontamination, mixing
 from rankloom.llm.common import words_of
@@ -25,8 +25,7 @@ def test_stages_one_by_one(spark, sf_dir, tmp_path):
         elif name == "language_id":
             assert len(rows) >= 0.99 * len(before)
         elif name == "near_duplicates":
-            fps = [(i, plain_fingerprint(r["text"])) for i, r in before.items()]
-            assert set(rows) == set(plain_components(fps))
+            assert set(rows) == plain_groups([(i, r["text"]) for i, r in before.items()])
         elif name == "benchmark_decontamination":
             dirty = {r["doc_id"] for r in decontamination.contained(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).collect()}
             assert dirty and set(rows) == set(before) - dirty
