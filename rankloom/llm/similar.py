@@ -8,10 +8,10 @@ of which a pair at 0.8 misses all in one case of ten thousand.  Inside a block
 fingerprints are compared bit-sliced, as in :mod:`simhash`, with five carry-save
 digits, and every link is verified on the shingle sets.
 
-No block emits all its pairs.  In a round each member names one partner, the
-nearest that it isn't linked to yet and hasn't failed with; links that hold
-merge, those that fail are remembered, and rounds end when no one has a partner
-left.  So each close pair is linked, tried, or inside one component already.
+No block emits all its pairs.  In a round each member names a few partners, the
+nearest that it isn't linked to yet and hasn't failed with, and eight times as
+many a round later; links that hold merge, those that fail are remembered, and
+rounds end when no one has a partner left.  So each close pair is linked, tried, or inside one component already.
 """
 
 from __future__ import annotations
@@ -35,6 +35,10 @@ BANDS, ROWS = 16, 4
 WIDE = 20
 #: In larger blocks without links the first members ask for all.
 WHOLE_BLOCK = 512
+#: Partners that a member may name in the first round, and how many times more in each round after it.
+FIRST, GROWTH = 4, 8
+#: Rows of one partition of blocks.
+PART_ROWS = 20_000
 #: (query, block) rows compared at once.
 CHUNK = 100_000
 
@@ -84,18 +88,19 @@ def print_of(s: np.ndarray) -> int:
 
 
 def prints(docs: DataFrame) -> DataFrame:
-    """doc_id, digest of the words, fp, bands: rows with a doc_id and a word."""
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("digest", T.StringType()), T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    """doc_id, digest of the words, fp, size of the shingle set, bands: rows with a doc_id and a word."""
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("digest", T.StringType()), T.StructField("fp", T.LongType()), T.StructField("size", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def of(b):
-        digest, fp, bands = [], [], []
+        digest, fp, size, bands = [], [], [], []
         for t in b.column("text").to_pylist():
             w = words_of(ascii_lower(t)) if t else []
             s = shingle_set(w)
             digest.append(xxhash.xxh3_128_hexdigest(" ".join(w)) if w else None)
             fp.append(print_of(s) if w else 0)
+            size.append(len(s))
             bands.append(bands_of(s) if w else None)
-        return {"doc_id": b.column("doc_id"), "digest": digest, "fp": fp, "bands": bands}
+        return {"doc_id": b.column("doc_id"), "digest": digest, "fp": fp, "size": size, "bands": bands}
 
     return map_texts(docs.select("doc_id", "text").filter("doc_id IS NOT NULL"), of, schema, chars=4 << 20).filter("digest IS NOT NULL")
 
@@ -139,66 +144,87 @@ def close_pairs(asking: np.ndarray, fps: np.ndarray, planes: np.ndarray, valid:
         yield some[row], lane
 
 
-def partners(ids: np.ndarray, fps: np.ndarray, roots: np.ndarray, tried: list) -> list[tuple[int, int]]:
-    """One partner a member: the nearest of another root that it hasn't failed with."""
+def partners(ids: np.ndarray, fps: np.ndarray, roots: np.ndarray, sizes: np.ndarray, tried: list, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Up to ``most`` partners a member: the nearest of other roots that it hasn't failed with; ids ascend, sizes are of shingle sets."""
+    none = np.zeros(0, np.int64)
     if len(ids) < 2 or (roots == roots[0]).all():
-        return []
-    failed = {i: set(x) for i, x in enumerate(tried) if x is not None and len(x)}
+        return none, none
     lanes, valid, _, _ = lanes_of(fps, np.array([len(fps)]))
-    planes, found = planes_of(lanes), []
-    names, size = np.unique(roots, return_counts=True)
-    if size.max() == 1 and len(ids) > WHOLE_BLOCK and not failed:
-        left = np.ones(len(ids), bool)
-        for seed in range(len(ids)):  # stars about the first members not yet reached
-            if not left[seed]:
-                continue
-            left[seed] = False
-            for _, lane in close_pairs(np.array([seed]), fps, planes, valid):
-                reached = lane[left[lane]]
-                found += [(int(ids[seed]), int(ids[k])) for k in reached]
-                left[reached] = False
-        return found
-    largest = names[size.argmax()]
-    asking = np.flatnonzero(roots != largest) if size.max() > 1 else np.arange(len(ids))
-    for who, lane in close_pairs(asking, fps, planes, valid):
-        fit = roots[who] != roots[lane]
-        who, lane = who[fit], lane[fit]
-        order = np.lexsort((ids[lane], np.bitwise_count(fps[who] ^ fps[lane]), who))
-        last = -1
-        for a, b in zip(who[order].tolist(), lane[order].tolist(), strict=True):
-            if a != last and not (a in failed and int(ids[b]) in failed[a]):
-                found.append((int(ids[a]), int(ids[b])))
-                last = a
-    return found
+    planes, found, n = planes_of(lanes), [], len(ids)
+    failed = np.array([i * n + k for i, x in enumerate(tried) if x for k in known_places(ids, x)], np.int64)
+
+    def fit(who, lane):
+        low, high = np.minimum(sizes[who], sizes[lane]), np.maximum(sizes[who], sizes[lane])
+        ok = (roots[who] != roots[lane]) & (low >= SIMILARITY * high)
+        who, lane = who[ok], lane[ok]
+        if len(failed):
+            ok = ~np.isin(who * n + lane, failed)
+            who, lane = who[ok], lane[ok]
+        return who, lane
+
+    names, held = np.unique(roots, return_counts=True)
+    if held.max() == 1 and n > WHOLE_BLOCK and not len(failed):
+        left = np.ones(n, bool)
+        for seed in range(n):  # stars about the first members not yet reached
+            if left[seed]:
+                left[seed] = False
+                for who, lane in close_pairs(np.array([seed]), fps, planes, valid):
+                    who, lane = fit(who, lane)
+                    lane = lane[left[lane]]
+                    found.append((np.full(len(lane), seed), lane))
+                    left[lane] = False
+    else:
+        asking = np.flatnonzero(roots != names[held.argmax()]) if held.max() > 1 else np.arange(n)
+        for who, lane in close_pairs(asking, fps, planes, valid):
+            who, lane = fit(who, lane)
+            order = np.lexsort((lane, np.bitwise_count(fps[who] ^ fps[lane]), who))
+            who, lane = who[order], lane[order]
+            start = np.concatenate([[True], np.diff(who) != 0])[: len(who)]
+            place = np.arange(len(who)) - np.maximum.accumulate(np.where(start, np.arange(len(who)), 0))
+            found.append((who[place < most], lane[place < most]))
+    if not found:
+        return none, none
+    u, v = (ids[np.concatenate(x)] for x in zip(*found, strict=True))
+    return np.maximum(u, v), np.minimum(u, v)
+
+
+def known_places(ids: np.ndarray, some: list[int]) -> list[int]:
+    """Places of those of some ids that are among the ascending ids."""
+    some = np.array(some, np.int64)
+    at = np.minimum(np.searchsorted(ids, some), len(ids) - 1)
+    return at[ids[at] == some].tolist()
 
 
 EDGES = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])
 ARROW = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
-def name_partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, id, fp, root, tried), sorted by key, to links to be tried; a block may go on in the next batch."""
+def name_partners(most: int):
+    """A pass over rows (key, id, fp, root, size, tried), sorted by key and id, to links to be tried; a block may go on in the next batch."""
 
     def links(rows: list[tuple]) -> pa.RecordBatch:
-        ids, fps, roots = (np.concatenate([r[i] for r in rows]) for i in range(3))
-        found = partners(ids, fps.view(np.uint64), roots, [x for r in rows for x in r[3]])
-        return pa.RecordBatch.from_arrays([pa.array([max(p) for p in found], pa.int64()), pa.array([min(p) for p in found], pa.int64())], schema=ARROW)
-
-    held_key, held = None, []
-    for b in batches:
-        key, ids, fps, roots = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "id", "fp", "root"))
-        tried = b.column("tried").to_pylist()
-        cut = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
-        for lo, hi in zip(cut, cut[1:], strict=False):
-            if lo == hi:
-                continue
-            if held and key[lo] != held_key:
-                yield links(held)
-                held = []
-            held_key = key[lo]
-            held.append((ids[lo:hi], fps[lo:hi], roots[lo:hi], tried[lo:hi]))
-    if held:
-        yield links(held)
+        ids, fps, roots, sizes = (np.concatenate([r[i] for r in rows]) for i in range(4))
+        u, v = partners(ids, fps.view(np.uint64), roots, sizes, [x for r in rows for x in r[4]], most)
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], schema=ARROW)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_key, held = None, []
+        for b in batches:
+            key, *columns = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "id", "fp", "root", "size"))
+            columns.append(b.column("tried").to_pylist())
+            cut = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+            for lo, hi in zip(cut, cut[1:], strict=False):
+                if lo == hi:
+                    continue
+                if held and key[lo] != held_key:
+                    yield links(held)
+                    held = []
+                held_key = key[lo]
+                held.append(tuple(c[lo:hi] for c in columns))
+        if held:
+            yield links(held)
+
+    return run
 
 
 # --- rounds -----------------------------------------------------------------------
@@ -218,11 +244,11 @@ def similar_links(docs: DataFrame) -> DataFrame:
     Rows without a doc_id or without a word have no links; doc_id is a long.
     """
     table = Staged(prints(docs), "prints")
-    classes = Staged(table.df.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "classes")
+    classes = Staged(table.df.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("bands").alias("bands")), "classes")
     copies = table.df.select("doc_id", "digest").join(classes.df.select("digest", "id"), "digest").filter("doc_id <> id").select(F.col("doc_id").alias("u"), F.col("id").alias("v"))
     copies = Staged(copies.distinct(), "copies")
     # only members of blocks of two or more go on: most texts are like no other
-    keyed = classes.df.select("id", "fp", F.explode("bands").alias("key"))
+    keyed = classes.df.select("id", "fp", "size", F.explode("bands").alias("key"))
     full = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key")
     keyed = Staged(keyed.join(full, "key").dropDuplicates(["key", "id"]), "blocks")
     ids = Staged(keyed.df.select("id").distinct(), "members")
@@ -230,7 +256,9 @@ def similar_links(docs: DataFrame) -> DataFrame:
     if not n_ids:
         return copies.df
     sets = Staged(set_table(docs, ids.df, n_ids), "sets")
+    parts = 8 + min(keyed.df.count() // PART_ROWS, 100_000) 
     held = failed = stars = None
+    most = FIRST
     while True:
         rows = keyed.df
         rows = rows.withColumn("root", F.col("id")) if stars is None else rows.join(stars.df.select(F.col("u").alias("id"), F.col("v").alias("v")), "id", "left").withColumn("root", F.coalesce("v", "id")).drop("v")
@@ -239,7 +267,7 @@ def similar_links(docs: DataFrame) -> DataFrame:
         else:
             both = failed.df.unionByName(failed.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
             rows = rows.join(both.groupBy(F.col("u").alias("id")).agg(F.collect_set("v").alias("tried")), "id", "left")
-        asked = rows.select("key", "id", "fp", "root", "tried").repartition("key").sortWithinPartitions("key", "id").mapInArrow(name_partners, EDGES).distinct()
+        asked = rows.select("key", "id", "fp", "root", "size", "tried").repartition(parts, "key").sortWithinPartitions("key", "id").mapInArrow(name_partners(most), EDGES).distinct()
         asked = Staged(asked, "asked")
         if asked.df.isEmpty():
             break
@@ -249,7 +277,8 @@ def similar_links(docs: DataFrame) -> DataFrame:
         new, lost = judged.df.filter("similar").select("u", "v"), judged.df.filter("NOT similar").select("u", "v")
         held = Staged(new if held is None else held.df.unionByName(new), "held")
         failed = Staged(lost if failed is None else failed.df.unionByName(lost), "failed")
-        stars = components(held.df)
+        stars = components(new if stars is None else stars.df.unionByName(new))
+        most *= GROWTH
     return copies.df if held is None else copies.df.unionByName(held.df)
 
 
