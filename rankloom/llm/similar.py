@@ -16,6 +16,7 @@ rounds end when no one has a partner left.  So each close pair is linked, tried,
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Staged, ascii_lower, fresh, map_texts, small_or_plain, words_of
-from .simhash import components, lanes_of, near_duplicates, planes_of
+from .simhash import components, forest, lanes_of, near_duplicates, planes_of
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -39,6 +40,8 @@ WHOLE_BLOCK = 512
 FIRST, GROWTH = 4, 8
 #: Rows of one partition of blocks.
 PART_ROWS = 20_000
+#: Links (16 bytes each) of which one task may find the components.
+ONE_TASK = 500_000
 #: (query, block) rows compared at once.
 CHUNK = 100_000
 
@@ -251,35 +254,48 @@ def similar_links(docs: DataFrame) -> DataFrame:
     keyed = classes.df.select("id", "fp", "size", F.explode("bands").alias("key"))
     full = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key")
     keyed = Staged(keyed.join(full, "key").dropDuplicates(["key", "id"]), "blocks")
-    ids = Staged(keyed.df.select("id").distinct(), "members")
-    n_ids = ids.df.count()
-    if not n_ids:
+    n_rows, n_ids = keyed.df.agg(F.count("*"), F.count_distinct("id")).first()
+    if not n_rows:
         return copies.df
-    sets = Staged(set_table(docs, ids.df, n_ids), "sets")
-    parts = 8 + min(keyed.df.count() // PART_ROWS, 100_000) 
-    held = failed = stars = None
-    most = FIRST
+    sets = Staged(set_table(docs, keyed.df.select("id").distinct(), n_ids), "sets")
+    parts = 8 + min(n_rows // PART_ROWS, 100_000)
+    judged, stars, most = [], None, FIRST
     while True:
         rows = keyed.df
-        rows = rows.withColumn("root", F.col("id")) if stars is None else rows.join(stars.df.select(F.col("u").alias("id"), F.col("v").alias("v")), "id", "left").withColumn("root", F.coalesce("v", "id")).drop("v")
-        if failed is None:
-            rows = rows.withColumn("tried", F.lit(None).cast("array<long>"))
+        if stars is None:
+            rows = rows.withColumns({"root": F.col("id"), "tried": F.lit(None).cast("array<long>")})
         else:
-            both = failed.df.unionByName(failed.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
-            rows = rows.join(both.groupBy(F.col("u").alias("id")).agg(F.collect_set("v").alias("tried")), "id", "left")
+            failed = functools.reduce(DataFrame.unionByName, [j.df.filter("NOT similar").select("u", "v") for j in judged])
+            failed = failed.unionByName(failed.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy(F.col("u").alias("id")).agg(F.collect_set("v").alias("tried"))
+            rows = rows.join(stars.df.select(F.col("u").alias("id"), "v"), "id", "left").withColumn("root", F.coalesce("v", "id")).join(failed, "id", "left")
         asked = rows.select("key", "id", "fp", "root", "size", "tried").repartition(parts, "key").sortWithinPartitions("key", "id").mapInArrow(name_partners(most), EDGES).distinct()
-        asked = Staged(asked, "asked")
-        if asked.df.isEmpty():
-            break
-        pairs = asked.df.join(sets.df.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u").join(sets.df.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v")
+        pairs = asked.join(sets.df.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u").join(sets.df.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v")
         shared = F.size(F.array_intersect("a", "b"))
-        judged = Staged(pairs.select("u", "v", (shared >= SIMILARITY * (F.size("a") + F.size("b") - shared)).alias("similar")), "judged")
-        new, lost = judged.df.filter("similar").select("u", "v"), judged.df.filter("NOT similar").select("u", "v")
-        held = Staged(new if held is None else held.df.unionByName(new), "held")
-        failed = Staged(lost if failed is None else failed.df.unionByName(lost), "failed")
-        stars = components(new if stars is None else stars.df.unionByName(new))
+        now = Staged(pairs.select("u", "v", (shared >= SIMILARITY * (F.size("a") + F.size("b") - shared)).alias("similar")), "judged")
+        if now.df.isEmpty():
+            return copies.df if stars is None else copies.df.unionByName(stars.df)
+        judged.append(now)
+        new = now.df.filter("similar").select("u", "v")
+        stars = grouped(new if stars is None else stars.df.unionByName(new))
         most *= GROWTH
-    return copies.df if held is None else copies.df.unionByName(held.df)
+
+
+def grouped(links: DataFrame) -> Staged:
+    """As :func:`simhash.components`: stars (u, v) of links.  Up to ONE_TASK counted links are one task's work, more are contracted on tables."""
+    table = Staged(links.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")), "links")
+    if table.df.count() > ONE_TASK:
+        return components(table.df)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = [np.concatenate([b.column(c).to_numpy() for c in ("u", "v")]).reshape(2, -1) for b in batches if b.num_rows]
+        if ends:
+            names, place = np.unique(np.concatenate(ends, axis=1), return_inverse=True)
+            u, v = place.reshape(2, -1)
+            root = names[forest(u, v, len(names))]
+            moved = root != names
+            yield pa.RecordBatch.from_arrays([pa.array(names[moved]), pa.array(root[moved])], schema=ARROW)
+
+    return Staged(table.df.coalesce(1).mapInArrow(run, EDGES), "stars")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -293,7 +309,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     """
     found = Staged(near_duplicates(docs).select("doc_id", "component_id"), "components")
     close = found.df.filter("doc_id <> component_id").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v"))
-    lost = components(close.unionByName(similar_links(docs))).df.select(F.col("u").alias("__lost")).distinct()
+    lost = grouped(close.unionByName(similar_links(docs))).df.select(F.col("u").alias("__lost")).distinct()
     kept = docs.join(small_or_plain(lost, lost.count(), 16), docs["doc_id"] == F.col("__lost"), "left_anti")
     repeated = Staged(found.df.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "repeated").df
     n_repeated = repeated.count()

@@ -216,6 +216,7 @@ def test_large_blocks_and_rounds(spark, monkeypatch):
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
     monkeypatch.setattr(similar, "WHOLE_BLOCK", 10)
+    monkeypatch.setattr(similar, "ONE_TASK", 0)
     rows, text = [], [word() for _ in range(150)]
     for i in range(90):  # a chain: neighbours are similar, its ends aren't
         text[rng.randrange(150)] = word()
