@@ -43,7 +43,7 @@ PART_ROWS = 20_000
 #: Links (16 bytes each) of which one task may find the components.
 ONE_TASK = 500_000
 #: (query, block) rows compared at once.
-CHUNK = 100_000
+CHUNK = 8_000
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(17)
