@@ -6,7 +6,10 @@ average, far beyond what pieces of a fingerprint can find, so blocks come from
 the shingle sets themselves: BANDS keys of ROWS smallest permuted hashes each,
 of which a pair at 0.8 misses all in one case of ten thousand.  Inside a block
 fingerprints are compared bit-sliced, as in :mod:`simhash`, with five carry-save
-digits, and every link is verified on the shingle sets.
+digits.  What is within reach is then held against the texts' sketches, the
+SKETCH smallest hashes of each set, which are the whole set for most texts; so
+next to none but similar texts are named, and every link is verified on the
+shingle sets.
 
 No block emits all its pairs.  In a round each member names a few partners, the
 nearest that it isn't linked to yet and hasn't failed with, and eight times as
@@ -34,6 +37,10 @@ SIMILARITY = 0.8
 BANDS, ROWS = 16, 4
 #: Bits that similar texts' fingerprints may differ in: three and a half deviations above the mean at 0.8.
 WIDE = 20
+#: Smallest hashes of a set that travel with it.
+SKETCH = 192
+#: How far below SIMILARITY an estimate may lie: for whole sets (32 bits of a hash may collide), and deviations for cut ones.
+WHOLE_SLACK, DEVIATIONS = 0.02, 4.0
 #: In larger blocks without links the first members ask for all.
 WHOLE_BLOCK = 512
 #: Partners that a member may name in the first round, and how many times more in each round after it.
@@ -90,12 +97,17 @@ def print_of(s: np.ndarray) -> int:
     return int(np.packbits(2 * bits > len(s), bitorder="little").view(np.int64)[0])
 
 
+def sketch_of(s: np.ndarray) -> bytes:
+    """The upper halves of the SKETCH smallest hashes of a sorted set."""
+    return (s[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes()
+
+
 def prints(docs: DataFrame) -> DataFrame:
-    """doc_id, digest of the words, fp, size of the shingle set, bands: rows with a doc_id and a word."""
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("digest", T.StringType()), T.StructField("fp", T.LongType()), T.StructField("size", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    """doc_id, digest of the words, fp, size of the shingle set, bands, sketch: rows with a doc_id and a word."""
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("digest", T.StringType()), T.StructField("fp", T.LongType()), T.StructField("size", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
 
     def of(b):
-        digest, fp, size, bands = [], [], [], []
+        digest, fp, size, bands, sketch = [], [], [], [], []
         for t in b.column("text").to_pylist():
             w = words_of(ascii_lower(t)) if t else []
             s = shingle_set(w)
@@ -103,7 +115,8 @@ def prints(docs: DataFrame) -> DataFrame:
             fp.append(print_of(s) if w else 0)
             size.append(len(s))
             bands.append(bands_of(s) if w else None)
-        return {"doc_id": b.column("doc_id"), "digest": digest, "fp": fp, "size": size, "bands": bands}
+            sketch.append(sketch_of(s))
+        return {"doc_id": b.column("doc_id"), "digest": digest, "fp": fp, "size": size, "bands": bands, "sketch": sketch}
 
     return map_texts(docs.select("doc_id", "text").filter("doc_id IS NOT NULL"), of, schema, chars=4 << 20).filter("digest IS NOT NULL")
 
@@ -147,13 +160,39 @@ def close_pairs(asking: np.ndarray, fps: np.ndarray, planes: np.ndarray, valid:
         yield some[row], lane
 
 
-def partners(ids: np.ndarray, fps: np.ndarray, roots: np.ndarray, sizes: np.ndarray, tried: list, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Up to ``most`` partners a member: the nearest of other roots that it hasn't failed with; ids ascend, sizes are of shingle sets."""
+class Sketches:
+    """Sketches of a block's members, as ascending ranks of hashes in rows of equal length."""
+
+    def __init__(self, sketches: list[bytes], sizes: np.ndarray):
+        n = np.array([len(x) // 4 for x in sketches], np.int64)
+        names, rank = np.unique(np.frombuffer(b"".join(sketches), "<u4"), return_inverse=True)
+        self.end = len(names)  # fills rows up, and lies above each rank
+        self.rows = np.full((len(n), max(1, n.max())), self.end, np.int32)
+        self.rows[np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)] = rank
+        self.last = np.where(sizes > SKETCH, self.rows[np.arange(len(n)), n - 1], self.end - 1)
+        self.whole = sizes <= SKETCH
+        self.mark = np.zeros(self.end + 1, bool)
+
+    def alike(self, who: int, lanes: np.ndarray) -> np.ndarray:
+        """Which lanes may be similar to a member: the share that both have, of the hashes up to the smaller end of the two sketches."""
+        own, rows = self.rows[who], self.rows[lanes]
+        self.mark[own] = True
+        self.mark[self.end] = False
+        shared = self.mark[rows].sum(axis=1)
+        self.mark[own] = False
+        upto = np.minimum(self.last[who], self.last[lanes])
+        union = np.searchsorted(own, upto, side="right") + (rows <= upto[:, None]).sum(axis=1) - shared
+        slack = np.where(self.whole[who] & self.whole[lanes], WHOLE_SLACK, DEVIATIONS * np.sqrt(SIMILARITY * (1 - SIMILARITY) / np.maximum(union, 1)))
+        return shared >= (SIMILARITY - slack) * union
+
+
+def partners(ids: np.ndarray, fps: np.ndarray, roots: np.ndarray, sizes: np.ndarray, tried: list, sketches: list[bytes], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Up to ``most`` partners a member: the nearest of other roots, alike by sketch, that it hasn't failed with; ids ascend, sizes are of shingle sets."""
     none = np.zeros(0, np.int64)
     if len(ids) < 2 or (roots == roots[0]).all():
         return none, none
     lanes, valid, _, _ = lanes_of(fps, np.array([len(fps)]))
-    planes, found, n = planes_of(lanes), [], len(ids)
+    planes, found, n, seen = planes_of(lanes), [], len(ids), Sketches(sketches, sizes)
     failed = np.array([i * n + k for i, x in enumerate(tried) if x for k in known_places(ids, x)], np.int64)
 
     def fit(who, lane):
@@ -163,6 +202,10 @@ def partners(ids: np.ndarray, fps: np.ndarray, roots: np.ndarray, sizes: np.ndar
         if len(failed):
             ok = ~np.isin(who * n + lane, failed)
             who, lane = who[ok], lane[ok]
+        if len(who):
+            cut = np.flatnonzero(np.diff(who, prepend=-1))
+            ok = np.concatenate([seen.alike(w, x) for w, x in zip(who[cut], np.split(lane, cut[1:]), strict=True)])
+            who, lane = who[ok], lane[ok]
         return who, lane
 
     names, held = np.unique(roots, return_counts=True)
@@ -172,8 +215,7 @@ def partners(ids: np.ndarray, fps: np.ndarray, roots: np.ndarray, sizes: np.ndar
             if left[seed]:
                 left[seed] = False
                 for who, lane in close_pairs(np.array([seed]), fps, planes, valid):
-                    who, lane = fit(who, lane)
-                    lane = lane[left[lane]]
+                    who, lane = fit(who[left[lane]], lane[left[lane]])
                     found.append((np.full(len(lane), seed), lane))
                     left[lane] = False
     else:
@@ -203,18 +245,18 @@ ARROW = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
 def name_partners(most: int):
-    """A pass over rows (key, id, fp, root, size, tried), sorted by key and id, to links to be tried; a block may go on in the next batch."""
+    """A pass over rows (key, id, fp, root, size, tried, sketch), sorted by key and id, to links to be tried; a block may go on in the next batch."""
 
     def links(rows: list[tuple]) -> pa.RecordBatch:
         ids, fps, roots, sizes = (np.concatenate([r[i] for r in rows]) for i in range(4))
-        u, v = partners(ids, fps.view(np.uint64), roots, sizes, [x for r in rows for x in r[4]], most)
+        u, v = partners(ids, fps.view(np.uint64), roots, sizes, [x for r in rows for x in r[4]], [x for r in rows for x in r[5]], most)
         return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], schema=ARROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_key, held = None, []
         for b in batches:
             key, *columns = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "id", "fp", "root", "size"))
-            columns.append(b.column("tried").to_pylist())
+            columns += [b.column(c).to_pylist() for c in ("tried", "sketch")]
             cut = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
             for lo, hi in zip(cut, cut[1:], strict=False):
                 if lo == hi:
@@ -247,7 +289,7 @@ def similar_links(docs: DataFrame) -> DataFrame:
     Rows without a doc_id or without a word have no links; doc_id is a long.
     """
     table = Staged(prints(docs), "prints")
-    classes = Staged(table.df.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("bands").alias("bands")), "classes")
+    classes = Staged(table.df.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
     copies = table.df.select("doc_id", "digest").join(classes.df.select("digest", "id"), "digest").filter("doc_id <> id").select(F.col("doc_id").alias("u"), F.col("id").alias("v"))
     copies = Staged(copies.distinct(), "copies")
     # only members of blocks of two or more go on: most texts are like no other
@@ -268,7 +310,8 @@ def similar_links(docs: DataFrame) -> DataFrame:
             failed = functools.reduce(DataFrame.unionByName, [j.df.filter("NOT similar").select("u", "v") for j in judged])
             failed = failed.unionByName(failed.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy(F.col("u").alias("id")).agg(F.collect_set("v").alias("tried"))
             rows = rows.join(stars.df.select(F.col("u").alias("id"), "v"), "id", "left").withColumn("root", F.coalesce("v", "id")).join(failed, "id", "left")
-        asked = rows.select("key", "id", "fp", "root", "size", "tried").repartition(parts, "key").sortWithinPartitions("key", "id").mapInArrow(name_partners(most), EDGES).distinct()
+        rows = rows.join(classes.df.groupBy("id").agg(F.max_by("sketch", "size").alias("sketch")), "id")
+        asked = rows.select("key", "id", "fp", "root", "size", "tried", "sketch").repartition(parts, "key").sortWithinPartitions("key", "id").mapInArrow(name_partners(most), EDGES).distinct()
         pairs = asked.join(sets.df.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u").join(sets.df.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v")
         shared = F.size(F.array_intersect("a", "b"))
         now = Staged(pairs.select("u", "v", (shared >= SIMILARITY * (F.size("a") + F.size("b") - shared)).alias("similar")), "judged")

@@ -371,3 +371,24 @@ def test_odd_toxicity(spark, odd_docs, no_docs):
         rows = toxicity.predictions(odd_docs, labels).collect()
         assert len(rows) == odd_docs.count() and all(0 <= r["score"] <= 1 for r in rows)
     assert toxicity.predictions(no_docs, some).count() == 0
+
+
+def test_sketches_pass_similar_sets_and_stop_unlike_ones():
+    rng = np.random.default_rng(3)
+    sets = []
+    for n in (1, 4, 60, similar.SKETCH, 1000):
+        base = rng.integers(1 << 63, size=n, dtype=np.uint64)
+        for share in (1.0, 0.97, 0.93, 0.6, 0.3):
+            kept = int(n * share)
+            sets.append(np.unique(np.concatenate([base[:kept], rng.integers(1 << 63, size=n - kept, dtype=np.uint64)])))
+    sizes = np.array([len(s) for s in sets])
+    seen = similar.Sketches([similar.sketch_of(s) for s in sets], sizes)
+    for i, s in enumerate(sets):
+        got = seen.alike(i, np.arange(len(sets)))
+        for k, other in enumerate(sets):
+            shared = len(np.intersect1d(s, other))
+            true = shared / (len(s) + len(other) - shared)
+            if true >= similar.SIMILARITY:
+                assert got[k]
+            if true < 0.5:
+                assert not got[k]
