@@ -14,6 +14,8 @@ MAX_HISTORY = 20
 CANDIDATES = 10
 #: Hash draws a user, out of which the unvisited make the negatives.
 DRAWS = 64
+#: Items listed at once for a user whose draws fall short.
+RUN = 4096
 
 
 def keyed(*parts: Column | str) -> Column:
@@ -50,20 +52,33 @@ def histories(visits: DataFrame, order: list[str], cap: int = MAX_HISTORY) -> Da
 
 
 def negatives(users: DataFrame, visits: DataFrame, n_items: int, k: int = CANDIDATES - 1, draws: int = DRAWS) -> DataFrame:
-    """user_id, item_id: k distinct items that the user hasn't visited, from hash draws; never users times items.
+    """user_id, item_id: k distinct items that the user hasn't visited; users with fewer unvisited items get all of them.
 
-    Items are numbered 0..n_items-1.  Users whose draws leave fewer than k get
-    fewer; pool_is_large() tells them apart.
+    Items are numbered 0..n_items-1.  Hash draws come first.  Users whom they
+    leave short get the rest from all their other unvisited items, in hash
+    order.  Draws fall short where most items are visited or items are few, so
+    the items listed for that are about as many as those users' visits.
     """
     drawn = users.select("user_id", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("j")).withColumn("item_id", draw(F.lit(n_items), F.lit("n"), F.col("user_id"), F.col("j")))
     first = drawn.groupBy("user_id", "item_id").agg(F.min("j").alias("j"))
-    unseen = first.join(visits.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
+    seen = visits.select("user_id", "item_id")
+    unseen = first.join(seen, ["user_id", "item_id"], "left_anti")
     w = Window.partitionBy("user_id").orderBy("j")
-    return unseen.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k).select("user_id", "item_id")
+    found = unseen.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k).select("user_id", "item_id")
+    have = F.coalesce("have", F.array().cast("array<long>"))
+    lacking = users.select("user_id").distinct().join(found.groupBy("user_id").agg(F.collect_list("item_id").alias("have")), "user_id", "left").select("user_id", have.alias("have")).filter(F.size("have") < k)
+    # runs of items, dealt out, so that no row or task holds a large catalogue
+    last = F.lit(max(n_items - 1, 0)).cast("long")
+    runs = lacking.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(RUN).cast("long")))).repartition("user_id", "start")
+    listed = runs.select("user_id", "have", F.explode(F.sequence("start", F.least(F.col("start") + (RUN - 1), last))).alias("item_id"))
+    pool = listed.filter(~F.array_contains("have", F.col("item_id"))).join(seen, ["user_id", "item_id"], "left_anti")
+    w = Window.partitionBy("user_id").orderBy(keyed(F.lit("r"), "user_id", "item_id"), "item_id")
+    rest = pool.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k).filter(F.col("rn") + F.size("have") <= k).select("user_id", "item_id")
+    return found.unionByName(rest)
 
 
 def candidate_lists(visits: DataFrame, order: list[str], n_items: int) -> DataFrame:
-    """user_id, slot, item_id, is_positive: the positive and its negatives in hash order; users short of negatives go."""
+    """user_id, slot, item_id, is_positive: the positive and its negatives in hash order; users with fewer unvisited items than a list needs go."""
     positive = holdout(visits, order).select("user_id", "item_id")
     drawn = negatives(positive, visits, n_items)
     both = positive.withColumn("is_positive", F.lit(True)).unionByName(drawn.withColumn("is_positive", F.lit(False)))
