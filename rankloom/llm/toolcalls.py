@@ -176,7 +176,8 @@ def kahn(calls: list[tuple[str, list[str]]]) -> dict[str, int]:
 
 def depths(graph: DataFrame) -> DataFrame:
     """conv_id, call_id, depth of the calls (conv_id, call_id, needs) of conversations that turns don't order; null depth on a cycle."""
-    sized = Staged(graph.withColumn("n", F.count("*").over(Window.partitionBy("conv_id"))), "graph")
+    known = F.array_compact(F.coalesce("needs", F.array().cast("array<string>")))  # a null need links to nothing
+    sized = Staged(graph.withColumn("needs", known).withColumn("n", F.count("*").over(Window.partitionBy("conv_id"))), "graph")
     schema = T.StructType([graph.schema["conv_id"], T.StructField("call_id", T.StringType()), T.StructField("depth", T.IntegerType())])
 
     def of(block: pd.DataFrame) -> pd.DataFrame:
@@ -192,17 +193,19 @@ def depths(graph: DataFrame) -> DataFrame:
 
 
 def relaxed(graph: DataFrame) -> DataFrame:
-    """As Kahn, in rounds on tables: each round settles the calls whose needs are all settled."""
+    """As Kahn, in rounds on tables: each round settles the calls whose needs are all settled.  Null identifiers match as values do."""
+    key = lambda df: df.withColumnsRenamed({"conv_id": "k_conv", "call_id": "k_call", "depth": "d"})
+    on = lambda call: F.col("conv_id").eqNullSafe(F.col("k_conv")) & F.col(call).eqNullSafe(F.col("k_call"))
     nodes = graph.select("conv_id", "call_id").distinct()
     edges = graph.select("conv_id", "call_id", F.explode("needs").alias("need")).distinct()
-    edges = Staged(edges.join(nodes.withColumnRenamed("call_id", "need"), ["conv_id", "need"], "left_semi"), "needs")
-    done = Staged(nodes.join(edges.df, ["conv_id", "call_id"], "left_anti").withColumn("depth", F.lit(0)), "settled")
+    edges = Staged(edges.join(key(nodes), on("need"), "left_semi"), "needs")
+    done = Staged(nodes.join(key(edges.df), on("call_id"), "left_anti").withColumn("depth", F.lit(0)), "settled")
     while True:
-        reached = edges.df.join(done.df.withColumnsRenamed({"call_id": "need", "depth": "d"}), ["conv_id", "need"], "left")
-        found = reached.groupBy("conv_id", "call_id").agg(F.max("d").alias("d"), F.count(F.when(F.col("d").isNull(), 1)).alias("open")).filter("open = 0")
-        new = Staged(found.join(done.df, ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", (F.col("d") + 1).cast("int").alias("depth")), "round")
+        reached = edges.df.join(key(done.df), on("need"), "left")
+        found = reached.groupBy("conv_id", "call_id").agg(F.max("d").alias("deepest"), F.count(F.when(F.col("d").isNull(), 1)).alias("open")).filter("open = 0")
+        new = Staged(found.join(key(done.df), on("call_id"), "left_anti").select("conv_id", "call_id", (F.col("deepest") + 1).cast("int").alias("depth")), "round")
         if new.df.isEmpty():
-            return nodes.join(done.df, ["conv_id", "call_id"], "left").select("conv_id", "call_id", "depth")
+            return nodes.join(key(done.df), on("call_id"), "left").select("conv_id", "call_id", F.col("d").alias("depth"))
         done = Staged(done.df.unionByName(new.df), "settled")
 
 

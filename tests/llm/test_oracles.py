@@ -143,6 +143,18 @@ def test_order_is_the_same_on_tables(spark, monkeypatch):
         assert all(small[c, n] < small[c, k] for n in needs)
 
 
+def test_order_with_nulls_is_the_same_on_tables(spark, monkeypatch):
+    rows = [(c, 10 - i, f"k{i}", "add", '{"a": 1}', [f"k{j}" for j in range(i)]) for c in (1, None) for i in range(5)]
+    rows += [(c, 20, None, "add", '{"a": 1}', needs) for c in (1, None) for needs in (["k4"], [None], None)]
+    rows += [(None, 21, "x", "add", '{"a": 1}', ["y"]), (None, 22, "y", "add", '{"a": 1}', ["x"])]
+    calls, results = spark.createDataFrame(rows, CALLS), spark.createDataFrame([], RESULTS)
+    linked = lambda: sorted(map(repr, toolcalls.link(calls, results, SCHEMAS).select("conv_id", "call_id", "position", "valid", "error").collect()))
+    small = linked()
+    assert sum("error='cycle'" in r for r in small) == 2 and len(small) == 18
+    monkeypatch.setattr(toolcalls, "KAHN_CALLS", 0)
+    assert linked() == small
+
+
 def test_calls_written_in_messages(spark):
     text = '{"tool_calls": [{"id": "i", "name": "add", "arguments": "{\\"a\\": 1}"}]}'
     m = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", text), (1, 2, "tool", '{"tool_call_id": "i", "content": "2"}'), (1, 3, "assistant", "plain")], "conv_id long, turn long, role string, text string")
