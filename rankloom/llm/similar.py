@@ -4,7 +4,7 @@ Two texts are similar if their sets of five-word shingles have a Jaccard
 similarity of 0.8 or more.  Their 64-bit SimHashes then differ in ten bits on
 average, far beyond what pieces of a fingerprint can find, so blocks come from
 the shingle sets themselves: BANDS keys of ROWS smallest permuted hashes each,
-of which a pair at 0.8 misses all in one case of ten thousand.  Inside a block
+of which a pair at 0.8 misses all in one case of 4,600.  Inside a block
 fingerprints are compared bit-sliced, as in :mod:`simhash`, with five carry-save
 digits.  What is within reach is then held against the texts' sketches, the
 SKETCH smallest hashes of each set, which are the whole set for most texts; so
