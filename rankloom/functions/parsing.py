@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# The pattern of a fenced object, which decides what counts as one.
 FENCED = re.compile(r"```(?:json)?\s*(\{.*?\})\s*```", re.S)
 BRACE = re.compile(r"[{}]")
 
@@ -36,11 +37,21 @@ def json_object(text: str | None) -> dict | None:
     for c in candidates:
         try:
             return json.loads(c)
-        except ValueError:
+        except (ValueError, RecursionError):  # nested too deep is no object either
             pass
     return None
 
 
+def json_text(value, **form) -> str | None:
+    """JSON of a value; None for what JSON text can't hold: numbers that aren't finite, lone surrogates, nesting too deep."""
+    try:
+        text = json.dumps(value, ensure_ascii=False, allow_nan=False, **form)
+        text.encode()
+    except (ValueError, RecursionError):
+        return None
+    return text
+
+
 def ranking_in(value: dict | None, k: int) -> list[int] | None:
     """The ranking of a parsed object, if it is a list of the integers 1..k, each once (booleans are none)."""
     r = value.get("ranking") if isinstance(value, dict) else None
@@ -50,14 +61,15 @@ def ranking_in(value: dict | None, k: int) -> list[int] | None:
 
 @F.pandas_udf(T.StringType())
 def parse_object(text: pd.Series) -> pd.Series:
-    """Canonical text of the JSON object in noisy text, NULL if there is none."""
+    """Canonical text of the JSON object in noisy text, NULL if there is none or none that text can hold."""
     found = [json_object(t) for t in text]
-    return pd.Series([None if x is None else json.dumps(x, sort_keys=True, separators=(",", ":"), ensure_ascii=False) for x in found], dtype=object)
+    return pd.Series([None if x is None else json_text(x, sort_keys=True, separators=(",", ":")) for x in found], dtype=object)
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
 def parse_ranking(text: pd.Series, k: pd.Series) -> pd.Series:
-    return pd.Series([ranking_in(json_object(t), int(n)) for t, n in zip(text, k, strict=True)], dtype=object)
+    """The ranking of k slots in noisy text; NULL without one, or without k."""
+    return pd.Series([None if pd.isna(n) else ranking_in(json_object(t), int(n)) for t, n in zip(text, k, strict=True)], dtype=object)
 
 
 @F.pandas_udf(T.BooleanType())
@@ -67,17 +79,53 @@ def is_json(text: pd.Series) -> pd.Series:
     def right(t):
         try:
             json.loads(t)
-        except (ValueError, TypeError):
+        except (ValueError, TypeError, RecursionError):
             return False
         return True
 
     return pd.Series([right(t) for t in text], dtype=bool)
 
 
+@F.pandas_udf(T.StringType())
+def json_fault(text: pd.Series) -> pd.Series:
+    """Why text isn't strict JSON; NULL if it is."""
+
+    def why(t):
+        try:
+            json.loads(t)
+        except json.JSONDecodeError as e:
+            return e.msg
+        except (ValueError, TypeError, RecursionError) as e:
+            return type(e).__name__
+        return None
+
+    return pd.Series([why(t) for t in text], dtype=object)
+
+
 @F.pandas_udf(T.StringType())
 def pretty_json(text: pd.Series) -> pd.Series:
-    """JSON with an indent of two, keys as they stand, no escapes beyond JSON's own."""
-    return pd.Series([None if t is None else json.dumps(json.loads(t), indent=2, ensure_ascii=False) for t in text], dtype=object)
+    """JSON with an indent of two, keys as they stand, no escapes beyond JSON's own; NULL for text that isn't JSON."""
+
+    def indented(t):
+        try:
+            return None if t is None else json_text(json.loads(t), indent=2)
+        except (ValueError, RecursionError):
+            return None
+
+    return pd.Series([indented(t) for t in text], dtype=object)
+
+
+@F.pandas_udf(T.StringType())
+def plain_json(text: pd.Series) -> pd.Series:
+    """JSON on one line with a space behind commas and colons, keys as they stand; NULL for text that isn't JSON."""
+
+    def spaced(t):
+        try:
+            return None if t is None else json_text(json.loads(t))
+        except (ValueError, RecursionError):
+            return None
+
+    return pd.Series([spaced(t) for t in text], dtype=object)
 
 
 def shuffled(items: list, seed: int, fixed_points: bool = True, tries: int = 200) -> list:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.functions.ranks import SLOTS, slots
+from rankloom.functions.ranks import SLOTS, is_permutation, slots
+from rankloom.functions.stats import chi2_p
 
 
 def slot_table(spark, k: int = SLOTS, name: str = "slot") -> DataFrame:
@@ -38,6 +39,36 @@ def describe(counts: DataFrame, keys: list[str] | None = None, k: int = SLOTS) -
         percent(F.max("n")).alias("max_percent"), percent(F.min("n")).alias("min_percent"), chi_square("n", k).alias("chi2"), F.lit(k - 1).alias("df"))
 
 
+def described(counts: DataFrame, keys: list[str] | None = None, k: int = SLOTS) -> DataFrame:
+    """describe() with the vectors of counts and percents by slot, the tail p and the verdict at 0.05; no observations give NaN and no verdict."""
+    keys = keys or []
+    vector = F.transform(F.array_sort(F.collect_list(F.struct("slot", "n"))), lambda x: x["n"])  # k entries a group
+    both = describe(counts, keys, k).join(counts.groupBy(*keys).agg(vector.alias("counts")), keys) if keys else describe(counts, keys, k).crossJoin(F.broadcast(counts.agg(vector.alias("counts"))))
+    percent = F.transform("counts", lambda n: 100.0 * n / F.greatest(F.col("n_total"), F.lit(1)))
+    return both.withColumns({"percent": percent, "p": chi2_p("chi2", "df")}).withColumn("verdict", F.when(F.col("p") >= 0.05, "UNIFORM").when(F.col("p") < 0.05, "NON-UNIFORM"))
+
+
+def position_bias(df: DataFrame, ranking: str, gt: str, keys: list[str] | None = None, k: int = SLOTS) -> DataFrame:
+    """keys, n_valid, top1_slot_counts, slot1_top1_rate, chi2_uniform, chi2_pvalue, recall_by_gt_position, recall_support: strict rankings only.
+
+    One pass: counts by (top slot, positive's slot) are (k + 1) k rows a group.
+    Recalls without support are NULL; groups without a strict ranking have no row.
+    """
+    keys = keys or []
+    valid = df.filter(is_permutation(F.col(ranking), k)).select(*keys, F.get(ranking, F.lit(0)).cast("int").alias("top"), F.col(gt).cast("int").alias("gt"))
+    cells = valid.groupBy(*keys, "top", "gt").agg(F.count("*").alias("n"))
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    by = [*[total(F.col("top") == s).alias(f"t{s}") for s in range(1, k + 1)], *[total(F.col("gt") == s).alias(f"g{s}") for s in range(1, k + 1)], *[total((F.col("gt") == s) & (F.col("top") == s)).alias(f"h{s}") for s in range(1, k + 1)]]
+    wide = cells.groupBy(*keys).agg(F.sum("n").alias("n_valid"), *by).filter("n_valid > 0")
+    array = lambda f: F.array(*[f(s) for s in range(1, k + 1)])
+    squares = sum((F.col(f"t{s}").cast("double") * F.col(f"t{s}") for s in range(2, k + 1)), F.col("t1").cast("double") * F.col("t1"))
+    chi2 = squares * k / F.col("n_valid") - F.col("n_valid")
+    rows = wide.select(
+        *keys, "n_valid", array(lambda s: F.col(f"t{s}")).alias("top1_slot_counts"), F.round(F.col("t1") / F.col("n_valid"), 4).alias("slot1_top1_rate"), chi2.alias("__chi2"),
+        array(lambda s: F.round(F.col(f"h{s}") / F.nullif(F.col(f"g{s}"), F.lit(0).cast("long")), 4)).alias("recall_by_gt_position"), array(lambda s: F.col(f"g{s}")).alias("recall_support"))
+    return rows.withColumns({"chi2_uniform": F.round("__chi2", 3), "chi2_pvalue": F.round(chi2_p("__chi2", F.lit(k - 1)), 6)}).drop("__chi2")
+
+
 def recall_by_slot(df: DataFrame, gt: Column, top: Column, k: int = SLOTS) -> DataFrame:
     """slot, support, hits, recall (NULL without support) of top picks, by the positive's slot."""
     counts = df.select(gt.cast("int").alias("slot"), (top == gt).cast("int").alias("hit")).filter("slot IS NOT NULL").groupBy("slot").agg(F.count("*").alias("support"), F.sum("hit").alias("hits"))

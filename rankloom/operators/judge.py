@@ -9,8 +9,13 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.stats import bootstrap_interval, correlation_p
 
+from .order_stats import running
+
 AXES = ["groundedness", "personalization", "ranking_coherence"]
 
+#: Values of a group that are resampled row by row, and distinct values that one task may hold.
+WHOLE, DISTINCT = 1000, 20_000
+
 # Drop that each perturbation should cause on each axis.
 EXPECTED_DROP = [
     ("p1", "groundedness", 0.0), ("p1", "personalization", 0.0), ("p1", "ranking_coherence", -1.5),
@@ -19,12 +24,27 @@ EXPECTED_DROP = [
 ]
 
 
-def pairs(verdicts: DataFrame, key: str, arm: str, base: str, probe: str) -> DataFrame:
-    """Clean verdicts of two arms side by side: key and, for each axis, base_, probe_ and delta_; one row a key and arm is expected."""
-    clean = verdicts.filter("error IS NULL")
-    one = lambda tag, mark: clean.filter(F.col(arm) == tag).select(key, *[F.col(a).alias(f"{mark}_{a}") for a in AXES])
-    both = one(base, "base").join(one(probe, "probe"), key)
-    return both.withColumns({f"delta_{a}": (F.col(f"probe_{a}") - F.col(f"base_{a}")).cast("double") for a in AXES})
+def pairs(verdicts: DataFrame, key: str, arm: str, base: str, probes: list[str], order: list[str] | None = None) -> DataFrame:
+    """Clean verdicts of a base arm and of each probe arm side by side: key, probe and, for each axis, base_, probe_ and delta_.
+
+    One pass: verdicts meet once, by key, however many probes there are.  Of
+    several clean verdicts of one key and arm the last by ``order`` (the log's
+    order) counts; rows with a NULL or empty key or arm have no pair.  A score
+    that isn't there, or isn't a whole number, leaves its delta NULL.
+    """
+    whole = lambda a: F.when(F.col(a) == F.floor(a), F.col(a).cast("long")).alias(a)
+    clean = verdicts.filter(F.col("error").isNull() & F.col(arm).isin(base, *probes) & F.col(key).isNotNull() & (F.col(key).cast("string") != ""))
+    scores = F.struct(*map(whole, AXES))
+    place = F.struct(*(order or []), scores)  # a total order: equal places hold equal scores
+    last = clean.groupBy(key).agg(*[F.max_by(scores, F.when(F.col(arm) == a, place)).alias(f"__{i}") for i, a in enumerate([base, *probes])])
+    arms = F.array(*[F.struct(F.lit(p).alias("probe"), F.col(f"__{i + 1}").alias("p")) for i, p in enumerate(probes)])
+    both = last.filter("__0 IS NOT NULL").select(key, F.col("__0").alias("b"), F.inline(arms).alias("probe", "p")).filter("p IS NOT NULL")
+    return both.select(key, "probe", *[F.col(f"b.{a}").alias(f"base_{a}") for a in AXES], *[F.col(f"p.{a}").alias(f"probe_{a}") for a in AXES], *[(F.col(f"p.{a}") - F.col(f"b.{a}")).cast("double").alias(f"delta_{a}") for a in AXES])
+
+
+def deltas(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, probe, axis, value: the differences of pairs, only where both sides have a score."""
+    return long_axes(pairs, [*keys, "probe"], "delta_").filter("value IS NOT NULL")
 
 
 def long_axes(df: DataFrame, keys: list[str], prefix: str = "") -> DataFrame:
@@ -34,10 +54,10 @@ def long_axes(df: DataFrame, keys: list[str], prefix: str = "") -> DataFrame:
 
 
 def average_ranks(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """Average rank of each value in its group.  Ranks come from counts of distinct values, which then join the rows."""
+    """Average rank of each value in its group.  Distinct values are counted and ranked in ranges; their ranks then join the rows."""
     counts = df.groupBy(*keys, value).agg(F.count("*").alias("__m"))
-    upto = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn(name, F.sum("__m").over(upto) - (F.col("__m") - 1) / F.lit(2.0)).drop("__m")
+    upto = running(counts, keys, [value], F.col("__m"), "__upto")
+    ranked = upto.withColumn(name, F.col("__upto") - (F.col("__m") - 1) / F.lit(2.0)).drop("__m", "__upto")
     return df.join(ranked, [*keys, value])
 
 
@@ -84,26 +104,67 @@ def with_correlation_p(df: DataFrame, r: str = "r", n: str = "n") -> DataFrame:
 
 
 def bootstrap(values: DataFrame, keys: list[str], value: str = "value", resamples: int = 10_000) -> DataFrame:
-    """keys, n, mean, low, high: percentile bootstrap of each group's mean.
+    """keys, n, mean, low, high: percentile bootstrap of each group's mean (95 %).
 
-    Values are counted before they meet, so a group of any number of rows is
-    one row a distinct value; draws are multinomial over those counts, which
-    is the same law as drawing rows.
+    Groups of up to WHOLE values are resampled row by row.  Larger ones are
+    resampled by multinomial counts of their distinct values, the same law; one
+    of more than DISTINCT distinct values gets the limit of that law, a normal
+    about the mean, which at such sizes differs by less than the draws' own
+    noise.  So no task ever holds more than DISTINCT rows of a group.
     """
-    counts = values.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("m"))
-    schema = ", ".join(f"`{k}` {t}" for k, t in values.select(*keys).dtypes) + ", n long, mean double, low double, high double"
+    some = values.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias(value))
+    counts = some.groupBy(*keys, value).agg(F.count("*").alias("m"))
+    v, m = F.col(value), F.col("m")
+    sizes = counts.groupBy(*keys).agg(F.sum("m").alias("n"), F.count("*").alias("__d"), (F.sum(v * m) / F.sum("m")).alias("mean"))
+    named = {k: f"__k{i}" for i, k in enumerate(keys)}
+    same = F.lit(True)
+    for k, c in named.items():
+        same = same & F.col(k).eqNullSafe(F.col(c))
+    large = sizes.filter(F.col("__d") > DISTINCT).withColumnsRenamed(named)
+    spread = some.join(large, same).groupBy(*named.values(), "n", "mean").agg((F.stddev_pop(value) / F.sqrt(F.count("*").cast("double"))).alias("se"))
+    normal = spread.select(*[F.col(c).alias(k) for k, c in named.items()], "n", "mean", (F.col("mean") - 1.959963984540054 * F.col("se")).alias("low"), (F.col("mean") + 1.959963984540054 * F.col("se")).alias("high"))
+    schema = ", ".join(f"`{k}` {t}" for k, t in values.select(*keys).dtypes) + (", " if keys else "") + "n long, mean double, low double, high double"
 
     def of(group: pd.DataFrame) -> pd.DataFrame:
         g = group.sort_values(value)
         v, m = g[value].to_numpy(float), g["m"].to_numpy()
         n = int(m.sum())
-        if n <= 1000:
+        if n <= WHOLE:
             low, high = bootstrap_interval(np.repeat(v, m), resamples)
         else:
             rng, means = np.random.default_rng(0), []
-            for at in range(0, resamples, 256):
-                means.append(rng.multinomial(n, m / n, min(256, resamples - at)) @ v / n)
+            step = max(1, min(256, 4_000_000 // len(v)))
+            for at in range(0, resamples, step):
+                means.append(rng.multinomial(n, m / n, min(step, resamples - at)) @ v / n)
             low, high = np.percentile(np.concatenate(means), [2.5, 97.5])
         return pd.DataFrame({**{k: [g[k].iloc[0]] for k in keys}, "n": [n], "mean": [float((v * m).sum() / n)], "low": [low], "high": [high]})
 
-    return counts.groupBy(*keys).applyInPandas(of, schema)
+    few = counts.join(large.select(*named.values()), same, "left_anti") if keys else counts.join(F.broadcast(large.select("n")), F.lit(True), "left_anti")
+    return few.groupBy(*keys).applyInPandas(of, schema).unionByName(normal)
+
+
+def per_model(verdicts: DataFrame, tag: str = "model_tag") -> DataFrame:
+    """tag, n_total, n_scored, n_errors, axis, n, mean, low, high: a row a model and axis, NaN where an axis has no score; a NULL or empty tag is "unknown"."""
+    named = verdicts.withColumn("__tag", F.coalesce(F.nullif(F.col(tag), F.lit("")), F.lit("unknown")))
+    clean = F.col("error").isNull()
+    counts = named.groupBy("__tag").agg(F.count("*").alias("n_total"), F.count(F.when(clean, 1)).alias("n_scored"), F.count(F.when(~clean, 1)).alias("n_errors"))
+    ci = bootstrap(long_axes(named.filter(clean), ["__tag"]), ["__tag", "axis"])
+    grid = counts.withColumn("axis", F.explode(F.array(*map(F.lit, AXES))))
+    none = F.lit(float("nan"))
+    return grid.join(ci, ["__tag", "axis"], "left").select(F.col("__tag").alias(tag), "n_total", "n_scored", "n_errors", "axis", F.coalesce("n", F.lit(0)).alias("n"), *[F.coalesce(c, none).alias(c) for c in ("mean", "low", "high")])
+
+
+def with_retrieval(verdicts: DataFrame, cache: DataFrame, tag: str = "model_tag") -> DataFrame:
+    """Clean verdicts with the retrieval of the very output that they judge: sample and model join sample and backend of the cache.
+
+    cache: sample_id, backend, recovered_business_ids, positive_business_id,
+    output_text, output_tokens.  Verdicts whose output has no ranking or no
+    positive, or that lack one of the first two scores, go.
+    """
+    ids, wanted = F.col("recovered_business_ids"), F.col("positive_business_id")
+    known = (F.coalesce(wanted, F.lit("")) != "") & (F.coalesce(F.size(ids), F.lit(0)) > 0)
+    rank = F.nullif(F.array_position(ids, wanted), F.lit(0).cast("long"))
+    hit = lambda k: F.coalesce((rank <= k).cast("int"), F.lit(0)).alias(f"hit_at_{k}")
+    outputs = cache.filter(known).select("sample_id", F.col("backend").alias(tag), F.coalesce(rank - 1, F.lit(-1).cast("long")).alias("rank_of_pos"), hit(1), hit(5), hit(10), F.coalesce(F.lit(1.0) / rank, F.lit(0.0)).alias("mrr"), F.length(F.coalesce("output_text", F.lit(""))).alias("output_chars"), "output_tokens")
+    scored = verdicts.filter("error IS NULL AND groundedness IS NOT NULL AND personalization IS NOT NULL")
+    return scored.join(outputs, ["sample_id", tag])

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order_stats import running
+
 MIN_HISTORY = 8
 MAX_HISTORY = 20
 CANDIDATES = 10
@@ -40,9 +42,10 @@ def with_recency(visits: DataFrame, order: list[str]) -> DataFrame:
 
 
 def holdout(visits: DataFrame, order: list[str], n: int = MIN_HISTORY) -> DataFrame:
-    """user_id, item_id, date of each eligible user's last visit."""
-    last = with_recency(visits, order).filter("recency = 1")
-    return last.join(at_least(visits, n), "user_id", "left_semi")
+    """user_id, item_id, date of each eligible user's last visit; one aggregation, combined before it shuffles."""
+    last = F.max(F.struct("date", *order, F.col("item_id").alias("__item"))).alias("last")
+    kept = visits.groupBy("user_id").agg(F.count("*").alias("n_visits"), last).filter(F.col("n_visits") >= n)
+    return kept.select("user_id", F.col("last.__item").alias("item_id"), F.col("last.date").alias("date"))
 
 
 def histories(visits: DataFrame, order: list[str], cap: int = MAX_HISTORY) -> DataFrame:
@@ -95,17 +98,8 @@ def in_train(sample_id: Column, ratio: float = 0.9) -> Column:
 
 
 def with_ordinal(df: DataFrame, order: list[str], name: str = "ordinal") -> DataFrame:
-    """Rows numbered from 0 by a total order, without one task for all: range partitions, their sizes, then ranks inside.
-
-    The partitions' sizes are summed in a table of one row a partition.
-    """
-    from pyspark.sql.functions import spark_partition_id
-
-    ranged = df.repartitionByRange(*[F.col(c) for c in order]).withColumn("__part", spark_partition_id())
-    sizes = ranged.groupBy("__part").agg(F.count("*").alias("__m"))
-    before = sizes.withColumn("__before", F.coalesce(F.sum("__m").over(Window.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__m")
-    inside = Window.partitionBy("__part").orderBy(*order)
-    return ranged.join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.row_number().over(inside) - 1).drop("__part", "__before")
+    """Rows numbered from 0 by a total order, without one task for all: ranges, their sizes, then ranks inside."""
+    return running(df, [], order, F.lit(1), "__upto").withColumn(name, F.col("__upto") - 1).drop("__upto")
 
 
 def stride(df: DataFrame, ordinal: str, n: int) -> DataFrame:
@@ -128,3 +122,40 @@ def cycle(df: DataFrame, ordinal: str, n: int) -> DataFrame:
 def perturb_seed(kind: str, sample_id: Column) -> Column:
     """First 16 hexadecimal digits of the sha256 of kind and id."""
     return F.substring(F.sha2(F.concat(F.lit(f"{kind}:"), sample_id.cast("string")).cast("binary"), 256), 1, 16)
+
+
+def sample_key(user_id: Column, whole: bool = True) -> Column:
+    """The sample's identifier of a user: the whole id, or (whole False) the first 16 characters, of which two users may share."""
+    text = user_id.cast("string")
+    return F.concat(text if whole else F.substring(text, 1, 16), F.lit("_s0"))
+
+
+def first(df: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The first n rows in file order, for which the order's columns stand; a distributed top-n."""
+    return df.orderBy(*order).limit(n)
+
+
+def calibration(df: DataFrame, sample_id: str, order: list, n: int) -> DataFrame:
+    """The first n rows of the train split."""
+    return df.filter(in_train(F.col(sample_id))).orderBy(*order).limit(n)
+
+
+def random_sample(df: DataFrame, sample_id: str, n: int, seed: str = "0") -> DataFrame:
+    """n rows in hash order of seed and id: the same rows on every run, whatever the partitioning."""
+    return df.orderBy(keyed(F.lit(seed), sample_id), sample_id).limit(n)
+
+
+def without_error(df: DataFrame, error: str = "error") -> DataFrame:
+    """Rows that are good: their error is NULL (an empty text is an error)."""
+    return df.filter(F.col(error).isNull())
+
+
+def no_longer(df: DataFrame, length: str, most: int) -> DataFrame:
+    """Rows up to a length; longer ones are dropped, never cut."""
+    return df.filter(F.col(length) <= most)
+
+
+def capped_users(lists: DataFrame, n: int) -> DataFrame:
+    """Rows of the first n users, by id, of those who have a candidate list."""
+    first_users = lists.select("user_id").distinct().orderBy("user_id").limit(n)
+    return lists.join(first_users, "user_id", "left_semi")

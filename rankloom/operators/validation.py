@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankloom.functions.parsing import json_fault
+from rankloom.functions.text import strip_fence, stripped
+
 # Error codes, kept stable for filters.
 NO_OUTPUT, MISSING, EMPTY_PERSONA, EMPTY_RATIONALE = "no_teacher_output", "missing_field", "empty_persona", "empty_rationale"
 RATIONALE_MISMATCH, RANKING_MISMATCH, RANKING_DUPLICATE, NO_SAMPLE = "rationale_id_mismatch", "ranking_id_mismatch", "ranking_duplicate", "sample_not_found"
 
 
 def blank(c: Column) -> Column:
-    return c.isNull() | (F.regexp_replace(c, r"^\s+|\s+$", "") == "")
+    return c.isNull() | (stripped(c) == "")
 
 
 def set_is(values: Column, n: Column) -> Column:
@@ -83,6 +86,29 @@ def verdict_fault(df: DataFrame, axes: list[str]) -> Column:
     return found
 
 
+def verdict_records(replies: DataFrame, axes: list[str], text: str = "reply", error: str = "error") -> DataFrame:
+    """Verdict records from a judge's replies: the other columns, a score and evidence an axis, and error.
+
+    The first that holds: the call's own error; "json decode failed" (a fence is
+    stripped first; text behind the object counts); "schema validation failed"
+    with the axis.  A score is a whole number in JSON, evidence is a JSON string;
+    a record with an error has neither.
+    """
+    bare = strip_fence(F.coalesce(F.col(text), F.lit("")))
+    parsed = replies.withColumn("__bare", bare).withColumns({"__wrong": json_fault("__bare"), "__v": F.try_parse_json("__bare")})
+
+    def field(name: str, kind: str, json_kind: str) -> Column:
+        found = F.try_variant_get(F.col("__v"), f"$.{name}", "variant")
+        return F.when(F.schema_of_variant(found) == json_kind, F.try_variant_get(F.col("__v"), f"$.{name}", kind))
+
+    fields = {a: field(a, "int", "BIGINT") for a in axes} | {f"{a}_evidence": field(f"{a}_evidence", "string", "STRING") for a in axes}
+    named = parsed.withColumns(fields)
+    decode = F.when(F.col("__wrong").isNotNull(), F.concat(F.lit("json decode failed: "), "__wrong"))
+    judged = named.withColumn("__why", F.coalesce(F.col(error), decode, verdict_fault(named, axes)))
+    ok = F.col("__why").isNull()
+    return judged.withColumns({c: F.when(ok, F.col(c)) for c in fields} | {error: F.col("__why")}).drop("__bare", "__wrong", "__v", "__why", text)
+
+
 def bucket(error: Column) -> Column:
     """An error code's part before the colon; "ok" for NULL."""
     return F.coalesce(F.substring_index(error, ":", 1), F.lit("ok"))

@@ -47,7 +47,11 @@ CANDIDATES = RECENT + """, pos AS (SELECT user_id, item_id FROM recent WHERE rec
 draws AS (SELECT user_id, j, CAST('0x' || md5('n:' || user_id || ':' || j)[1:8] AS BIGINT) % (SELECT count(*) FROM part) AS item_id FROM pos, (SELECT unnest(range(0, 64)) AS j)),
 neg AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY j) AS rn FROM (SELECT user_id, item_id, min(j) AS j FROM draws GROUP BY ALL) d
         WHERE NOT EXISTS (SELECT 1 FROM visits v WHERE v.user_id = d.user_id AND v.item_id = d.item_id)),
-negs AS (SELECT user_id, item_id FROM neg WHERE rn <= 9),
+drawn AS (SELECT user_id, item_id FROM neg WHERE rn <= 9),
+short AS (SELECT p.user_id, count(d.item_id) AS have FROM pos p LEFT JOIN drawn d ON d.user_id = p.user_id GROUP BY 1 HAVING count(d.item_id) < 9),
+rest AS (SELECT s.user_id, i AS item_id, have, row_number() OVER (PARTITION BY s.user_id ORDER BY md5('r:' || s.user_id || ':' || i), i) AS rn FROM short s, range(0, (SELECT count(*) FROM part)) x(i)
+         WHERE NOT EXISTS (SELECT 1 FROM visits v WHERE v.user_id = s.user_id AND v.item_id = i) AND NOT EXISTS (SELECT 1 FROM drawn d WHERE d.user_id = s.user_id AND d.item_id = i)),
+negs AS (SELECT user_id, item_id FROM drawn UNION ALL SELECT user_id, item_id FROM rest WHERE rn <= 9 - have),
 cand AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY md5('s:' || user_id || ':' || item_id), item_id) AS slot, count(*) OVER (PARTITION BY user_id) AS n
          FROM (SELECT user_id, item_id, true AS is_positive FROM pos UNION ALL SELECT user_id, item_id, false FROM negs)),
 lists AS (SELECT user_id, slot, item_id, is_positive FROM cand WHERE n = 10)"""
@@ -62,6 +66,15 @@ LATENCY = """lat AS (SELECT event_type AS backend, event_id AS run_id, value AS
 ok AS (SELECT *, latency_ms / greatest(1, tokens) AS per_token FROM lat WHERE success)"""
 
 
+def simpson(density: str, end: str, n: int = 4000) -> str:
+    """SQL of the integral of a density of t from 0 to end: tails that SQL has no function for."""
+    return f"(SELECT sum(CASE WHEN i IN (0, {n}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * {density}) * any_value(h) / 3 FROM (SELECT i, ({end}) / {n} AS h, ({end}) * i / {n} AS t FROM range(0, {n + 1}) ticks(i)))"
+
+
+def chi2_tail_sql(x: str, df: int) -> str:
+    return f"(1 - {simpson(f'pow(t, {df / 2 - 1}) * exp(-t / 2) / (pow(2, {df / 2}) * gamma({df / 2}))', f'least({x}, 100)')})"
+
+
 class Tables:
     """Tables of one folder, and the domain's views of them."""
 
@@ -92,7 +105,7 @@ class Tables:
         e, u = F.col("event_id"), F.col("user_id")
         return self("events").select(
             F.floor(e / 4).alias("sample_id"), F.element_at(F.array(*map(F.lit, ["base", "p1", "p2", "p3"])), (1 + e % 4).cast("int")).alias("arm"), (1 + (e * 37 + u) % 10).alias("groundedness"),
-            (1 + (e * 53 + u * 3) % 10).alias("personalization"), (1 + (e * 71 + u * 7) % 10).alias("ranking_coherence"), F.when(F.col("event_type") == "error", "json decode failed").alias("error"), "value", "user_id")
+            (1 + (e * 53 + u * 3) % 10).alias("personalization"), (1 + (e * 71 + u * 7) % 10).alias("ranking_coherence"), F.when(F.col("event_type") == "error", "json decode failed").alias("error"), "value", "user_id", "event_id")
 
     def latencies(self) -> DataFrame:
         tokens = F.get_json_object("props", "$.k").cast("long")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from rankloom.functions.stats import normal_p
 from rankloom.operators import judge, order_stats as o
 
-from .base import LATENCY, LONG_VERDICTS, VERDICTS, Tables, query
+from .base import LATENCY, LONG_VERDICTS, VERDICTS, Tables, query, simpson
 
 CAPS = [512, 1024, 2048, 3072, 4096, 6144, 8192, 12288, 16384, 32768]
 
@@ -18,7 +18,7 @@ SELECT lang, any_value(n) AS n, round(avg(n_chars), 6) AS mean, round(stddev_sam
 def token_distribution(t: Tables):
     d = t("documents").select("lang", "n_chars")
     basic = d.groupBy("lang").agg(F.count("n_chars").alias("n"), F.round(F.avg("n_chars"), 6).alias("mean"), F.round(F.stddev_samp("n_chars"), 6).alias("stdev"), F.min("n_chars").alias("min"), F.max("n_chars").alias("max"))
-    return basic.join(o.pick(d, ["lang"], "n_chars", {f"p{p}": o.half_even(p / 100) for p in (50, 95, 99)}), "lang")
+    return basic.join(o.pick(d, ["lang"], "n_chars", {f"p{p}": o.half_even(p / 100) for p in (50, 95, 99)}).drop("n"), "lang")
 
 
 @query("""WITH x AS (SELECT n_chars, row_number() OVER (ORDER BY n_chars) AS r, count(*) OVER () AS n FROM documents)
@@ -26,12 +26,15 @@ SELECT any_value(n) AS n, min(n_chars) AS min, """ + ", ".join(f"max(CASE WHEN r
 def length_profile(t: Tables):
     d = t("documents").select("n_chars")
     basic = d.agg(F.count("n_chars").alias("n"), F.min("n_chars").alias("min"), F.max("n_chars").alias("max"), F.round(F.avg("n_chars"), 6).alias("mean"))
-    return basic.crossJoin(F.broadcast(o.pick(d, [], "n_chars", {name: o.nearest_rank(p) for name, p in (("p50", 50), ("p90", 90), ("p95", 95), ("p99", 99), ("p999", 99.9))})))
+    return basic.crossJoin(F.broadcast(o.pick(d, [], "n_chars", {name: o.nearest_rank(p) for name, p in (("p50", 50), ("p90", 90), ("p95", 95), ("p99", 99), ("p999", 99.9))}).drop("n")))
 
 
 @query("SELECT source, count(n_chars) AS n, round(avg(n_chars), 6) AS mean, round(quantile_cont(n_chars, 0.5), 6) AS p50, round(quantile_cont(n_chars, 0.95), 6) AS p95, max(n_chars) AS max FROM documents GROUP BY source")
 def length_stats(t: Tables):
-    return t("documents").groupBy("source").agg(F.count("n_chars").alias("n"), F.round(F.avg("n_chars"), 6).alias("mean"), F.round(o.linear("n_chars", 0.5), 6).alias("p50"), F.round(o.linear("n_chars", 0.95), 6).alias("p95"), F.max("n_chars").alias("max"))
+    d = t("documents").select("source", "n_chars")
+    basic = d.groupBy("source").agg(F.count("n_chars").alias("n"), F.round(F.avg("n_chars"), 6).alias("mean"), F.max("n_chars").alias("max"))
+    found = o.quantiles(d, ["source"], "n_chars", {"p50": 0.5, "p95": 0.95})
+    return basic.join(found.select("source", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95")), "source")
 
 
 DROPS = f"c AS (SELECT unnest({CAPS}) AS cap), d AS (SELECT cap::BIGINT AS cap, count(*) FILTER (n_chars > cap) AS dropped, count(*) AS n FROM c, documents GROUP BY cap)"
@@ -58,7 +61,7 @@ SELECT backend, any_value(n) AS n, round(avg(latency_ms), 6) AS mean, round(stdd
 def latency_summary(t: Tables):
     ok = t.latencies().filter("success")
     basic = ok.groupBy("backend").agg(F.count("*").alias("n"), F.round(F.avg("latency_ms"), 6).alias("mean"), F.round(F.stddev_pop("latency_ms"), 6).alias("std"))
-    return basic.join(o.pick(ok, ["backend"], "latency_ms", {f"p{p}": o.half_even(p / 100) for p in (50, 95, 99)}), "backend")
+    return basic.join(o.pick(ok, ["backend"], "latency_ms", {f"p{p}": o.half_even(p / 100) for p in (50, 95, 99)}).drop("n"), "backend")
 
 
 @query(f"""WITH {LATENCY}, x AS (SELECT *, row_number() OVER (PARTITION BY backend ORDER BY per_token) AS r, count(*) OVER (PARTITION BY backend) AS n FROM ok),
@@ -68,7 +71,7 @@ def latency_aggregate(t: Tables):
     rows = t.latencies()
     failed = F.count(F.when(~F.col("success"), 1))
     basic = rows.groupBy("backend").agg(F.count(F.when(F.col("success"), 1)).alias("n_ok"), failed.alias("n_failed"), F.round(failed / F.count("*"), 6).alias("failure_rate"), F.round(F.avg(F.when(F.col("success"), F.col("per_token"))), 6).alias("ms_per_tok"))
-    middle = o.pick(rows.filter("success"), ["backend"], "per_token", {"ms_per_tok_p50": o.half_even(0.5)})
+    middle = o.pick(rows.filter("success"), ["backend"], "per_token", {"ms_per_tok_p50": o.half_even(0.5)}).drop("n")
     return basic.join(middle.withColumn("ms_per_tok_p50", F.round("ms_per_tok_p50", 6)), "backend")
 
 
@@ -78,7 +81,7 @@ SELECT backend, p50, p95, p99, count(*) FILTER (NOT success) AS failures, CASE W
 def stress_report(t: Tables):
     rows = t.latencies()
     failures = rows.groupBy("backend").agg(F.count(F.when(~F.col("success"), 1)).alias("failures"))
-    p = o.pick(rows.filter("success"), ["backend"], "latency_ms", {f"p{k}": o.floored(k / 100) for k in (50, 95, 99)})
+    p = o.pick(rows.filter("success"), ["backend"], "latency_ms", {f"p{k}": o.floored(k / 100) for k in (50, 95, 99)}).drop("n")
     return p.join(failures, "backend").withColumn("verdict", F.when((F.col("failures") == 0) & (F.col("p99") <= 60000), "PASS").otherwise("FAIL"))
 
 
@@ -101,20 +104,47 @@ def parse_rate(t: Tables):
 # --- verdicts --------------------------------------------------------------------
 
 
-@query(f"WITH {VERDICTS} SELECT arm, count(*) AS n_total, count(*) FILTER (error IS NULL) AS n_scored, count(error) AS n_errors, " + ", ".join(f"round(avg(CASE WHEN error IS NULL THEN {a} END), 6) AS {a}" for a in judge.AXES) + " FROM verdicts GROUP BY arm")
+def tagged_verdicts(t: Tables):
+    """Verdicts of models, one of them without a tag, one with an older rubric that lacks the third axis."""
+    old = F.col("arm") == "p3"
+    return t.verdicts().withColumn("model_tag", F.when(F.col("arm") != "p2", F.col("arm"))).withColumn("ranking_coherence", F.when(~old, F.col("ranking_coherence")))
+
+
+TAGGED = VERDICTS + """, tagged AS (SELECT sample_id, CASE WHEN arm = 'p2' THEN 'unknown' ELSE arm END AS model_tag, error, groundedness, personalization, CASE WHEN arm <> 'p3' THEN ranking_coherence END AS ranking_coherence FROM verdicts),
+counted AS (SELECT model_tag, count(*) AS n_total, count(*) FILTER (error IS NULL) AS n_scored, count(error) AS n_errors FROM tagged GROUP BY 1)"""
+
+
+@query(f"WITH {TAGGED} " + " UNION ALL ".join(f"SELECT model_tag, n_total, n_scored, n_errors, '{a}' AS axis, count({a}) AS n, round(avg({a}), 6) AS mean, count({a}) > 0 AS has_interval FROM counted LEFT JOIN (SELECT model_tag, {a} FROM tagged WHERE error IS NULL) x USING (model_tag) GROUP BY ALL" for a in judge.AXES))
 def verdict_aggregate(t: Tables):
-    clean = F.col("error").isNull()
-    return t.verdicts().groupBy("arm").agg(F.count("*").alias("n_total"), F.count(F.when(clean, 1)).alias("n_scored"), F.count("error").alias("n_errors"), *[F.round(F.avg(F.when(clean, F.col(a))), 6).alias(a) for a in judge.AXES])
+    """The intervals are resampled, which SQL can't follow: whether they hold the mean stands for them."""
+    found = judge.per_model(tagged_verdicts(t))
+    mean = F.when(~F.isnan("mean"), F.round("mean", 6))
+    return found.select("model_tag", "n_total", "n_scored", "n_errors", "axis", "n", mean.alias("mean"), ((F.col("low") <= F.col("mean")) & (F.col("mean") <= F.col("high")) & ~F.isnan("low")).alias("has_interval"))
 
 
-@query(f"WITH {LONG_VERDICTS} SELECT sample_id, axis, delta FROM deltas WHERE probe = 'p1'")
-def paired_deltas(t: Tables):
-    return judge.long_axes(judge.pairs(t.verdicts(), "sample_id", "arm", "base", "p1"), ["sample_id"], "delta_").withColumnRenamed("value", "delta")
+@query()
+def verdict_intervals(t: Tables):
+    return judge.per_model(tagged_verdicts(t))
 
 
 def all_deltas(t: Tables):
-    parts = [judge.long_axes(judge.pairs(t.verdicts(), "sample_id", "arm", "base", p), ["sample_id"], "delta_").withColumn("probe", F.lit(p)) for p in ("p1", "p2", "p3")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return judge.deltas(judge.pairs(t.verdicts(), "sample_id", "arm", "base", ["p1", "p2", "p3"], ["event_id"]), ["sample_id"])
+
+
+@query(f"WITH {LONG_VERDICTS} SELECT sample_id, probe, axis, delta FROM deltas")
+def paired_deltas(t: Tables):
+    return all_deltas(t).withColumnRenamed("value", "delta")
+
+
+@query("""WITH v AS (SELECT event_id, event_id // 12 AS sample_id, ['base', 'p1'][1 + event_id % 2] AS arm, 1 + (event_id * 37 + user_id) % 10 AS groundedness, CASE WHEN user_id % 5 <> 0 THEN 1 + (event_id * 53 + user_id * 3) % 10 END AS personalization,
+  1 + (event_id * 71 + user_id * 7) % 10 AS ranking_coherence FROM events WHERE event_type <> 'error'),
+k AS (SELECT sample_id, arm, arg_max(struct_pack(g := groundedness, p := personalization, r := ranking_coherence), event_id) AS s FROM v GROUP BY ALL),
+w AS (SELECT x.sample_id, x.s AS old, y.s AS new FROM k x JOIN k y ON y.sample_id = x.sample_id WHERE x.arm = 'base' AND y.arm = 'p1')
+SELECT sample_id, 'groundedness' AS axis, CAST(new.g - old.g AS DOUBLE) AS delta FROM w UNION ALL SELECT sample_id, 'personalization', CAST(new.p - old.p AS DOUBLE) FROM w WHERE new.p IS NOT NULL AND old.p IS NOT NULL UNION ALL SELECT sample_id, 'ranking_coherence', CAST(new.r - old.r AS DOUBLE) FROM w""")
+def paired_deltas_last_wins(t: Tables):
+    """A log with several verdicts of a sample and arm, and axes that some verdicts lack."""
+    log = t.verdicts().select(F.floor(F.col("event_id") / 12).alias("sample_id"), "event_id", F.when(F.col("event_id") % 2 == 0, "base").otherwise("p1").alias("arm"), "error", "groundedness", F.when(F.col("user_id") % 5 != 0, F.col("personalization")).alias("personalization"), "ranking_coherence")
+    return judge.deltas(judge.pairs(log, "sample_id", "arm", "base", ["p1"], ["event_id"]), ["sample_id"]).select("sample_id", "axis", F.col("value").alias("delta"))
 
 
 WILCOXON = LONG_VERDICTS + """, nz AS (SELECT *, abs(delta) AS size FROM deltas WHERE delta <> 0), rk AS (SELECT *, rank() OVER (PARTITION BY probe, axis ORDER BY size) + (count(*) OVER (PARTITION BY probe, axis, size) - 1) / 2.0 AS r FROM nz),
@@ -126,10 +156,15 @@ def wilcoxon_statistic(t: Tables):
     return judge.wilcoxon(all_deltas(t), ["probe", "axis"]).select("probe", "axis", "n_total", "n_effective", "statistic")
 
 
-@query()
+NORMAL = simpson("exp(-t * t / 2) / sqrt(2 * pi())", "least(abs(z), 30)")
+
+
+@query(f"""WITH {WILCOXON}, ties AS (SELECT probe, axis, sum(m * m * m - m) AS c FROM (SELECT probe, axis, size, count(*)::DOUBLE AS m FROM nz GROUP BY ALL) GROUP BY ALL), s AS (SELECT probe, axis, count(*)::DOUBLE AS n, sum(CASE WHEN delta > 0 THEN r ELSE 0 END) AS w FROM rk GROUP BY ALL),
+z AS (SELECT probe, axis, n, w, (w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - c / 48) AS z FROM s JOIN ties USING (probe, axis))
+SELECT probe, axis, n_total, n::BIGINT AS n_effective, w AS statistic, round(z, 6) AS z, round(0.5 + sign(z) * {NORMAL}, 6) AS p_value FROM z JOIN tot USING (probe, axis)""")
 def wilcoxon_p(t: Tables):
     w = judge.wilcoxon(all_deltas(t), ["probe", "axis"])
-    return w.withColumn("p_value", F.when(F.col("z").isNotNull(), F.lit(1.0) - normal_p("z")))
+    return w.select("probe", "axis", "n_total", "n_effective", "statistic", F.round("z", 6).alias("z"), F.round(F.when(F.col("z").isNotNull(), F.lit(1.0) - normal_p("z")), 6).alias("p_value"))
 
 
 @query(f"WITH {LONG_VERDICTS} SELECT probe, axis, count(*) AS n, round(avg(delta), 6) AS mean_delta, round(avg(CASE WHEN delta < 0 THEN 1.0 ELSE 0 END), 6) AS rate FROM deltas GROUP BY ALL")
@@ -161,11 +196,15 @@ def point_biserial(t: Tables):
     return v.groupBy("arm").agg(F.count("*").alias("n"), F.round(judge.correlation((F.col("user_id") % 2).cast("double"), F.col("groundedness").cast("double")), 6).alias("r"))
 
 
-@query()
+# the density of a correlation of n unrelated pairs
+UNRELATED = simpson("pow(1 - t * t, (n - 4) / 2.0) * exp(lgamma((n - 1) / 2.0) - lgamma((n - 2) / 2.0)) / sqrt(pi())", "abs(r)")
+
+
+@query(f"WITH {VERDICTS}, c AS (SELECT arm, count(*) AS n, corr(CAST(user_id % 2 AS DOUBLE), groundedness) AS r FROM verdicts WHERE error IS NULL GROUP BY arm) SELECT arm, n, round(r, 6) AS r, round(1 - 2 * {UNRELATED}, 6) AS p FROM c")
 def point_biserial_p(t: Tables):
     v = t.verdicts().filter("error IS NULL")
     r = v.groupBy("arm").agg(F.count("*").alias("n"), judge.correlation((F.col("user_id") % 2).cast("double"), F.col("groundedness").cast("double")).alias("r"))
-    return judge.with_correlation_p(r)
+    return judge.with_correlation_p(r).withColumns({"r": F.round("r", 6), "p": F.round("p", 6)})
 
 
 @query(f"WITH {VERDICTS}, r AS (SELECT arm, rank() OVER (PARTITION BY arm ORDER BY groundedness) + (count(*) OVER (PARTITION BY arm, groundedness) - 1) / 2.0 AS x, rank() OVER (PARTITION BY arm ORDER BY value) + (count(*) OVER (PARTITION BY arm, value) - 1) / 2.0 AS y FROM verdicts WHERE error IS NULL) SELECT arm, count(*) AS n, round(corr(x, y), 6) AS rho FROM r GROUP BY arm")
@@ -175,10 +214,27 @@ def spearman(t: Tables):
     return r.groupBy("arm").agg(F.count("*").alias("n"), F.round(judge.correlation(F.col("x").cast("double"), F.col("y").cast("double")), 6).alias("rho"))
 
 
-@query(f"WITH {VERDICTS} SELECT v.sample_id, v.arm, groundedness, c.n_chars FROM verdicts v JOIN documents c ON c.doc_id = v.sample_id WHERE error IS NULL")
+# an inference cache: lines are outputs, orders samples, return flags backends; some outputs have no ranking, some samples no positive
+OUTPUTS = """outputs AS (SELECT l_orderkey AS sample_id, ['base', 'p1', 'p2', 'p3'][1 + l_linenumber % 4] AS model_tag, l_linenumber, CASE WHEN l_suppkey % 4 <> 0 THEN 'i' || (l_partkey % 12) END AS positive, l_suppkey % 6 <> 0 AS ranked, 5 + l_partkey % 7 AS chars, CASE WHEN l_partkey % 3 <> 0 THEN l_suppkey END AS tokens FROM lineitem WHERE l_linenumber <= 4),
+paired AS (SELECT v.sample_id, o.model_tag, groundedness, personalization, CASE WHEN v.arm <> 'p3' THEN ranking_coherence END AS ranking_coherence, CASE WHEN r <= 10 THEN r - 1 ELSE -1 END AS rank_of_pos, CAST(r <= 1 AS BIGINT) AS hit_at_1, CAST(r <= 5 AS BIGINT) AS hit_at_5, CAST(r <= 10 AS BIGINT) AS hit_at_10, CASE WHEN r <= 10 THEN 1.0 / r ELSE 0 END::DOUBLE AS mrr, chars AS output_chars, tokens AS output_tokens
+  FROM verdicts v JOIN (SELECT *, CAST(positive[2:] AS BIGINT) + 1 AS r FROM outputs) o ON o.sample_id = v.sample_id AND o.model_tag = v.arm WHERE error IS NULL AND positive IS NOT NULL AND ranked)"""
+
+
+def outputs(t: Tables):
+    """sample_id, backend, positive, ids i0..i9 in order, text and tokens."""
+    ids = F.when(F.col("l_suppkey") % 6 != 0, F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.concat(F.lit("i"), i.cast("string"))))
+    arm = F.element_at(F.array(*map(F.lit, ["base", "p1", "p2", "p3"])), (1 + F.col("l_linenumber") % 4).cast("int"))
+    return t("lineitem").filter("l_linenumber <= 4").select(F.col("l_orderkey").alias("sample_id"), arm.alias("backend"), F.when(F.col("l_suppkey") % 4 != 0, F.concat(F.lit("i"), (F.col("l_partkey") % 12).cast("string"))).alias("positive_business_id"), ids.alias("recovered_business_ids"), F.repeat(F.lit("x"), (5 + F.col("l_partkey") % 7).cast("int")).alias("output_text"), F.when(F.col("l_partkey") % 3 != 0, F.col("l_suppkey")).alias("output_tokens"))
+
+
+def judged_outputs(t: Tables):
+    v = t.verdicts().withColumn("ranking_coherence", F.when(F.col("arm") != "p3", F.col("ranking_coherence"))).withColumnRenamed("arm", "model_tag")
+    return judge.with_retrieval(v, outputs(t))
+
+
+@query(f"WITH {VERDICTS}, {OUTPUTS} SELECT sample_id, model_tag, groundedness, personalization, ranking_coherence, rank_of_pos, hit_at_1, hit_at_5, hit_at_10, round(mrr, 9) AS mrr, output_chars, output_tokens FROM paired")
 def judge_retrieval_join(t: Tables):
-    v = t.verdicts().filter("error IS NULL")
-    return v.join(t("documents").select(F.col("doc_id").alias("sample_id"), "n_chars"), "sample_id").select("sample_id", "arm", "groundedness", "n_chars")
+    return judged_outputs(t).select("sample_id", "model_tag", "groundedness", "personalization", "ranking_coherence", "rank_of_pos", "hit_at_1", "hit_at_5", "hit_at_10", F.round("mrr", 9).alias("mrr"), "output_chars", "output_tokens")
 
 
 @query()
@@ -186,19 +242,43 @@ def bootstrap_ci(t: Tables):
     return judge.bootstrap(judge.long_axes(t.verdicts().filter("error IS NULL"), ["arm"]), ["arm", "axis"])
 
 
-@query()
-def validation_summary(t: Tables):
+def validated(t: Tables):
     """Each probe and axis: n, mean difference, bootstrap interval, signed ranks, discrimination, label; missing pairs have n 0."""
     d = all_deltas(t)
     ci = judge.bootstrap(d, ["probe", "axis"])
-    w = judge.wilcoxon(d, ["probe", "axis"]).select("probe", "axis", "n_effective", "statistic")
+    w = judge.wilcoxon(d, ["probe", "axis"]).withColumn("p_value", F.when(F.col("z").isNotNull(), F.lit(1.0) - normal_p("z"))).select("probe", "axis", "n_effective", "statistic", "p_value", "error")
     rate = d.groupBy("probe", "axis").agg(judge.discrimination(F.col("value")).alias("rate"))
     s = expected(t).join(ci, ["probe", "axis"], "left").join(w, ["probe", "axis"], "left").join(rate, ["probe", "axis"], "left")
     return s.withColumn("label", judge.probe_label(F.col("mean"), F.col("low"), F.col("high"), F.col("expected"))).withColumn("missing", F.col("n").isNull()).withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-@query(f"WITH {VERDICTS}, h AS (SELECT sample_id, arm, groundedness, personalization, n_chars, n_chars % 10 = 0 AS hit FROM verdicts JOIN documents ON doc_id = sample_id WHERE error IS NULL) SELECT arm, count(*) AS n, round(avg(groundedness), 6) AS groundedness, round(avg(personalization), 6) AS personalization, round(avg(CASE WHEN hit THEN 1.0 ELSE 0 END), 6) AS r_at_1, round(corr(CASE WHEN hit THEN 1.0 ELSE 0 END, groundedness), 6) AS r_hit, round(quantile_cont(n_chars, 0.5), 6) AS length_p50 FROM h GROUP BY arm")
+@query()
+def validation_summary(t: Tables):
+    return validated(t)
+
+
+@query(f"""WITH {WILCOXON}, b AS (SELECT axis, avg(score) AS base_mean FROM axes WHERE arm = 'base' AND error IS NULL GROUP BY 1), w AS (SELECT probe, axis, count(*) AS n_effective, sum(CASE WHEN delta > 0 THEN r ELSE 0 END)::DOUBLE AS statistic FROM rk GROUP BY ALL)
+SELECT probe, axis, count(*) AS n, round(avg(delta), 6) AS mean, any_value(n_effective) AS n_effective, any_value(statistic) AS statistic, round(avg(CASE WHEN delta < 0 THEN 1.0 ELSE 0 END), 6) AS rate, false AS missing, round(any_value(base_mean), 6) AS base_mean FROM deltas JOIN w USING (probe, axis) JOIN b USING (axis) GROUP BY probe, axis""")
+def validation_figures(t: Tables):
+    """What SQL can follow of validation_summary, and the baseline's mean."""
+    base = judge.long_axes(t.verdicts().filter("error IS NULL AND arm = 'base'"), ["arm"]).groupBy("axis").agg(F.round(F.avg("value"), 6).alias("base_mean"))
+    s = validated(t).select("probe", "axis", "n", F.round("mean", 6).alias("mean"), "n_effective", "statistic", F.round("rate", 6).alias("rate"), "missing")
+    return s.join(base, "axis")
+
+
+@query(f"""WITH {VERDICTS}, {OUTPUTS}, rk AS (SELECT *, rank() OVER (PARTITION BY model_tag ORDER BY groundedness) + (count(*) OVER (PARTITION BY model_tag, groundedness) - 1) / 2.0 AS gr, rank() OVER (PARTITION BY model_tag ORDER BY mrr) + (count(*) OVER (PARTITION BY model_tag, mrr) - 1) / 2.0 AS mr FROM paired)
+SELECT model_tag, count(*) AS n_paired, round(avg(groundedness), 6) AS groundedness, round(avg(hit_at_1), 6) AS recall_at_1, round(avg(hit_at_5), 6) AS recall_at_5, round(avg(hit_at_10), 6) AS recall_at_10, round(avg(mrr), 6) AS mrr_mean, round(corr(hit_at_1, groundedness), 6) AS groundedness_vs_hit1, round(corr(hit_at_1, personalization), 6) AS personalization_vs_hit1,
+ round(CASE WHEN count(ranking_coherence) >= 3 THEN corr(CASE WHEN ranking_coherence IS NOT NULL THEN hit_at_1 END, ranking_coherence) END, 6) AS ranking_coherence_vs_hit1, round(corr(gr, mr), 6) AS groundedness_vs_mrr, round(quantile_cont(output_chars, 0.5), 6) AS chars_p50, round(quantile_cont(output_chars, 0.95), 6) AS chars_p95, count(output_tokens) AS n_tokens, round(quantile_cont(output_tokens, 0.95), 6) AS tokens_p95 FROM rk GROUP BY model_tag""")
 def judge_summary(t: Tables):
-    v = t.verdicts().filter("error IS NULL").join(t("documents").select(F.col("doc_id").alias("sample_id"), "n_chars"), "sample_id")
-    hit = (F.col("n_chars") % 10 == 0).cast("double")
-    return v.groupBy("arm").agg(F.count("*").alias("n"), F.round(F.avg("groundedness"), 6).alias("groundedness"), F.round(F.avg("personalization"), 6).alias("personalization"), F.round(F.avg(hit), 6).alias("r_at_1"), F.round(judge.correlation(hit, F.col("groundedness").cast("double")), 6).alias("r_hit"), F.round(o.linear("n_chars", 0.5), 6).alias("length_p50"))
+    """Per model: retrieval of the judged outputs, correlations of scores with it (the third axis over the rows that have it), lengths."""
+    v = judged_outputs(t)
+    hit, as_double = F.col("hit_at_1").cast("double"), lambda c: F.col(c).cast("double")
+    mean = lambda c, name: F.round(F.avg(c), 6).alias(name)
+    r = lambda a: F.round(F.nanvl(judge.correlation(hit, as_double(a)), F.lit(None)), 6).alias(f"{a}_vs_hit1")
+    basic = v.groupBy("model_tag").agg(F.count("*").alias("n_paired"), mean("groundedness", "groundedness"), *[mean(f"hit_at_{k}", f"recall_at_{k}") for k in (1, 5, 10)], mean("mrr", "mrr_mean"), *map(r, judge.AXES))
+    some = v.select("model_tag", "groundedness", "mrr")
+    ranked = judge.average_ranks(judge.average_ranks(some, ["model_tag"], "groundedness", "x"), ["model_tag"], "mrr", "y")
+    rho = ranked.groupBy("model_tag").agg(F.round(judge.correlation(as_double("x"), as_double("y")), 6).alias("groundedness_vs_mrr"))
+    chars = o.quantiles(v, ["model_tag"], "output_chars", {"chars_p50": 0.5, "chars_p95": 0.95}).select("model_tag", F.round("chars_p50", 6).alias("chars_p50"), F.round("chars_p95", 6).alias("chars_p95"))
+    tokens = o.quantiles(v, ["model_tag"], "output_tokens", {"tokens_p95": 0.95}).select("model_tag", F.col("n").alias("n_tokens"), F.round("tokens_p95", 6).alias("tokens_p95"))
+    return basic.join(rho, "model_tag").join(chars, "model_tag").join(tokens, "model_tag")

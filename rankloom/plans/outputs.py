@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankloom.functions import parsing, ranks, text
-from rankloom.operators import samples, validation as v
+from rankloom.operators import perturb, samples, validation as v
 
 from .base import RANKS, Tables, query
 
@@ -103,10 +103,43 @@ def strip_fence(t: Tables):
     return t("events").select("event_id", text.strip_fence(fenced).alias("bare"))
 
 
-@query("SELECT p_partkey, p_size AS first, NULL::BIGINT AS second FROM part")
+@query("SELECT p_partkey, p_size AS first, NULL::BIGINT AS second, p_name AS untouched FROM part")
 def coerce_indices(t: Tables):
-    values = text.coerce_indices(F.array(F.col("p_size").cast("string"), "p_name"))
-    return t("part").select("p_partkey", F.get(values, F.lit(0)).alias("first"), F.get(values, F.lit(1)).alias("second"))
+    """Digits become numbers, other text stays as it is."""
+    values = F.array(F.col("p_size").cast("string"), "p_name", F.lit(None).cast("string"))
+    found = text.coerced(values)
+    return t("part").select("p_partkey", found[0]["index"].alias("first"), found[1]["index"].alias("second"), found[1]["text"].alias("untouched"))
+
+
+@query(f"""WITH {RANKS}, r AS (SELECT sample_id, array_to_string(list(slot ORDER BY t), ',') AS ranking, array_to_string(list('b' || (sample_id * 10 + slot) ORDER BY t), ',') AS ids FROM rk GROUP BY 1)
+SELECT sample_id, 'http' AS backend, 'p' || sample_id AS positive_business_id, sample_id % 6 <= 2 AS json_parse_ok, CASE WHEN sample_id % 6 <= 2 THEN ranking END AS ranking, CASE WHEN sample_id % 6 <= 2 THEN ids END AS ids, CASE WHEN sample_id % 3 = 0 THEN 0 ELSE sample_id % 50 END AS output_tokens FROM r WHERE sample_id % 5 <> 0 AND sample_id % 11 <> 0""")
+def adapt_raw(t: Tables):
+    """Raw records as cache rows: errors and samples that aren't known go, texts are read leniently."""
+    from rankloom.sources.results import adapt_raw
+
+    key = F.col("sample_id")
+    raw = noisy(t).select("sample_id", F.when(key % 5 == 0, "http").when(key % 2 == 0, "").alias("error"), F.col("raw").alias("raw_response"), F.concat(F.lit("p"), key.cast("string")).alias("positive_business_id"), F.when(key % 3 != 0, (key % 50).cast("int")).alias("output_tokens"))
+    known = t.rankings().filter("sample_id % 11 <> 0").select("sample_id", F.transform("candidates", lambda c: F.concat(F.lit("b"), c.cast("string"))).alias("ids"))
+    found = adapt_raw(raw, known, "http")
+    return found.select("sample_id", "backend", "positive_business_id", "json_parse_ok", F.array_join("parsed_ranking", ",").alias("ranking"), F.array_join("recovered_business_ids", ",").alias("ids"), "output_tokens")
+
+
+# replies of a judge, by key modulo 9: whole, fenced, with a tail, without an axis, out of range, a score in quotes, evidence that isn't text, no JSON, a call that failed
+REPLY_ERROR = "CASE event_id % 9 WHEN 2 THEN 'json decode failed' WHEN 3 THEN 'schema validation failed: ranking_coherence' WHEN 4 THEN 'schema validation failed: groundedness' WHEN 5 THEN 'schema validation failed: personalization' WHEN 6 THEN 'schema validation failed: groundedness' WHEN 7 THEN 'json decode failed' WHEN 8 THEN 'timeout' END"
+
+
+@query(f"SELECT event_id, {REPLY_ERROR} AS error, CASE WHEN event_id % 9 < 2 THEN 1 + event_id % 10 END AS groundedness, CASE WHEN event_id % 9 < 2 THEN 1 + user_id % 10 END AS personalization, CASE WHEN event_id % 9 < 2 THEN 7::BIGINT END AS ranking_coherence, CASE WHEN event_id % 9 < 2 THEN 'saw ' || user_id END AS groundedness_evidence FROM events")
+def verdict_records(t: Tables):
+    d = F.col("event_id") % 9
+    number = lambda c: c.cast("string")
+    g = F.when(d == 4, "11").otherwise(number(1 + F.col("event_id") % 10))
+    p = F.when(d == 5, F.concat(F.lit('"'), number(1 + F.col("user_id") % 10), F.lit('"'))).otherwise(number(1 + F.col("user_id") % 10))
+    evidence = F.when(d == 6, number(F.col("user_id"))).otherwise(F.concat(F.lit('"saw '), number(F.col("user_id")), F.lit('"')))
+    body = F.concat(F.lit('{"groundedness": '), g, F.lit(', "groundedness_evidence": '), evidence, F.lit(', "personalization": '), p, F.lit(', "personalization_evidence": "e"'), F.when(d == 3, "").otherwise(', "ranking_coherence": 7'), F.lit(', "ranking_coherence_evidence": "e"}'))
+    reply = F.when(d == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(d == 2, F.concat(body, F.lit(" and more"))).when(d == 7, "I can't say").when(d < 7, body)
+    made = t("events").select("event_id", reply.alias("reply"), F.when(d == 8, "timeout").alias("error"))
+    found = v.verdict_records(made, ["groundedness", "personalization", "ranking_coherence"])
+    return found.select("event_id", F.regexp_replace("error", "^(json decode failed).*", "$1").alias("error"), "groundedness", "personalization", "ranking_coherence", "groundedness_evidence")
 
 
 @query("SELECT event_id, CASE WHEN event_id % 10 = 3 THEN 'schema validation failed: groundedness' WHEN event_id % 10 = 4 THEN 'schema validation failed: personalization' WHEN event_id % 10 = 5 THEN 'schema validation failed: ranking_coherence' END AS error FROM events")
@@ -127,9 +160,43 @@ def schema_regex_match(t: Tables):
 # --- perturbations ----------------------------------------------------------------
 
 
-@query("SELECT o_orderkey AS sample_id, 'a generic visitor' AS persona, o_orderpriority AS kept FROM orders")
+PERTURBED_SQL = f"""WITH {RANKS}, s AS (SELECT sample_id, array_to_string(list(slot ORDER BY t), ', ') AS ranking, array_to_string(list(CASE WHEN slot < 10 THEN 'b' || (sample_id * 10 + slot) ELSE '-' END ORDER BY t), ',') AS ids,
+ array_to_string(list('{{"candidate_index": ' || slot || ', "reason": "because ' || slot || '"}}' ORDER BY slot), ', ') AS rationales FROM rk WHERE sample_id % 4 <> 0 GROUP BY sample_id)
+SELECT sample_id, 'teacher-p3-persona-replaced' AS backend, 'p3' AS perturbation_kind, '{{"persona": "{perturb.GENERIC_PERSONA}", "rationales": [' || rationales || '], "ranking": [' || ranking || ']}}' AS output_text, replace(ranking, ' ', '') AS ranking, ids FROM s"""
+
+
+def output_cache(t: Tables):
+    """Cached outputs; a quarter isn't JSON, or is none but for a tail."""
+    key = F.col("sample_id")
+    rationales = F.transform(ranks.slots(), lambda s: F.struct(s.alias("candidate_index"), F.concat(F.lit("because "), s.cast("string")).alias("reason")))
+    body = F.to_json(F.struct(F.lit("likes rings").alias("persona"), rationales.alias("rationales"), F.col("teacher").alias("ranking")))
+    output_text = F.when(key % 8 == 0, F.concat(body, F.lit(" tail"))).when(key % 8 == 4, F.lit("[1]")).otherwise(body)
+    return t.rankings().select("sample_id", F.lit("p").alias("positive_business_id"), output_text.alias("output_text"))
+
+
+def nine_candidates(t: Tables):
+    return t.rankings().select("sample_id", F.transform(F.slice("candidates", 1, 9), lambda c: F.concat(F.lit("b"), c.cast("string"))).alias("ids"))
+
+
+@query(PERTURBED_SQL)
 def perturb_p3(t: Tables):
-    return t("orders").select(F.col("o_orderkey").alias("sample_id"), F.lit("a generic visitor").alias("persona"), F.col("o_orderpriority").alias("kept"))
+    """A cache whose personas fit anyone; ids follow from the ranking, a slot without a candidate gives none."""
+    found = perturb.perturbed_cache(output_cache(t), nine_candidates(t), "p3")
+    return found.select("sample_id", "backend", "perturbation_kind", "output_text", F.array_join("parsed_ranking", ",").alias("ranking"), F.array_join("recovered_business_ids", ",", "-").alias("ids"))
+
+
+@query(f"""WITH {RANKS} SELECT sample_id, k AS kind, 'likes rings' AS persona, CASE WHEN k = 'p2' THEN array_to_string(list(slot ORDER BY t), ',') ELSE array_to_string(list(slot ORDER BY slot), ',') END AS ranking_as_set, 10::BIGINT AS n_reasons, CASE WHEN k = 'p1' THEN 10 ELSE 0 END AS n_own_reason, k = 'p1' AS ranking_moved
+FROM rk, (VALUES ('p1'), ('p2')) x(k) WHERE sample_id % 4 <> 0 GROUP BY sample_id, k""")
+def perturbed_caches(t: Tables):
+    """The seeded perturbations through the registry: what each leaves alone, and that the rest moved."""
+    out = None
+    for kind in ("p1", "p2"):
+        c = perturb.perturbed_cache(output_cache(t), nine_candidates(t), kind).withColumn("o", F.from_json("output_text", perturb.OUTPUT)).join(t.rankings().select("sample_id", "teacher"), "sample_id")
+        same = F.size(F.filter("o.rationales", lambda r: r["reason"] == F.concat(F.lit("because "), r["candidate_index"].cast("string"))))
+        order = F.col("o.ranking") if kind == "p2" else F.array_sort("o.ranking")
+        rows = c.select("sample_id", F.lit(kind).alias("kind"), "o.persona", F.array_join(order, ",").alias("ranking_as_set"), F.size(F.array_distinct(F.transform("o.rationales", lambda r: r["reason"]))).alias("n_reasons"), same.alias("n_own_reason"), (F.col("o.ranking") != F.col("teacher")).alias("ranking_moved"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query("SELECT o_orderkey AS sample_id, array_to_string(list('r' || (1 + (slot + 1 + CAST(('0x' || md5('p2:' || o_orderkey)[1:8]) AS BIGINT) % 9 - 1) % 10) ORDER BY slot), ',') AS reasons FROM orders, (SELECT unnest(range(1, 11)) AS slot) GROUP BY 1")
@@ -252,12 +319,40 @@ def comparison_sort(t: Tables):
     return r.select("tag", F.row_number().over(w).alias("place"))
 
 
-@query("SELECT sample_id, n, array_to_string(list(slot ORDER BY slot), ',') AS slots FROM (SELECT o_orderkey AS sample_id, 3::BIGINT AS n, unnest([2, 5, 9]) AS slot FROM orders) GROUP BY ALL")
+@query(f"WITH {RANKS} SELECT sample_id, count(*) AS n, array_to_string(list(slot || ':' || t ORDER BY slot), ',') AS rationales FROM rk WHERE t % 4 <> 0 GROUP BY sample_id")
 def rationale_order(t: Tables):
-    """Rationales by index; entries without one go."""
-    given = F.array(*[F.struct(F.lit(i).cast("int").alias("i")) for i in (9, None, 2, 5)])
-    kept = F.array_sort(F.filter(given, lambda x: x["i"].isNotNull()))
-    return t("orders").select(F.col("o_orderkey").alias("sample_id"), F.size(kept).alias("n"), F.array_join(F.transform(kept, lambda x: x["i"]), ",").alias("slots"))
+    """Rationales written in the ranking's order come out by index; entries without one go."""
+    place = lambda s: F.array_position("teacher", s).cast("int")
+    given = F.transform("teacher", lambda s: F.struct(F.when(place(s) % 4 != 0, s).alias("candidate_index"), place(s).cast("string").alias("reason")))
+    kept = text.by_index(given)
+    return t.rankings().select("sample_id", F.size(kept).alias("n"), F.array_join(F.transform(kept, lambda r: F.concat_ws(":", r["candidate_index"].cast("string"), r["reason"])), ",").alias("rationales"))
+
+
+@query(f"WITH {RANKS} SELECT sample_id, array_to_string(list('c' || slot ORDER BY slot), ',') AS choices FROM rk GROUP BY sample_id")
+def ordered_choices(t: Tables):
+    choices = F.transform("full_student", lambda s: F.struct(F.concat(F.lit("c"), s.cast("string")).alias("text"), s.alias("index")))
+    return t.rankings().select("sample_id", F.array_join(F.transform(text.ordered_choices(choices), lambda c: c["text"]), ",").alias("choices"))
+
+
+TASK_SQL = " || ".join(["'" + text.USER_TEMPLATE[0].replace("'", "''") + "1" + text.USER_TEMPLATE[1] + "'", "p_partkey", HISTORY_SQL, "'" + text.USER_TEMPLATE[2] + "'", "(CASE WHEN p_size % 3 = 0 THEN 0 ELSE 1 END)", "'" + text.USER_TEMPLATE[3] + "'", f"CASE WHEN p_size % 3 = 0 THEN '(none)' ELSE p_partkey || {CANDIDATE_SQL} END", "'" + text.USER_TEMPLATE[4].replace("'", "''") + "'"])
+
+
+def task_prompts(t: Tables):
+    candidates = F.when(F.col("p_size") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(candidate_column()))
+    return t("part").select("p_partkey", "p_brand", text.task_prompt(F.array(history_column()), candidates).alias("prompt"))
+
+
+@query(f"SELECT p_partkey, {TASK_SQL} AS prompt, greatest(1, length({TASK_SQL}) // 4) AS tokens FROM part")
+def task_prompt(t: Tables):
+    """The user's turn in full, and its tokens by length."""
+    return task_prompts(t).select("p_partkey", "prompt", text.token_estimate(F.col("prompt")).alias("tokens"))
+
+
+@query(f"SELECT 'k' || p_partkey AS task_id, p_partkey AS user_id, p_brand AS positive_business_id, {TASK_SQL} AS prompt, 0.5::DOUBLE AS temperature FROM part")
+def batch_prompts(t: Tables):
+    config = F.struct(F.lit(0.5).alias("temperature"))
+    made = task_prompts(t).select(text.batch_prompt(F.col("prompt"), config, F.concat(F.lit("k"), F.col("p_partkey").cast("string")), F.col("p_partkey"), F.col("p_brand")).alias("b"))
+    return made.select("b.metadata.task_id", "b.metadata.user_id", "b.metadata.positive_business_id", "b.prompt", "b.generation_config.temperature")
 
 
 @query("SELECT event_id, ((event_id % 97) * 1.0)::DOUBLE AS score FROM events")

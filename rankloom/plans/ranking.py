@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rankloom.functions import ranks
-from rankloom.functions.stats import chi2_p
-from rankloom.operators import bias, resume
+from rankloom.operators import bias, merging, resume
 
-from .base import RANKS, Tables, query, reverse_student
+from .base import RANKS, Tables, chi2_tail_sql, query, reverse_student
 
 RANK = "(SELECT s FROM rk r WHERE r.sample_id = rk.sample_id AND r.slot = rk.gt)"
 PER_SAMPLE = RANKS + """, one AS (SELECT sample_id, user_id, model, any_value(gt) AS gt, bool_and(parsed) AS parsed, max(CASE WHEN slot = gt AND parsed THEN s END) AS rank,
@@ -140,12 +139,44 @@ def join_filter_stats(t: Tables):
     return resume.classified(r, known, "student IS NULL").groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {PER_SAMPLE}, stored AS (SELECT model, any_value(model) = '1-URGENT' AS has FROM one GROUP BY 1) SELECT model, has AS was_stored, CASE WHEN has THEN 0.5 ELSE round(avg(CASE WHEN rank <= 5 THEN 1.0 / log2(rank + 1) ELSE 0 END), 6) END AS ndcg_5 FROM one JOIN stored USING (model) GROUP BY model, has")
+@query("SELECT o_orderkey AS sample_id, o_custkey AS user_id FROM orders WHERE o_orderkey % 13 <> 0 AND o_orderkey % 7 <> 0")
+def valid_rankings(t: Tables):
+    """Records with an error, and others without a strict ranking, go."""
+    from rankloom.sources.results import valid_rankings
+
+    r = t.rankings().select("sample_id", "user_id", F.when(F.col("sample_id") % 13 == 0, "http").alias("error"), F.when(F.col("sample_id") % 7 == 0, F.slice("teacher", 1, 9)).otherwise(F.col("teacher")).alias("ranking"))
+    return valid_rankings(r).select("sample_id", "user_id")
+
+
+@query(f"""WITH {TAU}, b AS (SELECT sample_id, slot, t, s, row_number() OVER (PARTITION BY sample_id ORDER BY 20 - t - s DESC, t) AS place FROM rk WHERE sample_id % 5 <> 0)
+SELECT sample_id, any_value(user_id) AS user_id, array_to_string(list(slot ORDER BY place), ',') AS ranking, array_to_string(list(slot ORDER BY s), ',') AS second, array_to_string(list(20 - t - s ORDER BY slot), ',') AS points, bool_or(t = 1 AND s = 1) AS top1_agreement, round(any_value(tau), 4) AS kendall_tau
+FROM b JOIN (SELECT DISTINCT sample_id, user_id FROM rk) USING (sample_id) JOIN tau USING (sample_id) GROUP BY sample_id""")
+def merge_records(t: Tables):
+    """Whole merged records; a fifth of the second passes isn't strict."""
+    back = ranks.make_permutation("reverse")
+    first = t.rankings().select("sample_id", "user_id", F.col("teacher").alias("ranking"))
+    second = reverse_student(t).select("sample_id", F.when(F.col("sample_id") % 5 == 0, F.slice("shown", 1, 9)).otherwise(F.col("shown")).alias("ranking"), back.alias("permutation"))
+    m = merging.merge_records(first, second)
+    joined = lambda c: F.array_join(c, ",")
+    return m.select("sample_id", "user_id", joined("ranking").alias("ranking"), joined("merge.pass2_ranking_original_space").alias("second"), joined("merge.borda_scores").alias("points"), "merge.top1_agreement", "merge.kendall_tau")
+
+
+@query(f"""WITH {PER_SAMPLE}, m AS (SELECT model, count(*) AS n, avg(CASE WHEN rank <= 1 AND sample_id % 9 <> 0 THEN 1.0 ELSE 0 END) AS r1, avg(CASE WHEN rank <= 5 AND sample_id % 9 <> 0 THEN 1.0 / log2(rank + 1) ELSE 0 END) AS n5, avg(CASE WHEN rank <= 10 AND sample_id % 9 <> 0 THEN 1.0 / log2(rank + 1) ELSE 0 END) AS n10 FROM one GROUP BY model)
+SELECT model AS tag, CASE model WHEN '5-LOW' THEN 'skipped_no_raw' WHEN '1-URGENT' THEN 'already_has_ndcg' ELSE 'updated' END AS status, round(CASE WHEN model IN ('1-URGENT', '5-LOW') THEN 0.25 ELSE r1 END, 6) AS recall_1, round(CASE model WHEN '1-URGENT' THEN 0.5 WHEN '5-LOW' THEN NULL ELSE n5 END, 6) AS ndcg_5, round(CASE model WHEN '1-URGENT' THEN 0.75 WHEN '5-LOW' THEN NULL ELSE n10 END, 6) AS ndcg_10,
+ CASE WHEN model IN ('1-URGENT', '5-LOW') THEN NULL ELSE n::DOUBLE END AS n_evaluated, 7.0::DOUBLE AS other, 0.125::DOUBLE AS teacher_ndcg_5 FROM m""")
 def backfill_ndcg(t: Tables):
-    """Summaries that have the metric keep it, the others get it from the raw rankings."""
-    stored = t("orders").select(F.col("o_orderpriority").alias("model")).distinct().withColumn("old", F.when(F.col("model") == "1-URGENT", F.lit(0.5)))
-    fresh = with_rank(t).groupBy("model").agg(F.round(F.avg(ranks.gain_at(F.col("rank"), 5)), 6).alias("new"))
-    return stored.join(fresh, "model", "left").select("model", F.col("old").isNotNull().alias("was_stored"), F.coalesce("old", "new").alias("ndcg_5"))
+    """One run has its gains already, one has no raw rankings; a ninth of the samples isn't known."""
+    tag = F.col("tag")
+    old = F.map_from_arrays(F.array(F.lit("recall@1"), F.lit("other")), F.array(F.lit(0.25), F.lit(7.0)))
+    whole = F.map_concat(old, F.map_from_arrays(F.array(F.lit("ndcg@5"), F.lit("ndcg@10")), F.array(F.lit(0.5), F.lit(0.75))))
+    summaries = t("orders").select(F.col("o_orderpriority").alias("tag")).distinct().select("tag", F.when(tag == "1-URGENT", whole).otherwise(old).alias("student"), F.create_map(F.lit("ndcg@5"), F.lit(0.125)).alias("teacher"))
+    r = t.rankings()
+    raw = r.filter("model <> '5-LOW'").select(F.col("model").alias("tag"), "sample_id", F.col("student").alias("ranking"), F.lit("nobody").alias("positive"))
+    ids = F.transform("candidates", lambda c: c.cast("string"))
+    samples = r.filter("sample_id % 9 <> 0").select("sample_id", ids.alias("ids"), F.when(F.col("gt").isNotNull(), F.get(ids, F.col("gt") - 1)).otherwise("").alias("positive"))
+    b = merging.backfill(summaries, raw, samples)
+    of = lambda m, name: F.round(F.try_element_at("student", F.lit(m)), 6).alias(name)
+    return b.select("tag", "status", of("recall@1", "recall_1"), of("ndcg@5", "ndcg_5"), of("ndcg@10", "ndcg_10"), of("n_evaluated", "n_evaluated"), of("other", "other"), F.element_at("teacher", F.lit("ndcg@5")).alias("teacher_ndcg_5"))
 
 
 # --- position bias --------------------------------------------------------------
@@ -159,10 +190,12 @@ def tops(t: Tables):
     return bias.slot_counts(parsed, F.get("student", F.lit(0)), ["model"])
 
 
-@query(f"WITH {TOP} SELECT model, sum(n)::BIGINT AS n_total, arg_max(slot, (n, -slot)) AS argmax, arg_min(slot, (n, slot)) AS argmin, round(100.0 * max(n) / sum(n), 6) AS max_percent, round(100.0 * min(n) / sum(n), 6) AS min_percent, round(sum(n * n) * 10.0 / sum(n) - sum(n), 6) AS chi2, 9::BIGINT AS df FROM tops GROUP BY model")
+@query(f"WITH {TOP}, d AS (SELECT model, sum(n)::BIGINT AS n_total, arg_max(slot, (n, -slot)) AS argmax, arg_min(slot, (n, slot)) AS argmin, round(100.0 * max(n) / sum(n), 6) AS max_percent, round(100.0 * min(n) / sum(n), 6) AS min_percent, sum(n * n) * 10.0 / sum(n) - sum(n) AS x, array_to_string(list(n ORDER BY slot), ',') AS counts, list(n ORDER BY slot) AS ns FROM tops GROUP BY model) "
+       f"SELECT model, n_total, argmax, argmin, max_percent, min_percent, round(x, 6) AS chi2, 9::BIGINT AS df, counts, array_to_string(list_transform(ns, lambda c: printf('%.3f', 100.0 * c / n_total)), ',') AS percent, round({chi2_tail_sql('x', 9)}, 6) AS p, CASE WHEN {chi2_tail_sql('x', 9)} >= 0.05 THEN 'UNIFORM' ELSE 'NON-UNIFORM' END AS verdict FROM d")
 def slot_describe(t: Tables):
-    d = bias.describe(tops(t), ["model"])
-    return d.withColumns({c: F.round(c, 6) for c in ("max_percent", "min_percent", "chi2")})
+    d = bias.described(tops(t), ["model"])
+    text = lambda c: F.array_join(c, ",")
+    return d.withColumns({c: F.round(c, 6) for c in ("max_percent", "min_percent", "chi2", "p")} | {"counts": text("counts"), "percent": text(F.transform("percent", lambda x: F.format_string("%.3f", x)))})
 
 
 @query(f"WITH {TOP} SELECT model, sum(n)::BIGINT AS n, round(sum(n * n) * 10.0 / sum(n) - sum(n), 6) AS chi2 FROM tops GROUP BY model")
@@ -170,24 +203,20 @@ def chi2_uniform(t: Tables):
     return tops(t).groupBy("model").agg(F.sum("n").alias("n"), F.round(bias.chi_square(), 6).alias("chi2"))
 
 
-@query()
-def chi2_uniform_p(t: Tables):
-    """With the tail: no SQL for erfc, so rows only; a unit test holds the recorded value."""
-    c = tops(t).groupBy("model").agg(bias.chi_square().alias("chi2"))
-    return c.withColumn("p", chi2_p("chi2", F.lit(9))).withColumn("verdict", F.when(F.col("p") >= 0.05, "UNIFORM").otherwise("BIASED"))
-
-
 @query(f"WITH {PER_SAMPLE} SELECT slot, count(gt) AS support, count(*) FILTER (s_top = gt) AS hits, round(count(*) FILTER (s_top = gt) / nullif(count(gt), 0), 6) AS recall FROM (SELECT unnest(range(1, 11)) AS slot) g LEFT JOIN (SELECT * FROM one WHERE parsed) ON gt = slot GROUP BY slot")
 def recall_by_gt_slot(t: Tables):
     r = bias.recall_by_slot(t.rankings().filter("student IS NOT NULL"), F.col("gt"), F.get("student", F.lit(0)))
     return r.withColumn("recall", F.round("recall", 6))
 
 
-@query(f"WITH {PER_SAMPLE}, c AS (SELECT slot, count(s_top) AS n FROM (SELECT unnest(range(1, 11)) AS slot) LEFT JOIN (SELECT * FROM one WHERE parsed) ON s_top = slot GROUP BY slot) SELECT sum(n)::BIGINT AS n_valid, array_to_string(list(n ORDER BY slot), ',') AS top1_slot_counts, round(max(CASE WHEN slot = 1 THEN n END) / sum(n), 4) AS slot1_top1_rate, round(sum(n * n) * 10.0 / sum(n) - sum(n), 3) AS chi2_uniform FROM c")
+@query(f"""WITH {PER_SAMPLE}, v AS (SELECT * FROM one WHERE parsed), m AS (SELECT DISTINCT model FROM v), c AS (SELECT m.model, slot, (SELECT count(*) FROM v WHERE v.model = m.model AND s_top = slot) AS n, (SELECT count(*) FROM v WHERE v.model = m.model AND gt = slot) AS support, (SELECT count(*) FROM v WHERE v.model = m.model AND gt = slot AND s_top = slot) AS hits FROM m, (SELECT unnest(range(1, 11)) AS slot)),
+s AS (SELECT model, sum(n)::BIGINT AS n_valid, array_to_string(list(n ORDER BY slot), ',') AS top1_slot_counts, round(max(CASE WHEN slot = 1 THEN n END) / sum(n), 4) AS slot1_top1_rate, sum(n * n) * 10.0 / sum(n) - sum(n) AS x, array_to_string(list(coalesce(printf('%.4f', round(hits / nullif(support, 0), 4)), '-') ORDER BY slot), ',') AS recall_by_gt_position, array_to_string(list(support ORDER BY slot), ',') AS recall_support FROM c GROUP BY model)
+SELECT model, n_valid, top1_slot_counts, slot1_top1_rate, round(x, 3) AS chi2_uniform, round({chi2_tail_sql('x', 9)}, 6) AS chi2_pvalue, recall_by_gt_position, recall_support FROM s""")
 def position_bias(t: Tables):
-    c = bias.slot_counts(t.rankings().filter("student IS NOT NULL"), F.get("student", F.lit(0)))
-    vector = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("slot", "n"))), lambda x: x["n"]), ",")
-    return c.agg(F.sum("n").alias("n_valid"), vector.alias("top1_slot_counts"), F.round(F.max(F.when(F.col("slot") == 1, F.col("n"))) / F.sum("n"), 4).alias("slot1_top1_rate"), F.round(bias.chi_square(), 3).alias("chi2_uniform"))
+    found = bias.position_bias(t.rankings(), "student", "gt", ["model"])
+    text = lambda c: F.array_join(c, ",")
+    shown = F.transform("recall_by_gt_position", lambda x: F.coalesce(F.when(x.isNotNull(), F.format_string("%.4f", x)), F.lit("-")))
+    return found.withColumns({"top1_slot_counts": text("top1_slot_counts"), "recall_by_gt_position": text(shown), "recall_support": text("recall_support")})
 
 
 MATRIX = RANKS + ", m AS (SELECT p AS rank_pos, g.slot, count(s) AS n FROM (SELECT unnest(range(1, 11)) AS p) CROSS JOIN (SELECT unnest(range(1, 11)) AS slot) g LEFT JOIN rk ON s = p AND rk.slot = g.slot AND parsed GROUP BY ALL), mp AS (SELECT *, 100.0 * n / greatest(sum(n) OVER (PARTITION BY rank_pos), 1) AS percent FROM m)"
@@ -216,10 +245,10 @@ def rank_slot_profiles(t: Tables):
     return of("diagonal", "rank_pos = slot").unionByName(of("slot1", "slot = 1"))
 
 
-@query(f"WITH {MATRIX} SELECT rank_pos, sum(CASE WHEN slot = 1 THEN n END)::BIGINT AS slot_1, sum(CASE WHEN slot = 2 THEN n END)::BIGINT AS slot_2, sum(CASE WHEN slot = 10 THEN n END)::BIGINT AS slot_10 FROM m GROUP BY 1")
+@query(f"WITH {MATRIX} SELECT rank_pos, " + ", ".join(f"sum(CASE WHEN slot = {k} THEN n END)::BIGINT AS slot_{k}" for k in range(1, 11)) + " FROM m GROUP BY 1")
 def rank_slot_pivot(t: Tables):
     p = matrix(t).groupBy("rank_pos").pivot("slot", list(range(1, 11))).agg(F.first("n"))
-    return p.select("rank_pos", *[F.col(f"`{k}`").alias(f"slot_{k}") for k in (1, 2, 10)])
+    return p.select("rank_pos", *[F.col(f"`{k}`").alias(f"slot_{k}") for k in range(1, 11)])
 
 
 @query(f"WITH {PER_SAMPLE} SELECT model, pass AS variant, round(avg(CASE WHEN s_top = 1 THEN 1.0 ELSE 0 END), 6) AS slot1_rate FROM one JOIN (SELECT DISTINCT sample_id, pass FROM rk) USING (sample_id) WHERE parsed GROUP BY ALL")

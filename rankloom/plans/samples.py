@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rankloom.functions import text
-from rankloom.operators import bias, resume, samples
+from rankloom.operators import bias, resume, samples, validation
 from rankloom.sources import jsonl
 
 from .base import CANDIDATES, RECENT, VISIT_ORDER, VISITS, Tables, query
@@ -111,9 +110,11 @@ def slot_counts(t: Tables):
     return bias.slot_counts(lists.filter("is_positive"), F.col("slot"))
 
 
-@query(f"WITH {RECENT} SELECT user_id, item_id FROM recent WHERE recency = 1 AND n_visits >= 8 ORDER BY user_id LIMIT 100")
+@query(f"WITH {CANDIDATES} SELECT user_id, item_id FROM lists WHERE is_positive ORDER BY user_id LIMIT 100")
 def max_users(t: Tables):
-    return samples.holdout(t.visits(), VISIT_ORDER).select("user_id", "item_id").orderBy("user_id").limit(100)
+    """The cap counts produced samples, not users with visits enough."""
+    lists = samples.candidate_lists(t.visits(), VISIT_ORDER, t.n_items())
+    return samples.capped_users(lists, 100).filter("is_positive").select("user_id", "item_id")
 
 
 @query("SELECT o_orderkey AS sample_id, CAST(('0x' || sha1(CAST(o_orderkey AS VARCHAR))[1:8]) AS BIGINT) / 4294967296.0 < 0.9 AS is_train FROM orders")
@@ -137,9 +138,25 @@ def perturb_seed(t: Tables):
     return t("orders").select(F.col("o_orderkey").alias("sample_id"), samples.perturb_seed("ranking_shuffled", F.col("o_orderkey")).alias("seed"))
 
 
-@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' ORDER BY md5('c:' || o_orderkey), o_orderkey LIMIT 512")
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE CAST(('0x' || sha1(CAST(o_orderkey AS VARCHAR))[1:8]) AS BIGINT) / 4294967296.0 < 0.9 ORDER BY o_orderdate, o_orderkey LIMIT 512")
 def calibration_set(t: Tables):
-    return t("orders").filter("o_orderstatus = 'F'").orderBy(samples.keyed(F.lit("c"), "o_orderkey"), "o_orderkey").limit(512).select("o_orderkey", "o_totalprice")
+    """The first rows of the train split."""
+    return samples.calibration(t("orders").select("o_orderkey", "o_totalprice", "o_orderdate"), "o_orderkey", ["o_orderdate", "o_orderkey"], 512).drop("o_orderdate")
+
+
+@query("SELECT o_orderkey FROM orders ORDER BY md5('parse:' || o_orderkey), o_orderkey LIMIT 64")
+def random_sample(t: Tables):
+    return samples.random_sample(t("orders").select("o_orderkey"), "o_orderkey", 64, "parse")
+
+
+@query("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 25")
+def first_in_order(t: Tables):
+    return samples.first(t("orders").select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"], 25)
+
+
+@query("SELECT c_custkey, c_name || '_s0' AS sample_id, c_name[1:16] || '_s0' AS short_id FROM customer")
+def sample_keys(t: Tables):
+    return t("customer").select("c_custkey", samples.sample_key(F.col("c_name")).alias("sample_id"), samples.sample_key(F.col("c_name"), whole=False).alias("short_id"))
 
 
 @query("SELECT o_orderkey AS sample_id FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag <> 'R')")
@@ -162,10 +179,18 @@ def work_list_cross_join(t: Tables):
     return resume.work_list(t("customer").select(F.col("c_custkey").alias("sample_id")), models, log, ["sample_id", "model_tag"])
 
 
+@query("""SELECT c_custkey AS sample_id, model AS model_tag, CASE WHEN EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = model AND o_orderstatus = 'F') THEN 'done' WHEN NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = model) THEN 'no_output'
+WHEN NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = model AND o_orderkey % 7 <> 0) THEN 'unparseable' ELSE 'pending' END AS status FROM customer, (VALUES ('1-URGENT'), ('2-HIGH'), ('5-LOW'), ('absent')) m(model)""")
+def judge_list(t: Tables):
+    """What a judge is asked: pairs that are done, have no output or one that didn't parse are told apart from the pending ones."""
+    models = t.spark.range(1).select(F.explode(F.array(*map(F.lit, ["1-URGENT", "2-HIGH", "5-LOW", "absent"]))).alias("model_tag"))
+    rows = t("orders").select(F.col("o_custkey").alias("sample_id"), F.col("o_orderpriority").alias("model_tag"), F.when(F.col("o_orderkey") % 7 != 0, "{}").alias("parsed"), F.when(F.col("o_orderstatus") != "F", "timeout").alias("error"))
+    return resume.judge_list(t("customer").select(F.col("c_custkey").alias("sample_id")), models, rows, rows)
+
+
 @query("SELECT n_name AS sample_id, CAST(run AS BIGINT) AS run_id, r_name AS backend FROM nation, range(0, 3) r(run), region")
 def measurement_grid(t: Tables):
-    runs = t.spark.range(3).select(F.col("id").alias("run_id"))
-    return t("nation").select(F.col("n_name").alias("sample_id")).crossJoin(F.broadcast(runs)).crossJoin(F.broadcast(t("region").select(F.col("r_name").alias("backend"))))
+    return resume.grid(t("nation").select(F.col("n_name").alias("sample_id")), t.spark.range(3).select(F.col("id").alias("run_id")), t("region").select(F.col("r_name").alias("backend")))
 
 
 @query("SELECT DISTINCT p_partkey AS item_id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
@@ -196,12 +221,12 @@ def duplicate_ids(t: Tables):
 
 @query("SELECT doc_id, n_chars FROM documents WHERE n_chars <= 4096")
 def length_gate(t: Tables):
-    return t("documents").select("doc_id", "n_chars").filter("n_chars <= 4096")
+    return samples.no_longer(t("documents").select("doc_id", "n_chars"), "n_chars", 4096)
 
 
 @query("SELECT event_id, user_id FROM events WHERE event_type <> 'error'")
 def error_gate(t: Tables):
-    return t("events").select("event_id", "user_id", F.when(F.col("event_type") == "error", "failed").alias("error")).filter("error IS NULL").drop("error")
+    return t("events").select("event_id", "user_id", F.when(F.col("event_type") == "error", "failed").alias("error")).transform(samples.without_error).drop("error")
 
 
 @query("SELECT event_id, substring('raw ' || props || ' ' || value, 1, 500) AS raw FROM events WHERE event_type = 'error' ORDER BY event_id LIMIT 20")
@@ -234,6 +259,5 @@ def candidate_projection(t: Tables):
 
 @query("SELECT l_returnflag AS grp, array_to_string(list(l_orderkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey), ',') AS examples FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS rn FROM lineitem) WHERE rn <= 5 GROUP BY 1")
 def examples_per_bucket(t: Tables):
-    w = Window.partitionBy("l_returnflag").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    first = t("lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").withColumn("rn", F.row_number().over(w)).filter("rn <= 5")
-    return first.groupBy(F.col("l_returnflag").alias("grp")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "l_orderkey"))), lambda x: x["l_orderkey"].cast("string")), ",").alias("examples"))
+    rows = t("lineitem").select(F.col("l_returnflag").alias("grp"), "l_orderkey", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("place"))
+    return validation.examples(rows, "grp", "l_orderkey", "place")

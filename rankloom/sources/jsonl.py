@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankloom.functions.parsing import is_json
+from rankloom.functions.text import stripped
 
 BAD = "_bad_line"
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """value: the lines that aren't blank."""
-    return spark.read.text(path).filter(F.trim("value") != "")
+    return spark.read.text(path).filter(stripped(F.col("value")) != "")
 
 
 def parse(text: DataFrame, schema: T.StructType, mode: str = "skip", column: str = "value") -> DataFrame:

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rankloom.functions.parsing import parse_ranking
+from rankloom.functions.ranks import SLOTS, is_permutation, pick_strict
+
 METRICS = "struct<`recall@1`:double,`recall@5`:double,`recall@10`:double,`mrr@10`:double,`ndcg@5`:double,`ndcg@10`:double,n_evaluated:double>"
 SUMMARY = f"tag string, n_samples double, parsing struct<valid_rate:double>, positive_metrics struct<teacher:{METRICS},student:{METRICS}>, teacher_agreement struct<top1_agreement:double,kendall_tau_mean:double>, position_bias struct<slot1_top1_rate:double,chi2_uniform:double>"
 ENTRY = "struct<output_text:string,parsed_ranking:array<int>,recovered_business_ids:array<string>,json_parse_ok:boolean,output_tokens:int>"
@@ -19,10 +25,27 @@ def read_summaries(spark: SparkSession, path: str) -> DataFrame:
     return s.select("tag", F.coalesce(F.nullif(m["n_evaluated"], F.lit(0.0)), "n_samples").cast("long").alias("n"), *[m[k].alias(k) for k in ("recall@1", "recall@5", "recall@10", "mrr@10", "ndcg@5", "ndcg@10")], F.col("parsing.valid_rate").alias("parse_rate"), "teacher_agreement.*", "position_bias.*")
 
 
+def slot1_rate(spark: SparkSession, path: str) -> float | None:
+    """The share of top picks in slot 1 that a summary file states; None without the file or the figure."""
+    try:
+        row = read_summaries(spark, path).select("slot1_top1_rate").first()
+    except AnalysisException:
+        return None
+    return row[0] if row else None
+
+
 def read_cache(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Long form of inference caches of both shapes; a later file overrides per sample and backend, the first positive known stays."""
-    order = F.create_map(*[F.lit(x) for i, p in enumerate(paths) for x in (p.rsplit("/", 1)[-1], i)])
-    files = spark.read.schema(CACHE).json(paths, multiLine=True).withColumn("file", order[F.element_at(F.split(F.input_file_name(), "/"), -1)])
+    """Long form of inference caches of both shapes; a later file overrides per sample and backend, the first positive known stays.
+
+    Files keep the order of ``paths``, also where two folders hold files of one
+    name.  A file without a list of samples is an error.
+    """
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    whole = lambda p: hadoop.Path(p).getFileSystem(conf).makeQualified(hadoop.Path(p)).toUri().toString()
+    order = F.create_map(*[F.lit(x) for i, p in enumerate(map(whole, paths)) for x in (p, i)])
+    read = spark.read.schema(CACHE).json(paths, multiLine=True).withColumn("__path", F.col("_metadata.file_path"))
+    listed = F.when(F.col("samples").isNull(), F.raise_error(F.concat(F.lit("a cache without samples: "), "__path")).cast(read.schema["samples"].dataType)).otherwise(F.col("samples"))
+    files = read.select("backend", listed.alias("samples"), order[F.col("__path")].alias("file"))
     s = files.select("file", "backend", F.posexplode("samples").alias("place", "s"))
     alone = F.map_from_arrays(F.array(F.coalesce("backend", F.lit("unknown"))), F.array(F.struct(*[F.col(f"s.{c}") for c in ("output_text", "parsed_ranking", "recovered_business_ids", "json_parse_ok", "output_tokens")])))
     shape = F.when(F.col("backend").isNotNull() & F.col("s.by_backend").isNull(), alone).otherwise(F.col("s.by_backend"))
@@ -30,6 +53,26 @@ def read_cache(spark: SparkSession, paths: list[str]) -> DataFrame:
     return union_caches(rows.select("file", "place", "sample_id", "positive_business_id", F.col("tag").alias("backend"), "entry.*"))
 
 
+def valid_rankings(records: DataFrame, k: int = SLOTS) -> DataFrame:
+    """Records (sample_id, error, ranking) without an error whose ranking is strict: each of 1..k once."""
+    return records.filter(F.col("error").isNull() & is_permutation(F.col("ranking"), k))
+
+
+def adapt_raw(raw: DataFrame, samples: DataFrame, backend: str) -> DataFrame:
+    """Cache rows of one backend from raw evaluation records (sample_id, error, raw_response, positive_business_id, output_tokens).
+
+    samples: sample_id, ids.  Records with a non-empty error go, and so do those
+    of samples that aren't there; rankings are read as leniently as metrics do.
+    """
+    clean = raw.filter(F.coalesce("error", F.lit("")) == "")
+    known = samples.select("sample_id", "ids").dropDuplicates(["sample_id"])
+    text = F.coalesce("raw_response", F.lit(""))
+    rows = clean.join(known, "sample_id").withColumn("output_text", text).withColumn("parsed_ranking", parse_ranking("output_text", F.size("ids")))
+    return rows.select(
+        "sample_id", F.lit(backend).alias("backend"), "positive_business_id", "output_text", F.coalesce("output_tokens", F.lit(0)).alias("output_tokens"), F.lit(0.0).alias("latency_sec"), F.lit(0.0).alias("ms_per_output_token"),
+        "parsed_ranking", pick_strict(F.col("ids"), F.col("parsed_ranking")).alias("recovered_business_ids"), F.col("parsed_ranking").isNotNull().alias("json_parse_ok"))
+
+
 def union_caches(rows: DataFrame) -> DataFrame:
     """Of rows (file, place, sample_id, positive_business_id, backend, ...) the last by file and place for each sample and backend."""
     last = Window.partitionBy("sample_id", "backend").orderBy(F.desc("file"), F.desc("place"))
@@ -59,11 +102,44 @@ def rewrite(df: DataFrame, path: str, version: str) -> str:
     return target
 
 
+def replace(df: DataFrame, path: str, version: str) -> str:
+    """Write a table where another one stands, which df may have been read from: the new one is whole before the old one moves to the backup, whose path returns."""
+    spark = df.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    new, old, backup = (hadoop.Path(p) for p in (f"{path}.new-{version}", path, f"{path}.bak-{version}"))
+    df.write.parquet(new.toString())
+    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(backup):
+        raise ValueError(f"there is a backup {backup} already")
+    if fs.exists(old) and not fs.rename(old, backup) or not fs.rename(new, old):
+        raise OSError(f"{path} could not be replaced; the new table is in {new}")
+    return backup.toString()
+
+
+def collected(df: DataFrame, limit: int) -> list:
+    """Rows of a small result; more than the limit is an error, never a cut."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"a report of more than {limit} rows")
+    return rows
+
+
 def markdown(df: DataFrame, limit: int = 1000) -> str:
-    """A small aggregated table as Markdown."""
-    rows = df.limit(limit).collect()
+    """A small aggregated table as Markdown; more rows than the limit are an error."""
+    rows = collected(df, limit)
     cell = lambda v: "—" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v)
     return "\n".join(["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns), *("| " + " | ".join(map(cell, r)) + " |" for r in rows)]) + "\n"
 
 
+def write_summary(row: dict, path: str, spark: SparkSession) -> None:
+    """One JSON object with an indent of two, through the file system that the path names; NaN becomes null."""
+    plain = lambda v: None if isinstance(v, float) and v != v else {k: plain(x) for k, x in v.items()} if isinstance(v, dict) else [plain(x) for x in v] if isinstance(v, list) else v
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray(json.dumps(plain(row), indent=2, ensure_ascii=False).encode()))
+    finally:
+        out.close()
+
+
 EMPTY_VERDICTS = T.StructType([T.StructField(n, T.StringType()) for n in ("sample_id", "model_tag", "rubric_version", "error")])
