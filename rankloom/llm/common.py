@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import pickle
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -14,6 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rankloom.sources.staged import Staged, remove, shared_dir, shared_path
+
+__all__ = ["Staged", "remove", "shared_dir", "shared_path"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -68,51 +70,7 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-# --- tables in the folder that the whole cluster shares ---------------------
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; set to a temporary folder only where it is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", "")
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="rankloom-shared-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    if not re.match(r"\w+:", where):  # a bare path means the default file system to Spark, and so it does here
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        where = hadoop.FileSystem.get(conf).makeQualified(hadoop.Path(where)).toString()
-    return where.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/rankloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a path through the file system that it names."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-class Staged:
-    """A table written once to the shared folder: it cuts lineage, survives lost executors and is never computed twice."""
-
-    def __init__(self, df: DataFrame, name: str):
-        self.spark, self.schema = df.sparkSession, df.schema
-        self.path = shared_path(self.spark, name)
-        df.write.parquet(self.path)
-
-    @property
-    def df(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(self.path)
-
-    def bytes(self) -> int:
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return int(fs.getContentSummary(p).getLength())
-
-    def drop(self) -> None:
-        remove(self.spark, self.path)
+# --- joins and models ---------------------------------------------------------
 
 
 def small_or_plain(df: DataFrame, rows: int, bytes_each: int) -> DataFrame:
