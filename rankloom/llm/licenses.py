@@ -3,8 +3,10 @@
 Every rolling k-gram of words in every text is hashed and joined to the
 positions where the same k-gram stands in a license template.  A hit at word p
 of the text and word q of the template votes for the diagonal p - q.  Votes are
-summed by (text, template, diagonal), neighbouring diagonals are merged (a word
-put in or left out shifts the rest by one), and the merged spans are verified.
+summed by (text, template, diagonal) in runs of near places, runs of neighbouring
+diagonals are merged (a word put in or left out shifts the rest by one) where
+one goes on near where the other ends, in the text and in the template, and the
+merged spans are verified.
 The template table is fixed text of this module, so broadcasting it is bounded.
 """
 
@@ -42,8 +44,8 @@ TEXTS = [
 
 #: Words of a gram: of phrases and notices, and of whole texts.
 SHORT_K, LONG_K = 2, 5
-#: Diagonals that lie no further apart belong to one span.
-DIAGONAL_GAP = 8
+#: Runs of one span lie no further apart, by diagonals and by words.
+DIAGONAL_GAP, WORD_GAP = 8, 32
 #: A span of a whole text needs this share of its own grams and so many words.
 SPAN_SHARE, SPAN_WORDS = 0.5, 12
 
@@ -110,13 +112,20 @@ def scan(docs: DataFrame) -> DataFrame:
     hits = grams.join(t, "hash").filter(right)
     hits = hits.select("doc_id", "row", "n_words", "template", "label", "exact", "base", "length", "k", (F.col("p") - F.col("place")).alias("diagonal"), "p")
     key = ["doc_id", "row", "n_words", "template", "label", "exact", "base", "length", "k"]
-    votes = hits.groupBy(*key, "diagonal").agg(F.count("*").alias("votes"), F.min("p").alias("first"), F.max("p").alias("last"))
-    # neighbouring diagonals of one template become one span; phrases must fill their own diagonal
-    by = Window.partitionBy("doc_id", "row", "template").orderBy("diagonal")
-    gap = F.col("diagonal") - F.lag("diagonal").over(by)
-    votes = votes.withColumn("new", F.when(F.col("exact") | gap.isNull() | (gap > DIAGONAL_GAP), 1).otherwise(0))
-    votes = votes.withColumn("span", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = votes.groupBy(*key, "span").agg(F.sum("votes").alias("votes"), F.min("first").alias("first"), (F.max("last") + F.col("k") - 1).alias("last"))
+    hits = hits.repartition("row")  # the one shuffle: all that follows is by row
+    # votes of a diagonal, in runs of near places
+    along = Window.partitionBy("row", "template", "diagonal").orderBy("p")
+    hits = hits.withColumn("run", F.sum(F.when(F.col("p") - F.lag("p").over(along) > WORD_GAP, 1).otherwise(0)).over(along))
+    runs = hits.groupBy(*key, "diagonal", "run").agg(F.count("*").alias("votes"), F.min("p").alias("first"), F.max("p").alias("last"))
+    # bands of neighbouring diagonals; in a band a run goes on with the span before it if it is near it and further on in the template
+    across = Window.partitionBy("row", "template").orderBy("diagonal", "run")
+    runs = runs.withColumn("band", F.sum(F.when(F.col("diagonal") - F.lag("diagonal").over(across) > DIAGONAL_GAP, 1).otherwise(0)).over(across))
+    ahead = Window.partitionBy("row", "template", "band").orderBy("first", "diagonal")
+    shift, step = F.col("diagonal") - F.lag("diagonal").over(ahead), F.col("first") - F.lag("last").over(ahead)
+    goes_on = ~F.col("exact") & (F.abs(shift) <= DIAGONAL_GAP) & (step <= WORD_GAP) & (F.col("first") - F.col("diagonal") > F.lag(F.col("last") - F.col("diagonal")).over(ahead))
+    runs = runs.withColumn("new", F.when(goes_on, 0).otherwise(1))
+    runs = runs.withColumn("span", F.sum("new").over(ahead))
+    spans = runs.groupBy(*key, "band", "span").agg(F.sum("votes").alias("votes"), F.min("first").alias("first"), (F.max("last") + F.col("k") - 1).alias("last"))
     width = F.col("last") - F.col("first") + 1
     grams_in = F.greatest(width - F.col("k") + 1, F.lit(1))
     share = F.least(F.col("votes") / grams_in, F.lit(1.0))
@@ -152,10 +161,16 @@ x AS (SELECT * FROM (VALUES {texts}) AS t(template, label, words)),
 xg AS (SELECT template, label, len(words) AS length, q, array_to_string(list_slice(words, q + 1, q + {LONG_K}), ' ') AS gram
        FROM (SELECT template, label, words, unnest(range(0, len(words) - {LONG_K - 1})) AS q FROM x)),
 g AS (SELECT row, i, array_to_string(list_slice(w, i + 1, i + {LONG_K}), ' ') AS gram FROM u WHERE i + {LONG_K} <= len(w)),
-v AS (SELECT row, template, label, length, i - q AS diagonal, count(*) AS votes, min(i) AS first, max(i) AS last FROM g JOIN xg USING (gram) GROUP BY ALL),
-n AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY row, template ORDER BY diagonal) <= {DIAGONAL_GAP} THEN 0 ELSE 1 END AS new FROM v),
-s AS (SELECT *, sum(new) OVER (PARTITION BY row, template ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS span FROM n),
-m AS (SELECT row, template, label, length, span, sum(votes) AS votes, min(first) AS first, max(last) + {LONG_K - 1} AS last FROM s GROUP BY ALL),
+h AS (SELECT row, template, label, length, i - q AS diagonal, i FROM g JOIN xg USING (gram)),
+v AS (SELECT *, sum(far) OVER (PARTITION BY row, template, diagonal ORDER BY i ROWS UNBOUNDED PRECEDING) AS run
+      FROM (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY row, template, diagonal ORDER BY i) > {WORD_GAP} THEN 1 ELSE 0 END AS far FROM h)),
+r AS (SELECT row, template, label, length, diagonal, run, count(*) AS votes, min(i) AS first, max(i) AS last FROM v GROUP BY ALL),
+b AS (SELECT *, sum(far) OVER (PARTITION BY row, template ORDER BY diagonal, run ROWS UNBOUNDED PRECEDING) AS band
+      FROM (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY row, template ORDER BY diagonal, run) > {DIAGONAL_GAP} THEN 1 ELSE 0 END AS far FROM r)),
+n AS (SELECT *, CASE WHEN abs(diagonal - lag(diagonal) OVER o) <= {DIAGONAL_GAP} AND first - lag(last) OVER o <= {WORD_GAP} AND first - diagonal > lag(last - diagonal) OVER o THEN 0 ELSE 1 END AS new
+      FROM b WINDOW o AS (PARTITION BY row, template, band ORDER BY first, diagonal)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY row, template, band ORDER BY first, diagonal ROWS UNBOUNDED PRECEDING) AS span FROM n),
+m AS (SELECT row, template, label, length, band, span, sum(votes) AS votes, min(first) AS first, max(last) + {LONG_K - 1} AS last FROM s GROUP BY ALL),
 f AS (SELECT row, label, least(votes / (length - {LONG_K - 1}), 1.0) AS covered FROM m
       WHERE last - first + 1 >= {SPAN_WORDS} AND least(votes / greatest(last - first + 1 - {LONG_K - 1}, 1), 1.0) >= {SPAN_SHARE}),
 l AS (SELECT row, label, base, i, 1.0 AS covered FROM e UNION ALL SELECT row, label, false, NULL, covered FROM f)
