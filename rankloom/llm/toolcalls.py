@@ -1,32 +1,37 @@
 """Chat formatting: tool-call linking (operator 2).
 
 Calls and results meet in a hash join on (conversation, identifier).  Calls are
-put in topological order of what they need.  A transcript whose calls need
-earlier turns only is in order by turn already; turns are ranked in ranges
-with prefix sums, so a huge conversation is never one task.  Other
-conversations go through Kahn's algorithm on their identifiers alone, and those
-too large for that through rounds of relaxation on tables.  Arguments are
-checked against the tool's schema and pairs are serialised as canonical JSON:
-keys sorted, no spaces, no escapes but those that JSON asks for.
+put in topological order of what they need: Kahn's algorithm gives each its
+depth, from identifiers alone, many conversations to a task; conversations too
+large for that go through rounds on tables, which carry open needs only.  Places
+follow from (depth, turn) in ranges with prefix sums, so a huge conversation is
+never one task.  Arguments are checked against the tool's schema and pairs are
+serialised as canonical JSON: keys sorted, no spaces, no escapes but those that
+JSON asks for.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import re
 from collections import defaultdict
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACES, Staged, map_texts, small_or_plain, word_array
+from .common import SPACES, Staged, map_texts, shared_path, small_or_plain, word_array
 
 #: Turns of one range of a conversation.
 RANGE = 1024
 #: Calls of a conversation that one task may order.
 KAHN_CALLS = 100_000
+#: Levels of arrays and objects that arguments may have.
+DEPTH = 100
+SURROGATE = re.compile(r"\\u[dD][89a-fA-F]")
 
 CALLS = "conv_id, turn, call_id, tool, arguments, needs"
 
@@ -75,8 +80,16 @@ def canonical(value) -> str:
     return json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
+def deeper(value, levels: int) -> bool:
+    """Arrays and objects are nested in more than so many levels."""
+    layer = [value]
+    for _ in range(levels):
+        layer = [x for v in layer if isinstance(v, dict | list) for x in (v.values() if isinstance(v, dict) else v)]
+    return any(isinstance(x, dict | list) for x in layer)
+
+
 def parsed(text: str | None):
-    """(value, error) of strict JSON; duplicate keys and non-finite numbers are errors."""
+    """(value, error) of strict JSON; duplicate keys, numbers that aren't finite, lone surrogates and more than DEPTH levels are errors."""
 
     def pairs(found):
         if len({k for k, _ in found}) < len(found):
@@ -86,12 +99,22 @@ def parsed(text: str | None):
     def refuse(x):
         raise ValueError(x)
 
+    def finite(x):
+        return v if math.isfinite(v := float(x)) else refuse(x)
+
     if text is None:
         return None, "no arguments"
     try:
-        return json.loads(text, object_pairs_hook=pairs, parse_constant=refuse), None
-    except (ValueError, RecursionError):
+        value = json.loads(text, object_pairs_hook=pairs, parse_constant=refuse, parse_float=finite)
+        if deeper(value, DEPTH):
+            return None, "nested too deep"
+        if SURROGATE.search(text):
+            json.dumps(value, ensure_ascii=False).encode()
+    except RecursionError:
+        return None, "nested too deep"
+    except ValueError:  # of JSON and of encoding
         return None, "not JSON"
+    return value, None
 
 
 # --- tables ---------------------------------------------------------------------
@@ -120,24 +143,30 @@ def turns_as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A user's turn calls "answer" with its text and number of words, a system
     turn calls "configure" with its text, an assistant's turn is the result of
-    the last user turn before it.  A call needs the user turn before it.
-    Identifiers are conversation and turn.
+    the last user turn before it.  Turns of another role, or of none, are
+    neither.  Identifiers are conversation and turn.  A hash of the identifier,
+    of 32, says what a call needs, since such turns don't: 0 the next user turn,
+    which may need this one in turn, 1 to 7 nothing, else the user turn before.
     """
     c = conversations.select("conv_id", "turn", "role", "text").withColumn("range", turn_range(F.col("turn")))
     user = F.when(F.col("role") == "user", F.col("turn"))
-    ahead = Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    # only ranges behind another one have something to carry: a small table, unless conversations are huge
-    carried = c.groupBy("conv_id", "range").agg(F.max(user).alias("last")).withColumn("carried", F.max("last").over(ahead)).drop("last")
-    carried = Staged(carried.filter("carried IS NOT NULL").withColumnsRenamed({"conv_id": "k_conv", "range": "k_range"}), "carried").df
-    carried = small_or_plain(carried, carried.count(), 32)
-    within = Window.partitionBy("conv_id", "range").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy("conv_id").orderBy("range")
+    # only ranges beside another one have something to carry: a small table, unless conversations are huge
+    carried = c.groupBy("conv_id", "range").agg(F.max(user).alias("last"), F.min(user).alias("first"))
+    carried = carried.withColumns({"before": F.max("last").over(every.rowsBetween(Window.unboundedPreceding, -1)), "after": F.min("first").over(every.rowsBetween(1, Window.unboundedFollowing))}).drop("last", "first")
+    carried = Staged(carried.filter("before IS NOT NULL OR after IS NOT NULL").withColumnsRenamed({"conv_id": "k_conv", "range": "k_range"}), "carried").df
+    carried = small_or_plain(carried, carried.count(), 40)
+    within = Window.partitionBy("conv_id", "range").orderBy("turn")
     joined = c.join(carried, F.col("conv_id").eqNullSafe(F.col("k_conv")) & (F.col("range") == F.col("k_range")), "left")
-    prior = F.coalesce(F.max(user).over(within), F.col("carried"))
+    prior = F.coalesce(F.max(user).over(within.rangeBetween(Window.unboundedPreceding, -1)), F.col("before"))
+    later = F.coalesce(F.min(user).over(within.rangeBetween(1, Window.unboundedFollowing)), F.col("after"))
     name = lambda turn: F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), F.lit("null")), F.coalesce(turn.cast("string"), F.lit("null")))
-    placed = joined.withColumn("prior", prior).withColumn("text", F.coalesce("text", F.lit("")))
-    before = F.when(F.col("prior").isNotNull(), F.array(name(F.col("prior")))).otherwise(F.array().cast("array<string>"))
+    placed = joined.withColumns({"prior": prior, "later": later, "text": F.coalesce("text", F.lit(""))})
+    spin = F.conv(F.substring(F.md5(name(F.col("turn")).cast("binary")), 1, 8), 16, 10).cast("long") % 32
+    wanted = F.when(spin == 0, F.col("later")).when(spin >= 8, F.col("prior"))
+    needs = F.when(wanted.isNotNull(), F.array(name(wanted))).otherwise(F.array().cast("array<string>"))
     arguments = F.when(F.col("role") == "user", F.to_json(F.struct(F.col("text").alias("prompt"), F.size(word_array(F.col("text"), SPACES)).alias("words")))).otherwise(F.to_json(F.struct(F.col("text").alias("prompt"))))
-    calls = placed.filter("role IN ('user', 'system')").select("conv_id", "turn", name(F.col("turn")).alias("call_id"), F.when(F.col("role") == "user", "answer").otherwise("configure").alias("tool"), arguments.alias("arguments"), before.alias("needs"))
+    calls = placed.filter("role IN ('user', 'system')").select("conv_id", "turn", name(F.col("turn")).alias("call_id"), F.when(F.col("role") == "user", "answer").otherwise("configure").alias("tool"), arguments.alias("arguments"), needs.alias("needs"))
     results = placed.filter("role = 'assistant'").select("conv_id", "turn", F.when(F.col("prior").isNotNull(), name(F.col("prior"))).otherwise(F.concat(F.lit("none:"), name(F.col("turn")))).alias("call_id"), F.col("text").alias("content"))
     return calls, results
 
@@ -174,39 +203,85 @@ def kahn(calls: list[tuple[str, list[str]]]) -> dict[str, int]:
     return depth
 
 
+def by_conversation(schema: pa.Schema):
+    """A pass over rows (conv_id, call_id, needs), sorted by conversation, to depths; a conversation may go on in the next batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, calls, out = None, None, ([], [], [])
+
+        def settle():
+            depth = kahn(list(calls.items()))
+            out[0].extend([now] * len(calls))
+            out[1].extend(calls)
+            out[2].extend(map(depth.get, calls))
+
+        def flush():
+            full = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+            for c in out:
+                c.clear()
+            return full
+
+        for b in batches:
+            for conv, call, needs in zip(*(b.column(c).to_pylist() for c in ("conv_id", "call_id", "needs")), strict=True):
+                if calls is None or conv != now:
+                    if calls is not None:
+                        settle()
+                    now, calls = conv, {}
+                calls.setdefault(call, []).extend(needs)
+            if out[0]:
+                yield flush()
+        if calls is not None:
+            settle()
+            yield flush()
+
+    return run
+
+
 def depths(graph: DataFrame) -> DataFrame:
-    """conv_id, call_id, depth of the calls (conv_id, call_id, needs) of conversations that turns don't order; null depth on a cycle."""
+    """conv_id, call_id, depth of the calls (conv_id, call_id, needs), a row a conversation and identifier; null depth on or behind a cycle."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
     known = F.array_compact(F.coalesce("needs", F.array().cast("array<string>")))  # a null need links to nothing
-    sized = Staged(graph.withColumn("needs", known).withColumn("n", F.count("*").over(Window.partitionBy("conv_id"))), "graph")
+    graph = Staged(graph.withColumn("needs", known), "graph").df
+    large = graph.groupBy("conv_id").agg(F.count("*").alias("n")).filter(F.col("n") > KAHN_CALLS).select(F.col("conv_id").alias("l_conv"))
+    large = Staged(large, "large").df
+    n_large = large.count()
     schema = T.StructType([graph.schema["conv_id"], T.StructField("call_id", T.StringType()), T.StructField("depth", T.IntegerType())])
-
-    def of(block: pd.DataFrame) -> pd.DataFrame:
-        merged: dict[str, list[str]] = {}
-        for c, needs in zip(block["call_id"], block["needs"], strict=True):
-            merged.setdefault(c, []).extend(needs)
-        depth = kahn(list(merged.items()))
-        return pd.DataFrame({"conv_id": block["conv_id"].iloc[0], "call_id": list(merged), "depth": pd.array([depth.get(c) for c in merged], "Int32")})
-
-    small = sized.df.filter(F.col("n") <= KAHN_CALLS).groupBy("conv_id").applyInPandas(of, schema)
-    large = sized.df.filter(F.col("n") > KAHN_CALLS)
-    return small if large.isEmpty() else small.unionByName(relaxed(large))
+    big = F.col("conv_id").eqNullSafe(F.col("l_conv"))
+    rest = graph.join(small_or_plain(large, n_large, 16), big, "left_anti") if n_large else graph
+    small = rest.repartition("conv_id").sortWithinPartitions("conv_id").mapInArrow(by_conversation(to_arrow_schema(schema, prefers_large_types=False)), schema)
+    return small.unionByName(relaxed(graph.join(small_or_plain(large, n_large, 16), big, "left_semi"))) if n_large else small
 
 
 def relaxed(graph: DataFrame) -> DataFrame:
-    """As Kahn, in rounds on tables: each round settles the calls whose needs are all settled.  Null identifiers match as values do."""
+    """As Kahn, in rounds on tables: each round settles the calls whose needs are all settled.
+
+    Null identifiers match as values do.  A round reads and writes only the
+    needs of calls that are still open; there are as many rounds as the longest
+    chain of needs has calls.
+    """
     key = lambda df: df.withColumnsRenamed({"conv_id": "k_conv", "call_id": "k_call", "depth": "d"})
     on = lambda call: F.col("conv_id").eqNullSafe(F.col("k_conv")) & F.col(call).eqNullSafe(F.col("k_call"))
-    nodes = graph.select("conv_id", "call_id").distinct()
+    spark = graph.sparkSession
+    nodes = Staged(graph.select("conv_id", "call_id").distinct(), "calls")
     edges = graph.select("conv_id", "call_id", F.explode("needs").alias("need")).distinct()
-    edges = Staged(edges.join(key(nodes), on("need"), "left_semi"), "needs")
-    done = Staged(nodes.join(key(edges.df), on("call_id"), "left_anti").withColumn("depth", F.lit(0)), "settled")
-    while True:
-        reached = edges.df.join(key(done.df), on("need"), "left")
-        found = reached.groupBy("conv_id", "call_id").agg(F.max("d").alias("deepest"), F.count(F.when(F.col("d").isNull(), 1)).alias("open")).filter("open = 0")
-        new = Staged(found.join(key(done.df), on("call_id"), "left_anti").select("conv_id", "call_id", (F.col("deepest") + 1).cast("int").alias("depth")), "round")
-        if new.df.isEmpty():
-            return nodes.join(key(done.df), on("call_id"), "left").select("conv_id", "call_id", F.col("d").alias("depth"))
-        done = Staged(done.df.unionByName(new.df), "settled")
+    edges = Staged(edges.join(key(nodes.df), on("need"), "left_semi").withColumn("known", F.lit(None).cast("int")), "needs")
+    settled = shared_path(spark, "settled")
+    front = Staged(nodes.df.join(key(edges.df.select("conv_id", "call_id").distinct()), on("call_id"), "left_anti").withColumn("depth", F.lit(0)), "front")
+    front.df.write.mode("append").parquet(settled)
+    while not front.df.isEmpty():
+        # needs that this front settles get its depth; calls without an unsettled need are the next front
+        met = edges.df.join(key(front.df), on("need"), "left").select("conv_id", "call_id", "need", F.coalesce("known", "d").alias("known"))
+        met = Staged(met, "met")
+        whole = met.df.groupBy("conv_id", "call_id").agg(F.max("known").alias("most"), F.count(F.when(F.col("known").isNull(), 1)).alias("open")).filter("open = 0")
+        new = Staged(whole.select("conv_id", "call_id", (F.col("most") + 1).cast("int").alias("depth")), "front")
+        new.df.write.mode("append").parquet(settled)
+        left = Staged(met.df.join(key(new.df), on("call_id"), "left_anti"), "needs")
+        for t in (edges, front, met):
+            t.drop()
+        edges, front = left, new
+    done = spark.read.schema(front.schema).parquet(settled)
+    return nodes.df.join(key(done), on("call_id"), "left").select("conv_id", "call_id", F.col("d").alias("depth"))
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
@@ -215,29 +290,23 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     calls: conv_id, turn, call_id, tool, arguments (JSON text), needs (array of
     call_id, of the same conversation; unknown ones are ignored).  results:
     conv_id, turn, call_id, content.  Of several results for a call the first by
-    turn counts.  position counts a conversation's calls from 0 in topological
-    order, ties by turn, call_id and arguments; calls on a cycle have none.  Calls
-    that repeat stay, each linked.  Null conversations are one conversation,
-    null identifiers link to nothing.  error names the first fault (cycle, tool,
-    JSON, schema, no result, orphan result); valid is false for faults of the
-    call itself.  Empty tables give no rows.
+    turn counts, n_results says how many there are.  position counts a
+    conversation's calls from 0 in topological order: by depth (one more than the
+    deepest call that it needs), then turn, call_id, tool and arguments; calls on
+    or behind a cycle have none.  Calls that repeat stay, each linked.  Null
+    conversations are one conversation, null identifiers link to nothing.  error
+    names the first fault (JSON, tool, schema, cycle, no result, orphan result);
+    valid is false for faults of the call itself.  Arguments that aren't strict
+    JSON, or that no text can hold again, are an error, never a failure.  Empty
+    tables give no rows.
     """
     first = results.groupBy("conv_id", "call_id").agg(F.min_by("content", F.struct("turn", "content")).alias("result"), F.min("turn").alias("r_turn"), F.count("*").alias("n_results"))
     first = first.withColumnsRenamed({"conv_id": "r_conv", "call_id": "r_call"})
     staged = Staged(calls.select(*CALLS.split(", ")), "calls")
     c = staged.df
-    # conversations in which some call needs a turn that isn't earlier
-    ids = c.groupBy("conv_id", "call_id").agg(F.max("turn").alias("n_turn")).withColumnsRenamed({"conv_id": "n_conv", "call_id": "need"})
-    edges = c.select("conv_id", "turn", F.explode("needs").alias("need")).join(ids, "need")
-    ahead = edges.filter(F.col("conv_id").eqNullSafe(F.col("n_conv")) & ~F.coalesce(F.col("n_turn") < F.col("turn"), F.lit(False))).select(F.col("conv_id").alias("a_conv")).distinct()
-    ahead = Staged(ahead, "ahead").df
-    if ahead.isEmpty():
-        c = c.withColumn("depth", F.lit(0))
-    else:
-        tangled = c.join(ahead, F.col("conv_id").eqNullSafe(F.col("a_conv")), "left_semi")
-        deep = depths(tangled.select("conv_id", "call_id", "needs")).withColumnsRenamed({"conv_id": "d_conv", "call_id": "d_call", "depth": "d"}).withColumn("tangled", F.lit(True))
-        c = c.join(deep, F.col("conv_id").eqNullSafe(F.col("d_conv")) & F.col("call_id").eqNullSafe(F.col("d_call")), "left")
-        c = c.withColumn("depth", F.when(F.col("tangled"), F.col("d")).otherwise(0)).drop("d", "tangled", "d_conv", "d_call")
+    deep = depths(c.select("conv_id", "call_id", "needs")).withColumnsRenamed({"conv_id": "d_conv", "call_id": "d_call"})
+    c = c.join(deep, F.col("conv_id").eqNullSafe(F.col("d_conv")) & F.col("call_id").eqNullSafe(F.col("d_call")), "left").drop("d_conv", "d_call", "needs")
+    c = Staged(c, "deep").df  # read twice below
     # rank by (depth, turn), in ranges: offset of the range and rank inside it
     c = c.withColumns({"range": turn_range(F.col("turn")), "open": F.col("depth").isNull()})
     place = ["conv_id", "open", "depth", "range"]
@@ -278,18 +347,21 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
 
 
 ORACLE_SQL = """
-WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text,
-             max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM conversations),
-calls AS (SELECT *, conv_id || ':' || turn AS call_id, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS words,
-             row_number() OVER (PARTITION BY conv_id ORDER BY turn, conv_id || ':' || turn, role DESC, text) - 1 AS position FROM c WHERE role IN ('user', 'system')),
+WITH RECURSIVE c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text,
+             max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior,
+             min(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM conversations),
+calls AS (SELECT *, conv_id || ':' || turn AS call_id, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS words, CAST('0x' || md5(conv_id || ':' || turn)[1:8] AS BIGINT) % 32 AS spin,
+             conv_id || ':' || CASE WHEN spin = 0 THEN later WHEN spin >= 8 THEN prior END AS need FROM c WHERE role IN ('user', 'system')),
+deep(call_id, depth) AS (SELECT call_id, 0 FROM calls WHERE need IS NULL UNION SELECT calls.call_id, deep.depth + 1 FROM calls JOIN deep ON calls.need = deep.call_id),
+placed AS (SELECT calls.*, depth, CASE WHEN depth IS NOT NULL THEN row_number() OVER (PARTITION BY conv_id, depth IS NULL ORDER BY depth, turn, calls.call_id, role DESC, text) - 1 END AS position FROM calls LEFT JOIN deep ON deep.call_id = calls.call_id),
 res AS (SELECT conv_id, turn, CASE WHEN prior IS NULL THEN 'none:' || conv_id || ':' || turn ELSE conv_id || ':' || prior END AS call_id, text FROM c WHERE role = 'assistant'),
 f AS (SELECT conv_id, call_id, arg_min(text, struct_pack(turn := turn, text := text)) AS result, min(turn) AS r_turn, count(*) AS n FROM res GROUP BY ALL)
 SELECT c.conv_id, c.turn, c.call_id, CASE WHEN role = 'user' THEN 'answer' ELSE 'configure' END AS tool, position, coalesce(n, 0) AS n_results,
-       text <> '' AND (role = 'system' OR words > 0) AS valid,
-       CASE WHEN text = '' THEN '$.prompt: too short' WHEN role = 'user' AND words = 0 THEN '$.words: out of range' WHEN n IS NULL THEN 'no result' END AS error,
+       text <> '' AND (role = 'system' OR words > 0) AND depth IS NOT NULL AS valid,
+       CASE WHEN text = '' THEN '$.prompt: too short' WHEN role = 'user' AND words = 0 THEN '$.words: out of range' WHEN depth IS NULL THEN 'cycle' WHEN n IS NULL THEN 'no result' END AS error,
        '{"arguments":{"prompt":' || to_json(text) || CASE WHEN role = 'user' THEN ',"words":' || words ELSE '' END || '},"id":' || to_json(c.call_id)
          || ',"name":"' || CASE WHEN role = 'user' THEN 'answer' ELSE 'configure' END || '","result":' || CASE WHEN n IS NULL THEN 'null' ELSE CAST(to_json(result) AS VARCHAR) END || '}' AS canonical
-FROM calls c LEFT JOIN f ON f.conv_id = c.conv_id AND f.call_id = c.call_id
+FROM placed c LEFT JOIN f ON f.conv_id = c.conv_id AND f.call_id = c.call_id
 UNION ALL
 SELECT f.conv_id, r_turn, f.call_id, NULL, NULL, n, false, 'orphan result', '{"arguments":null,"id":' || to_json(f.call_id) || ',"name":null,"result":' || to_json(result) || '}'
 FROM f WHERE NOT EXISTS (SELECT 1 FROM calls c WHERE c.conv_id = f.conv_id AND c.call_id = f.call_id)
