@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -125,16 +125,23 @@ def read_index(path: str) -> list[dict]:
 # --- tables -------------------------------------------------------------------
 
 
+def digest_of(html: str = "html") -> tuple[Column, Column]:
+    """SHA-1 and length of a page's payload."""
+    payload = F.coalesce(html, F.lit("")).cast("binary")
+    return F.sha1(payload), F.octet_length(payload)
+
+
 def references(pages: DataFrame) -> DataFrame:
-    """page_id and refers_to of the pages that revisit another: equal payloads of MIN_REVISIT bytes or more, all but the largest page_id.
+    """r_page, r_digest, refers_to: the payloads that revisit another page's: equal ones of MIN_REVISIT bytes or more, all but that of the largest page_id.
 
-    Digests are summed up by (digest, length) before they meet, so a group of
-    copies, however large, is one row by then.
+    Digests are summed up before they meet: by page and digest first, so rows
+    that repeat are one, then by digest.  The join with the sums is on a hot
+    digest only as wide as its pages, and AQE splits such a partition.
     """
-    payload = F.coalesce("html", F.lit("")).cast("binary")
-    digests = Staged(pages.select("page_id", F.sha1(payload).alias("digest"), F.octet_length(payload).alias("bytes")).filter((F.col("bytes") >= MIN_REVISIT) & F.col("page_id").isNotNull()).drop("bytes"), "digests")
+    digest, size = digest_of()
+    digests = Staged(pages.select("page_id", digest.alias("digest"), size.alias("bytes")).filter((F.col("bytes") >= MIN_REVISIT) & F.col("page_id").isNotNull()).select("page_id", "digest").distinct(), "digests")
     shared = digests.df.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return digests.df.join(shared, "digest").filter("page_id < refers_to").select(F.col("page_id").alias("r_page"), "refers_to").distinct()
+    return digests.df.join(shared, "digest").filter("page_id < refers_to").select(F.col("page_id").alias("r_page"), F.col("digest").alias("r_digest"), "refers_to")
 
 
 INDEX = T.StructType([T.StructField("path", T.StringType()), T.StructField("records", T.LongType())])
@@ -142,7 +149,11 @@ READ = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("payl
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
-    """Monolithic archives of all pages, normalised: one row a file (path, records).
+    """Monolithic archives of all pages (page_id, url, html), normalised: one row a file (path, records).
+
+    Nulls are written as the id "null", an empty url and an empty payload; no
+    pages make no file; rows that repeat are records of their own; other columns
+    aren't read.
 
     Each task writes files of its own names, by attempt, so a task that runs
     again leaves no file that the result names.  The monolithic file goes as
@@ -150,7 +161,9 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """
     bounded_batches(pages.sparkSession)
     refs = Staged(references(pages), "revisits")
-    joined = pages.select("page_id", "url", "html").join(small_or_plain(refs.df, refs.df.count(), 24), F.col("page_id") == F.col("r_page"), "left").drop("r_page")
+    # a page may stand there with several payloads: what a row refers to follows from its page and its payload
+    named = pages.select("page_id", "url", "html").withColumn("digest", digest_of()[0])
+    joined = named.join(small_or_plain(refs.df, refs.df.count(), 80), (F.col("page_id") == F.col("r_page")) & (F.col("digest") == F.col("r_digest")), "left").drop("r_page", "r_digest", "digest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -189,12 +202,16 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
 
 
 def read_archives(index: DataFrame) -> DataFrame:
-    """Every record of the archives, each fetched by its sidecar entry and checked: a response's digest and length are those of the payload read."""
+    """Every record of the archives that index (path) names, each fetched by its sidecar entry and checked: a response's digest and length are those of the payload read.
+
+    A path that stands twice is read twice, a null one not at all; an archive
+    without records gives none; other columns aren't read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         page = lambda s: None if (n := s.strip("<>").rpartition(":")[2]) == "null" else int(n)
         for b in batches:
-            for path in b.column("path").to_pylist():
+            for path in filter(None, b.column("path").to_pylist()):
                 fs, inner = file_system(path)
                 entries = read_index(path)
                 with fs.open_input_file(inner) as handle:
@@ -221,8 +238,9 @@ def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
 
     One row a page.  Null html is an empty payload, null url an empty one; a
     page with a null page_id is always a response and no one's target; rows
-    that repeat a page_id and payload are records of their own (those of the
-    largest page_id are all responses).  No pages, no archives and no rows.
+    that repeat a page_id are records of their own, with the same payload or
+    another (those of a payload's largest page_id are all responses).  No pages,
+    no archives and no rows.
     """
     spark = pages.sparkSession
     folder = folder or shared_path(spark, "warc")
