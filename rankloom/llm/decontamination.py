@@ -4,12 +4,12 @@ Words are runs of letters and digits, A-Z lower-cased; shingles are five words
 (a shorter text is one shingle).  Of an item with n distinct shingles a
 document may lack n - ceil(0.8 n), so of any n - ceil(0.8 n) + 1 of them it
 holds at least one.  Items are partitioned by size, and each partition keeps as
-MinHash sketch the smallest hashes of its items' shingles, as many as that
-bound asks of its largest item.  So the search, unlike banded MinHash, whose
+MinHash sketch the smallest hashes of its items' shingles (rare ones first), as
+many as that bound asks of its largest item.  So the search, unlike banded MinHash, whose
 Jaccard similarity vanishes for a short item inside a long document, loses no
 pair at any size.  A document is a candidate for an item if it holds a value of
-the item's sketch and has words enough for the item's partition; candidates are
-verified by exact containment, on the shingles themselves.
+the item's sketch; candidates are verified by exact containment, on the shingles
+themselves.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MARKS, Staged, lowered, small_or_plain, word_array
+from .common import MARKS, Staged, fresh, lowered, small_or_plain, word_array
 
 SHINGLE = 5
 CONTAINMENT = 0.8
@@ -37,11 +37,18 @@ def needed(n: Column) -> Column:
 
 
 def item_shingles(items: DataFrame) -> DataFrame:
-    """item_id, shingle, n_item, size_class, minhash rank; equal rows of a benchmark count once, rows of one id are one item."""
+    """item_id, shingle, hash, n_item, size_class, rank; equal rows of a benchmark count once, rows of one id are one item.
+
+    rank is the place in the item's sketch: shingles of the fewest items first,
+    then the smallest hashes.  Any order keeps the search whole; this one keeps
+    phrases that many items share (and many documents, then) out of sketches.
+    """
     distinct = shingles(items, ["item_id"]).select("item_id", "shingle").distinct()
+    common = distinct.groupBy("shingle").agg(F.count("*").alias("shared_by"))
     own = Window.partitionBy("item_id")
-    sized = distinct.withColumn("hash", F.xxhash64("shingle")).withColumn("n_item", F.count("*").over(own))
-    return sized.withColumn("rank", F.row_number().over(own.orderBy("hash", "shingle"))).withColumn("size_class", F.floor(F.log2("n_item")).cast("int"))
+    sized = distinct.join(common, "shingle").withColumn("hash", F.xxhash64("shingle")).withColumn("n_item", F.count("*").over(own))
+    ranked = sized.withColumn("rank", F.row_number().over(own.orderBy("shared_by", "hash", "shingle")))
+    return ranked.withColumn("size_class", F.floor(F.log2("n_item")).cast("int")).drop("shared_by")
 
 
 def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -49,19 +56,19 @@ def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     Texts without words (null, empty) are in no pair, nor contain anything.
     Rows of one doc_id count as one document, rows with a null doc_id too; rows
-    of one item_id as one item.  Empty tables give no rows.
+    of one item_id as one item.  An item of fewer than five words is one shingle
+    of its own length, which only a document of these very words holds: a common
+    word or two would else be found in most of a corpus.  Empty tables give no rows.
     """
     grams = Staged(item_shingles(items), "items")
-    # each size class: the longest sketch any of its items needs, the fewest words that can hold one
-    classes = grams.df.groupBy("size_class").agg(F.max(F.col("n_item") - needed(F.col("n_item")) + 1).alias("sketch"), F.min(needed(F.col("n_item"))).alias("least"))
+    # each size class: the longest sketch any of its items needs
+    classes = grams.df.groupBy("size_class").agg(F.max(F.col("n_item") - needed(F.col("n_item")) + 1).alias("sketch"))
     n_grams = grams.df.count()
-    sketch = grams.df.join(F.broadcast(classes), "size_class").filter("rank <= sketch").select("hash", "item_id", "least")
-    # one row a hash and class bound, however many items share the shingle
-    probe = sketch.groupBy("hash").agg(F.min("least").alias("least"), F.collect_set(F.struct("item_id")).alias("items"))
+    probe = grams.df.join(F.broadcast(classes), "size_class").filter("rank <= sketch").select("hash", "item_id")  # a row a power of two, at most
     text = docs.select("doc_id", "text")
-    places = shingles(text, ["doc_id"]).select("doc_id", "n_words", F.xxhash64("shingle").alias("hash"))
-    hits = places.join(small_or_plain(probe, n_grams, 64), "hash").filter(F.greatest(F.col("n_words") - (SHINGLE - 1), F.lit(1)) >= F.col("least"))
-    pairs = Staged(hits.select("doc_id", F.inline("items").alias("item_id")).distinct(), "candidates")
+    places = shingles(text, ["doc_id"]).select("doc_id", F.xxhash64("shingle").alias("hash"))
+    hits = places.join(small_or_plain(probe, n_grams, 32), "hash")
+    pairs = Staged(hits.select("doc_id", "item_id").distinct(), "candidates")
     found = pairs.df.select(F.col("doc_id").alias("c_doc")).distinct()
     n_found = found.count()
     suspects = text.join(small_or_plain(found, n_found, 16), F.col("doc_id").eqNullSafe(F.col("c_doc")), "left_semi")
@@ -75,10 +82,16 @@ def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that contain no item, with all their columns."""
-    dirty = Staged(contained(docs, items).select("doc_id").distinct().withColumnRenamed("doc_id", "__dirty"), "dirty")
+    """The documents that contain no item, with all their columns, whatever these are called.
+
+    Rows of one doc_id (null ids too) are one document: they stay or go
+    together.  Null and empty texts stay, and so does all without items; an
+    empty table gives no rows.
+    """
+    name = fresh(docs, "__dirty")
+    dirty = Staged(contained(docs, items).select("doc_id").distinct().withColumnRenamed("doc_id", name), "dirty")
     n = dirty.df.count()
-    return docs.join(small_or_plain(dirty.df, n, 16), docs["doc_id"].eqNullSafe(F.col("__dirty")), "left_anti")
+    return docs.join(small_or_plain(dirty.df, n, 16), docs["doc_id"].eqNullSafe(F.col(name)), "left_anti")
 
 
 ORACLE_SQL = """
