@@ -9,10 +9,10 @@ the size of its source repeats whole epochs first.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, Staged, small_or_plain, word_array
+from .common import SPACES, Staged, fresh, small_or_plain, word_array
 
 #: Rows of one key-range bucket, on average; more rows make more buckets.
 BUCKET_ROWS = 4_000
@@ -22,9 +22,15 @@ WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 
 
+def random_key(doc_id: Column, text: Column) -> Column:
+    """A hash of id and text: rows of one id, or of none, fall to one key only if their texts are equal too."""
+    part = lambda c: F.coalesce(c.cast("string"), F.lit("")).cast("binary")
+    return F.md5(F.concat(part(doc_id), F.lit(":").cast("binary"), F.md5(part(text)).cast("binary")))
+
+
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source and the number of whitespace words (null text: 0)."""
-    return docs.select("doc_id", "source", F.size(word_array(F.col("text"), SPACES)).cast("long").alias("size"))
+    """doc_id, source, the hash-random key and the number of whitespace words (null text: 0)."""
+    return docs.select("doc_id", "source", random_key(F.col("doc_id"), F.col("text")).alias("key"), F.size(word_array(F.col("text"), SPACES)).cast("long").alias("size"))
 
 
 def targets(per_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -55,10 +61,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
 
     Null text has size 0; a null source is a source of its own; repeated rows
     are documents of their own, and equal rows may share out their words in any
-    order.  Ties of the key fall to doc_id, then size.  The document at the cut
+    order.  Ties of the key, a hash of id and text, fall to doc_id, then size.  The document at the cut
     is taken in part, so that a source's taken words equal its rounded target.
     An empty table gives no rows.
     """
+    return shares(docs, weights, max_epochs).drop("key")
+
+
+def shares(docs: DataFrame, weights: tuple[int, ...], max_epochs: int) -> DataFrame:
+    """mix() with the hash-random key of each row."""
     staged = Staged(sizes(docs), "mix-sizes")
     per_source = Staged(staged.df.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")), "mix-sources")
     n_sources = per_source.df.count()
@@ -67,9 +78,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
         F.ceil(F.col("rows") / BUCKET_ROWS).alias("n_buckets"),
         F.least(F.floor(F.col("target") + 0.5), F.lit(max_epochs) * F.col("source_size")).cast("long").alias("budget"),
     )
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     keyed = staged.df.join(small_or_plain(goal, n_sources, 200), F.col("source").eqNullSafe(F.col("s_source"))).drop("s_source")
-    keyed = keyed.withColumn("key", key).withColumn("bucket", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / 4294967296.0 * F.col("n_buckets")))
+    keyed = keyed.withColumn("bucket", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / 4294967296.0 * F.col("n_buckets")))
     # a source that is null shares no bucket with one that is empty
     keyed = keyed.withColumns({"s_null": F.col("source").isNull(), "s_name": F.coalesce("source", F.lit(""))})
     place = ["s_null", "s_name", "bucket"]
@@ -81,12 +91,41 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("budget") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = F.col("budget") - epochs * F.col("source_size")
     taken = epochs * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - F.col("before")))
-    return placed.select("doc_id", "source", "size", "source_size", "target", "budget", taken.alias("taken"))
+    return placed.select("doc_id", "source", "key", "size", "source_size", "target", "budget", taken.alias("taken"))
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """The documents of which the mix takes words, with all their columns, and size and taken (under new names if docs has these).
+
+    taken counts repeats: a document of 100 words of which 250 are taken goes in
+    twice and a half.  Documents meet their share by source and key, once more
+    than those only where rows are equal in id, text and source: such rows share
+    out their words in any order.  Nulls, empty texts and repeated rows are as
+    in :func:`mix`; an empty table gives no rows.
+    """
+    size, taken, k, s, n = (fresh(docs, c) for c in ("size", "taken", "__key", "__source", "__nth"))
+    share = Staged(shares(docs, weights, max_epochs).select(F.col("key").alias(k), F.col("source").alias(s), F.col("size").alias(size), F.col("taken").alias(taken)), "mix").df
+    held = docs.withColumn(k, random_key(F.col("doc_id"), F.col("text")))
+    repeated = Staged(share.groupBy(k, s).agg(F.count("*").alias(n)).filter(F.col(n) > 1).drop(n), "mix-repeated").df
+    same = lambda left, right: (left[k] == right[k]) & left["source"].eqNullSafe(right[s])
+    n_repeated = repeated.count()
+    wanted = share.filter(F.col(taken) > 0)
+    if not n_repeated:
+        return held.join(wanted, same(held, wanted)).drop(k, s)
+    few = small_or_plain(repeated, n_repeated, 64)
+    alike = lambda left: (left[k] == few[k]) & left[s].eqNullSafe(few[s])
+    alone = wanted.join(few, alike(wanted), "left_anti")
+    single = held.join(alone, same(held, alone)).drop(k, s)
+    twice, parts = held.join(few, same(held, few), "left_semi"), share.join(few, alike(share), "left_semi")
+    twice = twice.withColumn(n, F.row_number().over(Window.partitionBy(k, "source").orderBy(k)))
+    parts = parts.withColumn(n, F.row_number().over(Window.partitionBy(k, s).orderBy(F.desc(taken)))).withColumnRenamed(n, f"{n}r")
+    both = twice.join(parts, same(twice, parts) & (twice[n] == parts[f"{n}r"])).filter(F.col(taken) > 0)
+    return single.unionByName(both.drop(k, s, n, f"{n}r"))
 
 
 #: The same rows by one window a source.  sizes_sql: a query of doc_id, source, text.
 MIX_SQL = """
-WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM {docs}),
+WITH d AS (SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS key, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM {docs}),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
              CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w
       FROM d GROUP BY source),
@@ -98,7 +137,7 @@ f AS (SELECT arg_min(level, ratio) AS level FROM l WHERE level * w <= cap),
 t AS (SELECT l.source, l.source_size, CASE WHEN f.level IS NULL THEN CAST(l.cap AS DOUBLE) ELSE least(f.level * l.w, CAST(l.cap AS DOUBLE)) END AS target FROM l, f),
 k AS (SELECT d.doc_id, d.size, t.source_size, t.target,
              least(CAST(floor(t.target + 0.5) AS BIGINT), 3 * t.source_size) AS budget,
-             coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(CAST(d.doc_id AS VARCHAR), '')), d.doc_id NULLS FIRST, d.size
+             coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id NULLS FIRST, d.size
                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 e AS (SELECT *, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END AS epochs FROM k)
