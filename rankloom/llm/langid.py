@@ -23,8 +23,8 @@ from .sampling import capped, thinned
 
 N = (1, 2, 3, 4)
 BITS = 17  # of an n-gram's place in the presence vector
-#: Documents a language that the model is fitted on, at most.
-PER_LANGUAGE = 400
+#: Documents a language that the model is fitted on, at most, and bytes of their n-grams' places.
+PER_LANGUAGE, LANGUAGE_BYTES = 400, 32 << 20
 #: Landmarks a language.
 LANDMARKS = 32
 RIDGE = 1e-2
@@ -33,10 +33,15 @@ UNKNOWN = "und"
 #: Less certain texts are rejected as of no known language.
 MIN_SCORE = 0.3
 BATCH = 64
-LETTER = re.compile(r"[^\W\d_]")
+SIGN = re.compile(r"[^\W\d_]")
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def has_letter(text: str | None) -> bool:
+    """Some character is of a letter category; signs such as a half or a circled one are word characters, but no letters."""
+    return bool(text) and any(m[0].isalpha() for m in SIGN.finditer(text))
+
+
 def presence(text: str, out: np.ndarray) -> None:
     """Set the places of a text's n-grams in a row of zeros (uint8)."""
     cp = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -61,7 +66,7 @@ class Model:
         names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
         if not self.languages:
             return names, scores
-        known = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
+        known = [i for i, t in enumerate(texts) if has_letter(t)]
         x = np.zeros((BATCH, 1 << BITS), np.uint8)
         for at in range(0, len(known), BATCH):
             some = known[at : at + BATCH]
@@ -112,12 +117,12 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
         grams, row = [], np.zeros(1 << BITS, np.uint8)
         for t in b.column("text").to_pylist():
             row[:] = 0
-            if LETTER.search(t):
+            if has_letter(t):
                 presence(t, row)
             grams.append(np.flatnonzero(row).astype(np.int32).tobytes())
         return {"doc_id": b.column("doc_id"), "lang": b.column("lang"), "grams": grams}
 
-    some = capped(map_texts(rows, of, schema).filter("octet_length(grams) > 0"), "lang", per_language).collect()
+    some = capped(map_texts(rows, of, schema).filter("octet_length(grams) > 0"), "lang", per_language, "grams", LANGUAGE_BYTES).collect()
     some.sort(key=lambda r: (r["lang"], str(r["doc_id"])))
     return solve([np.frombuffer(r["grams"], np.int32) for r in some], [r["lang"] for r in some])
 
@@ -150,7 +155,12 @@ def predictions(docs: DataFrame) -> DataFrame:
 
 
 def known_language(docs: DataFrame) -> DataFrame:
-    """The documents of some learned language, with all their columns; those of none go.  One pass, no shuffle."""
+    """The documents of some learned language, with all their columns, whatever these are called; those of none go.  One pass, no shuffle.
+
+    Of no language are texts that are null or without a letter, and those whose
+    best language scores below MIN_SCORE, the stage's rule.  Nothing learned,
+    nothing kept; rows that repeat stay or go alike; an empty table gives no rows.
+    """
     model = ship(docs.sparkSession, fit(docs.filter(in_training(F.col("doc_id")))))
     name = fresh(docs, "__known")
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.BooleanType())])

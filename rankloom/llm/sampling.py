@@ -24,7 +24,9 @@ def thinned(labelled: DataFrame, label: str, per_class: int) -> DataFrame:
     return labelled.filter(position(F.col("doc_id")) < share[F.col(label)])
 
 
-def capped(rows: DataFrame, label: str, per_class: int) -> DataFrame:
-    """The first per_class rows of each label, by the ids' places: the strict bound."""
-    order = Window.partitionBy(label).orderBy(position(F.col("doc_id")), "doc_id")
-    return rows.withColumn("__rank", F.row_number().over(order)).filter(F.col("__rank") <= per_class).drop("__rank")
+def capped(rows: DataFrame, label: str, per_class: int, data: str, most: int) -> DataFrame:
+    """The first per_class rows of each label, by the ids' places, as long as their data column holds no more bytes than ``most``: the strict bounds."""
+    order = Window.partitionBy(label).orderBy(position(F.col("doc_id")), "doc_id", data)
+    few = rows.withColumn("__rank", F.row_number().over(order)).filter(F.col("__rank") <= per_class)
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    return few.withColumn("__bytes", F.sum(F.octet_length(data)).over(upto)).filter(F.col("__bytes") <= most).drop("__rank", "__bytes")
