@@ -4,6 +4,7 @@ import pytest
 from compare import canonical, connection, same
 
 from rankloom.llm import catalog, decontamination, licenses, mixing, toolcalls, warc
+from rankloom.llm.common import words_of
 
 QUERIES, ORACLE = catalog.queries(), catalog.oracle_sql()
 
@@ -36,6 +37,20 @@ def test_license_text_with_changes(spark):
     assert got[1]["score"] == 1.0 and 0.7 < got[2]["score"] < 1.0 and len(got[2]["spans"]) == 1
 
 
+def test_license_behind_its_own_words(spark):
+    """Gram hits that lie before a license, on neighbouring diagonals, aren't part of its span."""
+    whole = dict(licenses.TEXTS)["mit"].split()
+    gap = ["filler"] * (licenses.WORD_GAP + 1)
+    texts = {1: whole[:5] * 100 + whole, 2: whole, 3: whole[:5] * 100, 4: whole[:30] + gap + whole[30:], 5: whole + whole, 6: ["mit"] * 4 + ["license"] + ["mit", "license"] * 3, 7: whole[40:] + whole[:40]}
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in texts.items()], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.scan(docs).collect()}
+    assert [got[i]["labels"] for i in range(1, 8)] == ["mit", "mit", "", "mit", "mit", "mit", "mit"]
+    assert got[1]["score"] == got[2]["score"] == got[5]["score"] == 1.0 and got[6]["n_base"] == 4
+    assert [(x["first"], x["last"]) for x in got[1]["spans"] if x["last"] - x["first"] > 20] == [(500, 500 + len(whole) - 1)]
+    assert len(got[4]["spans"]) == len([x for x in got[5]["spans"] if x["last"] - x["first"] > 20]) == 2
+    against(licenses.scan(docs).drop("spans"), licenses.oracle_sql(), documents=docs)
+
+
 def test_odd_mixing(odd_docs, no_docs):
     against(mixing.mix(odd_docs).drop("source", "budget"), mixing.MIX_SQL.format(docs="documents"), documents=odd_docs.select("doc_id", "text", "source"))
     assert mixing.mix(no_docs).count() == 0
@@ -51,6 +66,39 @@ def test_mix_meets_every_budget(spark, sf_dir, monkeypatch):
     same(mixing.mix(docs).drop("source", "budget"), mixing.MIX_SQL.format(docs="documents"), sf_dir)
 
 
+def test_mixed_documents_keep_their_columns(spark, odd_docs, no_docs):
+    """Each row goes in with the words that the mix takes, rows that are equal share theirs out."""
+    got = mixing.mixed(odd_docs)
+    assert got.columns == [*odd_docs.columns, "size_", "taken"]
+    rows = got.collect()
+    want = sorted((str(r["doc_id"]), r["source"] or "", r["size"], r["taken"]) for r in mixing.mix(odd_docs).filter("taken > 0").collect())
+    assert sorted((str(r["doc_id"]), r["source"] or "", r["size_"], r["taken"]) for r in rows) == want and len(want) > 3
+    texts = {(r["doc_id"], r["text"]) for r in odd_docs.collect()}
+    assert all((r["doc_id"], r["text"]) in texts and r["size_"] == len(words_of(r["text"])) for r in rows)
+    assert mixing.mixed(no_docs).count() == 0
+
+
+def test_hot_ids_spread_over_key_ranges(spark, monkeypatch):
+    """Rows without an id, and of one id, are dealt by their texts."""
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 10)
+    docs = spark.range(900).selectExpr("CASE WHEN id % 3 = 0 THEN id WHEN id % 3 = 1 THEN 7L END AS doc_id", "concat('a b ', id) AS text", "'s' AS source")
+    assert docs.select(mixing.random_key(docs["doc_id"], docs["text"]).alias("k")).distinct().count() == 900
+    against(mixing.mix(docs).drop("source", "budget"), mixing.MIX_SQL.format(docs="documents"), documents=docs)
+
+
+def test_item_over_rows_of_one_document(spark):
+    item = [f"t{i}" for i in range(24)]  # 20 shingles
+    boiler = "answer the following question with one word only please".split()
+    rows = [(1, " ".join(item[:14])), (1, " ".join(item[10:])), (2, " ".join(item[:14])), (3, " ".join(["x"] * 50 + boiler)), (4, " ".join(boiler + item))]
+    items = spark.createDataFrame([(9, " ".join(item))] + [(i, " ".join(boiler + [f"u{i}v{k}" for k in range(4)])) for i in range(20, 60)], "item_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS __dirty", "2 AS item_id", "3 AS shingle")
+    got = decontamination.contained(docs, items)
+    assert sorted((r["doc_id"], r["item_id"]) for r in got.collect()) == [(1, 9), (4, 9)]
+    against(got, decontamination.ORACLE_SQL, documents=docs.select("doc_id", "text"), benchmark=items)
+    kept = decontamination.clean(docs, items)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 3]
+
+
 def test_odd_decontamination(spark, odd_docs, no_docs):
     items = spark.createDataFrame([(1, "Released under the MIT license general public"), (2, None), (3, ""), (4, "four"), (4, "four"), (None, "no id at all but words"), (5, "w0x0 w1x1 w2x2 w3x3 w4x4 w5x5")], "item_id long, text string")
     against(decontamination.contained(odd_docs, items), decontamination.ORACLE_SQL.replace("USING (shingle) JOIN n USING (item_id)", "USING (shingle) JOIN n ON n.item_id IS NOT DISTINCT FROM bs.item_id").replace("SELECT doc_id, item_id, n_item", "SELECT doc_id, bs.item_id AS item_id, n_item").replace("GROUP BY doc_id, item_id, n_item", "GROUP BY doc_id, bs.item_id, n_item"), documents=odd_docs.select("doc_id", "text"), benchmark=items)
@@ -78,6 +126,15 @@ def test_odd_pages(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_pages_of_one_id_with_other_payloads(spark):
+    same_, other, small = "é" * 600, "z" * 1500, "tiny"
+    rows = [(1, "u", same_), (1, "u", other), (1, "u", small), (9, "u", same_), (2, "u", "q" * 1000), (3, "u", "q" * 1000), (2, "u", same_), (2, "u", "q" * 1000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    against(warc.round_trip(pages).drop("archive", "offset", "length"), warc.ORACLE_SQL, pages=pages)
+    got = sorted((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.round_trip(pages).collect() if r["page_id"] == 1)
+    assert got == [(1, 4, "response", None), (1, 1200, "revisit", 9), (1, 1500, "response", None)]
+
+
 def test_normaliser(tmp_path):
     import gzip
     import io
@@ -155,6 +212,33 @@ def test_order_with_nulls_is_the_same_on_tables(spark, monkeypatch):
     assert linked() == small
 
 
+@pytest.mark.parametrize(("text", "wrong"), [('{"a": 1e400}', "not JSON"), ('{"a": "\\ud800"}', "not JSON"), ('{"a": "\\ud83d\\ude00"}', None), ("[" * 101 + "]" * 101, "nested too deep"), ("[" * 100 + "]" * 100, None), ("[" * 200_000, "nested too deep"), ('{"a": NaN}', "not JSON"), ('{"a": ' + "1" * 5000 + "}", "not JSON")])
+def test_odd_arguments(text, wrong):
+    value, error = toolcalls.parsed(text)
+    assert error == wrong and (toolcalls.canonical(value).encode() if error is None else value is None)
+
+
+def test_odd_arguments_are_errors_not_failures(spark):
+    texts = ['{"a": 1e400}', '{"a": "\\ud800"}', "[" * 3000 + "]" * 3000]
+    calls = spark.createDataFrame([(1, i, f"c{i}", "add", t, []) for i, t in enumerate(texts)], CALLS)
+    rows = toolcalls.link(calls, spark.createDataFrame([], RESULTS), SCHEMAS).collect()
+    assert sorted(r["error"] for r in rows) == ["nested too deep", "not JSON", "not JSON"] and not any(r["valid"] for r in rows)
+
+
+def test_needs_that_turns_do_not_order(spark, monkeypatch):
+    """The query on a large conversation, in many ranges and by rounds, has SQL's order and cycles."""
+    n = 600
+    rows = [(c, i, ("user", "assistant")[i % 2], f"t{i}") for c in (1, 2) for i in range(n)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    monkeypatch.setattr(toolcalls, "RANGE", 7)
+    got = lambda: toolcalls.link(*toolcalls.turns_as_calls(df), toolcalls.TURN_SCHEMAS)
+    against(got(), toolcalls.ORACLE_SQL, conversations=df)
+    found = [r["error"] for r in got().collect()]
+    assert 0 < found.count("cycle") < n / 4
+    monkeypatch.setattr(toolcalls, "KAHN_CALLS", 10)
+    against(got(), toolcalls.ORACLE_SQL, conversations=df)
+
+
 def test_calls_written_in_messages(spark):
     text = '{"tool_calls": [{"id": "i", "name": "add", "arguments": "{\\"a\\": 1}"}]}'
     m = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", text), (1, 2, "tool", '{"tool_call_id": "i", "content": "2"}'), (1, 3, "assistant", "plain")], "conv_id long, turn long, role string, text string")
