@@ -373,6 +373,49 @@ def test_odd_toxicity(spark, odd_docs, no_docs):
     assert toxicity.predictions(no_docs, some).count() == 0
 
 
+@pytest.mark.parametrize("words", [40, 150, 900])
+def test_recall_of_near_copies_at_several_edit_rates(spark, words):
+    """Pairs planted at falling similarity, amid texts that share a passage with them: all at 0.8 or more link, against brute force."""
+    rng = random.Random(words)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    passage, rows, number = [word() for _ in range(30)], [], iter(range(100_000))
+    for share in (0.002, 0.005, 0.01, 0.015, 0.02, 0.03, 0.05):
+        for _ in range(25):
+            seed = [word() for _ in range(words)]
+            other = list(seed)
+            for k in rng.sample(range(words), max(1, round(words * share))):
+                kind = rng.randrange(3)
+                other[k] = "" if kind == 0 else word() if kind == 1 else other[k] + " " + word()
+            rows += [(next(number), " ".join(passage + seed)), (next(number), " ".join(passage + other))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for w in (words_of(t) for _, t in rows)]
+    linked = {(u, v) for u, v in ((r["u"], r["v"]) for r in similar.similar_links(docs).collect())}
+    wanted = [(i + 1, i) for i in range(0, len(rows), 2) if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])]
+    assert len(wanted) >= 50 and set(wanted) == linked
+
+
+def test_blocks_come_back_until_they_are_done(spark, monkeypatch):
+    """Many unlike texts in one block, few partners a round: links hide behind partners that fail."""
+    monkeypatch.setattr(similar, "FIRST", 1)
+    monkeypatch.setattr(similar, "GROWTH", 2)
+    monkeypatch.setattr(similar, "WHOLE_SLACK", 0.4)  # sketches that settle next to nothing
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    base, rows = [word() for _ in range(60)], []
+    for i in range(60):
+        w = list(base)
+        for k in rng.sample(range(60), rng.randrange(0, 5)):
+            w[k] = word()
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in similar.dedup(docs).collect()} == plain_groups(rows)
+
+
+def test_ids_that_are_no_numbers_are_an_error(spark):
+    with pytest.raises(TypeError, match="doc_id is string"):
+        similar.dedup(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
+
+
 def test_sketches_pass_similar_sets_and_stop_unlike_ones():
     rng = np.random.default_rng(3)
     sets = []
@@ -384,7 +427,7 @@ def test_sketches_pass_similar_sets_and_stop_unlike_ones():
     sizes = np.array([len(s) for s in sets])
     seen = similar.Sketches([similar.sketch_of(s) for s in sets], sizes)
     for i, s in enumerate(sets):
-        got = seen.alike(i, np.arange(len(sets)))
+        got, sure = seen.alike(i, np.arange(len(sets)))
         for k, other in enumerate(sets):
             shared = len(np.intersect1d(s, other))
             true = shared / (len(s) + len(other) - shared)
@@ -392,3 +435,5 @@ def test_sketches_pass_similar_sets_and_stop_unlike_ones():
                 assert got[k]
             if true < 0.5:
                 assert not got[k]
+            assert not sure[k] or true >= similar.SIMILARITY
+        assert sure[i] or sizes[i] > similar.SKETCH
