@@ -2,7 +2,9 @@
 
 Each stage takes what the one before it kept, written as Parquet and read
 again: quality rules, language identification, near-duplicates, benchmark
-decontamination, and the mix of sources.
+decontamination, and the mix of sources.  Null and empty texts fail the quality
+rules; rows that repeat are told apart by no stage but the third, which keeps
+one; other columns may have any name; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,8 +36,8 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words that the mix takes of each document; documents of which it takes none go."""
-    return mixing.mix(docs).filter("taken > 0")
+    """The documents of the mix, with their number of words and how many of them it takes, repeats counted; documents of which it takes none go."""
+    return mixing.mixed(docs)
 
 
 STAGES = [
@@ -51,8 +53,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents of ``sf_dir``; what a stage wrote goes once the next one has written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = Staged(stage(spark, docs, sf_dir), name).df
+        after = Staged(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            before.drop()
+        docs, before = after.df, after
     return STAGES[-1][1](spark, docs, sf_dir)
