@@ -296,10 +296,11 @@ def similar_links(docs: DataFrame) -> DataFrame:
     copies = table.df.select("doc_id", "digest").join(classes.df.select("digest", "id"), "digest").filter("doc_id <> id").select(F.col("doc_id").alias("u"), F.col("id").alias("v"))
     copies = Staged(copies.distinct(), "copies")
     table.drop()
-    # only members of blocks of two or more go on: most texts are like no other
-    keyed = classes.df.select("id", "fp", "size", F.explode("bands").alias("key"))
-    full = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key")
-    keyed = Staged(keyed.join(full, "key").dropDuplicates(["key", "id"]), "blocks")
+    # only members of blocks of two or more go on: most texts are like no other; of blocks with the same members one does
+    keyed = classes.df.select("id", "fp", "size", F.xxhash64("digest").alias("text"), F.explode("bands").alias("key"))
+    full = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n"), F.bit_xor("text").alias("members")).filter("lo < hi")
+    full = full.groupBy("lo", "hi", "n", "members").agg(F.min("key").alias("key")).select("key")
+    keyed = Staged(keyed.drop("text").join(full, "key").dropDuplicates(["key", "id"]), "blocks")
     sketches = Staged(classes.df.groupBy("id").agg(F.max_by("sketch", "size").alias("sketch")).join(keyed.df.select("id").distinct(), "id", "left_semi"), "sketches")
     classes.drop()
     judged, open_keys, stars, most = [], None, None, FIRST
