@@ -1,16 +1,18 @@
 """Brown class-based n-gram scoring (operator 3).
 
 P(text) is a product over tokens of P(class | class before) * P(word | class).
-Exchange clustering gives words their classes: each round moves words to the
-class where the likelihood of all class bigrams gains most, and keeps a round
-only if the likelihood of the whole rose.
+Exchange clustering gives words their classes: in a round words move to the
+class where the likelihood of all class bigrams gains most; a round that loses
+likelihood is taken back and tried with fewer of its moves, and rounds end when
+they gain next to nothing.
 
 Words fall in two parts.  A *head* word makes up at least HEAD_SHARE of all
 training tokens, so there are at most 1 / HEAD_SHARE of them whatever the size
 of the corpus: their classes may stand on every machine.  The open-ended *tail*
-is never gathered: its classes follow from a word's last two letters, its
-counts stay in a table, and texts meet it by a join.  Bigram counts, too, are a
-table of all training tokens; a round reads it once.
+is never gathered: tail words of one ending move between classes together, by
+the contexts of all of them; each word's count stays in a table, and texts meet
+it by a join.  Bigram counts, too, are a table of all training tokens; a round
+reads it once.
 """
 
 from __future__ import annotations
@@ -30,16 +32,20 @@ from .common import SPACES, Staged, ascii_lower, bounded_batches, lowered, map_t
 
 END = " "  # no word holds a space
 HEAD_SHARE = 1e-5
-CLASSES = 48
-TAILS = 16
-ROUNDS = 4
+CLASSES = 64
+#: Groups of tail words, and letters of the ending that says which.
+TAILS, ENDING = 2048, 3
+#: Two rounds in a row that gain no larger share of the likelihood end the exchange; no more rounds than these are made.
+TOLERANCE, ROUNDS = 2e-3, 10
+#: Share of the moves that a round makes at first, and the least it tries after losses.
+SHARE, LEAST_SHARE = 0.5, 0.1
 #: Pseudo-count with which class bigrams lean on class unigrams.
 LEAN = 50.0
 BLOCKS = 64
-#: Bytes of text that one worker turns into words at once.
-SLICE_CHARS = 2 << 20
+#: Bytes of text that one worker turns into words at once, and words that it counts before it passes the counts on.
+SLICE_CHARS, COUNTED = 2 << 20, 200_000
 
-KINDS = CLASSES + 1 + TAILS  # clusters, the end, tails
+KINDS = CLASSES + 1  # clusters, the end
 PAIR = T.StructType([T.StructField("pair", T.LongType()), T.StructField("n", T.LongType())])
 PAIR_ARROW = pa.schema([("pair", pa.int64()), ("n", pa.int64())])
 
@@ -49,16 +55,16 @@ def in_training(doc_id: Column) -> Column:
     return F.coalesce(remainder(doc_id, 5) != 1, F.lit(False))
 
 
-def tail_class(word: str) -> int:
-    return zlib.crc32(word[-2:].encode()) % TAILS
+def tail_group(ending: str) -> int:
+    return zlib.crc32(ending.encode()) % TAILS
 
 
-def tail_class_column(word: Column) -> Column:
-    return (F.crc32(F.substring(word, -2, 2).cast("binary")) % TAILS).cast("int")
+def tail_group_column(word: Column) -> Column:
+    return (F.crc32(F.substring(word, -ENDING, ENDING).cast("binary")) % TAILS).cast("int")
 
 
 class Lexicon:
-    """Numbers of symbols: head words from 0, the end, then tail classes."""
+    """Numbers of symbols: head words from 0, the end, then groups of tail words."""
 
     def __init__(self, words: list[str]):
         self.words = words
@@ -83,11 +89,12 @@ class Lexicon:
             ids = [get(x, -1) for x in w]
             tail = [x for x, i in zip(w, ids, strict=True) if i < 0]
             if tail:
-                for x in tail:
-                    if (s := x[-2:]) not in suffix:
-                        suffix[s] = end + 1 + tail_class(x)
-                rest = iter(tail)
-                ids = [i if i >= 0 else suffix[next(rest)[-2:]] for i in ids]
+                endings = [x[-ENDING:] for x in tail]
+                for x in endings:
+                    if x not in suffix:
+                        suffix[x] = end + 1 + tail_group(x)
+                rest = map(suffix.__getitem__, endings)
+                ids = [i if i >= 0 else next(rest) for i in ids]
             flat += ids
             flat.append(end)
             sizes.append(len(w) + 1)
@@ -95,19 +102,37 @@ class Lexicon:
         return np.array(flat, np.int64), np.array(sizes, np.int64), tails
 
     def start_classes(self) -> np.ndarray:
-        """Class of each symbol before clustering: head words by frequency in turn."""
-        return np.concatenate([np.arange(self.end) % CLASSES, [CLASSES], CLASSES + 1 + np.arange(TAILS)])
+        """Class of each symbol before clustering: head words by frequency in turn, tail groups in turn; the end has its own."""
+        return np.concatenate([np.arange(self.end) % CLASSES, [CLASSES], np.arange(TAILS) % CLASSES])
 
 
 # --- counting -------------------------------------------------------------------
 
 
 def word_counts(docs: DataFrame) -> Staged:
-    """word, n of all training tokens, ends included."""
-    taught = docs.filter(in_training(F.col("doc_id")))
-    words = taught.select(F.explode(word_array(lowered(F.col("text")), SPACES)).alias("word"))
-    ends = taught.agg(F.count("*").alias("n")).filter("n > 0").select(F.lit(END).alias("word"), "n")
-    return Staged(words.groupBy("word").agg(F.count("*").alias("n")).unionByName(ends), "words")
+    """word, n of all training tokens, ends included; counted on the way in batches of texts, so that few rows shuffle."""
+    bounded_batches(docs.sparkSession)
+
+    def run(batches):
+        count: Counter[str] = Counter()
+
+        def full():
+            out = pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], names=["word", "n"])
+            count.clear()
+            return out
+
+        for b in slices(batches, SLICE_CHARS):
+            for t in b.column("text").to_pylist():
+                if t:
+                    count.update(words_of(ascii_lower(t)))
+            count[END] += b.num_rows
+            if len(count) > COUNTED:
+                yield full()
+        if count:
+            yield full()
+
+    taught = docs.filter(in_training(F.col("doc_id"))).select("text")
+    return Staged(taught.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
 
 
 def bigram_counts(docs: DataFrame, lexicon: Lexicon) -> Staged:
@@ -201,8 +226,8 @@ def best_class(m: np.ndarray, now: int, after: np.ndarray, before: np.ndarray, i
 MOVES = T.StructType([T.StructField("symbol", T.IntegerType()), T.StructField("best", T.IntegerType()), T.StructField("gain", T.DoubleType())])
 
 
-def moves(vectors: DataFrame, m: np.ndarray, classes: np.ndarray, head: int, turn: int) -> list:
-    """Best moves of the head words whose turn it is; at most 1 / HEAD_SHARE rows reach the driver."""
+def moves(vectors: DataFrame, m: np.ndarray, classes: np.ndarray, end: int) -> list:
+    """Best moves of head words and tail groups; at most 1 / HEAD_SHARE + TAILS rows reach the driver."""
     shared = ship(vectors.sparkSession, (m, classes))
 
     def of(block: pd.DataFrame) -> pd.DataFrame:
@@ -216,28 +241,40 @@ def moves(vectors: DataFrame, m: np.ndarray, classes: np.ndarray, head: int, tur
                 out.append((symbol, best, gain))
         return pd.DataFrame(out, columns=["symbol", "best", "gain"])
 
-    mine = vectors.filter((F.col("symbol") < head) & (F.pmod(F.xxhash64("symbol"), F.lit(2)) == turn % 2))
-    return mine.groupBy(F.pmod(F.hash("symbol"), F.lit(BLOCKS))).applyInPandas(of, MOVES).collect()
+    return vectors.filter(F.col("symbol") != end).groupBy(F.pmod(F.hash("symbol"), F.lit(BLOCKS))).applyInPandas(of, MOVES).collect()
+
 
+def cluster(bigrams: DataFrame, lexicon: Lexicon, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """Class of each symbol, counts of class bigrams, and the likelihood of each round kept.
 
-def cluster(bigrams: DataFrame, lexicon: Lexicon, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Class of each symbol and counts of class bigrams.  Half of the words may move in a round; a round that loses ends it."""
-    classes, best = lexicon.start_classes(), None
+    A round makes a share of the moves that its state asks for, drawn anew each
+    time, as moves made together miss each other.  One that loses is taken back
+    and halves the share; too small a share, or two rounds in a row that gain
+    less than the tolerance, end the exchange.
+    """
+    classes, kept, share, quiet, asked = lexicon.start_classes(), None, SHARE, 0, []
+    history: list[float] = []
     for turn in range(rounds + 1):
         vectors = class_vectors(bigrams, lexicon.size, classes)
         m = class_matrix(vectors.df, classes)
         score = likelihood(m)
-        lost = best is not None and score <= best[0]
-        if not lost:
-            best = (score, classes, m)
-        if not lost and turn < rounds:
-            classes = classes.copy()
-            for symbol, to, _ in moves(vectors.df, m, classes, lexicon.end, turn):
-                classes[symbol] = to
+        if kept is not None and score <= kept[0]:
+            share /= 2
+        else:
+            quiet = quiet + 1 if kept is not None and score - kept[0] < tolerance * abs(kept[0]) else 0
+            kept = score, classes, m
+            history.append(score)
+            if quiet < 2 and turn < rounds:
+                asked = sorted((r["symbol"], r["best"]) for r in moves(vectors.df, m, classes, lexicon.end))
         vectors.drop()
-        if lost:
+        if quiet == 2 or share < LEAST_SHARE or not asked:
             break
-    return best[1], best[2]
+        drawn = np.random.default_rng(turn).random(len(asked)) < share
+        classes = kept[1].copy()
+        for (symbol, to), now in zip(asked, drawn, strict=True):
+            if now:
+                classes[symbol] = to
+    return kept[1], kept[2], history
 
 
 # --- the model ------------------------------------------------------------------
@@ -247,19 +284,16 @@ class Model:
     """Logarithms (base 10) of transitions, of head words' emissions, and the sums that base scores need."""
 
     def __init__(self, lexicon: Lexicon, counts: np.ndarray, classes: np.ndarray, m: np.ndarray, tails: np.ndarray, total: int, distinct: int):
-        """counts: of head words and the end; tails: (TAILS, 2) tokens and distinct words of each tail class."""
+        """counts: of head words and the end; tails: (TAILS, 2) tokens and distinct words of each group of tail words."""
         self.lexicon, self.classes, self.total, self.distinct = lexicon, classes, total, distinct
         unigram = (m.sum(axis=0) + 0.5) / (m.sum() + 0.5 * KINDS)
         self.transition = np.log10((m + LEAN * unigram) / (m.sum(axis=1, keepdims=True) + LEAN))
-        size = np.zeros(CLASSES + 1)
-        words = np.zeros(CLASSES + 1)
-        own = classes[: lexicon.end + 1]
-        np.add.at(size, own, counts)
-        np.add.at(words, own, 1)
-        emit = np.log10(counts + 0.5) - np.log10(np.maximum(size + 0.5 * words, 0.5))[own]
-        # what the join adds for a tail word is log10(n + 0.5)
-        self.emission = np.concatenate([emit, -np.log10(tails[:, 0] + 0.5 * (tails[:, 1] + 1))])
-        self.logs = np.concatenate([np.log10(counts + 0.5), np.zeros(TAILS)])
+        size, words = np.zeros(KINDS), np.zeros(KINDS)
+        np.add.at(size, classes, np.concatenate([counts, tails[:, 0]]))
+        np.add.at(words, classes, np.concatenate([np.ones(len(counts)), tails[:, 1]]))
+        room = np.log10(size + 0.5 * (words + 1))[classes]  # half a token is left to a word that no one has seen
+        self.logs = np.concatenate([np.log10(counts + 0.5), np.zeros(TAILS)])  # what the join adds for a tail word is log10(n + 0.5)
+        self.emission = self.logs - room
         self.base = -math.log10(total + 0.5 * (distinct + 1))
 
     def read(self, texts: list[str | None]) -> dict:
@@ -283,11 +317,11 @@ def train(docs: DataFrame) -> tuple[Model, Staged]:
     ends = counts.df.filter(F.col("word") == END).first()
     lexicon = Lexicon([r["word"] for r in head])
     bigrams = bigram_counts(docs, lexicon)
-    classes, m = cluster(bigrams.df, lexicon)
+    classes, m, _ = cluster(bigrams.df, lexicon)
     bigrams.drop()
     tails = np.zeros((TAILS, 2))
     low = counts.df.filter((F.col("n") < cut) & (F.col("word") != END))
-    for kind, n, words in low.groupBy(tail_class_column(F.col("word"))).agg(F.sum("n"), F.count("*")).collect():
+    for kind, n, words in low.groupBy(tail_group_column(F.col("word"))).agg(F.sum("n"), F.count("*")).collect():
         tails[kind] = n, words
     known = np.array([r["n"] for r in head] + [ends["n"] if ends else 0], np.float64)
     return Model(lexicon, known, classes, m, tails, int(total), int(distinct)), counts

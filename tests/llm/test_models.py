@@ -265,6 +265,69 @@ def test_odd_scores(spark, odd_docs, no_docs):
     assert sorted((r["n_tokens"], r["n_known"], r["train_tokens"]) for r in brown.score(untaught).collect()) == [(1, 0, 0), (3, 0, 0)]
 
 
+def test_scores_are_those_of_the_class_model(spark, monkeypatch):
+    """Counts, transitions and emissions made anew from the texts and the words' classes; probabilities of what may follow add up to one."""
+    monkeypatch.setattr(brown, "HEAD_SHARE", 0.004)
+    rng = random.Random(12)
+    words = [f"{a}{b}{c}" for a in "abcd" for b in "xyz" for c in ("ing", "ed", "s", "ly")]
+    rows = [(i, " ".join(rng.choice(words[k % 7 :: 7]) if rng.random() < 0.97 else f"odd{rng.randrange(40)}" for k in range(rng.randrange(0, 40)))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model, _ = brown.train(docs)
+    got = {r["doc_id"]: r for r in brown.score(docs).collect()}
+    count, pairs = Counter(), Counter()
+    kind = lambda w: int(model.classes[model.lexicon.end if w == " " else model.lexicon.number[w] if w in model.lexicon.number else model.lexicon.end + 1 + brown.tail_group(w[-3:])])
+    model.lexicon.prepare()
+    for i, t in rows:
+        if not held(i, 5, 1):
+            tokens = [" ", *words_of(t), " "]
+            count.update(tokens[1:])
+            pairs.update((kind(a), kind(b)) for a, b in zip(tokens, tokens[1:], strict=False))
+    assert len(model.lexicon.words) < len(count) - 1  # there is a tail
+    k = brown.KINDS
+    into = [sum(n for (_, b), n in pairs.items() if b == c) for c in range(k)]
+    out = [sum(n for (a, _), n in pairs.items() if a == c) for c in range(k)]
+    total = sum(into)
+    size, distinct = Counter(), Counter()
+    for w, n in count.items():
+        size[kind(w)] += n
+        distinct[kind(w)] += 1
+
+    def follows(a, c):
+        return (pairs[a, c] + brown.LEAN * (into[c] + 0.5) / (total + 0.5 * k)) / (out[a] + brown.LEAN)
+
+    def emitted(w):
+        return (count[w] + 0.5) / (size[kind(w)] + 0.5 * (distinct[kind(w)] + 1))
+
+    for i, t in rows:
+        tokens = [" ", *words_of(t), " "]
+        want = sum(math.log10(follows(kind(a), kind(b)) * emitted(b)) for a, b in zip(tokens, tokens[1:], strict=False))
+        assert got[i]["score"] == pytest.approx(want, abs=1e-6)
+    for a in range(k):
+        rest = {c: 0.5 / (size[c] + 0.5 * (distinct[c] + 1)) for c in range(k)}
+        assert sum(follows(a, c) * (sum(emitted(w) for w in count if kind(w) == c) + rest[c]) for c in range(k)) == pytest.approx(1.0)
+
+
+def test_exchange_rises_and_finds_the_classes(spark):
+    """Words of a few hidden classes that follow each other in turn: each round kept is likelier, and words of one hidden class end together."""
+    rng = random.Random(3)
+    hidden = [[f"w{c}x{i}" for i in range(12)] for c in range(4)]
+    rows = [(i, " ".join(rng.choice(hidden[k % 4]) for k in range(40))) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = brown.word_counts(docs).df
+    plain = Counter(w for i, t in rows if not held(i, 5, 1) for w in [*words_of(t), " "])
+    assert {r["word"]: r["n"] for r in counts.collect()} == plain
+    lexicon = brown.Lexicon(sorted(w for w in plain if w != " "))
+    bigrams = brown.bigram_counts(docs, lexicon)
+    classes, m, history = brown.cluster(bigrams.df, lexicon, rounds=14)
+    assert len(history) > 3 and all(a < b for a, b in zip(history, history[1:], strict=False))
+    own = Counter((w[1], int(classes[i])) for i, w in enumerate(lexicon.words))
+    by_hand = np.zeros((brown.KINDS, brown.KINDS))
+    for r in bigrams.df.collect():
+        by_hand[classes[r["pair"] // lexicon.size], classes[r["pair"] % lexicon.size]] += r["n"]
+    assert (m == by_hand).all() and brown.likelihood(m) == pytest.approx(history[-1])
+    assert sum(len({h for h, c in own if c == k}) == 1 for k in {c for _, c in own}) >= 0.8 * len({c for _, c in own})
+
+
 def test_exchange_gain_is_the_likelihoods():
     rng = np.random.default_rng(4)
     k, n = brown.KINDS, 30
@@ -310,6 +373,42 @@ def test_language_ignores_everything_but_text(docs):
     assert a == b
 
 
+def test_prediction_is_kernel_ridge_regression():
+    """The folded matrix against the kernels themselves: Nystroem landmarks, one language against the rest, all in plain sums."""
+    rng = random.Random(5)
+    texts, labels = [], []
+    for lang, letters in (("aa", "abcde"), ("bb", "cdefg"), ("cc", "aegxy")):
+        for _ in range(langid.LANDMARKS + 6):
+            texts.append(" ".join("".join(rng.choice(letters) for _ in range(rng.randrange(2, 7))) for _ in range(12)))
+            labels.append(lang)
+    grams = []
+    for t in texts:
+        row = np.zeros(1 << langid.BITS, np.uint8)
+        langid.presence(t, row)
+        grams.append(set(np.flatnonzero(row).tolist()))
+        assert abs(len(grams[-1]) - len({t[i : i + n] for n in (1, 2, 3, 4) for i in range(len(t) - n + 1)})) <= 2  # but for collisions
+    kernel = lambda a, b: len(a & b) / math.sqrt(len(a) * len(b))
+    marks = [i for lang in ("aa", "bb", "cc") for i in [k for k, x in enumerate(labels) if x == lang][: langid.LANDMARKS]]
+    k = np.array([[kernel(a, grams[m]) for m in marks] for a in grams])
+    y = np.array([[1.0 if x == lang else -1.0 for lang in ("aa", "bb", "cc")] for x in labels])
+    share = np.array([1 / labels.count(x) for x in labels])
+    left = sum(s * np.outer(r, r) for s, r in zip(share, k, strict=True)) + langid.RIDGE * k[marks] / len(marks)
+    alpha = np.linalg.solve(left + 1e-8 * np.eye(len(marks)), sum(s * np.outer(r, v) for s, r, v in zip(share, k, y, strict=True)))
+    model = langid.solve([np.array(sorted(g), np.int32) for g in grams], labels)
+    got = np.array([model.weights[np.isin(model.columns, sorted(g))].sum(axis=0) / math.sqrt(len(g)) for g in grams])
+    assert np.abs(got - k @ alpha).max() < 1e-3
+    names, scores = model.predict(texts)
+    f = langid.SHARPNESS * (k @ alpha)
+    p = np.exp(f - f.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    assert names == [("aa", "bb", "cc")[i] for i in p.argmax(axis=1)] and scores == pytest.approx(p.max(axis=1), abs=5e-3)
+
+
+def test_signs_are_no_letters():
+    model = langid.Model(["en"], np.zeros(0, np.int64), np.zeros((0, 1), np.float32))
+    assert model.predict(["½ ² ①", "_1_", "½a", "ß", "日"])[0] == ["und", "und", "en", "en", "en"]
+
+
 def test_folded_weights_are_the_kernel_machine():
     texts = ["the cat sat on the mat", "the dog and the cat", "le chat et la souris", "la souris dans la maison"]
     rows = [np.zeros(1 << langid.BITS, np.uint8) for _ in texts]
@@ -364,6 +463,55 @@ def test_toxicity_of_held_out_documents(spark):
     assert flags.filter("flagged").count() > 0
 
 
+def test_gradient_steps_are_those_of_the_loss():
+    """One Adagrad step on one text against numerical derivatives of the logistic loss."""
+    net = toxicity.Network(3)
+    b = np.array([toxicity.buckets(w) for w in "some plain words that follow".split()])
+
+    def loss():
+        return math.log1p(math.exp(-net.raw(b)))  # label 1
+
+    before = {k: v.copy() for k, v in net.filters.items()} | {"out": net.out.copy()}
+    numeric = {}
+    for k, v in [*net.filters.items(), ("out", net.out)]:
+        g = np.zeros_like(v, np.float64)
+        for at in np.ndindex(v.shape):
+            old = v[at]
+            v[at] = old + 1e-2
+            up = loss()
+            v[at] = old - 1e-2
+            g[at] = (up - loss()) / 2e-2
+            v[at] = old
+        numeric[k] = g
+    d = net.raw(b)
+    net.train([b], np.array([1]), epochs=1)
+    for k in numeric:
+        step = (net.out if k == "out" else net.filters[k]) - before[k]
+        big = np.abs(numeric[k]) > 1e-3
+        assert (np.sign(step[big]) == -np.sign(numeric[k][big])).all() and big.any()
+    assert net.raw(b) > d
+
+
+def test_labels_that_differ_or_are_none(spark):
+    labels = spark.createDataFrame([(1, 0), (1, 1), (1, 0), (2, 0), (3, 7), (4, None), (None, 1), (5, -1), (5, 0)], "doc_id long, toxic int")
+    assert sorted(map(tuple, toxicity.known_labels(labels).collect())) == [(1, 1), (2, 0), (5, 0)]
+
+
+def test_thresholds_by_language(spark, monkeypatch):
+    """Each language's cut parts its own cases best; the sample is bounded in bytes too."""
+    s = np.array([0.9, 0.8, 0.6, 0.55, 0.2, 0.1])
+    assert toxicity.best_cut(s, np.array([1, 1, 0, 0, 0, 0])) == pytest.approx(0.7)
+    assert toxicity.best_cut(s, np.array([1, 1, 1, 1, 0, 0])) == pytest.approx(0.375)
+    net = toxicity.Network()
+    net.thresholds = {"en": 0.7, "de": 0.2}
+    rows = spark.createDataFrame([("en", 0.6), ("en", 0.7), ("de", 0.25), ("fr", 0.29), (None, 0.31)], "lang string, score double")
+    assert [r["flagged"] for r in toxicity.flagged(rows, net).collect()] == [False, True, True, False, True]
+    from rankloom.llm.sampling import capped
+
+    few = capped(spark.createDataFrame([(i, "x", bytes(10)) for i in range(50)], "doc_id long, label string, data binary"), "label", 20, "data", 75).collect()
+    assert len(few) == 7
+
+
 def test_odd_toxicity(spark, odd_docs, no_docs):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     some = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (5, None), (None, 1)], "doc_id long, toxic int").selectExpr("*", "1 AS text", "2 AS lang", "3 AS score")
