@@ -37,11 +37,12 @@ CLASSES = 64
 TAILS, ENDING = 2048, 3
 #: Two rounds in a row that gain no larger share of the likelihood end the exchange; no more rounds than these are made.
 TOLERANCE, ROUNDS = 2e-3, 10
-#: Share of the moves that a round makes at first, and the least it tries after losses.
+#: Share of the symbols that a round moves at first, and the least it tries after losses.
 SHARE, LEAST_SHARE = 0.5, 0.1
 #: Pseudo-count with which class bigrams lean on class unigrams.
 LEAN = 50.0
-BLOCKS = 64
+#: Symbols that move one after the other in one block.
+BLOCK = 2048
 #: Bytes of text that one worker turns into words at once, and words that it counts before it passes the counts on.
 SLICE_CHARS, COUNTED = 2 << 20, 200_000
 
@@ -207,6 +208,7 @@ def best_class(m: np.ndarray, now: int, after: np.ndarray, before: np.ndarray, i
     less[now] -= after
     less[:, now] -= before
     less[now, now] += itself
+    np.maximum(less, 0, out=less)
     after, before = after.copy(), before.copy()
     after[now] -= itself
     before[now] -= itself
@@ -223,58 +225,84 @@ def best_class(m: np.ndarray, now: int, after: np.ndarray, before: np.ndarray, i
     return best, float(gain[best] - gain[now])
 
 
-MOVES = T.StructType([T.StructField("symbol", T.IntegerType()), T.StructField("best", T.IntegerType()), T.StructField("gain", T.DoubleType())])
+def taken_along(m: np.ndarray, now: int, to: int, after: np.ndarray, before: np.ndarray, itself: float) -> None:
+    """Move a word's bigrams in m from its class to another; a neighbour that moved earlier may have taken some, so none falls below zero."""
+    after, before = after.copy(), before.copy()
+    m[now] -= after
+    m[:, now] -= before
+    m[now, now] += itself
+    after[now] -= itself
+    before[now] -= itself
+    m[to] += after
+    m[:, to] += before
+    m[to, to] += itself
+    np.maximum(m, 0, out=m)
+
 
+MOVES = T.StructType([T.StructField("symbol", T.IntegerType()), T.StructField("best", T.IntegerType())])
 
-def moves(vectors: DataFrame, m: np.ndarray, classes: np.ndarray, end: int) -> list:
-    """Best moves of head words and tail groups; at most 1 / HEAD_SHARE + TAILS rows reach the driver."""
+
+def moves(vectors: DataFrame, m: np.ndarray, lexicon: Lexicon, classes: np.ndarray, share: float, turn: int) -> list:
+    """Moves of a drawn share of the head words and tail groups, at most 1 / HEAD_SHARE + TAILS rows.
+
+    A block of symbols makes its moves one after the other on its own copy of m;
+    only those of other blocks it can't see.
+    """
     shared = ship(vectors.sparkSession, (m, classes))
 
     def of(block: pd.DataFrame) -> pd.DataFrame:
         m, classes = shared()
-        out = []
+        m, out = m.copy(), []
         for symbol, own in block.groupby("symbol"):
             v = np.zeros(2 * KINDS + 1)
             v[own["slot"].to_numpy()] = own["n"].to_numpy()
-            best, gain = best_class(m, int(classes[symbol]), v[:KINDS], v[KINDS : 2 * KINDS], v[2 * KINDS])
+            after, before, itself, now = v[:KINDS], v[KINDS : 2 * KINDS], v[2 * KINDS], int(classes[symbol])
+            best, gain = best_class(m, now, after, before, itself)
             if gain > 1e-6:
-                out.append((symbol, best, gain))
-        return pd.DataFrame(out, columns=["symbol", "best", "gain"])
+                out.append((symbol, best))
+                taken_along(m, now, best, after, before, itself)
+        return pd.DataFrame(out, columns=["symbol", "best"])
 
-    return vectors.filter(F.col("symbol") != end).groupBy(F.pmod(F.hash("symbol"), F.lit(BLOCKS))).applyInPandas(of, MOVES).collect()
+    drawn = F.pmod(F.xxhash64("symbol", F.lit(turn)), F.lit(1000)) < round(1000 * share)
+    block = F.pmod(F.hash("symbol"), F.lit(-(-lexicon.size // BLOCK)))
+    return vectors.filter((F.col("symbol") != lexicon.end) & drawn).groupBy(block).applyInPandas(of, MOVES).collect()
 
 
 def cluster(bigrams: DataFrame, lexicon: Lexicon, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[np.ndarray, np.ndarray, list[float]]:
     """Class of each symbol, counts of class bigrams, and the likelihood of each round kept.
 
-    A round makes a share of the moves that its state asks for, drawn anew each
-    time, as moves made together miss each other.  One that loses is taken back
-    and halves the share; too small a share, or two rounds in a row that gain
-    less than the tolerance, end the exchange.
+    A round moves a share of the symbols, drawn anew each time, as blocks can't
+    see each other's moves.  One that loses is taken back and halves the share;
+    too small a share, or two rounds in a row that gain less than the tolerance,
+    end the exchange.
     """
-    classes, kept, share, quiet, asked = lexicon.start_classes(), None, SHARE, 0, []
-    history: list[float] = []
-    for turn in range(rounds + 1):
-        vectors = class_vectors(bigrams, lexicon.size, classes)
-        m = class_matrix(vectors.df, classes)
-        score = likelihood(m)
-        if kept is not None and score <= kept[0]:
-            share /= 2
+    classes, share, quiet = lexicon.start_classes(), SHARE, 0
+    vectors = class_vectors(bigrams, lexicon.size, classes)
+    m = class_matrix(vectors.df, classes)
+    history = [likelihood(m)]
+    for turn in range(rounds):
+        asked = moves(vectors.df, m, lexicon, classes, share, turn)
+        if asked:
+            trial = classes.copy()
+            for symbol, to in asked:
+                trial[symbol] = to
+            trial_vectors = class_vectors(bigrams, lexicon.size, trial)
+            trial_m = class_matrix(trial_vectors.df, trial)
+            gain = likelihood(trial_m) - history[-1]
+            if gain > 0:
+                vectors.drop()
+                quiet = quiet + 1 if gain < tolerance * abs(history[-1]) else 0
+                vectors, classes, m = trial_vectors, trial, trial_m
+                history.append(likelihood(m))
+            else:
+                trial_vectors.drop()
+                share /= 2
         else:
-            quiet = quiet + 1 if kept is not None and score - kept[0] < tolerance * abs(kept[0]) else 0
-            kept = score, classes, m
-            history.append(score)
-            if quiet < 2 and turn < rounds:
-                asked = sorted((r["symbol"], r["best"]) for r in moves(vectors.df, m, classes, lexicon.end))
-        vectors.drop()
-        if quiet == 2 or share < LEAST_SHARE or not asked:
+            quiet += 1
+        if quiet == 2 or share < LEAST_SHARE:
             break
-        drawn = np.random.default_rng(turn).random(len(asked)) < share
-        classes = kept[1].copy()
-        for (symbol, to), now in zip(asked, drawn, strict=True):
-            if now:
-                classes[symbol] = to
-    return kept[1], kept[2], history
+    vectors.drop()
+    return classes, m, history
 
 
 # --- the model ------------------------------------------------------------------

@@ -310,8 +310,8 @@ def test_scores_are_those_of_the_class_model(spark, monkeypatch):
 def test_exchange_rises_and_finds_the_classes(spark):
     """Words of a few hidden classes that follow each other in turn: each round kept is likelier, and words of one hidden class end together."""
     rng = random.Random(3)
-    hidden = [[f"w{c}x{i}" for i in range(12)] for c in range(4)]
-    rows = [(i, " ".join(rng.choice(hidden[k % 4]) for k in range(40))) for i in range(150)]
+    hidden = [[f"w{c}x{i}" for i in range(60)] for c in range(4)]  # more words than classes: a class a word would leave nothing to gain
+    rows = [(i, " ".join(rng.choice(hidden[k % 4]) for k in range(40))) for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     counts = brown.word_counts(docs).df
     plain = Counter(w for i, t in rows if not held(i, 5, 1) for w in [*words_of(t), " "])
@@ -464,25 +464,26 @@ def test_toxicity_of_held_out_documents(spark):
 
 
 def test_gradient_steps_are_those_of_the_loss():
-    """One Adagrad step on one text against numerical derivatives of the logistic loss."""
+    """One Adagrad step on one text against numerical derivatives of the logistic loss, with steps too small to move a pool's place."""
     net = toxicity.Network(3)
     b = np.array([toxicity.buckets(w) for w in "some plain words that follow".split()])
 
     def loss():
         return math.log1p(math.exp(-net.raw(b)))  # label 1
 
-    before = {k: v.copy() for k, v in net.filters.items()} | {"out": net.out.copy()}
-    numeric = {}
+    before, numeric = {k: v.copy() for k, v in net.filters.items()} | {"out": net.out.copy()}, {}
+    net.filters, net.out = {k: v.astype(np.float64) for k, v in net.filters.items()}, net.out.astype(np.float64)
     for k, v in [*net.filters.items(), ("out", net.out)]:
         g = np.zeros_like(v, np.float64)
         for at in np.ndindex(v.shape):
             old = v[at]
-            v[at] = old + 1e-2
+            v[at] = old + 1e-5
             up = loss()
-            v[at] = old - 1e-2
-            g[at] = (up - loss()) / 2e-2
+            v[at] = old - 1e-5
+            g[at] = (up - loss()) / 2e-5
             v[at] = old
         numeric[k] = g
+    net.filters, net.out = {k: before[k].copy() for k in net.filters}, before["out"].copy()
     d = net.raw(b)
     net.train([b], np.array([1]), epochs=1)
     for k in numeric:
