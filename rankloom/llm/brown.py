@@ -152,40 +152,40 @@ def bigram_counts(docs: DataFrame, lexicon: Lexicon) -> Staged:
     return Staged(pairs.groupBy("pair").agg(F.sum("n").alias("n")), "bigrams")
 
 
-def class_vectors(bigrams: DataFrame, size: int, classes: np.ndarray) -> Staged:
-    """symbol, slot, n: how often each class follows (slot: class), precedes (KINDS + class) a symbol, and it itself (2 KINDS)."""
-    shared, slots = ship(bigrams.sparkSession, classes), 2 * KINDS + 1
+def class_vectors(bigrams: DataFrame, size: int, classes: np.ndarray, drawn: np.ndarray) -> DataFrame:
+    """symbol, slot, n of the drawn symbols: how often each class follows (slot: class), precedes (KINDS + class) a symbol, and it itself (2 KINDS)."""
+    shared, slots = ship(bigrams.sparkSession, (classes, drawn)), 2 * KINDS + 1
 
     def run(batches):
-        kind = shared()
+        kind, drawn = shared()
         for b in batches:
             pair, n = b.column("pair").to_numpy(), b.column("n").to_numpy()
             first, second = pair // size, pair % size
-            same = first == second
-            key = np.concatenate([first * slots + kind[second], second * slots + KINDS + kind[first], first[same] * slots + 2 * KINDS])
+            left, right = drawn[first], drawn[second]
+            same = left & (first == second)
+            key = np.concatenate([first[left] * slots + kind[second[left]], second[right] * slots + KINDS + kind[first[right]], first[same] * slots + 2 * KINDS])
             key, place = np.unique(key, return_inverse=True)
-            total = np.zeros(len(key), np.int64)
-            np.add.at(total, place, np.concatenate([n, n, n[same]]))
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(total)], schema=PAIR_ARROW)
+            total = np.bincount(place, np.concatenate([n[left], n[right], n[same]]), len(key))
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(total.astype(np.int64))], schema=PAIR_ARROW)
 
     keyed = bigrams.mapInArrow(run, PAIR).groupBy("pair").agg(F.sum("n").alias("n"))
-    return Staged(keyed.select(F.expr(f"pair div {slots}").cast("int").alias("symbol"), (F.col("pair") % slots).cast("int").alias("slot"), "n"), "vectors")
+    return keyed.select(F.expr(f"pair div {slots}").cast("int").alias("symbol"), (F.col("pair") % slots).cast("int").alias("slot"), "n")
 
 
-def class_matrix(vectors: DataFrame, classes: np.ndarray) -> np.ndarray:
+def class_matrix(bigrams: DataFrame, size: int, classes: np.ndarray) -> np.ndarray:
     """Counts of class bigrams: KINDS x KINDS numbers, whatever the corpus."""
-    shared = ship(vectors.sparkSession, classes)
+    shared = ship(bigrams.sparkSession, classes)
 
     def run(batches):
-        total = np.zeros(KINDS * KINDS, np.int64)
+        total, kind = np.zeros(KINDS * KINDS), shared()
         for b in batches:
-            symbol, slot, n = (b.column(c).to_numpy() for c in ("symbol", "slot", "n"))
-            np.add.at(total, shared()[symbol] * KINDS + slot, n)
+            pair = b.column("pair").to_numpy()
+            total += np.bincount(kind[pair // size] * KINDS + kind[pair % size], b.column("n").to_numpy(), KINDS * KINDS)
         full = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int64)), pa.array(total[full])], schema=PAIR_ARROW)
+        yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int64)), pa.array(total[full].astype(np.int64))], schema=PAIR_ARROW)
 
     m = np.zeros(KINDS * KINDS)
-    for pair, n in vectors.filter(F.col("slot") < KINDS).mapInArrow(run, PAIR).groupBy("pair").agg(F.sum("n")).collect():
+    for pair, n in bigrams.mapInArrow(run, PAIR).groupBy("pair").agg(F.sum("n")).collect():
         m[pair] = n
     return m.reshape(KINDS, KINDS)
 
@@ -242,13 +242,13 @@ def taken_along(m: np.ndarray, now: int, to: int, after: np.ndarray, before: np.
 MOVES = T.StructType([T.StructField("symbol", T.IntegerType()), T.StructField("best", T.IntegerType())])
 
 
-def moves(vectors: DataFrame, m: np.ndarray, lexicon: Lexicon, classes: np.ndarray, share: float, turn: int) -> list:
-    """Moves of a drawn share of the head words and tail groups, at most 1 / HEAD_SHARE + TAILS rows.
+def moves(bigrams: DataFrame, m: np.ndarray, lexicon: Lexicon, classes: np.ndarray, drawn: np.ndarray) -> list:
+    """Moves of the drawn head words and tail groups, at most 1 / HEAD_SHARE + TAILS rows.
 
     A block of symbols makes its moves one after the other on its own copy of m;
     only those of other blocks it can't see.
     """
-    shared = ship(vectors.sparkSession, (m, classes))
+    shared = ship(bigrams.sparkSession, (m, classes))
 
     def of(block: pd.DataFrame) -> pd.DataFrame:
         m, classes = shared()
@@ -263,9 +263,8 @@ def moves(vectors: DataFrame, m: np.ndarray, lexicon: Lexicon, classes: np.ndarr
                 taken_along(m, now, best, after, before, itself)
         return pd.DataFrame(out, columns=["symbol", "best"])
 
-    drawn = F.pmod(F.xxhash64("symbol", F.lit(turn)), F.lit(1000)) < round(1000 * share)
     block = F.pmod(F.hash("symbol"), F.lit(-(-lexicon.size // BLOCK)))
-    return vectors.filter((F.col("symbol") != lexicon.end) & drawn).groupBy(block).applyInPandas(of, MOVES).collect()
+    return class_vectors(bigrams, lexicon.size, classes, drawn).groupBy(block).applyInPandas(of, MOVES).collect()
 
 
 def cluster(bigrams: DataFrame, lexicon: Lexicon, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[np.ndarray, np.ndarray, list[float]]:
@@ -277,31 +276,24 @@ def cluster(bigrams: DataFrame, lexicon: Lexicon, rounds: int = ROUNDS, toleranc
     end the exchange.
     """
     classes, share, quiet = lexicon.start_classes(), SHARE, 0
-    vectors = class_vectors(bigrams, lexicon.size, classes)
-    m = class_matrix(vectors.df, classes)
+    m = class_matrix(bigrams, lexicon.size, classes)
     history = [likelihood(m)]
     for turn in range(rounds):
-        asked = moves(vectors.df, m, lexicon, classes, share, turn)
-        if asked:
-            trial = classes.copy()
-            for symbol, to in asked:
-                trial[symbol] = to
-            trial_vectors = class_vectors(bigrams, lexicon.size, trial)
-            trial_m = class_matrix(trial_vectors.df, trial)
-            gain = likelihood(trial_m) - history[-1]
-            if gain > 0:
-                vectors.drop()
-                quiet = quiet + 1 if gain < tolerance * abs(history[-1]) else 0
-                vectors, classes, m = trial_vectors, trial, trial_m
-                history.append(likelihood(m))
-            else:
-                trial_vectors.drop()
-                share /= 2
+        drawn = np.random.default_rng(turn).random(lexicon.size) < share
+        drawn[lexicon.end] = False
+        trial = classes.copy()
+        for symbol, to in moves(bigrams, m, lexicon, classes, drawn):
+            trial[symbol] = to
+        trial_m = class_matrix(bigrams, lexicon.size, trial)
+        gain = likelihood(trial_m) - history[-1]
+        if gain < 0:
+            share /= 2
         else:
-            quiet += 1
+            quiet = quiet + 1 if gain < tolerance * abs(history[-1]) else 0
+            classes, m = trial, trial_m
+            history += [history[-1] + gain] if gain else []
         if quiet == 2 or share < LEAST_SHARE:
             break
-    vectors.drop()
     return classes, m, history
 
 
