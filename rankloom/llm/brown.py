@@ -9,10 +9,13 @@ they gain next to nothing.
 Words fall in two parts.  A *head* word makes up at least HEAD_SHARE of all
 training tokens, so there are at most 1 / HEAD_SHARE of them whatever the size
 of the corpus: their classes may stand on every machine.  The open-ended *tail*
-is never gathered: tail words of one ending move between classes together, by
-the contexts of all of them; each word's count stays in a table, and texts meet
-it by a join.  Bigram counts, too, are a table of all training tokens; a round
-reads it once.
+is never gathered.  While the head is clustered, tail words of one ending move
+between classes together, by the contexts of all of them.  Then every tail word
+gets a class of its own from its own contexts: the places of all tail words are
+one table, dealt and sorted by word; a word's run of rows gives its count and
+its class, which go back to the texts.  The counts of class bigrams are then
+made anew from the texts.  Bigram counts of symbols, too, are a table of all
+training tokens; a round reads it once.
 """
 
 from __future__ import annotations
@@ -27,8 +30,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import SPACES, Staged, ascii_lower, bounded_batches, lowered, map_texts, remainder, ship, slices, word_array, words_of
+from .common import Staged, ascii_lower, bounded_batches, map_texts, remainder, ship, slices, words_of
 
 END = " "  # no word holds a space
 HEAD_SHARE = 1e-5
@@ -45,8 +49,13 @@ LEAN = 50.0
 BLOCK = 2048
 #: Bytes of text that one worker turns into words at once, and words that it counts before it passes the counts on.
 SLICE_CHARS, COUNTED = 2 << 20, 200_000
+#: Rows of tail words that are settled at once, and contexts of words that are added up at once.
+SETTLED, ADDED = 1 << 14, 1 << 16
+#: Held-out words of fewer places are never frequent.
+FREQUENT = 1000
 
 KINDS = CLASSES + 1  # clusters, the end
+OPEN = 255  # a token whose class its word has yet to get
 PAIR = T.StructType([T.StructField("pair", T.LongType()), T.StructField("n", T.LongType())])
 PAIR_ARROW = pa.schema([("pair", pa.int64()), ("n", pa.int64())])
 
@@ -60,25 +69,21 @@ def tail_group(ending: str) -> int:
     return zlib.crc32(ending.encode()) % TAILS
 
 
-def tail_group_column(word: Column) -> Column:
-    return (F.crc32(F.substring(word, -ENDING, ENDING).cast("binary")) % TAILS).cast("int")
-
-
 class Lexicon:
-    """Numbers of symbols: head words from 0, the end, then groups of tail words."""
+    """Numbers of symbols: head words from 0, the end, groups of tail words, then words apart (tail words that are read by themselves)."""
 
-    def __init__(self, words: list[str]):
-        self.words = words
+    def __init__(self, words: list[str], apart: list[str] | None = None):
+        self.words, self.apart = words, apart or []
         self.end = len(words)
         self.size = len(words) + 1 + TAILS
 
     def prepare(self) -> None:
         if not hasattr(self, "number"):
-            self.number = {w: i for i, w in enumerate(self.words)}
+            self.number = {w: i for i, w in enumerate(self.words)} | {w: self.size + i for i, w in enumerate(self.apart)}
             self.suffix: dict[str, int] = {}
 
     def __getstate__(self):
-        return {"words": self.words, "end": self.end, "size": self.size}
+        return {"words": self.words, "apart": self.apart, "end": self.end, "size": self.size}
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
         """Symbols of all texts behind an end, each text with its end; tokens a text; its tail words."""
@@ -111,7 +116,12 @@ class Lexicon:
 
 
 def word_counts(docs: DataFrame) -> Staged:
-    """word, n of all training tokens, ends included; counted on the way in batches of texts, so that few rows shuffle."""
+    """word, n of all training tokens, ends included."""
+    return Staged(counted(docs.filter(in_training(F.col("doc_id")))), "words")
+
+
+def counted(docs: DataFrame) -> DataFrame:
+    """word, n of all tokens, ends included; counted on the way in batches of texts, so that few rows shuffle."""
     bounded_batches(docs.sparkSession)
 
     def run(batches):
@@ -132,8 +142,7 @@ def word_counts(docs: DataFrame) -> Staged:
         if count:
             yield full()
 
-    taught = docs.filter(in_training(F.col("doc_id"))).select("text")
-    return Staged(taught.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def bigram_counts(docs: DataFrame, lexicon: Lexicon) -> Staged:
@@ -297,38 +306,215 @@ def cluster(bigrams: DataFrame, lexicon: Lexicon, rounds: int = ROUNDS, toleranc
     return classes, m, history
 
 
-# --- the model ------------------------------------------------------------------
+# --- classes of tail words ----------------------------------------------------------
+
+
+def likely(m: np.ndarray) -> np.ndarray:
+    """What a context (class before * KINDS + class after) adds to the likelihood with a word of few tokens in each class.
+
+    The gain of exchange to the first order.  Whole numbers, so that sums are the same in any order.
+    """
+    out, into = np.log(m.sum(axis=1)[:CLASSES] + 0.5 * KINDS), np.log(m.sum(axis=0)[:CLASSES] + 0.5 * KINDS)
+    before, after = np.log(m[:, :CLASSES] + 0.5), np.log(m[:CLASSES].T + 0.5)
+    return np.rint((before[:, None] + after[None] - out - into) * (1 << 20)).astype(np.int64).reshape(KINDS * KINDS, CLASSES)
+
+
+def likeliest(contexts: np.ndarray, n: np.ndarray, gains: np.ndarray) -> np.ndarray:
+    """The class of each word in which its n contexts (one at least), which lie one word after the other, are likeliest."""
+    edge, kind, i = np.concatenate([[0], np.cumsum(n)]), np.empty(len(n), np.int64), 0
+    while i < len(n):
+        j = max(i + 1, int(np.searchsorted(edge, edge[i] + ADDED, "right")) - 1)
+        own = contexts[edge[i] : edge[j]]
+        if j == i + 1:
+            kind[i] = (np.bincount(own, minlength=len(gains)) @ gains).argmax()
+        else:
+            kind[i:j] = np.add.reduceat(gains[own], edge[i:j] - edge[i], axis=0).argmax(axis=1)
+        i = j
+    return kind
+
+
+def packed(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Binary array: the bytes of as many values as the sizes say."""
+    edges = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(edges.astype(np.int32).tobytes()), pa.py_buffer(values.tobytes())])
+
+
+def unpacked(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a binary array in one, and their number in each row."""
+    sizes = pa.compute.binary_length(column).to_numpy(zero_copy_only=False) // np.dtype(kind).itemsize
+    column = column.cast(pa.binary())
+    if not len(column):
+        return np.zeros(0, kind), sizes
+    edges = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    return (np.frombuffer(data, np.uint8)[edges[0] : edges[-1]].view(kind) if data is not None and edges[-1] > edges[0] else np.zeros(0, kind)), sizes
+
+
+TAIL = T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("contexts", T.BinaryType())]))
+READ = [T.StructField(c, t) for c, t in (("taught", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("log", T.DoubleType()), ("kinds", T.BinaryType()), ("places", T.BinaryType()), ("tail", TAIL))]
+MET = "row long, place int, n long, kind int, first boolean"
 
 
 class Model:
-    """Logarithms (base 10) of transitions, of head words' emissions, and the sums that base scores need."""
-
-    def __init__(self, lexicon: Lexicon, counts: np.ndarray, classes: np.ndarray, m: np.ndarray, tails: np.ndarray, total: int, distinct: int):
-        """counts: of head words and the end; tails: (TAILS, 2) tokens and distinct words of each group of tail words."""
-        self.lexicon, self.classes, self.total, self.distinct = lexicon, classes, total, distinct
-        unigram = (m.sum(axis=0) + 0.5) / (m.sum() + 0.5 * KINDS)
-        self.transition = np.log10((m + LEAN * unigram) / (m.sum(axis=1, keepdims=True) + LEAN))
-        size, words = np.zeros(KINDS), np.zeros(KINDS)
-        np.add.at(size, classes, np.concatenate([counts, tails[:, 0]]))
-        np.add.at(words, classes, np.concatenate([np.ones(len(counts)), tails[:, 1]]))
-        room = np.log10(size + 0.5 * (words + 1))[classes]  # half a token is left to a word that no one has seen
-        self.logs = np.concatenate([np.log10(counts + 0.5), np.zeros(TAILS)])  # what the join adds for a tail word is log10(n + 0.5)
-        self.emission = self.logs - room
+    """Counts and classes of head words and groups, and what contexts say of a tail word's class."""
+
+    def __init__(self, lexicon: Lexicon, counts: np.ndarray, classes: np.ndarray, m: np.ndarray, apart: np.ndarray, total: int, distinct: int):
+        """counts: of head words and the end; apart: of the words apart."""
+        self.lexicon, self.total = lexicon, total
+        self.classes = np.concatenate([classes, [classes[lexicon.end + 1 + tail_group(w[-ENDING:])] for w in lexicon.apart]]).astype(np.int64)
+        n = np.concatenate([counts, np.zeros(TAILS), apart])
+        self.logs, self.known = np.log10(n + 0.5), n > 0
+        self.logs[lexicon.end + 1 : lexicon.size] = 0  # a tail word's own log is added once its count is there
+        self.words = np.bincount(self.classes[self.known], minlength=KINDS)
+        self.gains = likely(m)
         self.base = -math.log10(total + 0.5 * (distinct + 1))
 
-    def read(self, texts: list[str | None]) -> dict:
-        flat, sizes, tails = self.lexicon.encode(texts)
-        now, kind = flat[1:], self.classes[flat]
-        start = np.cumsum(sizes) - sizes
+    def read(self, texts: list[str | None], taught: np.ndarray) -> dict:
+        """Classes of a text's tokens, OPEN for tail words; its tail words with their contexts, if they teach, and which of them each open place holds."""
+        lex = self.lexicon
+        flat, sizes, tails = lex.encode(texts)
+        now, start = flat[1:], np.cumsum(sizes) - sizes
+        rare = (now > lex.end) & (now < lex.size)
+        kinds = np.where(rare, OPEN, self.classes[now]).astype(np.uint8)
+        words, index, distinct = [], [], []
+        for t in tails:
+            own: dict[str, int] = {}
+            index += [own.setdefault(x, len(own)) for x in t]
+            words += own
+            distinct.append(len(own))
+        places, distinct, held = np.array(index, np.int32), np.array(distinct, np.int64), np.array([len(t) for t in tails], np.int64)
+        at, number = np.flatnonzero(rare), places + np.repeat(np.cumsum(distinct) - distinct, held)
+        context = (self.classes[flat[at]] * KINDS + self.classes[flat[at + 2]]).astype(np.uint16)
+        teaches = np.repeat(taught, held)
+        context, number = context[teaches], number[teaches]
+        contexts = packed(context[np.argsort(number, kind="stable")], np.bincount(number, minlength=len(words)))
+        edges = pa.array(np.concatenate([[0], np.cumsum(distinct)]), pa.int32())
         add = lambda x: np.add.reduceat(x, start) if len(sizes) else x
         return {
-            "n_tokens": sizes, "head": add((now <= self.lexicon.end).astype(np.int64)), "base": add(self.logs[now]) + sizes * self.base,
-            "model": add(self.transition[kind[:-1], kind[1:]] + self.emission[now]), "tail": [list(Counter(t).items()) for t in tails],
+            "n_tokens": sizes, "n_known": add(self.known[now].astype(np.int64)), "log": add(self.logs[now]), "kinds": packed(kinds, sizes), "places": packed(places, held),
+            "tail": (edges, pa.array(words, pa.string()), contexts),
+        }
+
+
+def read(docs: DataFrame, shared) -> DataFrame:
+    """doc_id and the columns of READ: every text by the model's numbers."""
+    schema = T.StructType([docs.schema["doc_id"], *READ])
+    kind = to_arrow_schema(schema).field("tail").type
+
+    def run(b):
+        out = shared().read(b.column("text").to_pylist(), b.column("taught").to_numpy(zero_copy_only=False))
+        edges, words, contexts = out["tail"]
+        found = pa.StructArray.from_arrays([words, contexts], fields=list(kind.value_type))
+        return {"doc_id": b.column("doc_id"), "taught": b.column("taught")} | out | {"tail": pa.ListArray.from_arrays(edges, found, type=kind)}
+
+    return map_texts(docs.select("doc_id", "text", in_training(F.col("doc_id")).alias("taught")), run, schema)
+
+
+def settled_words(part: DataFrame, shared) -> DataFrame:
+    """row, place, n, kind, first: the count and the class of each tail word, sent back to the texts that hold it; first marks one row of a word that was learned.
+
+    A word's rows are one task's, and it keeps those of one word at most: a tail word is a bounded share of all tokens.
+    A word that training hasn't gets the class of its ending's group.
+    """
+
+    def settle(model: Model, pieces: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(pieces)
+        word = t.column("word").combine_chunks()
+        contexts, sizes = unpacked(t.column("contexts").combine_chunks(), np.uint16)
+        new = np.concatenate([[True], ~pa.compute.equal(word.slice(1), word.slice(0, len(word) - 1)).to_numpy(zero_copy_only=False)])
+        start, own = np.flatnonzero(new), np.cumsum(new) - 1
+        n = np.bincount(own, sizes, len(start)).astype(np.int64)
+        kind, learned = np.empty(len(start), np.int64), n > 0
+        kind[learned] = likeliest(contexts, n[learned], model.gains)
+        unseen = np.flatnonzero(~learned)
+        kind[unseen] = [model.classes[model.lexicon.end + 1 + tail_group(w[-ENDING:])] for w in word.take(pa.array(start[unseen])).to_pylist()]
+        first = new & learned[own]
+        return pa.RecordBatch.from_arrays([t.column("row").combine_chunks(), t.column("place").combine_chunks(), pa.array(n[own]), pa.array(kind[own].astype(np.int32)), pa.array(first)], names=["row", "place", "n", "kind", "first"])
+
+    def run(batches):
+        model, pieces, rows, last = shared(), [], 0, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ends = b.column("word")[b.num_rows - 1].as_py()
+            cut = pa.compute.index(b.column("word"), ends).as_py()  # where the batch's last word begins
+            if rows + cut >= SETTLED and (cut or last != ends):
+                yield settle(model, [*pieces, b.slice(0, cut)])
+                pieces, rows, b = [], 0, b.slice(cut)
+            pieces.append(b)
+            rows, last = rows + b.num_rows, ends
+        if pieces:
+            yield settle(model, pieces)
+
+    found = part.select("row", F.posexplode("tail").alias("place", "found")).select("row", "place", "found.word", "found.contexts")
+    return found.repartition("word").sortWithinPartitions("word").mapInArrow(run, MET)
+
+
+def settled(part: DataFrame, met: DataFrame) -> DataFrame:
+    """The texts with all classes in place, counts and logs of tail words added; new: classes of the words that are counted as distinct here."""
+    columns = [f for f in part.schema.fields if f.name not in ("row", "places", "tail")]
+    schema = T.StructType([*columns, T.StructField("new", T.BinaryType())])
+
+    def run(b):
+        kinds, sizes = unpacked(b.column("kinds"), np.uint8)
+        places, held = unpacked(b.column("places"), np.int32)
+        met, row = pa.compute.list_flatten(b.column("met")), pa.compute.list_parent_indices(b.column("met")).to_numpy(zero_copy_only=False)
+        field = lambda name: pa.compute.struct_field(met, name).to_numpy(zero_copy_only=False)
+        distinct = np.bincount(row, minlength=b.num_rows)
+        offset = np.cumsum(distinct) - distinct
+        at = offset[row] + field("place")
+        n, kind = np.zeros(len(at), np.int64), np.zeros(len(at), np.uint8)
+        n[at], kind[at] = field("n"), field("kind")
+        token = places + np.repeat(offset, held)
+        kinds = kinds.copy()
+        kinds[kinds == OPEN] = kind[token]
+        text = np.repeat(np.arange(b.num_rows), held)
+        first = field("first").astype(bool)
+        return {c: b.column(c) for c in ("doc_id", "taught", "n_tokens")} | {
+            "n_known": b.column("n_known").to_numpy() + np.bincount(text, n[token] > 0, b.num_rows).astype(np.int64),
+            "log": b.column("log").to_numpy() + np.bincount(text, np.log10(n[token] + 0.5), b.num_rows),
+            "kinds": packed(kinds, sizes), "new": packed(field("kind")[first].astype(np.uint8), np.bincount(row[first], minlength=b.num_rows)),
         }
 
+    by_row = met.groupBy("row").agg(F.collect_list(F.struct("place", "n", "kind", "first")).alias("met"))
+    return map_texts(part.drop("tail").join(by_row, "row", "left"), run, schema)
+
+
+def settled_counts(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of class bigrams in the texts that teach, and distinct tail words of each class, marked in whichever texts."""
+
+    def run(batches):
+        total = np.zeros(KINDS * KINDS + KINDS, np.int64)
+        for b in batches:
+            kinds, _ = unpacked(b.column("kinds"), np.uint8)
+            flat = np.concatenate([[CLASSES], kinds])  # texts end with the end's class, so it also stands before the next
+            total += np.bincount(flat[:-1] * KINDS + flat[1:], minlength=len(total))
+            total[KINDS * KINDS :] += np.bincount(unpacked(b.column("new"), np.uint8)[0], minlength=KINDS)
+        full = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(total[full])], schema=PAIR_ARROW)
 
-def train(docs: DataFrame) -> tuple[Model, Staged]:
-    """Model of the training rows, and the table of all their word counts."""
+    out = np.zeros(KINDS * KINDS + KINDS)
+    for pair, n in texts.selectExpr("if(taught, kinds, X'') AS kinds", "new").mapInArrow(run, PAIR).groupBy("pair").agg(F.sum("n")).collect():
+        out[pair] = n
+    return out[: KINDS * KINDS].reshape(KINDS, KINDS), out[KINDS * KINDS :]
+
+
+# --- the model ------------------------------------------------------------------
+
+
+def transitions(m: np.ndarray) -> np.ndarray:
+    """Logarithms (base 10) of class after class, smoothed towards the class alone."""
+    unigram = (m.sum(axis=0) + 0.5) / (m.sum() + 0.5 * KINDS)
+    return np.log10((m + LEAN * unigram) / (m.sum(axis=1, keepdims=True) + LEAN))
+
+
+def rooms(m: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Logarithm of each class's tokens, with half a token for each of its words and for one that no one has seen."""
+    return np.log10(m.sum(axis=0) + 0.5 * (words + 1))
+
+
+def train(docs: DataFrame) -> Model:
+    """Model of the training rows."""
     counts = word_counts(docs)
     total, distinct = counts.df.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     cut = max(2, math.ceil(HEAD_SHARE * total))
@@ -339,12 +525,21 @@ def train(docs: DataFrame) -> tuple[Model, Staged]:
     bigrams = bigram_counts(docs, lexicon)
     classes, m, _ = cluster(bigrams.df, lexicon)
     bigrams.drop()
-    tails = np.zeros((TAILS, 2))
-    low = counts.df.filter((F.col("n") < cut) & (F.col("word") != END))
-    for kind, n, words in low.groupBy(tail_group_column(F.col("word"))).agg(F.sum("n"), F.count("*")).collect():
-        tails[kind] = n, words
+    apart = frequent_apart(docs, counts.df, cut)
     known = np.array([r["n"] for r in head] + [ends["n"] if ends else 0], np.float64)
-    return Model(lexicon, known, classes, m, tails, int(total), int(distinct)), counts
+    counts.drop()
+    return Model(Lexicon(lexicon.words, list(apart)), known, classes, m, np.array(list(apart.values()), np.float64), int(total), int(distinct))
+
+
+def frequent_apart(docs: DataFrame, counts: DataFrame, cut: int) -> dict[str, int]:
+    """Training counts of tail words that held-out texts are full of, so that no task gets all their places; at most 1 / HEAD_SHARE words."""
+    held = Staged(counted(docs.filter(~in_training(F.col("doc_id")))), "held")
+    tokens = held.df.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    floor = max(FREQUENT, cut, math.ceil(HEAD_SHARE * tokens))
+    many = held.df.filter((F.col("n") >= floor) & (F.col("word") != END)).select("word")
+    rows = many.join(counts, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n")).filter(F.col("n") < cut).collect()
+    held.drop()
+    return {r["word"]: r["n"] for r in sorted(rows)}
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -355,20 +550,29 @@ def score(docs: DataFrame) -> DataFrame:
     often; rows with a null doc_id teach nothing and are held out.  With nothing
     learned every token is unknown.  An empty table gives no rows.
     """
-    model, counts = train(docs)
+    model = train(docs)
     shared = ship(docs.sparkSession, model)
-    schema = T.StructType([docs.schema["doc_id"], *[T.StructField(c, t) for c, t in (("n_tokens", T.LongType()), ("head", T.LongType()), ("base", T.DoubleType()), ("model", T.DoubleType()), ("tail", T.MapType(T.StringType(), T.LongType())))]])
-    read = map_texts(docs.select("doc_id", "text"), lambda b: {"doc_id": b.column("doc_id")} | shared().read(b.column("text").to_pylist()), schema)
-    part = Staged(read.withColumn("row", F.monotonically_increasing_id()), "scored")
-    tail = part.df.select("row", F.explode("tail").alias("word", "times"))  # counted by text already: one shuffle, by word
-    n = F.coalesce("n", F.lit(0))
-    met = tail.join(counts.df.filter(F.col("word") != END), "word", "left").groupBy("row").agg(
-        F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("tail_known"), F.sum(F.col("times") * F.log10(n + 0.5)).alias("tail_log"))
-    all_ = part.df.drop("tail").join(met, "row", "left")
-    log, train_tokens = F.coalesce("tail_log", F.lit(0.0)), F.lit(model.total).cast("long")
-    end_known = F.lit(0 if model.total else 1)  # nothing learned: the end isn't known either
-    return all_.select(
-        "doc_id", (~in_training(F.col("doc_id"))).alias("held_out"), "n_tokens", (F.col("head") - end_known + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
-        train_tokens.alias("train_tokens"), (F.col("base") + log).alias("base_score"), (F.col("model") + log).alias("score"),
-        F.pow(F.lit(10.0), -(F.col("model") + log) / F.col("n_tokens")).alias("perplexity"),
+    part = Staged(read(docs, shared).withColumn("row", F.monotonically_increasing_id()), "read")
+    texts = Staged(settled(part.df, settled_words(part.df, shared)), "settled")
+    part.drop()
+    m, words = settled_counts(texts.df)
+    return scored(texts.df, model, m, words)
+
+
+def scored(texts: DataFrame, model: Model, m: np.ndarray, words: np.ndarray) -> DataFrame:
+    """Scores of texts whose tokens all have their classes."""
+    shared = ship(texts.sparkSession, (transitions(m), rooms(m, words + model.words)))
+    columns = [f for f in texts.schema.fields if f.name not in ("kinds", "new")]
+
+    def run(b):
+        transition, room = shared()
+        kinds, sizes = unpacked(b.column("kinds"), np.uint8)
+        flat, start = np.concatenate([[CLASSES], kinds]).astype(np.int64), np.cumsum(sizes) - sizes
+        part = np.add.reduceat(transition[flat[:-1], flat[1:]] - room[kinds], start) if len(sizes) else np.zeros(0)
+        return {f.name: b.column(f.name) for f in columns} | {"model": part + b.column("log").to_numpy()}
+
+    done = map_texts(texts.drop("new"), run, T.StructType([*columns, T.StructField("model", T.DoubleType())]))
+    return done.select(
+        "doc_id", (~F.col("taught")).alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"),
+        (F.col("log") + F.col("n_tokens") * F.lit(model.base)).alias("base_score"), F.col("model").alias("score"), F.pow(F.lit(10.0), -F.col("model") / F.col("n_tokens")).alias("perplexity"),
     )

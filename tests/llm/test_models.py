@@ -265,24 +265,50 @@ def test_odd_scores(spark, odd_docs, no_docs):
     assert sorted((r["n_tokens"], r["n_known"], r["train_tokens"]) for r in brown.score(untaught).collect()) == [(1, 0, 0), (3, 0, 0)]
 
 
-def test_scores_are_those_of_the_class_model(spark, monkeypatch):
+def own_classes(learned, start, number):
+    """Class of each tail word by its own contexts, one word and class at a time."""
+    first, around = Counter(), {}
+    for tokens in learned:
+        first.update((start(a), start(b)) for a, b in zip(tokens, tokens[1:], strict=False))
+        for a, w, b in zip(tokens, tokens[1:], tokens[2:], strict=False):
+            if w != " " and w not in number:
+                around.setdefault(w, []).append((start(a), start(b)))
+    out, into = Counter(), Counter()
+    for (a, b), n in first.items():
+        out[a] += n
+        into[b] += n
+    half = 0.5 * brown.KINDS
+    gain = lambda a, c, b: round((math.log(first[a, c] + 0.5) + math.log(first[c, b] + 0.5) - math.log(out[c] + half) - math.log(into[c] + half)) * 2**20)
+    return {w: max(range(brown.CLASSES), key=lambda c: (sum(gain(a, c, b) for a, b in places), -c)) for w, places in around.items()}
+
+
+@pytest.mark.parametrize("limits", [{}, {"FREQUENT": 2, "SETTLED": 3, "ADDED": 2}])
+def test_scores_are_those_of_the_class_model(spark, monkeypatch, limits):
     """Counts, transitions and emissions made anew from the texts and the words' classes; probabilities of what may follow add up to one."""
     monkeypatch.setattr(brown, "HEAD_SHARE", 0.004)
+    for name, value in limits.items():
+        monkeypatch.setattr(brown, name, value)
     rng = random.Random(12)
     words = [f"{a}{b}{c}" for a in "abcd" for b in "xyz" for c in ("ing", "ed", "s", "ly")]
     rows = [(i, " ".join(rng.choice(words[k % 7 :: 7]) if rng.random() < 0.97 else f"odd{rng.randrange(40)}" for k in range(rng.randrange(0, 40)))) for i in range(120)]
+    rows = [(i, t + " never seen" * 2 * held(i, 5, 1)) for i, t in rows]  # what held-out texts are full of
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    model, _ = brown.train(docs)
+    model = brown.train(docs)
     got = {r["doc_id"]: r for r in brown.score(docs).collect()}
-    count, pairs = Counter(), Counter()
-    kind = lambda w: int(model.classes[model.lexicon.end if w == " " else model.lexicon.number[w] if w in model.lexicon.number else model.lexicon.end + 1 + brown.tail_group(w[-3:])])
     model.lexicon.prepare()
+    learned = [[" ", *words_of(t), " "] for i, t in rows if not held(i, 5, 1)]
+    start = lambda w: int(model.classes[model.lexicon.end if w == " " else model.lexicon.number[w] if w in model.lexicon.number else model.lexicon.end + 1 + brown.tail_group(w[-3:])])
+    kinds = own_classes(learned, start, model.lexicon.number)
+    assert any(kinds[w] != start(w) for w in kinds)
+    kind = lambda w: kinds.get(w, start(w))
+    count, pairs = Counter(), Counter()
     for i, t in rows:
         if not held(i, 5, 1):
             tokens = [" ", *words_of(t), " "]
             count.update(tokens[1:])
             pairs.update((kind(a), kind(b)) for a, b in zip(tokens, tokens[1:], strict=False))
     assert len(model.lexicon.words) < len(count) - 1  # there is a tail
+    assert ("never" in model.lexicon.apart) == bool(limits)
     k = brown.KINDS
     into = [sum(n for (_, b), n in pairs.items() if b == c) for c in range(k)]
     out = [sum(n for (a, _), n in pairs.items() if a == c) for c in range(k)]
