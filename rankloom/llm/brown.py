@@ -51,6 +51,8 @@ BLOCK = 2048
 SLICE_CHARS, COUNTED = 2 << 20, 200_000
 #: Rows of tail words that are settled at once, and contexts of words that are added up at once.
 SETTLED, ADDED = 1 << 14, 1 << 16
+#: Bigrams that a task adds up at once.
+PAIRS = 1 << 20
 #: Held-out words of fewer places are never frequent.
 FREQUENT = 1000
 
@@ -167,15 +169,28 @@ def class_vectors(bigrams: DataFrame, size: int, classes: np.ndarray, drawn: np.
 
     def run(batches):
         kind, drawn = shared()
-        for b in batches:
-            pair, n = b.column("pair").to_numpy(), b.column("n").to_numpy()
+        total = np.zeros(size * slots)  # at most (1 / HEAD_SHARE + TAILS) * slots numbers
+
+        def add(pair, n):
             first, second = pair // size, pair % size
             left, right = drawn[first], drawn[second]
             same = left & (first == second)
             key = np.concatenate([first[left] * slots + kind[second[left]], second[right] * slots + KINDS + kind[first[right]], first[same] * slots + 2 * KINDS])
-            key, place = np.unique(key, return_inverse=True)
-            total = np.bincount(place, np.concatenate([n[left], n[right], n[same]]), len(key))
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(total.astype(np.int64))], schema=PAIR_ARROW)
+            np.add(total, np.bincount(key, np.concatenate([n[left], n[right], n[same]]), len(total)), out=total)
+
+        held, rows = [], 0
+        for b in batches:
+            held.append((b.column("pair").to_numpy(), b.column("n").to_numpy()))
+            rows += b.num_rows
+            if rows >= PAIRS:
+                add(*map(np.concatenate, zip(*held, strict=True)))
+                held, rows = [], 0
+        if held:
+            add(*map(np.concatenate, zip(*held, strict=True)))
+        full = np.flatnonzero(total)
+        for at in range(0, len(full), PAIRS):
+            some = full[at : at + PAIRS]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some].astype(np.int64))], schema=PAIR_ARROW)
 
     keyed = bigrams.mapInArrow(run, PAIR).groupBy("pair").agg(F.sum("n").alias("n"))
     return keyed.select(F.expr(f"pair div {slots}").cast("int").alias("symbol"), (F.col("pair") % slots).cast("int").alias("slot"), "n")
@@ -352,7 +367,7 @@ def unpacked(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
 
 TAIL = T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("contexts", T.BinaryType())]))
 READ = [T.StructField(c, t) for c, t in (("taught", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("log", T.DoubleType()), ("kinds", T.BinaryType()), ("places", T.BinaryType()), ("tail", TAIL))]
-MET = "row long, place int, n long, kind int, first boolean"
+MET = "row long, place int, word long"
 
 
 class Model:
@@ -411,7 +426,7 @@ def read(docs: DataFrame, shared) -> DataFrame:
 
 
 def settled_words(part: DataFrame, shared) -> DataFrame:
-    """row, place, n, kind, first: the count and the class of each tail word, sent back to the texts that hold it; first marks one row of a word that was learned.
+    """row, place, word (count * 256 + class * 2 + first): what the texts that hold a tail word need of it; first marks one row of a word that was learned.
 
     A word's rows are one task's, and it keeps those of one word at most: a tail word is a bounded share of all tokens.
     A word that training hasn't gets the class of its ending's group.
@@ -429,7 +444,7 @@ def settled_words(part: DataFrame, shared) -> DataFrame:
         unseen = np.flatnonzero(~learned)
         kind[unseen] = [model.classes[model.lexicon.end + 1 + tail_group(w[-ENDING:])] for w in word.take(pa.array(start[unseen])).to_pylist()]
         first = new & learned[own]
-        return pa.RecordBatch.from_arrays([t.column("row").combine_chunks(), t.column("place").combine_chunks(), pa.array(n[own]), pa.array(kind[own].astype(np.int32)), pa.array(first)], names=["row", "place", "n", "kind", "first"])
+        return pa.RecordBatch.from_arrays([t.column("row").combine_chunks(), t.column("place").combine_chunks(), pa.array(n[own] * 256 + kind[own] * 2 + first)], names=["row", "place", "word"])
 
     def run(batches):
         model, pieces, rows, last = shared(), [], 0, None
@@ -458,25 +473,25 @@ def settled(part: DataFrame, met: DataFrame) -> DataFrame:
     def run(b):
         kinds, sizes = unpacked(b.column("kinds"), np.uint8)
         places, held = unpacked(b.column("places"), np.int32)
-        met, row = pa.compute.list_flatten(b.column("met")), pa.compute.list_parent_indices(b.column("met")).to_numpy(zero_copy_only=False)
-        field = lambda name: pa.compute.struct_field(met, name).to_numpy(zero_copy_only=False)
+        row = pa.compute.list_parent_indices(b.column("at")).to_numpy(zero_copy_only=False)
+        at, word = (pa.compute.list_flatten(b.column(c)).to_numpy(zero_copy_only=False) for c in ("at", "word"))
         distinct = np.bincount(row, minlength=b.num_rows)
         offset = np.cumsum(distinct) - distinct
-        at = offset[row] + field("place")
+        at, its_kind = offset[row] + at, (word // 2 % 128).astype(np.uint8)
         n, kind = np.zeros(len(at), np.int64), np.zeros(len(at), np.uint8)
-        n[at], kind[at] = field("n"), field("kind")
+        n[at], kind[at] = word // 256, its_kind
         token = places + np.repeat(offset, held)
         kinds = kinds.copy()
         kinds[kinds == OPEN] = kind[token]
         text = np.repeat(np.arange(b.num_rows), held)
-        first = field("first").astype(bool)
+        first = word % 2 == 1
         return {c: b.column(c) for c in ("doc_id", "taught", "n_tokens")} | {
             "n_known": b.column("n_known").to_numpy() + np.bincount(text, n[token] > 0, b.num_rows).astype(np.int64),
             "log": b.column("log").to_numpy() + np.bincount(text, np.log10(n[token] + 0.5), b.num_rows),
-            "kinds": packed(kinds, sizes), "new": packed(field("kind")[first].astype(np.uint8), np.bincount(row[first], minlength=b.num_rows)),
+            "kinds": packed(kinds, sizes), "new": packed(its_kind[first], np.bincount(row[first], minlength=b.num_rows)),
         }
 
-    by_row = met.groupBy("row").agg(F.collect_list(F.struct("place", "n", "kind", "first")).alias("met"))
+    by_row = met.groupBy("row").agg(F.collect_list("place").alias("at"), F.collect_list("word").alias("word"))
     return map_texts(part.drop("tail").join(by_row, "row", "left"), run, schema)
 
 
