@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,13 +35,29 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Whether an execution's shuffle files go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Executions within leave no shuffle files behind; for plans that run only once.  The session's own setting comes back."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 class Staged:
-    """A table written once to the shared folder; never computed twice."""
+    """A table written once to the shared folder; never computed twice, so its shuffle files go once it is there."""
 
     def __init__(self, df: DataFrame, name: str):
         self.spark, self.schema = df.sparkSession, df.schema
         self.path = shared_path(self.spark, name)
-        df.write.parquet(self.path)
+        with shuffles_dropped(self.spark):
+            df.write.parquet(self.path)
 
     @property
     def df(self) -> DataFrame:
