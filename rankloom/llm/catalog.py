@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import brown, decontamination, langid, licenses, mixing, quality, simhash, toolcalls, toxicity, warc
+from . import brown, decontamination, langid, licenses, merkle, mixing, packing, quality, search, simhash, toolcalls, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,8 +55,26 @@ def op10_decontamination(spark, sf_dir):
     return decontamination.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_merkle_manifest(spark, sf_dir):
+    return merkle.verify(table(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark, sf_dir):
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_packing(spark, sf_dir):
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_license_scan, op2_tool_calls, op3_brown_score, op4_language_id, op5_warc, op6_mixing, op7_simhash, op8_quality, op9_toxicity, op10_decontamination)}
+    every = (
+        op1_license_scan, op2_tool_calls, op3_brown_score, op4_language_id, op5_warc, op6_mixing, op7_simhash, op8_quality, op9_toxicity, op10_decontamination,
+        op11_merkle_manifest, op12_ranked_search, op13_packing,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -67,4 +85,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_warc": warc.ORACLE_SQL,
         "op6_mixing": mixing.MIX_SQL.format(docs="documents"),
         "op10_decontamination": decontamination.ORACLE_SQL,
+        "op11_merkle_manifest": merkle.oracle_sql(),
+        "op12_ranked_search": search.ORACLE_SQL,
     }

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -93,6 +93,20 @@ def ship(spark: SparkSession, obj) -> Callable:
     return get
 
 
+def prefix_sums(counts: DataFrame, group: list[str], order: str, value: str, name: str, block: int = 1024) -> DataFrame:
+    """``name``: the sum of ``value`` over a group's rows before this one by ``order`` (whole numbers, one row each).
+
+    Sums of blocks of the order come first, so that no task holds more of a
+    group than a block, or than there are blocks.
+    """
+    b, total = fresh(counts, "__block"), fresh(counts, "__total")
+    blocked = counts.withColumn(b, F.floor(F.col(order) / block))
+    before = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    sums = blocked.groupBy(*group, b).agg(F.sum(value).alias(total)).withColumn(name, F.coalesce(F.sum(total).over(before(*group, b)), F.lit(0)))
+    inside = blocked.withColumn(total, F.coalesce(F.sum(value).over(before(*group, b, order)), F.lit(0)))
+    return inside.join(sums.drop(total), [*group, b]).withColumn(name, F.col(name) + F.col(total)).drop(b, total)
+
+
 # --- Arrow passes over texts --------------------------------------------------
 
 
