@@ -314,7 +314,8 @@ def manifest(docs: DataFrame, fanout: int = FANOUT, part_rows: int = PART_ROWS)
     Nulls have leaves of their own and sort first, a null lang is a group;
     repeated rows are leaves of their own, rows of one doc_id in the order of their leaves;
     other columns don't count.  Each leaf comes with ``forged``, the leaf of a
-    row whose n_chars is one more, where 7 divides the crc32 of its doc_id.
+    row whose n_chars is one more, where 7 divides the crc32 of its doc_id (never
+    for a null one).
     """
     columns = [F.col(k) for k in ("doc_id", "source", "lang", "n_chars", "text")]
     more = [(c + F.lit(1).cast("long")) if i == 3 else c for i, c in enumerate(columns)]
@@ -371,7 +372,7 @@ def oracle_sql() -> str:
 
     return f"""
 WITH RECURSIVE rows AS (SELECT row_number() OVER () AS r, doc_id, coalesce('=' || lang, '') AS g, {h('n_chars')} AS leaf,
-  CASE WHEN {crc} % 7 = 0 THEN {h('n_chars + 1')} END AS forged FROM documents),
+  CASE WHEN doc_id IS NOT NULL AND {crc} % 7 = 0 THEN {h('n_chars + 1')} END AS forged FROM documents),
 l AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY g) AS n FROM rows),
 low AS (SELECT g, idx, leaf AS digest, n FROM l),
 {levels('nodes', 'low')},
