@@ -12,13 +12,16 @@ looking their places up in the plan are Spark jobs over all rows.
 
 Tokens are found a white-space word at a time and remembered: the tokenizer's
 normalisation and its pattern don't look across ASCII white space, so the ids of
-a text are those of its words (a test holds them against whole texts).
+a text are those of its words (a test holds them against whole texts).  This
+holds for the tokenizer of the query, whose pattern is ``PARTS`` in ASCII.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import insort
+from itertools import compress, takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -31,64 +34,96 @@ from .common import Staged, bounded_batches, prefix_sums, ship, slices, small_or
 
 CAPACITY = 2048
 END = 0
-#: Words of which a task remembers the ids; beyond it the memory starts anew.
-REMEMBERED = 400_000
-#: Words longer than this many bytes aren't remembered.
-LONG_WORD = 64
+#: Parts of words of which a task remembers the ids; beyond it the memory starts anew.
+REMEMBERED = 500_000
+#: Words that are cut before the tokenizer sees them: printable ASCII, and letters that neither compose nor decompose (U+0130 would).
+PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+#: What the tokenizer's pattern makes of these in lower case; a line end comes between words.
+PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00c0-\u024f]+|[0-9]|\n|[^\na-z0-9\u00c0-\u024f]+")
 
 
 # --- tokens --------------------------------------------------------------------
 
 
 class WordTokenizer:
-    """Ids of texts by a tokenizer whose words end at ASCII white space at the latest."""
+    """Ids of texts by a tokenizer whose words end at ASCII white space at the latest.
 
-    def __init__(self, model: str, encode_special: bool = False):
+    Words of Latin letters and ASCII are cut further, where the tokenizer's
+    pattern cuts them, so that it sees each run of letters once.  Such a part is
+    one word to it, and its last id alone ends a word: that tells the ids of
+    parts apart which go in one call.
+    """
+
+    def __init__(self, model: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
-        self.tokenizer.encode_special_tokens = encode_special
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.starts, self.lengths, self.ids, self.n_ids = [], [], [], 0
-
-    def numbers(self, words: list[str]) -> np.ndarray:
-        """Row of each word in the table of ids; words that are new get one."""
-        if len(self.number) > REMEMBERED:
+        self.number = {"\n": 0}  # it stands between words and has no ids
+        self.starts, self.ids, self.n_ids = [np.zeros(2, np.int64)], [np.zeros(0, np.uint32)], 0
+
+    def add(self, parts: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        self.number.update(zip(parts, range(len(self.number), len(self.number) + len(parts)), strict=True))
+        self.starts.append(self.n_ids + np.cumsum(lengths))  # where the next one begins
+        self.ids.append(ids.astype(np.uint32))
+        self.n_ids += len(ids)
+
+    def learn(self, parts: list[str], odd: list[str]) -> None:
+        """Ids of parts and of whole words that are new."""
+        for i in range(0, len(parts), 1000):
+            some = parts[i : i + 1000]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.int64)
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) == len(some):
+                self.add(some, ids, np.diff(last, prepend=-1))
+            else:  # none of PLAIN; whatever it is, one by one is right
+                odd = odd + some
+        for i in range(0, len(odd), 1000):
+            found = [e.ids for e in self.tokenizer.encode_batch(odd[i : i + 1000], add_special_tokens=False)]
+            self.add(odd[i : i + 1000], np.array([x for own in found for x in own], np.int64), np.array([len(own) for own in found], np.int64))
+
+    def rows(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the words' parts in the table of ids, one word after the other, and how many each word has."""
+        if len(self.number) > REMEMBERED or self.n_ids > 8 * REMEMBERED:
             self.forget()
-        new = [w for w in words if w not in self.number]
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.number[w] = len(self.starts)
-            self.starts.append(self.n_ids)
-            self.lengths.append(len(e.ids))
-            self.ids.append(np.array(e.ids, np.uint32))
-            self.n_ids += len(e.ids)
-        return np.array([self.number[w] for w in words], np.int64)
+        plain = ["<|" not in w and PLAIN.fullmatch(w) is not None for w in words]  # special tokens are whole words' business
+        cut = iter(PARTS.findall("\n".join(compress(words, plain)).lower()))
+        parts = [p for w, easy in zip(words, plain, strict=True) for p in ((*takewhile("\n".__ne__, cut), "\n") if easy else (w, "\n"))] if not all(plain) else [*cut, "\n"]
+        new = dict.fromkeys(parts).keys() - self.number.keys()
+        odd = {w for w, easy in zip(words, plain, strict=True) if not easy} & new
+        self.learn(sorted(new - odd), sorted(odd))
+        found = np.fromiter(map(self.number.__getitem__, parts), np.int64, len(parts))
+        ends = np.flatnonzero(found == 0)
+        return found[found > 0], np.diff(ends, prepend=-1) - 1
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and where each begins (and the last ends); null is empty."""
         split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
         flat = split.flatten().dictionary_encode()
-        words = flat.dictionary.to_pylist()
-        rows = self.numbers(words)
-        ids = np.concatenate(self.ids) if self.ids else np.zeros(0, np.uint32)
-        self.ids = [ids]
-        which = rows[flat.indices.to_numpy(zero_copy_only=False)]
-        length, start = np.array(self.lengths, np.int64)[which], np.array(self.starts, np.int64)[which]
-        ends = np.cumsum(length)
-        at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - length, length) + np.repeat(start, length)
+        part, n_parts = self.rows(flat.dictionary.to_pylist()) if len(flat) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.starts, self.ids = [np.concatenate(self.starts)], [np.concatenate(self.ids)]
+        starts, table = self.starts[0], self.ids[0]
+        # words of this batch as runs of ids, then texts as runs of words
+        own, _ = ranges(starts[part], starts[part + 1] - starts[part])
+        sizes = np.concatenate([[0], np.cumsum(starts[part + 1] - starts[part])])[np.concatenate([[0], np.cumsum(n_parts)])]
+        which = flat.indices.to_numpy(zero_copy_only=False)
+        at, ends = ranges(sizes[which], sizes[which + 1] - sizes[which])
         offsets = split.offsets.to_numpy()
-        begins = np.concatenate([[0], ends])[offsets - offsets[0]]
-        for w in [w for w in words if len(w) > LONG_WORD]:
-            self.number.pop(w)  # its ids stay in the table until that is forgotten
-        if self.n_ids > 8 * REMEMBERED:
-            self.forget()
-        return ids[at], begins
+        return table[own][at], np.concatenate([[0], ends])[offsets - offsets[0]]
+
+
+def ranges(start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """start, start + 1, ... of each range one after the other, and where each ends."""
+    ends = np.cumsum(length)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + length, length), ends
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, with_ids: bool = False, encode_special: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece (and its ids), and part and nth: the task that made it and its number there among those of its length.
 
     ``tokenizer``: path of the tokenizer's file, read by the driver.  The result
@@ -102,7 +137,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
     def run(batches):
         from pyspark import TaskContext
 
-        part, words = TaskContext.get().partitionId(), WordTokenizer(model(), encode_special)
+        part, words = TaskContext.get().partitionId(), WordTokenizer(model())
         made = np.zeros(capacity + 1, np.int64)
         for b in slices(batches):
             ids, begins = words.encode(b.column("text"))
@@ -202,7 +237,7 @@ def best_fit(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[
     return plan, opened
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, with_ids: bool = False, encode_special: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids) of every piece of every document.
 
     Only documents of more than ``capacity`` tokens are cut.  Null and empty
@@ -210,7 +245,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = E
     and null ids too; a table without rows gives none; other columns don't count.
     Sequences are numbered from 0 and filled from 0 without gaps.
     """
-    made = Staged(pieces(docs, tokenizer, capacity, end, with_ids, encode_special), "pieces").df
+    made = Staged(pieces(docs, tokenizer, capacity, end, with_ids), "pieces").df
     counts = Staged(made.groupBy("part", "length").agg(F.count("*").alias("n")), "piece-counts").df
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # a row a length, capacity at most
     plan, _ = best_fit(histogram, capacity)

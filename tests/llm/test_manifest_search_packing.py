@@ -157,7 +157,7 @@ def test_best_fit_is_that_of_pieces(lengths):
     assert sorted(30 - x for x in ends) == best_fit_by_piece(lengths, 30)
 
 
-ODD = ["", " ", "one\x1ctwo\x85three four ÀÉ", "It's we'll I'D don't", "à ̀b é\né", "<|endoftext|> x<|startoftext|>y", "ΟΔΥΣΣΕΥΣ ΣΑΣ ΣΑΣ.", "x" * 300 + " " + "日本語" * 50, "tabs\tand\x0bodd\x0cends\r\n 1234 ½ ﬁ İstanbul", "a\u0000b"]
+ODD = ["", " ", "one\x1ctwo\x85three four ÀÉ", "It's we'll I'D don't", "à ̀b é\né", "<|endoftext|> x<|startoftext|>y", "ΟΔΥΣΣΕΥΣ ΣΑΣ ΣΑΣ.", "x" * 300 + " " + "日本語" * 50, "tabs\tand\x0bodd\x0cends\r\n 1234 ½ ﬁ İstanbul", "a\u0000b", "ŉe ſtraße Ǆǅ ÀÉ,Ünï's ×÷ a½b İx ¿qué?'S", "'s't 'LL \u00a0x\u00a0", "<a> < b <|endoftext|"]
 
 
 @settings(max_examples=60, deadline=None)
