@@ -1,6 +1,7 @@
 """Files: JSON lines, caches, summaries, sinks and the resumable stream."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -90,13 +91,46 @@ def test_pending_ignores_errors(spark):
     assert sorted(r[0] for r in resume.pending(todo, log, ["id"]).collect()) == ["b", "c"]
 
 
-def test_stream_resumes(spark, tmp_path):
-    schema = T.StructType([T.StructField("sample_id", T.StringType()), T.StructField("error", T.StringType())])
-    (tmp_path / "in").mkdir()
-    (tmp_path / "in/1.json").write_text('{"sample_id": "a"}\n{"sample_id": "b", "error": "x"}\n')
-    run = lambda: resume_log.append_pending(resume_log.source(spark, str(tmp_path / "in"), schema), str(tmp_path / "log"), ["sample_id"], str(tmp_path / "cp")).awaitTermination()
-    run()
-    (tmp_path / "in/2.json").write_text('{"sample_id": "a"}\n{"sample_id": "b"}\n{"sample_id": "c"}\n')
-    run()
-    got = spark.read.parquet(str(tmp_path / "log")).collect()
-    assert sorted((r["sample_id"], r["error"] or "") for r in got) == [("a", ""), ("b", ""), ("b", "x"), ("c", "")]
+STREAM = T.StructType([T.StructField("sample_id", T.StringType()), T.StructField("error", T.StringType()), T.StructField("text", T.StringType())])
+
+
+def stream(spark, path, **more):
+    (path / "in").mkdir(exist_ok=True)
+
+    def run(name=None, *rows):
+        if name:
+            (path / f"in/{name}.json").write_text("".join(json.dumps(dict(zip(("sample_id", "error", "text"), r, strict=True))) + "\n" for r in rows))
+        resume_log.append_pending(resume_log.source(spark, str(path / "in"), STREAM), str(path / "log"), ["sample_id"], str(path / "cp"), **more).awaitTermination()
+        return sorted((r["sample_id"] or "", r["error"] or "", r["text"] or "") for r in resume_log.records(spark, str(path / "log"), STREAM).collect())
+
+    return run
+
+
+def test_stream_keeps_every_success(spark, tmp_path):
+    run = stream(spark, tmp_path, order=["text"])
+    first = run("1", ("a", "x", "1"), ("a", None, "2"), ("b", "x", "1"), ("b", "y", "2"), (None, None, "0"), ("d", None, "2"), ("d", None, "1"))
+    assert first == [("", "", "0"), ("a", "", "2"), ("b", "y", "2"), ("d", "", "1")]
+    second = run("2", ("a", "late", "3"), ("a", None, "4"), ("b", "y", "5"), ("c", "z", "1"))
+    assert second == sorted([*first, ("c", "z", "1")])  # a has succeeded, the error of b is known
+    assert run("3", ("b", None, "6"), ("c", "z2", "2")) == sorted([*second, ("b", "", "6"), ("c", "z2", "2")])
+    done = resume_log.succeeded(resume_log.records(spark, str(tmp_path / "log"), STREAM), ["sample_id"])
+    assert {r[0] for r in done.collect()} == {None, "a", "b", "d"}
+
+
+def test_stream_batch_that_runs_again_adds_nothing(spark, tmp_path):
+    run = stream(spark, tmp_path)
+    run("1", ("a", None, "1"), ("b", "x", "1"))
+    want = run("2", ("a", None, "2"), ("b", None, "2"), ("c", "x", "1"))
+    for f in (tmp_path / "cp/commits").iterdir():  # as if the driver had gone between writing and committing the last batch
+        if f.name.strip(".").startswith("1"):
+            f.unlink()
+    assert run() == want
+    assert run("3", ("c", None, "2"))[-1] == ("c", "x", "1") and len(run()) == len(want) + 1
+
+
+def test_stream_forgets_in_time_and_knows_an_older_log(spark, tmp_path):
+    older = spark.createDataFrame([("a",)], "sample_id string")
+    run = stream(spark, tmp_path, memory_ms=4000, finished=older)
+    assert run("1", ("a", None, "1"), ("b", None, "1")) == [("b", "", "1")]
+    time.sleep(6)
+    assert run("2", ("b", None, "2")) == [("b", "", "1"), ("b", "", "2")]  # b is new again
