@@ -20,7 +20,7 @@ def op1_license_scan(spark, sf_dir):
 
 
 def op2_tool_calls(spark, sf_dir):
-    return toolcalls.link(*toolcalls.turns_as_calls(table(spark, sf_dir, "conversations")), toolcalls.TURN_SCHEMAS)
+    return toolcalls.link(*toolcalls.every_call(table(spark, sf_dir, "conversations")), toolcalls.TURN_SCHEMAS)
 
 
 def op3_brown_score(spark, sf_dir):

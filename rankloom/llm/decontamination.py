@@ -1,7 +1,7 @@
 """Benchmark decontamination by size-partitioned MinHash containment (operator 10, DataFrame functions only).
 
 Words are runs of letters and digits, A-Z lower-cased; shingles are five words
-(a shorter text is one shingle).  Of an item with n distinct shingles a
+(a shorter item is one shingle, looked for at every place of a text).  Of an item with n distinct shingles a
 document may lack n - ceil(0.8 n), so of any n - ceil(0.8 n) + 1 of them it
 holds at least one.  Items are partitioned by size, and each partition keeps as
 MinHash sketch the smallest hashes of its items' shingles (rare ones first), as
@@ -31,6 +31,18 @@ def shingles(df: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     return gram.select(*key, "n_words", F.concat_ws(" ", *[f"w{i}" for i in range(SHINGLE)]).alias("shingle"))
 
 
+def document_shingles(df: DataFrame, widths: list[int]) -> DataFrame:
+    """doc_id, shingle: runs of words of each width (1 to 5), one row for each place."""
+    words = df.select("doc_id", word_array(lowered(F.col("text")), MARKS).alias("words"))
+    found = None
+    for n in widths:
+        rolling = [F.slice("words", i + 1, F.size("words") - (n - 1)).alias(f"w{i}") for i in range(n)]
+        runs = words.filter(F.size("words") >= n).select("doc_id", F.inline(F.arrays_zip(*rolling)).alias(*[f"w{i}" for i in range(n)]))
+        runs = runs.select("doc_id", F.concat_ws(" ", *[f"w{i}" for i in range(n)]).alias("shingle"))
+        found = runs if found is None else found.unionByName(runs)
+    return found
+
+
 def needed(n: Column) -> Column:
     """Shingles that a document must hold of n: the smallest whole number of at least 0.8 n."""
     return F.floor((n * 4 + 4) / 5).cast("long")
@@ -57,27 +69,30 @@ def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
     Texts without words (null, empty) are in no pair, nor contain anything.
     Rows of one doc_id count as one document, rows with a null doc_id too; rows
     of one item_id as one item.  An item of fewer than five words is one shingle
-    of its own length, which only a document of these very words holds: a common
-    word or two would else be found in most of a corpus.  Empty tables give no rows.
+    of its own length, which every document that has these words in a row holds.
+    Empty tables give no rows.
     """
     grams = Staged(item_shingles(items), "items")
     # each size class: the longest sketch any of its items needs
     classes = grams.df.groupBy("size_class").agg(F.max(F.col("n_item") - needed(F.col("n_item")) + 1).alias("sketch"))
     n_grams = grams.df.count()
     probe = grams.df.join(F.broadcast(classes), "size_class").filter("rank <= sketch").select("hash", "item_id")  # a row a power of two, at most
+    # an item's rows of one id may differ in length, so widths are those of the shingles
+    widths = [r["width"] for r in grams.df.select(F.size(F.split("shingle", " ")).alias("width")).distinct().orderBy("width").collect()]  # five at most
     text = docs.select("doc_id", "text")
-    places = shingles(text, ["doc_id"]).select("doc_id", F.xxhash64("shingle").alias("hash"))
+    places = document_shingles(text, widths or [SHINGLE]).select("doc_id", F.xxhash64("shingle").alias("hash"))
     hits = places.join(small_or_plain(probe, n_grams, 32), "hash")
     pairs = Staged(hits.select("doc_id", "item_id").distinct(), "candidates")
     found = pairs.df.select(F.col("doc_id").alias("c_doc")).distinct()
     n_found = found.count()
     suspects = text.join(small_or_plain(found, n_found, 16), F.col("doc_id").eqNullSafe(F.col("c_doc")), "left_semi")
-    # exact verification: the shingles themselves, of candidate pairs only; partial distinct before the shuffle
-    whole = small_or_plain(grams.df.select("shingle", "item_id", "n_item"), n_grams, 128)
-    shared = shingles(suspects, ["doc_id"]).join(whole, "shingle").select("doc_id", "item_id", "n_item", "shingle").distinct()
+    # exact verification of candidate pairs, which meet their item's shingles before those of the text
+    own = small_or_plain(grams.df.select(F.col("item_id").alias("g_item"), "shingle", "n_item"), n_grams, 128)
+    wanted = pairs.df.join(own, F.col("item_id").eqNullSafe(F.col("g_item"))).select(F.col("doc_id").alias("c_doc"), "item_id", "n_item", F.col("shingle").alias("c_shingle"))
+    wanted = Staged(wanted, "candidate-shingles").df
+    met = document_shingles(suspects, widths or [SHINGLE]).join(small_or_plain(wanted, wanted.count(), 160), F.col("doc_id").eqNullSafe(F.col("c_doc")) & (F.col("shingle") == F.col("c_shingle")))
+    shared = met.select("doc_id", "item_id", "n_item", "shingle").distinct()
     counts = shared.groupBy("doc_id", "item_id", "n_item").agg(F.count("*").alias("n_shared"))
-    wanted = pairs.df.select(F.col("doc_id").alias("c_doc"), F.col("item_id").alias("c_item"))
-    counts = counts.join(wanted, F.col("doc_id").eqNullSafe(F.col("c_doc")) & F.col("item_id").eqNullSafe(F.col("c_item")), "left_semi")
     return counts.filter(F.col("n_shared") >= needed(F.col("n_item"))).select("doc_id", "item_id", "n_item", "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment"))
 
 
@@ -96,9 +111,10 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 ORACLE_SQL = """
 WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
-ds AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS shingle FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
 v AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
 bs AS (SELECT DISTINCT item_id, array_to_string(list_slice(w, i, i + 4), ' ') AS shingle FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM v WHERE len(w) > 0)),
+widths AS (SELECT DISTINCT least(len(w), 5) AS n FROM v WHERE len(w) > 0),
+ds AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + n - 1), ' ') AS shingle FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM w JOIN widths ON n <= len(w))),
 n AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY item_id)
 SELECT doc_id, item_id, n_item, count(*) AS n_shared, CAST(count(*) AS DOUBLE) / n_item AS containment
 FROM ds JOIN bs USING (shingle) JOIN n USING (item_id) GROUP BY doc_id, item_id, n_item HAVING count(*) * 5 >= n_item * 4

@@ -24,9 +24,18 @@ def thinned(labelled: DataFrame, label: str, per_class: int) -> DataFrame:
     return labelled.filter(position(F.col("doc_id")) < share[F.col(label)])
 
 
+#: A row that holds more than this share of a class's bytes comes after all others.
+LONG_SHARE = 8
+
+
 def capped(rows: DataFrame, label: str, per_class: int, data: str, most: int) -> DataFrame:
-    """The first per_class rows of each label, by the ids' places, as long as their data column holds no more bytes than ``most``: the strict bounds."""
-    order = Window.partitionBy(label).orderBy(position(F.col("doc_id")), "doc_id", data)
+    """The first per_class rows of each label, by the ids' places, as long as their data column holds no more bytes than ``most``.
+
+    Rows of over an eighth of these bytes come last, so that a long text shuts
+    out no other; a label keeps its first row whatever it holds, so none is lost.
+    """
+    size = F.octet_length(data)
+    order = Window.partitionBy(label).orderBy(F.coalesce(size > most // LONG_SHARE, F.lit(False)), position(F.col("doc_id")), "doc_id", data)
     few = rows.withColumn("__rank", F.row_number().over(order)).filter(F.col("__rank") <= per_class)
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    return few.withColumn("__bytes", F.sum(F.octet_length(data)).over(upto)).filter(F.col("__bytes") <= most).drop("__rank", "__bytes")
+    return few.withColumn("__bytes", F.sum(size).over(upto)).filter((F.col("__bytes") <= most) | (F.col("__rank") == 1)).drop("__rank", "__bytes")

@@ -39,17 +39,37 @@ CALLS = "conv_id, turn, call_id, tool, arguments, needs"
 # --- schemas and JSON -----------------------------------------------------------
 
 
+TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None), "integer": int, "number": (int, float)}
+#: What :func:`fault` checks, and what says nothing of values.
+KEYWORDS = {"type", "required", "properties", "additionalProperties", "items", "enum", "minimum", "maximum", "minLength"}
+REMARKS = {"title", "description", "default", "examples", "$schema", "$id"}
+
+
+def refuse_unknown(schema: dict, at: str = "$") -> None:
+    """An error for a schema with a keyword or a type that isn't checked, so that none is passed over in silence."""
+    kinds = schema.get("type", [])
+    unknown = sorted(set(schema) - KEYWORDS - REMARKS) + [k for k in ([kinds] if isinstance(kinds, str) else kinds) if k not in TYPES]
+    if not isinstance(schema.get("additionalProperties", True), bool):
+        unknown.append("additionalProperties with a schema")
+    if unknown:
+        raise ValueError(f"schema at {at}: {', '.join(unknown)} not supported")
+    for k, own in schema.get("properties", {}).items():
+        refuse_unknown(own, f"{at}.{k}")
+    if "items" in schema:
+        refuse_unknown(schema["items"], f"{at}[]")
+
+
 def fault(value, schema: dict, at: str = "$") -> str | None:
-    """The first way in which a JSON value breaks a schema (type, required, properties, additionalProperties, items, enum, minimum, maximum, minLength)."""
-    kind = schema.get("type")
-    right = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None), "integer": int, "number": (int, float)}
-    if kind and (not isinstance(value, right[kind]) or kind in ("integer", "number") and isinstance(value, bool)):
-        return f"{at}: not of type {kind}"
+    """The first way in which a JSON value breaks a schema of the keywords in KEYWORDS; ``type`` may be a list."""
+    kinds = schema.get("type", [])
+    kinds = [kinds] if isinstance(kinds, str) else kinds
+    if kinds and not any(isinstance(value, TYPES[k]) and not (k in ("integer", "number") and isinstance(value, bool)) for k in kinds):
+        return f"{at}: not of type {' or '.join(kinds)}"
     if "enum" in schema and value not in schema["enum"]:
         return f"{at}: not one of the allowed values"
     if isinstance(value, str) and len(value) < schema.get("minLength", 0):
         return f"{at}: too short"
-    if kind in ("integer", "number") and not schema.get("minimum", -math.inf) <= value <= schema.get("maximum", math.inf):
+    if isinstance(value, (int, float)) and not isinstance(value, bool) and not schema.get("minimum", -math.inf) <= value <= schema.get("maximum", math.inf):
         return f"{at}: out of range"
     if isinstance(value, dict):
         own = schema.get("properties", {})
@@ -171,6 +191,12 @@ def turns_as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     return calls, results
 
 
+def every_call(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Calls and results of :func:`turns_as_calls`, and those that messages hold as JSON."""
+    plain, written = turns_as_calls(conversations), calls_in_messages(conversations)
+    return tuple(a.unionByName(b) for a, b in zip(plain, written, strict=True))
+
+
 #: Schemas of the tools of turns_as_calls.
 TURN_SCHEMAS = {
     "answer": {"type": "object", "required": ["prompt", "words"], "properties": {"prompt": {"type": "string", "minLength": 1}, "words": {"type": "integer", "minimum": 1}}, "additionalProperties": False},
@@ -300,6 +326,8 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     JSON, or that no text can hold again, are an error, never a failure.  Empty
     tables give no rows.
     """
+    for name, schema in schemas.items():
+        refuse_unknown(schema, name)
     first = results.groupBy("conv_id", "call_id").agg(F.min_by("content", F.struct("turn", "content")).alias("result"), F.min("turn").alias("r_turn"), F.count("*").alias("n_results"))
     first = first.withColumnsRenamed({"conv_id": "r_conv", "call_id": "r_call"})
     staged = Staged(calls.select(*CALLS.split(", ")), "calls")

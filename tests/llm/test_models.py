@@ -539,6 +539,17 @@ def test_thresholds_by_language(spark, monkeypatch):
     assert len(few) == 7
 
 
+def test_long_text_shuts_out_no_other(spark):
+    from pyspark.sql import functions as F
+
+    from rankloom.llm.sampling import capped, position
+
+    ids = spark.range(40).withColumn("place", position(F.col("id"))).orderBy("place").collect()
+    rows = [(r["id"], "x", bytes(5000 if i == 0 else 10)) for i, r in enumerate(ids)] + [(100, "y", bytes(9000))]
+    got = capped(spark.createDataFrame(rows, "doc_id long, label string, data binary"), "label", 30, "data", 1000).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted([r["id"] for r in ids[1:31]] + [100])  # the long one comes last, a label's only row stays
+
+
 def test_odd_toxicity(spark, odd_docs, no_docs):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     some = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (5, None), (None, 1)], "doc_id long, toxic int").selectExpr("*", "1 AS text", "2 AS lang", "3 AS score")

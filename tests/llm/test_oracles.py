@@ -108,6 +108,17 @@ def test_odd_decontamination(spark, odd_docs, no_docs):
     assert clean.columns == odd_docs.columns and 1 not in {r["doc_id"] for r in clean.collect()}
 
 
+def test_short_items_inside_long_texts(spark):
+    filler = [f"f{i}" for i in range(3000)]
+    texts = {1: "we found four words here now and more", 2: " ".join([*filler, "four", "words", "here", "now", *filler]), 3: "four words here", 4: "FOUR words, here now", 5: "word", 6: "four words then here now"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    items = spark.createDataFrame([(1, "four words here now"), (2, "word"), (3, "four words")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contained(docs, items).collect()}
+    assert got == {(d, 1) for d in (1, 2, 4)} | {(5, 2)} | {(d, 3) for d in (1, 2, 3, 4, 6)}
+    against(decontamination.contained(docs, items), decontamination.ORACLE_SQL, documents=docs, benchmark=items)
+    assert {r["doc_id"] for r in decontamination.clean(docs, items.filter("item_id = 1")).collect()} == {3, 5, 6}
+
+
 def test_four_fifths_of_an_item_are_enough(spark):
     item = [f"t{i}" for i in range(44)]  # 40 shingles
     texts = {1: item[:36], 2: item[:35], 3: ["x"] * 20_000 + item + ["y"] * 20_000}
@@ -251,3 +262,20 @@ def test_odd_conversations(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS range", "2 AS prior", "3 AS needs")
     got = toolcalls.link(*toolcalls.turns_as_calls(df), toolcalls.TURN_SCHEMAS).collect()
     assert sorted((r["tool"] or "-", r["n_results"], r["error"] or "") for r in got) == [("-", 1, "orphan result"), ("answer", 0, "no result"), ("answer", 0, "no result"), ("answer", 2, "$.prompt: too short"), ("configure", 0, "no result")]
+
+
+def test_types_may_be_lists_and_unknown_keywords_are_refused(spark):
+    schema = {"type": ["object", "null"], "properties": {"n": {"type": ["integer", "string"], "minimum": 2}}}
+    assert toolcalls.fault(None, schema) is None and toolcalls.fault({"n": "x"}, schema) is None and toolcalls.fault({"n": 2}, schema) is None
+    assert toolcalls.fault({"n": 1}, schema) == "$.n: out of range" and toolcalls.fault({"n": True}, schema) == "$.n: not of type integer or string" and toolcalls.fault([], schema) == "$: not of type object or null"
+    calls = spark.createDataFrame([(1, 1, "a", "t", "{}", [])], CALLS)
+    results = spark.createDataFrame([], "conv_id long, turn long, call_id string, content string")
+    for wrong in ({"oneOf": []}, {"properties": {"x": {"pattern": "a"}}}, {"items": {"type": "int"}}, {"additionalProperties": {}}):
+        with pytest.raises(ValueError, match="not supported"):
+            toolcalls.link(calls, results, {"t": wrong})
+
+
+def test_written_calls_join_the_turns(spark):
+    rows = [(1, 1, "user", "add up"), (1, 2, "assistant", '{"tool_calls": [{"id": "c1", "name": "sum", "arguments": "{\\"n\\": 1}", "needs": []}]}'), (1, 3, "tool", '{"tool_call_id": "c1", "content": "1"}'), (1, 4, "assistant", "done")]
+    got = toolcalls.link(*toolcalls.every_call(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")), {**toolcalls.TURN_SCHEMAS, "sum": {"type": "object"}}).collect()
+    assert sorted((r["tool"], r["call_id"], r["n_results"], r["error"]) for r in got) == [("answer", "1:1", 2, None), ("sum", "c1", 1, None)]
