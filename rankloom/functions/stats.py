@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -34,6 +35,23 @@ def normal_tail(z: float) -> float:
     return math.erfc(z / math.sqrt(2)) / 2
 
 
+@lru_cache(maxsize=64)
+def signed_rank_counts(n: int) -> tuple[int, ...]:
+    """How many of the 2**n sets of signs give each sum 0..n(n+1)/2 of positive ranks, by adding one rank after the other."""
+    counts = [1]
+    for rank in range(1, n + 1):
+        longer = counts + [0] * rank
+        for s, c in enumerate(counts):
+            longer[s + rank] += c
+        counts = longer
+    return tuple(counts)
+
+
+def signed_rank_tail(statistic: float, n: int) -> float:
+    """P(W <= statistic) of n untied differences."""
+    return sum(signed_rank_counts(n)[: math.floor(statistic) + 1]) / 2**n
+
+
 def beta_tail(x: float, a: float, b: float) -> float:
     """Regularised incomplete beta function, by its continued fraction."""
     if x <= 0 or x >= 1:
@@ -69,19 +87,45 @@ def normal_p(z: pd.Series) -> pd.Series:
     return pd.Series([math.nan if v is None or math.isnan(v) else normal_tail(v) for v in z], dtype="float64")
 
 
+@F.pandas_udf(T.DoubleType())
+def signed_rank_p(statistic: pd.Series, n: pd.Series) -> pd.Series:
+    """Exact one-sided p; meant for few differences, so more than 1000 give NaN."""
+    return pd.Series([signed_rank_tail(w, int(k)) if k <= 1000 else math.nan for w, k in zip(statistic, n, strict=True)], dtype="float64")
+
+
 @F.pandas_udf(T.DoubleType())
 def correlation_p(r: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([correlation_tail(a, int(b)) for a, b in zip(r, n, strict=True)], dtype="float64")
 
 
-def bootstrap_interval(values: np.ndarray, resamples: int = 10_000, seed: int = 0, chunk: int = 1 << 22) -> tuple[float, float]:
-    """Percentile interval (95 %) of the mean; NaN for no values.  Resamples are drawn in chunks of bounded memory."""
-    if not len(values):
-        return math.nan, math.nan
-    rng, means, at = np.random.default_rng(seed), np.empty(resamples), 0
-    step = max(1, chunk // len(values))
-    while at < resamples:
-        n = min(step, resamples - at)
-        means[at : at + n] = values[rng.integers(0, len(values), (n, len(values)))].mean(axis=1)
-        at += n
-    return tuple(np.percentile(means, [2.5, 97.5]))
+def tau_b_of(x: np.ndarray, y: np.ndarray) -> float:
+    """Kendall's tau-b in n log n steps; 0.0 where a side doesn't vary (or has fewer than two values)."""
+
+    def tied(*columns: np.ndarray) -> int:
+        n = np.unique(np.stack(columns), axis=1, return_counts=True)[1].astype(object)
+        return int((n * (n - 1) // 2).sum())
+
+    n = len(x)
+    pairs, tx, ty = n * (n - 1) // 2, *((tied(x), tied(y)) if n else (0, 0))
+    if pairs == tx or pairs == ty:
+        return 0.0
+    # by x, ties by y: what is out of order in y then is what the two orders disagree on
+    ranks = np.unique(y, return_inverse=True)[1][np.lexsort((y, x))]
+    against = 0
+    for bit in reversed(range(int(ranks.max()).bit_length())):
+        # values that agree in all higher bits stand together, in their order: count ones before zeros
+        group, one = ranks >> (bit + 1), (ranks >> bit) & 1
+        ones = np.cumsum(one) - one
+        start = np.flatnonzero(np.diff(group, prepend=-1))
+        before = ones - np.repeat(ones[start], np.diff(np.append(start, n)))
+        against += int(before[one == 0].sum())
+        ranks = ranks[np.argsort(ranks >> bit, kind="stable")]
+    agree = pairs - tx - ty + tied(x, y) - against
+    return (agree - against) / math.sqrt((pairs - tx) * (pairs - ty))
+
+
+@F.pandas_udf(T.DoubleType())
+def tau_b(x: pd.Series, y: pd.Series) -> pd.Series:
+    """Tau-b of two lists of numbers; NULL where a list is NULL or they differ in length."""
+    side = lambda v: None if v is None else np.asarray(v, float)
+    return pd.Series([None if (a := side(p)) is None or (b := side(q)) is None or len(a) != len(b) else tau_b_of(a, b) for p, q in zip(x, y, strict=True)], dtype="float64")

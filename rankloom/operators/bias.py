@@ -48,6 +48,13 @@ def described(counts: DataFrame, keys: list[str] | None = None, k: int = SLOTS)
     return both.withColumns({"percent": percent, "p": chi2_p("chi2", "df")}).withColumn("verdict", F.when(F.col("p") >= 0.05, "UNIFORM").when(F.col("p") < 0.05, "NON-UNIFORM"))
 
 
+def matrix_tests(matrix: DataFrame, k: int = SLOTS) -> DataFrame:
+    """rank_pos, chi2, df, p of each row of a rank-slot matrix against uniform, and of the whole matrix (rank_pos NULL)."""
+    rows = matrix.groupBy("rank_pos").agg(chi_square("n", k).alias("chi2")).withColumn("df", F.lit(k - 1))
+    whole = matrix.agg(chi_square("n", k * k).alias("chi2")).select(F.lit(None).cast("int").alias("rank_pos"), "chi2", F.lit(k * k - 1).alias("df"))
+    return rows.unionByName(whole).withColumn("p", chi2_p("chi2", "df"))
+
+
 def position_bias(df: DataFrame, ranking: str, gt: str, keys: list[str] | None = None, k: int = SLOTS) -> DataFrame:
     """keys, n_valid, top1_slot_counts, slot1_top1_rate, chi2_uniform, chi2_pvalue, recall_by_gt_position, recall_support: strict rankings only.
 

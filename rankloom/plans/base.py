@@ -71,8 +71,9 @@ def simpson(density: str, end: str, n: int = 4000) -> str:
     return f"(SELECT sum(CASE WHEN i IN (0, {n}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * {density}) * any_value(h) / 3 FROM (SELECT i, ({end}) / {n} AS h, ({end}) * i / {n} AS t FROM range(0, {n + 1}) ticks(i)))"
 
 
-def chi2_tail_sql(x: str, df: int) -> str:
-    return f"(1 - {simpson(f'pow(t, {df / 2 - 1}) * exp(-t / 2) / (pow(2, {df / 2}) * gamma({df / 2}))', f'least({x}, 100)')})"
+def chi2_tail_sql(x: str, df: int, most: int = 100) -> str:
+    """SQL of the tail of a chi-square variable; beyond ``most`` it has to be nothing."""
+    return f"(1 - {simpson(f'pow(t, {df / 2 - 1}) * exp(-t / 2) / (pow(2, {df / 2}) * gamma({df / 2}))', f'least({x}, {most})')})"
 
 
 class Tables:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from rankloom.functions.stats import normal_p
 from rankloom.operators import judge, order_stats as o
 
 from .base import LATENCY, LONG_VERDICTS, VERDICTS, Tables, query, simpson
@@ -164,7 +164,24 @@ z AS (SELECT probe, axis, n, w, (w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 *
 SELECT probe, axis, n_total, n::BIGINT AS n_effective, w AS statistic, round(z, 6) AS z, round(0.5 + sign(z) * {NORMAL}, 6) AS p_value FROM z JOIN tot USING (probe, axis)""")
 def wilcoxon_p(t: Tables):
     w = judge.wilcoxon(all_deltas(t), ["probe", "axis"])
-    return w.select("probe", "axis", "n_total", "n_effective", "statistic", F.round("z", 6).alias("z"), F.round(F.when(F.col("z").isNotNull(), F.lit(1.0) - normal_p("z")), 6).alias("p_value"))
+    return w.select("probe", "axis", "n_total", "n_effective", "statistic", F.round("z", 6).alias("z"), F.round("p_value", 6).alias("p_value"))
+
+
+# how many sets of signs give each sum of ranks, rank by rank
+SIGNED = f"""law(n, s, c) AS (SELECT 0, 0, 1.0::DOUBLE UNION ALL SELECT n + 1, s, sum(c) FROM (SELECT n, s, c FROM law UNION ALL SELECT n, s + n + 1, c FROM law) WHERE n < {judge.EXACT} GROUP BY n, s)"""
+
+
+@query(f"""WITH RECURSIVE {SIGNED}, d AS (SELECT o_custkey AS user_id, o_totalprice - lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS delta FROM orders),
+nz AS (SELECT *, rank() OVER (PARTITION BY user_id ORDER BY abs(delta)) AS r, count(*) OVER (PARTITION BY user_id, abs(delta)) AS m FROM d WHERE delta IS NOT NULL),
+w AS (SELECT user_id, count(*) AS n_effective, sum(CASE WHEN delta > 0 THEN r ELSE 0 END)::DOUBLE AS statistic FROM nz GROUP BY 1 HAVING max(m) = 1 AND min(abs(delta)) > 0 AND count(*) BETWEEN 2 AND {judge.EXACT})
+SELECT user_id, n_effective, statistic, round((SELECT sum(c) FROM law WHERE n = n_effective AND s <= statistic) / pow(2, n_effective), 9) AS p_value FROM w""")
+def wilcoxon_exact(t: Tables):
+    """Whether what a user spends falls from order to order: few differences, none equal, the law counted out."""
+    last = F.lag("o_totalprice").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    d = t("orders").select(F.col("o_custkey").alias("user_id"), (F.col("o_totalprice") - last).cast("double").alias("value")).filter("value IS NOT NULL")
+    untied = d.groupBy("user_id").agg(F.count("*").alias("n"), F.countDistinct(F.abs("value")).alias("m"), F.min(F.abs("value")).alias("least")).filter(f"n = m AND least > 0 AND n BETWEEN 2 AND {judge.EXACT}")
+    w = judge.wilcoxon(d.join(untied.select("user_id"), "user_id", "left_semi"), ["user_id"])
+    return w.select("user_id", "n_effective", "statistic", F.round("p_value", 9).alias("p_value"))
 
 
 @query(f"WITH {LONG_VERDICTS} SELECT probe, axis, count(*) AS n, round(avg(delta), 6) AS mean_delta, round(avg(CASE WHEN delta < 0 THEN 1.0 ELSE 0 END), 6) AS rate FROM deltas GROUP BY ALL")
@@ -209,9 +226,8 @@ def point_biserial_p(t: Tables):
 
 @query(f"WITH {VERDICTS}, r AS (SELECT arm, rank() OVER (PARTITION BY arm ORDER BY groundedness) + (count(*) OVER (PARTITION BY arm, groundedness) - 1) / 2.0 AS x, rank() OVER (PARTITION BY arm ORDER BY value) + (count(*) OVER (PARTITION BY arm, value) - 1) / 2.0 AS y FROM verdicts WHERE error IS NULL) SELECT arm, count(*) AS n, round(corr(x, y), 6) AS rho FROM r GROUP BY arm")
 def spearman(t: Tables):
-    v = t.verdicts().filter("error IS NULL").select("arm", "groundedness", "value")
-    r = judge.average_ranks(judge.average_ranks(v, ["arm"], "groundedness", "x"), ["arm"], "value", "y")
-    return r.groupBy("arm").agg(F.count("*").alias("n"), F.round(judge.correlation(F.col("x").cast("double"), F.col("y").cast("double")), 6).alias("rho"))
+    r = judge.rank_correlation(t.verdicts().filter("error IS NULL"), ["arm"], {"rho": ("groundedness", "value")})
+    return r.select("arm", F.col("rho_n").alias("n"), F.round("rho", 6).alias("rho"))
 
 
 # an inference cache: lines are outputs, orders samples, return flags backends; some outputs have no ranking, some samples no positive
@@ -237,16 +253,41 @@ def judge_retrieval_join(t: Tables):
     return judged_outputs(t).select("sample_id", "model_tag", "groundedness", "personalization", "ranking_coherence", "rank_of_pos", "hit_at_1", "hit_at_5", "hit_at_10", F.round("mrr", 9).alias("mrr"), "output_chars", "output_tokens")
 
 
-@query()
+NEAR = "true AS low_is_near, true AS high_is_near"
+
+
+def near(ci, values, keys: list[str]):
+    """Bounds of an interval held against the normal's, within an eighth of its width: what SQL can say of resampled ones."""
+    spread = values.groupBy(*keys).agg((1.959964 * F.stddev_pop("value") / F.sqrt(F.count("value"))).alias("half"))
+    close = lambda c, sign: (F.abs(F.col(c) - F.col("mean") - sign * F.col("half")) <= F.col("half") / 4 + 1e-9).alias(f"{c}_is_near")
+    return ci.join(spread, keys).select(*keys, "n", F.round("mean", 6).alias("mean"), close("low", -1), close("high", 1))
+
+
+@query(f"WITH {LONG_VERDICTS} SELECT arm, axis, count(*) AS n, round(avg(score), 6) AS mean, {NEAR} FROM axes WHERE error IS NULL GROUP BY ALL")
 def bootstrap_ci(t: Tables):
-    return judge.bootstrap(judge.long_axes(t.verdicts().filter("error IS NULL"), ["arm"]), ["arm", "axis"])
+    values = judge.long_axes(t.verdicts().filter("error IS NULL"), ["arm"])
+    return near(judge.bootstrap(values, ["arm", "axis"]), values, ["arm", "axis"])
+
+
+def baseline_scores(t: Tables):
+    return judge.long_axes(t.verdicts().filter("error IS NULL AND arm = 'base'"), [])
+
+
+def baseline(t: Tables):
+    """The base arm's scores: n, mean and interval of each axis."""
+    return judge.bootstrap(baseline_scores(t), ["axis"])
+
+
+@query(f"WITH {LONG_VERDICTS} SELECT axis, count(*) AS n, round(avg(score), 6) AS mean, {NEAR} FROM axes WHERE arm = 'base' AND error IS NULL GROUP BY ALL")
+def validation_baseline(t: Tables):
+    return near(baseline(t), baseline_scores(t), ["axis"])
 
 
 def validated(t: Tables):
     """Each probe and axis: n, mean difference, bootstrap interval, signed ranks, discrimination, label; missing pairs have n 0."""
     d = all_deltas(t)
     ci = judge.bootstrap(d, ["probe", "axis"])
-    w = judge.wilcoxon(d, ["probe", "axis"]).withColumn("p_value", F.when(F.col("z").isNotNull(), F.lit(1.0) - normal_p("z"))).select("probe", "axis", "n_effective", "statistic", "p_value", "error")
+    w = judge.wilcoxon(d, ["probe", "axis"]).select("probe", "axis", "n_effective", "statistic", "p_value", "error")
     rate = d.groupBy("probe", "axis").agg(judge.discrimination(F.col("value")).alias("rate"))
     s = expected(t).join(ci, ["probe", "axis"], "left").join(w, ["probe", "axis"], "left").join(rate, ["probe", "axis"], "left")
     return s.withColumn("label", judge.probe_label(F.col("mean"), F.col("low"), F.col("high"), F.col("expected"))).withColumn("missing", F.col("n").isNull()).withColumn("n", F.coalesce("n", F.lit(0)))
@@ -266,19 +307,28 @@ def validation_figures(t: Tables):
     return s.join(base, "axis")
 
 
-@query(f"""WITH {VERDICTS}, {OUTPUTS}, rk AS (SELECT *, rank() OVER (PARTITION BY model_tag ORDER BY groundedness) + (count(*) OVER (PARTITION BY model_tag, groundedness) - 1) / 2.0 AS gr, rank() OVER (PARTITION BY model_tag ORDER BY mrr) + (count(*) OVER (PARTITION BY model_tag, mrr) - 1) / 2.0 AS mr FROM paired)
-SELECT model_tag, count(*) AS n_paired, round(avg(groundedness), 6) AS groundedness, round(avg(hit_at_1), 6) AS recall_at_1, round(avg(hit_at_5), 6) AS recall_at_5, round(avg(hit_at_10), 6) AS recall_at_10, round(avg(mrr), 6) AS mrr_mean, round(corr(hit_at_1, groundedness), 6) AS groundedness_vs_hit1, round(corr(hit_at_1, personalization), 6) AS personalization_vs_hit1,
- round(CASE WHEN count(ranking_coherence) >= 3 THEN corr(CASE WHEN ranking_coherence IS NOT NULL THEN hit_at_1 END, ranking_coherence) END, 6) AS ranking_coherence_vs_hit1, round(corr(gr, mr), 6) AS groundedness_vs_mrr, round(quantile_cont(output_chars, 0.5), 6) AS chars_p50, round(quantile_cont(output_chars, 0.95), 6) AS chars_p95, count(output_tokens) AS n_tokens, round(quantile_cont(output_tokens, 0.95), 6) AS tokens_p95 FROM rk GROUP BY model_tag""")
+def unrelated_p(r: str, n: str) -> str:
+    """Two-sided p of a correlation of n pairs."""
+    inside = simpson(f"pow(1 - t * t, ({n} - 4) / 2.0) * exp(lgamma(({n} - 1) / 2.0) - lgamma(({n} - 2) / 2.0)) / sqrt(pi())", f"abs({r})")
+    return f"round(CASE WHEN {r} IS NOT NULL THEN 1 - 2 * {inside} END, 6) AS {r}_p"
+
+
+AGAINST = [(a, f"{a}_vs_{k}", x, y) for k in ("hit1", "mrr") for a in judge.AXES for x, y in [("hit_at_1", a) if k == "hit1" else (f"rank_{a}", "rank_mrr")]]
+RANKED = ", ".join(f"rank() OVER (PARTITION BY model_tag ORDER BY {c}) + (count(*) OVER (PARTITION BY model_tag, {c}) - 1) / 2.0 AS rank_{c}" for c in (*judge.AXES, "mrr"))
+# an axis is there for all rows of a model or for none, so ranks of MRR need no restriction
+CORRELATED = ", ".join(f"CASE WHEN count({a}) >= 3 THEN corr(CASE WHEN {a} IS NOT NULL THEN {x} END, {y}) END AS {name}, count({a}) AS {name}_n" for a, name, x, y in AGAINST)
+LENGTHS = ", ".join(f"round({f}, 6) AS {c}_{name}" for c in ("chars", "tokens") for name, f in (("mean", f"avg(output_{c})"), ("p50", f"quantile_cont(output_{c}, 0.5)"), ("p95", f"quantile_cont(output_{c}, 0.95)"), ("max", f"max(output_{c})::DOUBLE")))
+
+
+def agreement(t: Tables):
+    return judge.agreement(judged_outputs(t))
+
+
+@query(f"""WITH {VERDICTS}, {OUTPUTS}, rk AS (SELECT *, {RANKED} FROM paired),
+s AS (SELECT model_tag, count(*) AS n_paired, round(avg(groundedness), 6) AS groundedness, round(avg(hit_at_1), 6) AS recall_at_1, round(avg(hit_at_5), 6) AS recall_at_5, round(avg(hit_at_10), 6) AS recall_at_10, round(avg(mrr), 6) AS mrr_mean, count(output_tokens) AS n_tokens, {LENGTHS}, {CORRELATED} FROM rk GROUP BY model_tag)
+SELECT model_tag, n_paired, groundedness, recall_at_1, recall_at_5, recall_at_10, mrr_mean, n_tokens, {", ".join(f"{c}_{k}" for c in ("chars", "tokens") for k in ("mean", "p50", "p95", "max"))},
+ {", ".join(f"round({n}, 6) AS {n}, {n}_n, {unrelated_p(n, n + '_n')}" for _, n, _, _ in AGAINST)} FROM s""")
 def judge_summary(t: Tables):
-    """Per model: retrieval of the judged outputs, correlations of scores with it (the third axis over the rows that have it), lengths."""
-    v = judged_outputs(t)
-    hit, as_double = F.col("hit_at_1").cast("double"), lambda c: F.col(c).cast("double")
-    mean = lambda c, name: F.round(F.avg(c), 6).alias(name)
-    r = lambda a: F.round(F.nanvl(judge.correlation(hit, as_double(a)), F.lit(None)), 6).alias(f"{a}_vs_hit1")
-    basic = v.groupBy("model_tag").agg(F.count("*").alias("n_paired"), mean("groundedness", "groundedness"), *[mean(f"hit_at_{k}", f"recall_at_{k}") for k in (1, 5, 10)], mean("mrr", "mrr_mean"), *map(r, judge.AXES))
-    some = v.select("model_tag", "groundedness", "mrr")
-    ranked = judge.average_ranks(judge.average_ranks(some, ["model_tag"], "groundedness", "x"), ["model_tag"], "mrr", "y")
-    rho = ranked.groupBy("model_tag").agg(F.round(judge.correlation(as_double("x"), as_double("y")), 6).alias("groundedness_vs_mrr"))
-    chars = o.quantiles(v, ["model_tag"], "output_chars", {"chars_p50": 0.5, "chars_p95": 0.95}).select("model_tag", F.round("chars_p50", 6).alias("chars_p50"), F.round("chars_p95", 6).alias("chars_p95"))
-    tokens = o.quantiles(v, ["model_tag"], "output_tokens", {"tokens_p95": 0.95}).select("model_tag", F.col("n").alias("n_tokens"), F.round("tokens_p95", 6).alias("tokens_p95"))
-    return basic.join(rho, "model_tag").join(chars, "model_tag").join(tokens, "model_tag")
+    """Per model: retrieval of the judged outputs, correlations of all axes with it and their p, lengths."""
+    found = agreement(t).drop("n_chars").withColumns({f"{c}_max": F.col(f"{c}_max").cast("double") for c in ("chars", "tokens")})
+    return found.withColumns({f.name: F.round(f.name, 6) for f in found.schema if f.dataType.simpleString() == "double"})

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankloom.functions import parsing, ranks, text
+from rankloom.functions import parsing, ranks, schemas, text
+from rankloom.functions.ranks import SLOTS
 from rankloom.operators import perturb, samples, validation as v
 
 from .base import RANKS, Tables, query
@@ -151,10 +152,15 @@ def validate_verdicts(t: Tables):
     return rows.select("event_id", v.verdict_fault(rows, ["groundedness", "personalization", "ranking_coherence"]).alias("error"))
 
 
-@query("""SELECT event_id, regexp_full_match(CASE WHEN event_id % 3 = 0 THEN '  ' || props ELSE props || ' x' END, '\\s*\\{"k": [0-9]+\\}\\s*') AS matched FROM events""")
+@query(f"""WITH {RANKS}, s AS (SELECT sample_id, list(t ORDER BY slot) AS r FROM rk GROUP BY sample_id) SELECT sample_id, sample_id % 6 <> 1 AND sample_id % 6 <> 2 AND sample_id % 6 <> 4 AS matched FROM s""")
 def schema_regex_match(t: Tables):
-    raw = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("  "), "props")).otherwise(F.concat("props", F.lit(" x")))
-    return t("events").select("event_id", raw.rlike(r'^\s*\{"k": [0-9]+\}\s*$').alias("matched"))
+    """Rankings as JSON against the pattern of their schema: whole, one short, with a slot that isn't there, spaced, with text behind, whole again."""
+    r = F.col("teacher").cast("array<string>")
+    case = F.col("sample_id") % 6
+    slots_ = F.when(case == 1, F.slice(r, 1, SLOTS - 1)).when(case == 2, F.transform(r, lambda x: F.when(x == "10", "11").otherwise(x))).otherwise(r)
+    text = F.concat(F.lit('{"ranking": ['), F.array_join(slots_, ", "), F.lit("]}"))
+    raw = F.when(case == 3, F.concat(F.lit("\n "), F.replace(text, F.lit(","), F.lit(" ,")), F.lit(" "))).when(case == 4, F.concat(text, F.lit(" ok"))).otherwise(text)
+    return t.rankings().select("sample_id", raw.rlike(schemas.whole(schemas.ranking_schema(SLOTS, reasons=False))).alias("matched"))
 
 
 # --- perturbations ----------------------------------------------------------------

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rankloom.functions import ranks
+from rankloom.functions.stats import tau_b
 from rankloom.operators import bias, merging, resume
 
 from .base import RANKS, Tables, chi2_tail_sql, query, reverse_student
@@ -231,11 +232,25 @@ def rank_slot_matrix(t: Tables):
     return matrix(t).withColumn("percent", F.round("percent", 6))
 
 
-@query(f"WITH {MATRIX} SELECT rank_pos, round(sum(n * n) * 10.0 / sum(n) - sum(n), 6) AS chi2 FROM m GROUP BY rank_pos UNION ALL SELECT NULL, round(sum(n * n) * 100.0 / sum(n) - sum(n), 6) FROM m")
+@query(f"""WITH {MATRIX}, x AS (SELECT rank_pos, sum(n * n) * 10.0 / sum(n) - sum(n) AS chi2 FROM m GROUP BY rank_pos), w AS (SELECT sum(n * n) * 100.0 / sum(n) - sum(n) AS chi2 FROM m)
+SELECT rank_pos, round(chi2, 6) AS chi2, 9::BIGINT AS df, round({chi2_tail_sql('chi2', 9)}, 6) AS p FROM x UNION ALL SELECT NULL, round(chi2, 6), 99::BIGINT, round({chi2_tail_sql('chi2', 99, 400)}, 6) FROM w""")
 def rank_slot_chi2(t: Tables):
-    m = matrix(t)
-    rows = m.groupBy("rank_pos").agg(F.round(bias.chi_square(), 6).alias("chi2"))
-    return rows.unionByName(m.agg(F.lit(None).cast("int").alias("rank_pos"), F.round(bias.chi_square("n", 100), 6).alias("chi2")))
+    tests = bias.matrix_tests(matrix(t))
+    return tests.withColumns({"chi2": F.round("chi2", 6), "p": F.round("p", 6)})
+
+
+# lists of a user's orders, by date, of numbers that tie
+TIED = """u AS (SELECT o_custkey AS user_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i, o_orderkey % 7 AS x, floor(o_totalprice / 60000) AS y FROM orders)"""
+
+
+@query(f"""WITH {TIED}, p AS (SELECT a.user_id, sign(a.x - b.x) AS dx, sign(a.y - b.y) AS dy FROM u a JOIN u b ON a.user_id = b.user_id AND a.i < b.i),
+s AS (SELECT user_id, sum(dx * dy) AS agree, count(*) FILTER (dx <> 0) AS nx, count(*) FILTER (dy <> 0) AS ny FROM p GROUP BY 1)
+SELECT user_id, coalesce(round(CASE WHEN nx > 0 AND ny > 0 THEN agree / sqrt(nx * ny::DOUBLE) ELSE 0 END, 9), 0) AS tau FROM (SELECT DISTINCT user_id FROM u) LEFT JOIN s USING (user_id)""")
+def kendall_tau_b(t: Tables):
+    """Tau-b of two lists with ties; 0 where one doesn't vary."""
+    at = F.struct("o_orderdate", "o_orderkey", (F.col("o_orderkey") % 7).cast("double").alias("x"), F.floor(F.col("o_totalprice") / 60000).cast("double").alias("y"))
+    lists = t("orders").groupBy(F.col("o_custkey").alias("user_id")).agg(F.array_sort(F.collect_list(at)).alias("o"))
+    return lists.select("user_id", F.round(tau_b(F.col("o.x"), F.col("o.y")), 9).alias("tau"))
 
 
 @query(f"WITH {MATRIX} SELECT 'diagonal' AS profile, rank_pos, round(percent, 6) AS percent FROM mp WHERE rank_pos = slot UNION ALL SELECT 'slot1', rank_pos, round(percent, 6) FROM mp WHERE slot = 1")

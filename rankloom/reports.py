@@ -1,7 +1,8 @@
 """Reports: small aggregated results as Markdown and CSV, on the driver.
 
-Each takes rows that are a handful by their nature (a row a model, a probe, a
-slot); a result of more than LIMIT rows is an error, never cut.
+A report is a layout, a list of columns each with its heading, its alignment
+and how a row gives its text, put over rows that are a handful by their nature
+(a row a model, a probe, a slot).  More rows than LIMIT are an error, never cut.
 """
 
 from __future__ import annotations
@@ -9,6 +10,9 @@ from __future__ import annotations
 import csv
 import io
 import math
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass
+from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,10 +21,11 @@ from rankloom.functions.text import QUANT_ORDER, RECIPE_ORDER, place_in
 from rankloom.sources.results import collected
 
 LIMIT = 10_000
-NONE = "--"
+AXES = ("groundedness", "personalization", "ranking_coherence")
 
+# --- fixed values: how numbers are written, which readers of the reports rely on ---
 
-# --- cells --------------------------------------------------------------------
+NONE = "--"
 
 
 def absent(*values) -> bool:
@@ -49,131 +54,145 @@ def signed_rank(p, n_effective, error: str | None = None) -> str:
     return f"(n_eff={n_effective}; {error or 'no p'})" if p is None or math.isnan(p) else f"p={p:.3g} (n_eff={n_effective})"
 
 
-def table(head: list[str], rows: list[list[str]], right: frozenset[int] | set[int] = frozenset()) -> str:
-    marks = ["---:" if i in right else "---" for i in range(len(head))]
-    return "\n".join("| " + " | ".join(r) + " |" for r in [head, marks, *rows]) + "\n"
+# --- layouts ----------------------------------------------------------------------
 
 
-# --- comparison of runs ---------------------------------------------------------
+@dataclass(frozen=True)
+class Field:
+    """A column of a report: its heading, how a row gives its text, and whether numbers stand to the right."""
 
-#: Column of the summaries and its heading.
-COLUMNS = [
-    ("tag", "Tag"), ("recipe", "Recipe"), ("quant", "Quant"), ("recall@1", "R@1"), ("recall@5", "R@5"), ("recall@10", "R@10"), ("mrr@10", "MRR@10"), ("ndcg@5", "NDCG@5"), ("ndcg@10", "NDCG@10"),
-    ("slot1_top1_rate", "Slot-1 top-1"), ("kendall_tau_mean", "Kendall τ"), ("top1_agreement", "Top-1 vs teacher"), ("parse_rate", "Parse rate"), ("ms_per_tok", "ms/tok (p50)"), ("n", "N"),
-]
+    heading: str
+    text: Callable[[dict], str]
+    right: bool = False
 
 
-def ordered(runs: DataFrame) -> list:
-    """Runs by recipe, quantization (both in their fixed order, others last) and tag."""
-    places = place_in(RECIPE_ORDER, F.col("recipe")), place_in(QUANT_ORDER, F.col("quant"))
-    return collected(runs.orderBy(*places, "tag"), LIMIT)
+def plain(name: str, heading: str | None = None) -> Field:
+    """A value as it is, a dash for none."""
+    return Field(heading or name.replace("_", " "), lambda r: cell(r.get(name)))
 
 
-def value(row, name: str):
-    return row[name] if name in row.__fields__ else None
+def number(name: str, form: str = ".3f", heading: str | None = None) -> Field:
+    """A number in a form; dashes for none and NaN."""
+    return Field(heading or name.replace("_", " "), lambda r: NONE if absent(r.get(name)) else format(r[name], form), True)
 
 
-def comparison(runs: DataFrame, stages: list[tuple[str, str, str]] = ()) -> str:
-    """Runs (tag, recipe, quant and any of COLUMNS) as a table, then differences of recall@1 for stages (label, tag a, tag b)."""
-    rows = ordered(runs)
-    text = table([h for _, h in COLUMNS], [[cell(value(r, c)) for c, _ in COLUMNS] for r in rows])
-    if not stages:
-        return text
-    recall = {r["tag"]: value(r, "recall@1") for r in rows}
+def computed(heading: str, *names: str, by: Callable[..., str]) -> Field:
+    """Text of several values of a row."""
+    return Field(heading, lambda r: by(*[r.get(n) for n in names]))
+
+
+def render(layout: list[Field], rows: Iterable[dict]) -> str:
+    lines = [[f.heading for f in layout], ["---:" if f.right else "---" for f in layout], *[[f.text(r) for f in layout] for r in rows]]
+    return "".join(f"| {' | '.join(line)} |\n" for line in lines)
+
+
+def rows_of(df: DataFrame, *order: Any) -> list[dict]:
+    return [r.asDict() for r in collected(df.orderBy(*order), LIMIT)]
+
+
+def together(key: str, *tables: list[dict]) -> list[dict]:
+    """Rows of several tables merged by a key, in the order in which the first tables have them."""
+    merged: dict = {}
+    for table in tables:
+        for r in table:
+            merged.setdefault(r[key], {}).update(r)
+    return list(merged.values())
+
 
-    def delta(a, b):
-        x, y = recall.get(a), recall.get(b)
-        return "—" if x is None or y is None else f"{x - y:+.3f}"
+def spread(rows: list[dict], key: str, by: str, values: tuple[str, ...]) -> list[dict]:
+    """One row a key: each value under the name value.by."""
+    return together(key, [{k: v for k, v in r.items() if k not in values} | {f"{name}.{r[by]}": r[name] for name in values} for r in rows])
 
-    return text + "\n" + table(["Comparison", "A", "B", "ΔR@1"], [[label, a, b, delta(a, b)] for label, a, b in stages])
+
+# --- runs --------------------------------------------------------------------------
+
+METRICS = ["recall@1", "recall@5", "recall@10", "mrr@10", "ndcg@5", "ndcg@10"]
+RUN = [*map(plain, ["tag", "recipe", "quant"]), *[Field(m, lambda r, m=m: cell(r.get(m)), True) for m in [*METRICS, "slot1_top1_rate", "kendall_tau_mean", "top1_agreement", "parse_rate", "ms_per_tok", "n"]]]
+
+
+def ordered(runs: DataFrame) -> list[dict]:
+    """Runs by recipe, quantization (both in their fixed order, others last) and tag."""
+    return rows_of(runs, place_in(RECIPE_ORDER, F.col("recipe")), place_in(QUANT_ORDER, F.col("quant")), "tag")
+
+
+def comparison(runs: DataFrame, deltas: DataFrame | None = None) -> str:
+    """Runs (tag, recipe, quant and any of the metrics), then differences between runs (label, a, b, delta), if given."""
+    text = render(RUN, ordered(runs))
+    if deltas is not None:
+        change = Field("change of recall@1", lambda r: cell(None) if r["delta"] is None else f"{r['delta']:+.3f}", True)
+        text += "\n" + render([plain("label", "step"), plain("a", "from"), plain("b", "to"), change], rows_of(deltas, "label"))
+    return text
 
 
 def comparison_csv(runs: DataFrame) -> str:
     out = io.StringIO()
     w = csv.writer(out)
-    w.writerow([h for _, h in COLUMNS])
-    w.writerows([cell(value(r, c), csv_form=True) for c, _ in COLUMNS] for r in ordered(runs))
+    w.writerow(f.heading for f in RUN)
+    w.writerows(["" if (text := f.text(r)) == cell(None) else text for f in RUN] for r in ordered(runs))
     return out.getvalue()
 
 
-# --- one run --------------------------------------------------------------------
-
-
-def summary(random_mrr: float, teacher: dict | None = None, student: dict | None = None, tag: str = "", agreement: dict | None = None, parsing: dict | None = None) -> str:
-    """A run's metrics against chance and the teacher's; agreement and parsing below, where they are given."""
-    names = ["recall@1", "recall@5", "recall@10", "mrr@10", "ndcg@5", "ndcg@10"]
-    rows = [["Random", "0.100", "0.500", "1.000", f"{random_mrr:.3f}", "—", "—"]]
-    rows += [[name, *[f"{m.get(k) or 0:.3f}" for k in names]] for name, m in (("Teacher", teacher), (f"Student ({tag})", student)) if m]
-    text = table(["Row", "Recall@1", "Recall@5", "Recall@10", "MRR@10", "NDCG@5", "NDCG@10"], rows)
-    if agreement:
-        text += f"\nAgreement with the teacher: top-1 {agreement['top1_agreement']:.3f}, mean Kendall τ {agreement['kendall_tau_mean']:.3f} (n={agreement['kendall_tau_valid_n']})\n"
-    if parsing:
-        text += f"\nParsed: {parsing['valid']} of {parsing['total']} ({parsing['valid_rate']:.1%})\n"
-    return text
+def summary(metrics: DataFrame) -> str:
+    """Metrics of one run's rankings a line (name and the metrics): chance, teacher, student; agreement and parse rate where the table has them."""
+    more = [f for f in ("top1_agreement", "kendall_tau_mean", "parse_rate") if f in metrics.columns]
+    return render([plain("name", "ranking by"), *[number(m) for m in [*METRICS, *more]]], rows_of(metrics, "name"))
 
 
 def latency(rows: DataFrame) -> str:
-    """backend, latency_p50, latency_p95, per_tok_p50, per_tok_p95, tokens_mean, tokens_std, failure_rate."""
-    body = [[r["backend"], f"{r['latency_p50']:.1f}", f"{r['latency_p95']:.1f}", f"{r['per_tok_p50']:.2f}", f"{r['per_tok_p95']:.2f}", f"{r['tokens_mean']:.0f}±{r['tokens_std']:.0f}", f"{r['failure_rate']:.1%}"] for r in collected(rows.orderBy("backend"), LIMIT)]
-    return table(["Backend", "p50 e2e (ms)", "p95 e2e (ms)", "p50 ms/tok", "p95 ms/tok", "out tok mean±std", "fail rate"], body)
+    """A backend a line: milliseconds a request and a token as median and 95th percentile, tokens, share of failures."""
+    pair = lambda a, b, form: (lambda x, y: NONE if absent(x, y) else f"{x:{form}} / {y:{form}}")  # noqa: E731, ARG005
+    layout = [
+        plain("backend"), computed("ms, median / p95", "latency_p50", "latency_p95", by=pair("", "", ".1f")), computed("ms a token, median / p95", "per_tok_p50", "per_tok_p95", by=pair("", "", ".2f")),
+        computed("tokens, mean (sd)", "tokens_mean", "tokens_std", by=lambda m, s: NONE if absent(m, s) else f"{m:.0f} ({s:.0f})"), number("failure_rate", ".1%", "failed"),
+    ]
+    return render(layout, rows_of(rows, "backend"))
 
 
-# --- judge ------------------------------------------------------------------------
+# --- judge -------------------------------------------------------------------------
 
 
 def judge(models: DataFrame, agreement: DataFrame | None = None) -> str:
-    """judge.per_model rows as one line a model; then, if given, retrieval and correlations (r_, p_ and n_paired columns) a model."""
-    by: dict[str, dict] = {}
-    for r in collected(models.orderBy("model_tag", "axis"), LIMIT):
-        by.setdefault(r["model_tag"], {"n": (r["n_scored"], r["n_errors"])})[r["axis"]] = interval(r["mean"], r["low"], r["high"])
-    axes = ["groundedness", "personalization", "ranking_coherence"]
-    text = table(["model", "n_scored", "n_errors", *axes], [[f"`{t}`", *map(str, m["n"]), *[m.get(a, NONE) for a in axes]] for t, m in by.items()], {1, 2})
+    """judge.per_model rows, a line a model; then, if given, judge.agreement's: retrieval, correlations of all axes with recall@1 and MRR, lengths."""
+    scores = spread(rows_of(models, "model_tag", "axis"), "model_tag", "axis", ("mean", "low", "high", "n"))
+    ci = [computed(a.replace("_", " "), f"mean.{a}", f"low.{a}", f"high.{a}", by=interval) for a in AXES]
+    text = render([plain("model_tag", "model"), number("n_scored", "d", "scored"), number("n_errors", "d", "errors"), *ci], scores)
     if agreement is None:
         return text
-    rows = {r["model_tag"]: r for r in collected(agreement, LIMIT)}
-    body = []
-    for t in by:
-        r = rows.get(t)
-        body.append([f"`{t}`", "0", *[NONE] * 6] if r is None else [f"`{t}`", str(r["n_paired"]), *[f"{r[k]:.3f}" for k in ("recall_at_1", "recall_at_5", "mrr_mean")], *[correlation(r[f"r_{a}"], r[f"p_{a}"], r[f"n_{a}"]) for a in axes]])
-    return text + "\n" + table(["model", "n_paired", "R@1", "R@5", "MRR", *[f"{a} vs R@1" for a in axes]], body, {1, 2, 3, 4})
-
-
-def validation(probes: DataFrame) -> str:
-    """validation_summary rows: probe, axis, n, mean, low, high, rate, p_value, n_effective, error, expected, label; missing probes take one line."""
-    body, gone = [], set()
-    for r in collected(probes.orderBy("probe", "axis"), LIMIT):
-        if not r["n"]:
-            if r["probe"] not in gone:
-                body.append([f"`{r['probe']}`", NONE, "0", NONE, NONE, NONE, NONE, "missing"])
-            gone.add(r["probe"])
-            continue
-        rate = NONE if absent(r["rate"]) else f"{r['rate']:.0%}"
-        body.append([f"`{r['probe']}`", r["axis"], str(r["n"]), interval(r["mean"], r["low"], r["high"], sign=True), rate, signed_rank(r["p_value"], r["n_effective"], r["error"]), f"{r['expected']:+.2f}", f"**{r['label']}**"])
-    return table(["probe", "axis", "n_paired", "mean Δ [95% CI]", "discrimination", "Wilcoxon", "expected Δ ≤", "verdict"], body, {2, 4, 6})
-
-
-# --- position bias ----------------------------------------------------------------
-
-
-def bar(share: float, most: float, width: int = 30) -> str:
-    return "#" * round(width * share / most) if most else ""
-
-
-def slots(row, name: str) -> str:
-    """A row of bias.described: counts and percents by slot, the test and the extremes."""
-    most = max(row["percent"], default=0)
-    lines = [f"{name} (N={row['n_total']})", f"{'slot':>4}  {'count':>6}  {'pct':>7}"]
-    lines += [f"{i:>4}  {c:>6}  {p:>6.2f}%  {bar(p, most)}".rstrip() for i, (c, p) in enumerate(zip(row["counts"], row["percent"], strict=True), 1)]
-    lines.append(f"chi2={row['chi2']:.3f}, df={row['df']}, p={row['p']:.4g}: {row['verdict']}")
-    return "\n".join([*lines, f"most in slot {row['argmax']} ({row['max_percent']:.2f}%), least in slot {row['argmin']} ({row['min_percent']:.2f}%)"]) + "\n"
-
-
-def recall_by_slot(rows: DataFrame, name: str) -> str:
-    """Rows of bias.recall_by_slot; slots without support say so, the range of the others follows."""
-    found = collected(rows.orderBy("slot"), LIMIT)
-    known = [r["recall"] for r in found if r["recall"] is not None]
-    lines = [name, f"{'slot':>4}  {'support':>7}  {'recall@1':>8}"]
-    lines += [f"{r['slot']:>4}  {r['support']:>7}  " + ("     n/a" if r["recall"] is None else f"{r['recall']:>8.4f}  {bar(r['recall'], max(known))}".rstrip()) for r in found]
-    if known:
-        lines.append(f"from {min(known):.4f} to {max(known):.4f}, spread {max(known) - min(known):.4f}")
-    return "\n".join(lines) + "\n"
+    found = together("model_tag", [{"model_tag": r["model_tag"], "n_paired": 0} for r in scores], rows_of(agreement, "model_tag"))
+    parts = [number("n_paired", "d", "pairs"), *[number(k) for k in ("recall_at_1", "recall_at_5", "recall_at_10", "mrr_mean")]]
+    text += "\n" + render([plain("model_tag", "model"), *parts], found)
+    against = [computed(f"{a.replace('_', ' ')} and {name}", *[f"{a}_vs_{k}{end}" for end in ("", "_p", "_n")], by=correlation) for k, name in (("hit1", "recall@1"), ("mrr", "MRR")) for a in AXES]
+    text += "\n" + render([plain("model_tag", "model"), *against], found)
+    lengths = [number(f"{what}_{k}", ".0f") for what in ("chars", "tokens") for k in ("mean", "p50", "p95", "max")]
+    return text + "\n" + render([plain("model_tag", "model"), *lengths], found)
+
+
+def validation(probes: DataFrame, baseline: DataFrame | None = None) -> str:
+    """The baseline's scores (axis, n, mean, low, high), if given; then validation rows, a line a probe and axis, one for all axes of a probe without pairs."""
+    text = "" if baseline is None else render([plain("axis"), number("n", "d", "verdicts"), computed("mean and interval", "mean", "low", "high", by=interval)], rows_of(baseline, "axis")) + "\n"
+    rows = rows_of(probes, "probe", "axis")
+    empty = {p for p in (r["probe"] for r in rows) if not any(r["n"] for r in rows if r["probe"] == p)}
+    shown = [r for r in rows if r["probe"] not in empty] + [{"probe": p, "axis": "all", "n": 0, "label": "missing"} for p in sorted(empty)]
+    layout = [
+        plain("probe"), plain("axis"), number("n", "d", "pairs"), computed("mean change and interval", "mean", "low", "high", by=lambda m, a, b: interval(m, a, b, sign=True)), number("expected", "+.2f", "expected at most"),
+        number("rate", ".0%", "lowered"), Field("signed ranks", lambda r: signed_rank(r["p_value"], r["n_effective"], r["error"]) if r["n"] else NONE), plain("label", "finding"),
+    ]
+    return text + render(layout, sorted(shown, key=lambda r: (r["probe"], r["axis"])))
+
+
+# --- position bias -------------------------------------------------------------------
+
+
+def slots(described: DataFrame, key: str) -> str:
+    """Rows of bias.described: a line a slot with a column of percents a group, then each group's test and extremes."""
+    groups = rows_of(described, key)
+    percents = [Field(f"{g[key]} (n={g['n_total']})", lambda r, g=g: f"{g['percent'][r['slot'] - 1]:.2f}%", True) for g in groups]
+    k = max((len(g["counts"]) for g in groups), default=0)
+    test = [plain(key), number("chi2", ".3f", "chi-square"), number("df", "d"), number("p", ".4g"), plain("verdict"), number("argmax", "d", "most chosen"), number("argmin", "d", "least chosen")]
+    return render([plain("slot"), *percents], [{"slot": i + 1} for i in range(k)]) + "\n" + render(test, groups)
+
+
+def recall_by_slot(rows: DataFrame) -> str:
+    """Rows of bias.recall_by_slot, best slot first; slots without support come last."""
+    best = F.col("recall").desc_nulls_last()
+    return render([plain("slot"), number("support", "d"), number("recall", ".4f", "recall@1")], rows_of(rows, best, "slot"))

@@ -2,12 +2,13 @@
 
 import json
 import math
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rankloom.functions import parsing, stats, text
+from rankloom.functions import parsing, schemas, stats, text
 from rankloom.operators import judge, order_stats, samples
 
 
@@ -26,12 +27,6 @@ def test_correlation_tail():
     assert math.isnan(stats.correlation_tail(0.5, 2))
 
 
-def test_bootstrap_interval_holds_the_mean():
-    low, high = stats.bootstrap_interval(np.arange(100.0), 2000)
-    assert low < 49.5 < high
-    assert all(map(math.isnan, stats.bootstrap_interval(np.zeros(0))))
-
-
 @pytest.mark.parametrize(("raw", "want"), [
     ('{"ranking": [2, 1]}', [2, 1]), ('so: {"ranking": [2, 1]} indeed', [2, 1]), ('```json\n{"ranking": [2, 1]}\n```', [2, 1]), ('{"ranking": [2, 1', None),
     ('{"ranking": [1, 1]}', None), ('{"ranking": [1, 99]}', None), ('{"ranking": [1]}', None), ('{"ranking": ["two", 1]}', None), ('{"ranking": [true, 2]}', None),
@@ -100,3 +95,29 @@ def test_wilcoxon_against_pairs(spark):
 def test_pretty_json_keeps_order(spark):
     raw = json.dumps({"b": 1, "a": ["é"]})
     assert spark.createDataFrame([(raw,)], "t string").select(parsing.pretty_json("t")).first()[0] == '{\n  "b": 1,\n  "a": [\n    "é"\n  ]\n}'
+
+
+# --- schemas as patterns ---
+
+
+@pytest.mark.parametrize(("low", "high"), [(None, None), (1, 10), (0, 0), (7, 7), (95, 1203), (100, 999), (-5, 3), (-120, -17), (None, -3), (None, 42), (38, None), (-12, None), (0, None), (1000, 99999)])
+def test_integer_patterns(low, high):
+    p = re.compile(schemas.integers(low, high) + r"\Z")
+    for n in {*range(-1300, 1300), *(10**k + d for k in range(2, 8) for d in (-1, 0, 1)), *(-(10**k) + d for k in range(2, 8) for d in (-1, 0, 1))}:
+        assert bool(p.match(str(n))) == ((low is None or n >= low) and (high is None or n <= high)), n
+    assert not p.match("01") and not p.match("+1") and not p.match("")
+
+
+def test_patterns_of_schemas(spark):
+    schema = {"type": "object", "properties": {"kind": {"enum": ["a.b", "c|d", 3, None]}, "n": {"type": ["integer", "null"], "minimum": 2}, "list": {"type": "array", "items": {"type": "string", "maxLength": 3}, "minItems": 1, "maxItems": 2}, "x": {"type": "number"}, "ok": {"type": "boolean"}}}
+    good = [
+        '{"kind": "a.b", "n": 2, "list": ["abc"], "x": -1.5e3, "ok": true}', ' {"kind":null,"n":null,"list":["","\\u00e9\\n"],"x":0,"ok":false}\n',
+        '{\n "kind" : 3 , "n" : 17 , "list" : [ "é" , "\\"" ] , "x" : 12.0 , "ok" : true }',
+    ]
+    bad = ['{"kind": "aXb", "n": 2, "list": ["a"], "x": 1, "ok": true}', good[0].replace("2", "1"), good[0].replace('["abc"]', "[]"), good[0].replace('["abc"]', '["a","b","c"]'), good[0].replace('"abc"', '"abcd"'), good[0].replace("-1.5e3", "01"), good[0] + "x", good[0].replace('"n": 2, ', ""), good[0].replace("true", "True")]
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate(good + bad)], "i int, s string")
+    assert [r[0] for r in rows.orderBy("i").select(F.col("s").rlike(schemas.whole(schema))).collect()] == [True] * len(good) + [False] * len(bad)
+    assert re.search(schemas.whole(schemas.ranking_schema(3)).replace(r"\z", r"\Z"), '{"persona": "p", "rationales": [{"candidate_index": 1, "reason": "r"}, {"candidate_index": 2, "reason": ""}, {"candidate_index": 3, "reason": "x"}], "ranking": [3, 1, 2]}')
+    for wrong in ({"type": "string", "pattern": "a"}, {"type": "array"}, {"type": "object", "properties": {"a": {"type": "null"}}, "required": []}, {"oneOf": []}, {"type": "number", "minimum": 1}, {"type": "integer", "minimum": 3, "maximum": 2}):
+        with pytest.raises(ValueError):
+            schemas.pattern(wrong)

@@ -70,22 +70,86 @@ def test_models_without_tag_or_axis(spark):
     assert got["unknown", "ranking_coherence"]["mean"] == 2.0 and got["m", "ranking_coherence"]["n"] == 0 and math.isnan(got["bad", "groundedness"]["mean"])
 
 
-def test_bootstrap_by_rows_counts_and_limit_agree(spark, monkeypatch):
+def test_bootstrap_is_one_law_at_every_size(spark):
+    """Cells and trees of any shape, and resampling by rows, agree within their noise."""
     values = np.random.default_rng(1).gamma(2.0, 3.0, 900)
-    df = spark.createDataFrame([("a", float(x)) for x in values] + [(None, 1.0)], "k string, value double")
-    by_rows = {r["k"]: r for r in judge.bootstrap(df, ["k"]).collect()}
+    df = spark.createDataFrame([("a", float(x)) for x in values] + [(None, 1.0), (None, None)], "k string, value double")
     rng = np.random.default_rng(0)
-    means = np.sort(values)[rng.integers(0, 900, (10_000, 900))].mean(axis=1)
-    assert by_rows["a"]["low"] == pytest.approx(np.quantile(means, 0.025)) and by_rows["a"]["high"] == pytest.approx(np.quantile(means, 0.975))
-    assert (by_rows[None]["low"], by_rows[None]["high"]) == (1.0, 1.0)
-    monkeypatch.setattr(judge, "WHOLE", 10)
-    by_counts = {r["k"]: r for r in judge.bootstrap(df, ["k"]).collect()}
-    monkeypatch.setattr(judge, "DISTINCT", 10)
-    limit = {r["k"]: r for r in judge.bootstrap(df, ["k"]).collect()}
-    width = by_rows["a"]["high"] - by_rows["a"]["low"]
-    for other in (by_counts, limit):
-        assert set(other) == {"a", None} and other["a"]["mean"] == pytest.approx(values.mean())
-        assert abs(other["a"]["low"] - by_rows["a"]["low"]) < 0.05 * width and abs(other["a"]["high"] - by_rows["a"]["high"]) < 0.05 * width
+    means = values[rng.integers(0, 900, (10_000, 900))].mean(axis=1)
+    low, high = np.quantile(means, [0.025, 0.975])
+    for cell, fanout in ((4096, 256), (100, 4), (7, 200)):
+        got = {r["k"]: r for r in judge.bootstrap(df, ["k"], cell=cell, fanout=fanout).collect()}
+        assert set(got) == {"a", None} and got["a"]["n"] == 900 and got["a"]["mean"] == pytest.approx(values.mean())
+        assert abs(got["a"]["low"] - low) < 0.04 * (high - low) and abs(got["a"]["high"] - high) < 0.04 * (high - low)
+        assert got[None]["n"] == 1 and got[None]["low"] == got[None]["high"] == 1.0
+    again = judge.bootstrap(df.repartition(7), ["k"], cell=100, fanout=4).filter("k = 'a'").first()
+    assert (again["low"], again["high"]) == tuple(judge.bootstrap(df, ["k"], cell=100, fanout=4).filter("k = 'a'").first()[c] for c in ("low", "high"))
+    assert judge.bootstrap(df.limit(0), ["k"]).count() == 0 and judge.bootstrap(df, [], resamples=500).first()["n"] == 901
+
+
+def test_bootstrap_of_a_million_skewed_values(spark):
+    df = spark.range(1_000_000).selectExpr("'k' AS k", "exp(1.5 * sqrt(-2 * ln(rand(3))) * cos(2 * pi() * rand(4))) AS value")
+    df = df.cache()
+    got = judge.bootstrap(df, ["k"], resamples=300).first()
+    v = df.select("value").toPandas()["value"].to_numpy()
+    rng = np.random.default_rng(5)
+    low, high = np.quantile([v[rng.integers(0, len(v), len(v))].mean() for _ in range(300)], [0.025, 0.975])
+    assert abs(got["low"] - low) < 0.15 * (high - low) and abs(got["high"] - high) < 0.15 * (high - low)
+    df.unpersist()
+
+
+def test_ranks_of_null_groups(spark):
+    df = spark.createDataFrame([(None, 3.0, 1.0), (None, -4.0, 2.0), (None, 3.0, 5.0), ("k", 1.0, 1.0), ("k", None, 2.0)], "k string, value double, other double")
+    assert sorted((r["value"], r["r"]) for r in judge.average_ranks(df.filter("k IS NULL"), ["k"], "value", "r").collect()) == [(-4.0, 1.0), (3.0, 2.5), (3.0, 2.5)]
+    w = {r["k"]: r for r in judge.wilcoxon(df, ["k"]).collect()}
+    assert (w[None]["n_total"], w[None]["n_effective"], w[None]["statistic"], w[None]["error"]) == (3, 3, 3.0, None)
+    assert w["k"]["n_effective"] == 1 and w["k"]["p_value"] is None and w["k"]["error"].startswith("fewer")
+    rho = {r["k"]: r for r in judge.rank_correlation(df, ["k"], {"rho": ("value", "other")}).collect()}
+    assert rho[None]["rho_n"] == 3 and rho[None]["rho"] == pytest.approx(0.0) and math.isnan(rho["k"]["rho"])
+
+
+def test_signed_ranks_exact_and_beyond(spark):
+    """Golden values of the reports: 49 drops and none; one pair of 50 that rises; brute force over all signs."""
+    from itertools import product
+
+    from rankloom.functions import stats
+
+    for n in (2, 5, 9):
+        sums = [sum(r for r, s in zip(range(1, n + 1), signs, strict=True) if s) for signs in product((0, 1), repeat=n)]
+        assert all(stats.signed_rank_tail(w, n) == pytest.approx(sum(s <= w for s in sums) / 2**n) for w in range(n * (n + 1) // 2 + 1))
+    rng = np.random.default_rng(2)
+    untied = [("u", float((-1) ** int(x < 0.7) * (i + 1))) for i, x in enumerate(rng.random(30))]
+    tied = [("t", float((-1) ** int(x < 0.7) * (i // 2 + 1))) for i, x in enumerate(rng.random(30))]
+    many = [("m", float((-1) ** int(x < 0.6) * (i + 1))) for i, x in enumerate(rng.random(51))]
+    got = {r["k"]: r for r in judge.wilcoxon(spark.createDataFrame(untied + tied + many, "k string, value double"), ["k"]).collect()}
+    assert got["u"]["p_value"] == pytest.approx(stats.signed_rank_tail(sum(i + 1 for i, (_, x) in enumerate(untied) if x > 0), 30), rel=1e-12)
+    for k in "tm":
+        assert got[k]["p_value"] == pytest.approx(1 - stats.normal_tail(got[k]["z"]))
+    drops = [("d", -float(x)) for x in rng.integers(5, 10, 49)] + [("d", 0.0)]
+    row = judge.wilcoxon(spark.createDataFrame(drops, "k string, value double"), ["k"]).first()
+    assert row["n_effective"] == 49 and row["statistic"] == 0 and 1e-11 < row["p_value"] < 5.6e-10  # the report's 2.83e-10 lies between: ties narrow the law
+
+
+def test_tau_b_with_ties_and_long_lists(spark):
+    from rankloom.functions.stats import tau_b, tau_b_of
+
+    rng = np.random.default_rng(3)
+    rows = [([], []), ([1.0], [2.0]), ([1.0, 1.0], [1.0, 2.0]), ([1.0, 2.0], [2.0, 1.0]), (None, [1.0]), ([1.0, 2.0], [1.0])]
+    for n, k in ((7, 3), (40, 5), (200, 1000)):
+        rows.append((rng.integers(0, k, n).astype(float).tolist(), rng.integers(0, k, n).astype(float).tolist()))
+
+    def brute(x, y):
+        if x is None or y is None or len(x) != len(y):
+            return None
+        sign = [(np.sign(a - c), np.sign(b - d)) for i, (a, b) in enumerate(zip(x, y, strict=True)) for c, d in list(zip(x, y, strict=True))[:i]]
+        up, nx, ny = sum(a * b for a, b in sign), sum(a != 0 for a, _ in sign), sum(b != 0 for _, b in sign)
+        return float(up / np.sqrt(nx * ny)) if nx and ny else 0.0
+
+    got = [r[0] for r in spark.createDataFrame(rows, "x array<double>, y array<double>").select(tau_b("x", "y")).collect()]
+    assert got == [None if (w := brute(x, y)) is None else pytest.approx(w) for x, y in rows]
+    long_ = np.arange(10_000.0)
+    assert tau_b_of(long_, long_[::-1]) == -1.0 and tau_b_of(long_, long_) == 1.0 and abs(tau_b_of(long_, rng.permutation(long_))) < 0.05
+
 
 
 def test_verdicts_from_replies(spark):
@@ -254,15 +318,19 @@ def test_reports(spark, sf_dir):
 
     t = Tables(spark, sf_dir)
     runs = spark.createDataFrame([("v2-sft", "v2-sft", "fp16", 0.5), ("zz", "zz", "fp16", None), ("base-x", "base", "fp16", 0.25)], "tag string, recipe string, quant string, `recall@1` double")
-    text_ = reports.comparison(runs, [("gain", "v2-sft", "base-x"), ("gap", "v2-sft", "gone")])
-    assert [x.split(" | ")[0] for x in text_.splitlines()[2:5]] == ["| base-x", "| v2-sft", "| zz"] and "+0.250" in text_ and "| gone | — |" in text_
-    assert reports.comparison_csv(runs).splitlines()[1].startswith("base-x,base,fp16,0.250,")
-    assert "| Teacher | 0.100 |" in reports.summary(0.2929, teacher={"recall@1": 0.1}, parsing={"valid": 1, "total": 2, "valid_rate": 0.5})
-    shown = reports.validation(measures.validated(t))
-    assert len(shown.splitlines()) == 11 and "`p1` | groundedness" in shown
-    assert len(reports.judge(judge.per_model(measures.tagged_verdicts(t))).splitlines()) == 6
-    row = bias.described(ranking.tops(t), ["model"]).first()
-    assert len(reports.slots(row, "top").splitlines()) == 14
-    assert "spread" in reports.recall_by_slot(bias.recall_by_slot(t.rankings(), F.col("gt"), F.get("teacher", F.lit(0))), "gt")
+    steps = spark.createDataFrame([("gain", "base-x", "v2-sft", 0.25), ("gap", "gone", "v2-sft", None)], "label string, a string, b string, delta double")
+    text_ = reports.comparison(runs, steps)
+    assert [x.split(" | ")[0] for x in text_.splitlines()[2:5]] == ["| base-x", "| v2-sft", "| zz"] and "+0.250" in text_ and "| gone | v2-sft | — |" in text_
+    assert reports.comparison_csv(runs).splitlines()[1].startswith("base-x,base,fp16,0.250,,")
+    one = spark.createDataFrame([("teacher", 0.1, 0.9)], "name string, `recall@1` double, parse_rate double")
+    assert "| teacher | 0.100 | -- |" in reports.summary(one)
+    shown = reports.validation(measures.validated(t), measures.baseline(t))
+    assert len(shown.splitlines()) == 17 and "| p1 | groundedness |" in shown
+    none = measures.validated(t).withColumn("n", F.when(F.col("probe") == "p2", 0).otherwise(F.col("n")))
+    assert len(reports.validation(none).splitlines()) == 9 and "| p2 | all | 0 | -- | -- | -- | -- | missing |" in reports.validation(none)
+    whole = reports.judge(judge.per_model(measures.tagged_verdicts(t)), measures.agreement(t))
+    assert len(whole.splitlines()) == 30 and "groundedness and MRR" in whole and "chars max" in whole
+    assert len(reports.slots(bias.described(ranking.tops(t), ["model"]), "model").splitlines()) == 20
+    assert len(reports.recall_by_slot(bias.recall_by_slot(t.rankings(), F.col("gt"), F.get("teacher", F.lit(0)))).splitlines()) == 12
     rates = spark.createDataFrame([("b", 1.0, 2.0, 0.5, 0.75, 10.0, 1.0, 0.1)], "backend string, latency_p50 double, latency_p95 double, per_tok_p50 double, per_tok_p95 double, tokens_mean double, tokens_std double, failure_rate double")
-    assert "| b | 1.0 | 2.0 | 0.50 | 0.75 | 10±1 | 10.0% |" in reports.latency(rates)
+    assert "| b | 1.0 / 2.0 | 0.50 / 0.75 | 10 (1) | 10.0% |" in reports.latency(rates)

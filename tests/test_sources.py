@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankloom.operators import resume, samples
-from rankloom.sources import jsonl, results
+from rankloom.sources import jsonl, results, versions
 from rankloom.streaming import resume_log
 
 SCHEMA = T.StructType([T.StructField("id", T.StringType()), T.StructField("n", T.IntegerType())])
@@ -134,3 +134,30 @@ def test_stream_forgets_in_time_and_knows_an_older_log(spark, tmp_path):
     assert run("1", ("a", None, "1"), ("b", None, "1")) == [("b", "", "1")]
     time.sleep(6)
     assert run("2", ("b", None, "2")) == [("b", "", "1"), ("b", "", "2")]  # b is new again
+
+
+def test_versions_swap_in_one_step(spark, tmp_path, monkeypatch):
+    """A reader, and a crash between any two steps, sees the old table or the new one."""
+    table = str(tmp_path / "table")
+    with pytest.raises(ValueError, match="no version"):
+        versions.current(spark, table)
+    versions.publish(spark.range(3), table, "one")
+    held = versions.current(spark, table)
+    versions.publish(held.selectExpr("id + 10 AS id"), table, "two")  # from the table itself
+    ids = lambda df: sorted(r[0] for r in df.collect())
+    assert ids(held) == [0, 1, 2] and ids(versions.current(spark, table)) == [10, 11, 12] and versions.before(spark, table) == "one"
+
+    def crash(*_):
+        raise OSError("gone")
+
+    for step in ("_write", "_move_over"):
+        with monkeypatch.context() as m:
+            m.setattr(versions, step, crash)
+            with pytest.raises(OSError):
+                versions.publish(spark.range(99), table, f"lost{step}")
+        assert ids(versions.current(spark, table)) == [10, 11, 12]
+    with pytest.raises(ValueError, match="already"):
+        versions.publish(spark.range(1), table, "two")
+    assert set(versions.prune(spark, table, keep=0)) == {"one", "lost_write", "lost_move_over"}
+    assert ids(versions.current(spark, table)) == [10, 11, 12] and [p.name for p in (tmp_path / "table").iterdir() if p.name.startswith("_next")] == []
+    assert ids(versions.at_version(spark, table, "two")) == [10, 11, 12]
