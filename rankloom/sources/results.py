@@ -12,11 +12,16 @@ from pyspark.sql import types as T
 from rankloom.functions.parsing import parse_ranking
 from rankloom.functions.ranks import SLOTS, is_permutation, pick_strict
 
+from . import documents
+
 METRICS = "struct<`recall@1`:double,`recall@5`:double,`recall@10`:double,`mrr@10`:double,`ndcg@5`:double,`ndcg@10`:double,n_evaluated:double>"
 SUMMARY = f"tag string, n_samples double, parsing struct<valid_rate:double>, positive_metrics struct<teacher:{METRICS},student:{METRICS}>, teacher_agreement struct<top1_agreement:double,kendall_tau_mean:double>, position_bias struct<slot1_top1_rate:double,chi2_uniform:double>"
 ENTRY = "struct<output_text:string,parsed_ranking:array<int>,recovered_business_ids:array<string>,json_parse_ok:boolean,output_tokens:int>"
 CACHE = f"backend string, samples array<struct<sample_id:string,positive_business_id:string,output_text:string,parsed_ranking:array<int>,recovered_business_ids:array<string>,json_parse_ok:boolean,output_tokens:int,by_backend:map<string,{ENTRY}>>>"
 
+#: Bytes of a file that one task reads at most.
+WHOLE_FILE = 128 << 20
+
 
 def read_summaries(spark: SparkSession, path: str) -> DataFrame:
     """A row a summary file: tag, the student's metrics or else the teacher's, n (zero counts as missing), agreement and bias."""
@@ -34,19 +39,30 @@ def slot1_rate(spark: SparkSession, path: str) -> float | None:
     return row[0] if row else None
 
 
-def read_cache(spark: SparkSession, paths: list[str]) -> DataFrame:
+def read_cache(spark: SparkSession, paths: list[str], split: bool | None = None) -> DataFrame:
     """Long form of inference caches of both shapes; a later file overrides per sample and backend, the first positive known stays.
 
     Files keep the order of ``paths``, also where two folders hold files of one
-    name.  A file without a list of samples is an error.
+    name.  A file without a list of samples is an error.  split: whether a file
+    is read by many tasks at once, with the same rows; by default files of over
+    WHOLE_FILE bytes are.
     """
     hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
     whole = lambda p: hadoop.Path(p).getFileSystem(conf).makeQualified(hadoop.Path(p)).toUri().toString()
     order = F.create_map(*[F.lit(x) for i, p in enumerate(map(whole, paths)) for x in (p, i)])
-    read = spark.read.schema(CACHE).json(paths, multiLine=True).withColumn("__path", F.col("_metadata.file_path"))
-    listed = F.when(F.col("samples").isNull(), F.raise_error(F.concat(F.lit("a cache without samples: "), "__path")).cast(read.schema["samples"].dataType)).otherwise(F.col("samples"))
-    files = read.select("backend", listed.alias("samples"), order[F.col("__path")].alias("file"))
-    s = files.select("file", "backend", F.posexplode("samples").alias("place", "s"))
+    missing = lambda path: F.raise_error(F.concat(F.lit("a cache without samples: "), path))
+    if any(documents.bytes_of(spark, p) > WHOLE_FILE for p in paths) if split is None else split:
+        elements, shells = documents.split(spark, paths, "samples")
+        sample = T._parse_datatype_string(CACHE)["samples"].dataType.elementType
+        if gone := [r["path"] for r in shells.filter("shell IS NULL").limit(5).collect()]:
+            raise ValueError(f"caches without samples: {', '.join(gone)}")
+        backends = shells.select(F.col("path").alias("s_path"), F.from_json("shell", "backend string")["backend"].alias("backend"))  # a row a file
+        s = elements.select("path", "place", F.from_json("element", sample).alias("s")).join(F.broadcast(backends), F.col("path") == F.col("s_path")).select("backend", order[F.col("path")].alias("file"), "place", "s")
+    else:
+        read = spark.read.schema(CACHE).json(paths, multiLine=True).withColumn("__path", F.col("_metadata.file_path"))
+        listed = F.when(F.col("samples").isNull(), missing(F.col("__path")).cast(read.schema["samples"].dataType)).otherwise(F.col("samples"))
+        files = read.select("backend", listed.alias("samples"), order[F.col("__path")].alias("file"))
+        s = files.select("file", "backend", F.posexplode("samples").alias("place", "s"))
     alone = F.map_from_arrays(F.array(F.coalesce("backend", F.lit("unknown"))), F.array(F.struct(*[F.col(f"s.{c}") for c in ("output_text", "parsed_ranking", "recovered_business_ids", "json_parse_ok", "output_tokens")])))
     shape = F.when(F.col("backend").isNotNull() & F.col("s.by_backend").isNull(), alone).otherwise(F.col("s.by_backend"))
     rows = s.select("file", "place", "s.sample_id", "s.positive_business_id", F.explode(shape).alias("tag", "entry"))

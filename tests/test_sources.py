@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankloom.operators import resume, samples
-from rankloom.sources import jsonl, results, versions
+from rankloom.sources import documents, jsonl, results, versions
 from rankloom.streaming import resume_log
 
 SCHEMA = T.StructType([T.StructField("id", T.StringType()), T.StructField("n", T.IntegerType())])
@@ -161,3 +161,44 @@ def test_versions_swap_in_one_step(spark, tmp_path, monkeypatch):
     assert set(versions.prune(spark, table, keep=0)) == {"one", "lost_write", "lost_move_over"}
     assert ids(versions.current(spark, table)) == [10, 11, 12] and [p.name for p in (tmp_path / "table").iterdir() if p.name.startswith("_next")] == []
     assert ids(versions.at_version(spark, table, "two")) == [10, 11, 12]
+
+
+def test_documents_are_split_anywhere(spark, tmp_path, monkeypatch):
+    """Strings with braces, quotes and backslashes, other arrays beside the one, arrays in objects; ranges of a few bytes."""
+    nasty = ['}{"samples": [', 'back\\slash\\', 'quote " } ] [', "é}\n\t", "\\", '\\"}', ""]
+    rows = [{"i": i, "t": nasty[i % len(nasty)], "in": {"list": [{"x": [i]}, "}"], "samples": [{"a": 1}]}} for i in range(14)]
+    texts = {
+        "a": json.dumps({"meta": {"samples": [{"no": 1}]}, "note": '"samples": [{', "samples": rows, "other": [{"y": 1}, {"z": "}"}], "n": 2}, ensure_ascii=False) + "\n",
+        "b": json.dumps({"samples": rows[:7]}, indent=2), "c": '{"samples": [ ], "k": {"a": 1}}', "d": '{"x": {"samples": [{}]}}',
+    }
+    for name, text in texts.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for size in ("150b", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        try:
+            elements, shells = documents.split(spark, [str(tmp_path / f"{n}.json") for n in texts], "samples")
+            got = {}
+            for r in elements.orderBy("place").collect():
+                got.setdefault(r["path"][-6], []).append(json.loads(r["element"]))
+            assert got == {"a": rows, "b": rows[:7]}
+            shell = {r["path"][-6]: r["shell"] and json.loads(r["shell"]) for r in shells.collect()}
+        finally:
+            for k, v in before.items():
+                spark.conf.set(k, v)
+        assert shell == {"a": {**json.loads(texts["a"]), "samples": []}, "b": {"samples": []}, "c": {"samples": [], "k": {"a": 1}}, "d": None}
+
+
+def test_split_caches_have_the_same_rows(spark, tmp_path):
+    entry = lambda i: {"output_text": f"}}{i}\"", "parsed_ranking": [2, 1], "recovered_business_ids": ["a", "b"], "json_parse_ok": True, "output_tokens": i}
+    one = {"backend": "m1", "samples": [{"sample_id": f"s{i}", "positive_business_id": "a", **entry(i)} for i in range(30)]}
+    two = {"samples": [{"sample_id": f"s{i}", "positive_business_id": None, "by_backend": {"m1": entry(100 + i), "m2": entry(i)}} for i in range(20, 40)]}
+    for name, x in (("one", one), ("two", two)):
+        (tmp_path / f"{name}.json").write_text(json.dumps(x))
+    paths = [str(tmp_path / "one.json"), str(tmp_path / "two.json")]
+    rows = lambda split: sorted(map(str, results.read_cache(spark, paths, split).collect()))
+    assert rows(True) == rows(False) == rows(None) and len(rows(True)) == 60
+    (tmp_path / "two.json").write_text('{"backend": "x"}')
+    with pytest.raises(ValueError, match="without samples"):
+        results.read_cache(spark, paths, split=True)
