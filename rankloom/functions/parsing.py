@@ -7,9 +7,12 @@ import random
 import re
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .text import strip_fence
+
 # The pattern of a fenced object, which decides what counts as one.
 FENCED = re.compile(r"```(?:json)?\s*(\{.*?\})\s*```", re.S)
 BRACE = re.compile(r"[{}]")
@@ -86,6 +89,12 @@ def is_json(text: pd.Series) -> pd.Series:
     return pd.Series([right(t) for t in text], dtype=bool)
 
 
+def model_output(text: Column, schema: str | T.StructType) -> Column:
+    """A model's whole answer as a struct: one strict JSON object, bare or in a fence; NULL for anything else, with text before or behind it too."""
+    bare = strip_fence(F.coalesce(text, F.lit("")))
+    return F.when(bare.startswith("{") & is_json(bare), F.from_json(bare, schema))
+
+
 @F.pandas_udf(T.StringType())
 def json_fault(text: pd.Series) -> pd.Series:
     """Why text isn't strict JSON; NULL if it is."""

@@ -162,12 +162,12 @@ def strip_fence(c: Column) -> Column:
 
 
 def coerce_indices(values: Column) -> Column:
-    """Array of text to array of int: all digits become numbers, anything else NULL; :func:`opaque` has the rest."""
+    """Array of text to array of long: all digits become numbers, anything else (and what no long holds) NULL; :func:`opaque` has the rest."""
     return F.transform(values, as_index)
 
 
 def as_index(v: Column) -> Column:
-    return F.when(v.rlike("^[0-9]+$"), F.try_to_number(v, F.lit("9999999999")).cast("int"))
+    return F.when(v.rlike("^[0-9]+$"), v.try_cast("long"))
 
 
 def coerced(values: Column) -> Column:

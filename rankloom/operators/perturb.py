@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions import parsing, ranks
-from rankloom.functions.text import by_index, stripped
+from rankloom.functions.text import by_index
 
 from .samples import perturb_seed
 
@@ -74,14 +74,13 @@ def perturbed_cache(cache: DataFrame, candidates: DataFrame, kind: str) -> DataF
 
     candidates: sample_id, ids (in the order shown); a sample without them
     recovers NULLs.  Rows without a sample_id go, and so do texts that aren't one
-    strict JSON object.  A kind that isn't registered is an error.
+    strict JSON object, bare or in a fence.  A kind that isn't registered is an error.
     """
     if kind not in REGISTRY:
         raise ValueError(f"no perturbation is called {kind!r}")
-    text = F.coalesce("output_text", F.lit(""))
-    whole = parsing.is_json("output_text") & stripped(text).startswith("{")
-    rows = cache.filter(F.coalesce(F.col("sample_id").cast("string"), F.lit("")) != "").withColumn("__ok", whole).filter("__ok")
-    made = rows.withColumn("__out", REGISTRY[kind].apply(F.from_json(text, OUTPUT), perturb_seed(kind, F.col("sample_id"))))
+    rows = cache.filter(F.coalesce(F.col("sample_id").cast("string"), F.lit("")) != "")
+    rows = rows.withColumn("__in", parsing.model_output(F.col("output_text"), OUTPUT)).filter("__in IS NOT NULL")
+    made = rows.withColumn("__out", REGISTRY[kind].apply(F.col("__in"), perturb_seed(kind, F.col("sample_id"))))
     joined = made.join(candidates.select("sample_id", "ids"), "sample_id", "left")
     ids = F.coalesce("ids", F.array().cast(candidates.schema["ids"].dataType))
     return joined.select(

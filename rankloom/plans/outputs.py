@@ -104,6 +104,15 @@ def strip_fence(t: Tables):
     return t("events").select("event_id", text.strip_fence(fenced).alias("bare"))
 
 
+@query("SELECT event_id, CASE WHEN event_id % 5 IN (0, 1) THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k, event_id % 5 IN (0, 1) AS parsed FROM events")
+def parse_model_output(t: Tables):
+    """Whole answers: in a fence, bare, behind other text, in a list, cut short."""
+    case = F.col("event_id") % 5
+    raw = F.when(case == 0, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).when(case == 1, F.col("props")).when(case == 2, F.concat(F.lit("Sure: "), "props")).when(case == 3, F.concat(F.lit("["), "props", F.lit("]"))).otherwise(F.expr("substr(props, 1, length(props) - 1)"))
+    out = parsing.model_output(raw, "k long")
+    return t("events").select("event_id", out.alias("o")).select("event_id", "o.k", F.col("o").isNotNull().alias("parsed"))
+
+
 @query("SELECT p_partkey, p_size AS first, NULL::BIGINT AS second, p_name AS untouched FROM part")
 def coerce_indices(t: Tables):
     """Digits become numbers, other text stays as it is."""

@@ -63,8 +63,8 @@ def test_ties_of_printed_numbers_go_to_even(spark):
 
 
 def test_coerce_leaves_other_text_out(spark):
-    df = spark.createDataFrame([(["3", "1", "b1"],)], "r array<string>")
-    assert df.select(text.coerce_indices(F.col("r"))).first()[0] == [3, 1, None]
+    df = spark.createDataFrame([(["3", "1", "b1", "12345678901", "9" * 30, "-1"],)], "r array<string>")
+    assert df.select(text.coerce_indices(F.col("r"))).first()[0] == [3, 1, None, 12345678901, None, None]
 
 
 def test_hash_split_holds_its_ratio(spark):
