@@ -48,6 +48,7 @@ SHORT_K, LONG_K = 2, 5
 DIAGONAL_GAP, WORD_GAP = 8, 32
 #: A span of a whole text needs this share of its own grams and so many words.
 SPAN_SHARE, SPAN_WORDS = 0.5, 12
+SPAN_PERCENT = round(100 * SPAN_SHARE)
 
 HERE = -1  # template of the row that each text has at least
 
@@ -116,7 +117,13 @@ def scan(docs: DataFrame) -> DataFrame:
     # votes of a diagonal, in runs of near places
     along = Window.partitionBy("row", "template", "diagonal").orderBy("p")
     hits = hits.withColumn("run", F.sum(F.when(F.col("p") - F.lag("p").over(along) > WORD_GAP, 1).otherwise(0)).over(along))
-    runs = hits.groupBy(*key, "diagonal", "run").agg(F.count("*").alias("votes"), F.min("p").alias("first"), F.max("p").alias("last"))
+    # the best stretch of a run: votes less SPAN_PERCENT of its width are most, by prefix sums (from hit i to hit j: end(j) - begin(i))
+    inside = Window.partitionBy("row", "template", "diagonal", "run").orderBy("p")
+    hits = hits.withColumn("nth", F.row_number().over(inside).cast("long"))
+    begin = F.struct((100 * (F.col("nth") - 1) - SPAN_PERCENT * (F.col("p") - 1)).alias("at"), "nth", "p")
+    hits = hits.withColumn("begin", F.min(begin).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    stretch = F.struct((100 * F.col("nth") - SPAN_PERCENT * F.col("p") - F.col("begin.at")).alias("gain"), (F.col("nth") - F.col("begin.nth") + 1).alias("votes"), F.col("begin.p").cast("long").alias("first"), F.col("p").cast("long").alias("last"))
+    runs = hits.groupBy(*key, "diagonal", "run").agg(F.count("*").alias("votes"), F.min("p").alias("first"), F.max("p").alias("last"), F.max(stretch).alias("stretch"))
     # bands of neighbouring diagonals; in a band a run goes on with the span before it if it is near it and further on in the template
     across = Window.partitionBy("row", "template").orderBy("diagonal", "run")
     runs = runs.withColumn("band", F.sum(F.when(F.col("diagonal") - F.lag("diagonal").over(across) > DIAGONAL_GAP, 1).otherwise(0)).over(across))
@@ -125,11 +132,15 @@ def scan(docs: DataFrame) -> DataFrame:
     goes_on = ~F.col("exact") & (F.abs(shift) <= DIAGONAL_GAP) & (step <= WORD_GAP) & (F.col("first") - F.col("diagonal") > F.lag(F.col("last") - F.col("diagonal")).over(ahead))
     runs = runs.withColumn("new", F.when(goes_on, 0).otherwise(1))
     runs = runs.withColumn("span", F.sum("new").over(ahead))
-    spans = runs.groupBy(*key, "band", "span").agg(F.sum("votes").alias("votes"), F.min("first").alias("first"), (F.max("last") + F.col("k") - 1).alias("last"))
+    spans = runs.groupBy(*key, "band", "span").agg(F.sum("votes").alias("votes"), F.min("first").alias("first"), (F.max("last") + F.col("k") - 1).alias("last"), F.max(F.struct("stretch.votes", "stretch.first", "stretch.last", "stretch.gain")).alias("stretch"))
     width = F.col("last") - F.col("first") + 1
     grams_in = F.greatest(width - F.col("k") + 1, F.lit(1))
     share = F.least(F.col("votes") / grams_in, F.lit(1.0))
     found = F.when(F.col("exact"), F.col("votes") == F.col("length") - F.col("k") + 1).otherwise((share >= SPAN_SHARE) & (width >= SPAN_WORDS))
+    # a span that fails as a whole may still hold a stretch that doesn't
+    good = ~F.col("exact") & ~found & (F.col("stretch.gain") >= 0) & (F.col("stretch.last") - F.col("stretch.first") + F.col("k") >= SPAN_WORDS)
+    better = lambda part, c: F.when(good, part).otherwise(F.col(c)).alias(c)
+    spans = spans.select(*key, better(F.col("stretch.votes"), "votes"), better(F.col("stretch.first"), "first"), better(F.col("stretch.last") + F.col("k") - 1, "last"))
     covered = F.least(F.col("votes") / (F.col("length") - F.col("k") + 1), F.lit(1.0))
     spans = spans.filter((F.col("template") == HERE) | found).withColumns({"share": share, "covered": covered, "real": F.col("template") != HERE})
     is_base = F.col("base") & F.col("real")
@@ -162,17 +173,21 @@ xg AS (SELECT template, label, len(words) AS length, q, array_to_string(list_sli
        FROM (SELECT template, label, words, unnest(range(0, len(words) - {LONG_K - 1})) AS q FROM x)),
 g AS (SELECT row, i, array_to_string(list_slice(w, i + 1, i + {LONG_K}), ' ') AS gram FROM u WHERE i + {LONG_K} <= len(w)),
 h AS (SELECT row, template, label, length, i - q AS diagonal, i FROM g JOIN xg USING (gram)),
-v AS (SELECT *, sum(far) OVER (PARTITION BY row, template, diagonal ORDER BY i ROWS UNBOUNDED PRECEDING) AS run
+v0 AS (SELECT *, sum(far) OVER (PARTITION BY row, template, diagonal ORDER BY i ROWS UNBOUNDED PRECEDING) AS run
       FROM (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY row, template, diagonal ORDER BY i) > {WORD_GAP} THEN 1 ELSE 0 END AS far FROM h)),
-r AS (SELECT row, template, label, length, diagonal, run, count(*) AS votes, min(i) AS first, max(i) AS last FROM v GROUP BY ALL),
+v1 AS (SELECT *, row_number() OVER (PARTITION BY row, template, diagonal, run ORDER BY i) AS nth FROM v0),
+v AS (SELECT *, min(struct_pack(at := 100 * (nth - 1) - {SPAN_PERCENT} * (i - 1), nth := nth, p := i)) OVER (PARTITION BY row, template, diagonal, run ORDER BY i ROWS UNBOUNDED PRECEDING) AS b FROM v1),
+r AS (SELECT row, template, label, length, diagonal, run, count(*) AS votes, min(i) AS first, max(i) AS last, max(struct_pack(gain := 100 * nth - {SPAN_PERCENT} * i - b.at, votes := nth - b.nth + 1, first := b.p, last := i)) AS t FROM v GROUP BY ALL),
 b AS (SELECT *, sum(far) OVER (PARTITION BY row, template ORDER BY diagonal, run ROWS UNBOUNDED PRECEDING) AS band
       FROM (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY row, template ORDER BY diagonal, run) > {DIAGONAL_GAP} THEN 1 ELSE 0 END AS far FROM r)),
 n AS (SELECT *, CASE WHEN abs(diagonal - lag(diagonal) OVER o) <= {DIAGONAL_GAP} AND first - lag(last) OVER o <= {WORD_GAP} AND first - diagonal > lag(last - diagonal) OVER o THEN 0 ELSE 1 END AS new
       FROM b WINDOW o AS (PARTITION BY row, template, band ORDER BY first, diagonal)),
 s AS (SELECT *, sum(new) OVER (PARTITION BY row, template, band ORDER BY first, diagonal ROWS UNBOUNDED PRECEDING) AS span FROM n),
-m AS (SELECT row, template, label, length, band, span, sum(votes) AS votes, min(first) AS first, max(last) + {LONG_K - 1} AS last FROM s GROUP BY ALL),
+m AS (SELECT row, template, label, length, band, span, sum(votes) AS votes, min(first) AS first, max(last) + {LONG_K - 1} AS last, max(struct_pack(votes := t.votes, first := t.first, last := t.last, gain := t.gain)) AS t FROM s GROUP BY ALL),
 f AS (SELECT row, label, least(votes / (length - {LONG_K - 1}), 1.0) AS covered FROM m
-      WHERE last - first + 1 >= {SPAN_WORDS} AND least(votes / greatest(last - first + 1 - {LONG_K - 1}, 1), 1.0) >= {SPAN_SHARE}),
+      WHERE last - first + 1 >= {SPAN_WORDS} AND least(votes / greatest(last - first + 1 - {LONG_K - 1}, 1), 1.0) >= {SPAN_SHARE}
+      UNION ALL SELECT row, label, least(t.votes / (length - {LONG_K - 1}), 1.0) FROM m
+      WHERE NOT (last - first + 1 >= {SPAN_WORDS} AND least(votes / greatest(last - first + 1 - {LONG_K - 1}, 1), 1.0) >= {SPAN_SHARE}) AND t.gain >= 0 AND t.last - t.first + {LONG_K} >= {SPAN_WORDS}),
 l AS (SELECT row, label, base, i, 1.0 AS covered FROM e UNION ALL SELECT row, label, false, NULL, covered FROM f)
 SELECT doc_id, CAST(len(any_value(w)) AS BIGINT) AS n_words, count(i) FILTER (base) AS n_base,
        CAST(min(i) FILTER (base) AS BIGINT) AS first_word, CAST(max(i) FILTER (base) AS BIGINT) AS last_word,

@@ -51,6 +51,19 @@ def test_license_behind_its_own_words(spark):
     against(licenses.scan(docs).drop("spans"), licenses.oracle_sql(), documents=docs)
 
 
+def test_verified_stretch_before_stray_hits(spark):
+    """Words that are right here and there behind a verbatim stretch, on its own diagonal, don't cost it."""
+    for label, text in licenses.TEXTS:
+        words = text.split()
+        loose = [w if i < 20 or i % 26 < 5 else f"x{i}" for i, w in enumerate(words)]
+        texts = {1: words[:20], 2: loose, 3: [w if i % 26 < 5 else f"x{i}" for i, w in enumerate(words)], 4: ["y"] * 50 + loose + ["y"] * 50 + words}
+        docs = spark.createDataFrame([(k, " ".join(w)) for k, w in texts.items()], "doc_id long, text string")
+        got = {r["doc_id"]: r for r in licenses.scan(docs).collect()}
+        assert [got[i]["labels"] for i in (1, 2, 4)] == [label] * 3 and all(x["last"] - x["first"] < licenses.SPAN_WORDS for x in got[3]["spans"])
+        assert got[2]["score"] >= got[1]["score"] > 0 and got[4]["score"] == 1.0
+        against(licenses.scan(docs).drop("spans"), licenses.oracle_sql(), documents=docs)
+
+
 def test_odd_mixing(odd_docs, no_docs):
     against(mixing.mix(odd_docs).drop("source", "budget"), mixing.MIX_SQL.format(docs="documents"), documents=odd_docs.select("doc_id", "text", "source"))
     assert mixing.mix(no_docs).count() == 0
