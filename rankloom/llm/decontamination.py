@@ -36,8 +36,9 @@ def document_shingles(df: DataFrame, widths: list[int]) -> DataFrame:
     words = df.select("doc_id", word_array(lowered(F.col("text")), MARKS).alias("words"))
     found = None
     for n in widths:
-        rolling = [F.slice("words", i + 1, F.size("words") - (n - 1)).alias(f"w{i}") for i in range(n)]
-        runs = words.filter(F.size("words") >= n).select("doc_id", F.inline(F.arrays_zip(*rolling)).alias(*[f"w{i}" for i in range(n)]))
+        # a shorter text gives empty slices; a filter would split it twice
+        rolling = [F.slice("words", i + 1, F.greatest(F.size("words") - (n - 1), F.lit(0))).alias(f"w{i}") for i in range(n)]
+        runs = words.select("doc_id", F.inline(F.arrays_zip(*rolling)).alias(*[f"w{i}" for i in range(n)]))
         runs = runs.select("doc_id", F.concat_ws(" ", *[f"w{i}" for i in range(n)]).alias("shingle"))
         found = runs if found is None else found.unionByName(runs)
     return found
