@@ -11,8 +11,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import strip_fence
-
 # The pattern of a fenced object, which decides what counts as one.
 FENCED = re.compile(r"```(?:json)?\s*(\{.*?\})\s*```", re.S)
 BRACE = re.compile(r"[{}]")
@@ -78,21 +76,42 @@ def parse_ranking(text: pd.Series, k: pd.Series) -> pd.Series:
 @F.pandas_udf(T.BooleanType())
 def is_json(text: pd.Series) -> pd.Series:
     """Strict JSON, nothing behind it."""
+    return pd.Series([strict(t) for t in text], dtype=bool)
+
+
+def strict(text: str | None) -> bool:
+    try:
+        json.loads(text)
+    except (ValueError, TypeError, RecursionError):
+        return False
+    return True
 
-    def right(t):
-        try:
-            json.loads(t)
-        except (ValueError, TypeError, RecursionError):
-            return False
-        return True
 
-    return pd.Series([right(t) for t in text], dtype=bool)
+def without_fence(text: str) -> str:
+    """As :func:`text.strip_fence`, of one text."""
+    bare = text.strip()
+    if bare.startswith("```"):
+        bare = bare.strip("`")
+        bare = (bare[4:] if bare[:4].lower() == "json" else bare).strip()
+    return bare
+
+
+def bare_objects(text: pd.Series) -> pd.Series:
+    """The strict JSON object that is all of a text, bare or in a fence; NULL without one."""
+    bare = [without_fence(t) if t else "" for t in text]
+    return pd.Series([t if t.startswith("{") and strict(t) else None for t in bare], dtype=object)
+
+
+#: Kept where it stands: the optimizer neither repeats it at each use nor copies a filter on it to the other side of a join.
+bare_object = F.pandas_udf(bare_objects, T.StringType()).asNondeterministic()
 
 
 def model_output(text: Column, schema: str | T.StructType) -> Column:
-    """A model's whole answer as a struct: one strict JSON object, bare or in a fence; NULL for anything else, with text before or behind it too."""
-    bare = strip_fence(F.coalesce(text, F.lit("")))
-    return F.when(bare.startswith("{") & is_json(bare), F.from_json(bare, schema))
+    """A model's whole answer as a struct: one strict JSON object, bare or in a fence; NULL for anything else, with text before or behind it too.
+
+    Worked out once a row, however often it is used; so it belongs in a select, not in a join's condition or an aggregate.
+    """
+    return F.from_json(bare_object(text), schema)
 
 
 @F.pandas_udf(T.StringType())

@@ -69,20 +69,28 @@ def persona_replaced(out: Column, seed: Column) -> Column:
     return output(F.lit(GENERIC_PERSONA), out["rationales"], out["ranking"])
 
 
-def perturbed_cache(cache: DataFrame, candidates: DataFrame, kind: str) -> DataFrame:
+def perturbed_cache(cache: DataFrame, candidates: DataFrame, kind: str | list[str]) -> DataFrame:
     """Cache rows (sample_id, positive_business_id, output_text) after one perturbation, with the columns that follow from it.
 
     candidates: sample_id, ids (in the order shown); a sample without them
     recovers NULLs.  Rows without a sample_id go, and so do texts that aren't one
-    strict JSON object, bare or in a fence.  A kind that isn't registered is an error.
+    strict JSON object, bare or in a fence.  A kind that isn't registered is an
+    error.  Several kinds give each row once a kind, from texts parsed once.
     """
-    if kind not in REGISTRY:
-        raise ValueError(f"no perturbation is called {kind!r}")
+    kinds = [kind] if isinstance(kind, str) else list(kind)
+    for k in kinds:
+        if k not in REGISTRY:
+            raise ValueError(f"no perturbation is called {k!r}")
     rows = cache.filter(F.coalesce(F.col("sample_id").cast("string"), F.lit("")) != "")
-    rows = rows.withColumn("__in", parsing.model_output(F.col("output_text"), OUTPUT)).filter("__in IS NOT NULL")
-    made = rows.withColumn("__out", REGISTRY[kind].apply(F.col("__in"), perturb_seed(kind, F.col("sample_id"))))
+    rows = rows.withColumn("__bare", parsing.bare_object(F.col("output_text"))).filter("__bare IS NOT NULL").withColumn("__in", F.from_json("__bare", OUTPUT))
+    applied = lambda k: REGISTRY[k].apply(F.col("__in"), perturb_seed(k, F.col("sample_id")))
+    if len(kinds) == 1:
+        made = rows.withColumns({"__out": applied(kinds[0]), "__kind": F.lit(kinds[0]), "__tag": F.lit(REGISTRY[kinds[0]].tag)})
+    else:
+        each = [F.struct(F.lit(k).alias("__kind"), F.lit(REGISTRY[k].tag).alias("__tag"), applied(k).alias("__out")) for k in kinds]
+        made = rows.select("sample_id", "positive_business_id", F.inline(F.array(*each)))
     joined = made.join(candidates.select("sample_id", "ids"), "sample_id", "left")
     ids = F.coalesce("ids", F.array().cast(candidates.schema["ids"].dataType))
     return joined.select(
         "sample_id", "positive_business_id", parsing.plain_json(F.to_json("__out")).alias("output_text"), F.col("__out.ranking").alias("parsed_ranking"), ranks.pick(ids, F.col("__out.ranking")).alias("recovered_business_ids"),
-        F.lit(True).alias("json_parse_ok"), F.lit(None).cast("int").alias("output_tokens"), F.lit(kind).alias("perturbation_kind"), F.lit(REGISTRY[kind].tag).alias("backend"))
+        F.lit(True).alias("json_parse_ok"), F.lit(None).cast("int").alias("output_tokens"), F.col("__kind").alias("perturbation_kind"), F.col("__tag").alias("backend"))

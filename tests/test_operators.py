@@ -215,6 +215,32 @@ def test_perturbed_cache(spark):
         perturb.perturbed_cache(cache, ids, "p9")
 
 
+def test_perturbed_cache_parses_each_text_once(spark):
+    """The parse is neither repeated in filters nor copied to the side of the candidates; several kinds share it."""
+    text = F.concat(F.lit('{"persona": "p", "rationales": [], "ranking": [1, 2, '), F.col("id").cast("string"), F.lit("]}"))
+    cache = spark.range(3, 40).select(F.col("id").alias("sample_id"), F.lit("x").alias("positive_business_id"), text.alias("output_text"))
+    ids = spark.range(40).select(F.col("id").alias("sample_id"), F.array(F.lit("x"), F.lit("y"), F.lit("z")).alias("ids"))
+    single = {k: perturb.perturbed_cache(cache, ids, k) for k in ("p1", "p2", "p3")}
+    several = perturb.perturbed_cache(cache, ids, list(single))
+    for df in [*single.values(), several]:
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("ArrowEvalPython [bare_objects(") == 1
+        assert plan.count("from_json") == 1
+        assert plan.count("is_json") == 0
+    rows = lambda df: sorted(tuple(map(str, r)) for r in df.collect())
+    assert rows(several) == sorted(x for df in single.values() for x in rows(df))
+
+
+@pytest.mark.parametrize("text", ["", " {} ", '```json\n{"k": 1}\n```', '```JSON{"k": 2}```', "`{}`", '```\u2003json \x1c{"k": 3}\x85```', "```jſon{}```", '{"k": 1} tail', "[1]", '{"k": NaN}', "\u3000{}\xa0", "```", '``````{"k": 4}\n`', "{", None])
+def test_bare_object_is_the_text_without_its_fence(spark, text):
+    from rankloom.functions.text import strip_fence
+
+    df = spark.createDataFrame([(text,)], "t string")
+    bare = strip_fence(F.coalesce("t", F.lit("")))
+    want = df.select(F.when(bare.startswith("{") & parsing.is_json(bare), bare).alias("o")).first()["o"]
+    assert df.select(parsing.bare_object("t").alias("o")).first()["o"] == want
+
+
 def test_own_perturbations_join_the_registry(spark):
     @perturb.register("p0", "own")
     def emptied(out, seed):
