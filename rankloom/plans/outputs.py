@@ -204,14 +204,11 @@ def perturb_p3(t: Tables):
 FROM rk, (VALUES ('p1'), ('p2')) x(k) WHERE sample_id % 4 <> 0 GROUP BY sample_id, k""")
 def perturbed_caches(t: Tables):
     """The seeded perturbations through the registry: what each leaves alone, and that the rest moved."""
-    out = None
-    for kind in ("p1", "p2"):
-        c = perturb.perturbed_cache(output_cache(t), nine_candidates(t), kind).withColumn("o", F.from_json("output_text", perturb.OUTPUT)).join(t.rankings().select("sample_id", "teacher"), "sample_id")
-        same = F.size(F.filter("o.rationales", lambda r: r["reason"] == F.concat(F.lit("because "), r["candidate_index"].cast("string"))))
-        order = F.col("o.ranking") if kind == "p2" else F.array_sort("o.ranking")
-        rows = c.select("sample_id", F.lit(kind).alias("kind"), "o.persona", F.array_join(order, ",").alias("ranking_as_set"), F.size(F.array_distinct(F.transform("o.rationales", lambda r: r["reason"]))).alias("n_reasons"), same.alias("n_own_reason"), (F.col("o.ranking") != F.col("teacher")).alias("ranking_moved"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    both = perturb.perturbed_cache(output_cache(t), nine_candidates(t), ["p1", "p2"])
+    c = both.withColumn("o", F.from_json("output_text", perturb.OUTPUT)).join(t.rankings().select("sample_id", "teacher"), "sample_id")
+    same = F.size(F.filter("o.rationales", lambda r: r["reason"] == F.concat(F.lit("because "), r["candidate_index"].cast("string"))))
+    order = F.when(F.col("perturbation_kind") == "p2", F.col("o.ranking")).otherwise(F.array_sort("o.ranking"))
+    return c.select("sample_id", F.col("perturbation_kind").alias("kind"), "o.persona", F.array_join(order, ",").alias("ranking_as_set"), F.size(F.array_distinct(F.transform("o.rationales", lambda r: r["reason"]))).alias("n_reasons"), same.alias("n_own_reason"), (F.col("o.ranking") != F.col("teacher")).alias("ranking_moved"))
 
 
 @query("SELECT o_orderkey AS sample_id, array_to_string(list('r' || (1 + (slot + 1 + CAST(('0x' || md5('p2:' || o_orderkey)[1:8]) AS BIGINT) % 9 - 1) % 10) ORDER BY slot), ',') AS reasons FROM orders, (SELECT unnest(range(1, 11)) AS slot) GROUP BY 1")
