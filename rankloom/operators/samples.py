@@ -54,39 +54,51 @@ def histories(visits: DataFrame, order: list[str], cap: int = MAX_HISTORY) -> Da
     return kept.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("recency")).alias("place"), "item_id", "date"))).alias("h")).select("user_id", F.transform("h", lambda x: F.struct(x["item_id"].alias("item_id"), x["date"].alias("date"))).alias("history"))
 
 
-def negatives(users: DataFrame, visits: DataFrame, n_items: int, k: int = CANDIDATES - 1, draws: int = DRAWS) -> DataFrame:
-    """user_id, item_id: k distinct items that the user hasn't visited; users with fewer unvisited items get all of them.
+def negative_sets(users: DataFrame, visits: DataFrame, n_items: int, k: int = CANDIDATES - 1, draws: int = DRAWS) -> DataFrame:
+    """user_id, items: :func:`negatives`, one row a user.
 
-    Items are numbered 0..n_items-1.  Hash draws come first.  Users whom they
-    leave short get the rest from all their other unvisited items, in hash
-    order.  Draws fall short where most items are visited or items are few, so
-    the items listed for that are about as many as those users' visits.
+    A user's draws are one array, held against the visits where those meet by
+    user; only drawn items that are visited go on, so a user's row stays short.
     """
-    drawn = users.select("user_id", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("j")).withColumn("item_id", draw(F.lit(n_items), F.lit("n"), F.col("user_id"), F.col("j")))
-    first = drawn.groupBy("user_id", "item_id").agg(F.min("j").alias("j"))
+    none = F.array().cast("array<long>")
+    drawn = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda j: draw(F.lit(n_items), F.lit("n"), F.col("user_id"), j)))
+    mine = users.select("user_id").distinct().withColumn("draws", drawn)
     seen = visits.select("user_id", "item_id")
-    unseen = first.join(seen, ["user_id", "item_id"], "left_anti")
-    w = Window.partitionBy("user_id").orderBy("j")
-    found = unseen.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k).select("user_id", "item_id")
-    have = F.coalesce("have", F.array().cast("array<long>"))
-    lacking = users.select("user_id").distinct().join(found.groupBy("user_id").agg(F.collect_list("item_id").alias("have")), "user_id", "left").select("user_id", have.alias("have")).filter(F.size("have") < k)
+    theirs = seen.select(F.col("user_id").alias("__user"), F.col("item_id").cast("long").alias("__item"))
+    met = mine.join(theirs, (F.col("user_id") == F.col("__user")) & F.array_contains("draws", F.col("__item")), "left")
+    left = met.groupBy("user_id").agg(F.first("draws").alias("draws"), F.collect_set("__item").alias("hit"))
+    found = left.select("user_id", F.slice(F.array_except("draws", "hit"), 1, k).alias("have"))
+    lacking = found.filter(F.size("have") < k)
     # runs of items, dealt out, so that no row or task holds a large catalogue
     last = F.lit(max(n_items - 1, 0)).cast("long")
     runs = lacking.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(RUN).cast("long")))).repartition("user_id", "start")
     listed = runs.select("user_id", "have", F.explode(F.sequence("start", F.least(F.col("start") + (RUN - 1), last))).alias("item_id"))
     pool = listed.filter(~F.array_contains("have", F.col("item_id"))).join(seen, ["user_id", "item_id"], "left_anti")
     w = Window.partitionBy("user_id").orderBy(keyed(F.lit("r"), "user_id", "item_id"), "item_id")
-    rest = pool.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k).filter(F.col("rn") + F.size("have") <= k).select("user_id", "item_id")
-    return found.unionByName(rest)
+    rest = pool.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k).filter(F.col("rn") + F.size("have") <= k)
+    rest = rest.groupBy("user_id").agg(F.collect_list("item_id").alias("rest"))
+    return found.join(rest, "user_id", "left").select("user_id", F.concat("have", F.coalesce("rest", none)).alias("items"))
+
+
+def negatives(users: DataFrame, visits: DataFrame, n_items: int, k: int = CANDIDATES - 1, draws: int = DRAWS) -> DataFrame:
+    """user_id, item_id: k distinct items that the user hasn't visited; users with fewer unvisited items get all of them.
+
+    Items are numbered 0..n_items-1.  Hash draws come first.  Users whom they
+    leave short get the rest from all their other unvisited items, in hash
+    order.  Draws fall short where most items are visited or items are few, so
+    the items listed for that are about as many as those users' visits.
+    """
+    return negative_sets(users, visits, n_items, k, draws).select("user_id", F.explode("items").alias("item_id"))
 
 
 def candidate_lists(visits: DataFrame, order: list[str], n_items: int) -> DataFrame:
     """user_id, slot, item_id, is_positive: the positive and its negatives in hash order; users with fewer unvisited items than a list needs go."""
     positive = holdout(visits, order).select("user_id", "item_id")
-    drawn = negatives(positive, visits, n_items)
-    both = positive.withColumn("is_positive", F.lit(True)).unionByName(drawn.withColumn("is_positive", F.lit(False)))
-    w = Window.partitionBy("user_id").orderBy(keyed(F.lit("s"), "user_id", "item_id"), "item_id")
-    return both.withColumns({"slot": F.row_number().over(w), "n": F.count("*").over(Window.partitionBy("user_id"))}).filter(F.col("n") == CANDIDATES).select("user_id", "slot", "item_id", "is_positive")
+    whole = negative_sets(positive, visits, n_items).filter(F.size("items") == CANDIDATES - 1)
+    entry = lambda item, is_positive: F.struct(keyed(F.lit("s"), F.col("user_id"), item).alias("h"), item.alias("item_id"), F.lit(is_positive).alias("is_positive"))
+    both = F.array_sort(F.concat(F.array(entry(F.col("item_id"), True)), F.transform("items", lambda x: entry(x, False))))
+    rows = positive.join(whole, "user_id").select("user_id", F.posexplode(both).alias("at", "c"))
+    return rows.select("user_id", (F.col("at") + 1).alias("slot"), "c.item_id", "c.is_positive")
 
 
 # --- splits and samples -----------------------------------------------------------
@@ -155,7 +167,9 @@ def no_longer(df: DataFrame, length: str, most: int) -> DataFrame:
     return df.filter(F.col(length) <= most)
 
 
-def capped_users(lists: DataFrame, n: int) -> DataFrame:
-    """Rows of the first n users, by id, of those who have a candidate list."""
+def capped_users(lists: DataFrame, n: int, size: int | None = None) -> DataFrame:
+    """Rows of the first n users, by id, of those who have a candidate list; with the size that all lists have, in one pass (a distributed top-n)."""
+    if size is not None:
+        return lists.orderBy("user_id").limit(n * size)
     first_users = lists.select("user_id").distinct().orderBy("user_id").limit(n)
     return lists.join(first_users, "user_id", "left_semi")

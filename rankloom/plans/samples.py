@@ -114,7 +114,7 @@ def slot_counts(t: Tables):
 def max_users(t: Tables):
     """The cap counts produced samples, not users with visits enough."""
     lists = samples.candidate_lists(t.visits(), VISIT_ORDER, t.n_items())
-    return samples.capped_users(lists, 100).filter("is_positive").select("user_id", "item_id")
+    return samples.capped_users(lists, 100, samples.CANDIDATES).filter("is_positive").select("user_id", "item_id")
 
 
 @query("SELECT o_orderkey AS sample_id, CAST(('0x' || sha1(CAST(o_orderkey AS VARCHAR))[1:8]) AS BIGINT) / 4294967296.0 < 0.9 AS is_train FROM orders")

@@ -38,3 +38,33 @@ def test_draws_come_before_the_rest(spark):
         found = {i for i in drawn[u] if i % 10 == u % 10}
         assert len(got[u]) == 9
         assert found <= set(got[u]) or len(found) > 9
+
+
+def test_draws_are_never_rows_of_a_shuffle(spark):
+    """Users' draws meet the visits as one array a user, and the lists need no window: what shuffles are visits and short rows."""
+    visits = spark.range(4000).selectExpr("id % 100 user_id", "id * 7 % 500 item_id", "concat('2020-01-', 10 + id % 20) date", "id line")
+    lists = samples.candidate_lists(visits, ["line"], 500)
+    lists.collect()
+    plan = lists._jdf.queryExecution().optimizedPlan()
+    assert "AS j#" not in plan.toString()
+    assert plan.toString().count("Window [") <= 1  # the rest of those whose draws fall short
+    visited = {(r["user_id"], r["item_id"]) for r in visits.collect()}
+    rows = lists.collect()
+    assert {(r["user_id"], r["item_id"]) for r in rows if not r["is_positive"]}.isdisjoint(visited)
+    assert {r["user_id"] for r in rows} == set(range(100)) and len(rows) == 1000
+
+
+def test_one_user_with_very_many_visits(spark):
+    visits = spark.range(60_000).selectExpr("CASE WHEN id < 50000 THEN 0 ELSE id % 50 END user_id", "id % 3000 item_id", "'2020-01-01' date", "id line")
+    got = items(samples.negatives(visits.select("user_id").distinct(), visits, 3005).collect())
+    assert sorted(got[0]) == [3000, 3001, 3002, 3003, 3004]
+    assert all(len(set(got[u])) == 9 for u in range(1, 50))
+
+
+def test_users_are_capped_in_one_pass(spark):
+    visits = spark.range(4000).selectExpr("id % 100 user_id", "id * 7 % 500 item_id", "concat('2020-01-', 10 + id % 20) date", "id line")
+    lists = samples.candidate_lists(visits, ["line"], 500)
+    capped = samples.capped_users(lists, 7, samples.CANDIDATES)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(capped) == rows(samples.capped_users(lists, 7)) and len(rows(capped)) == 70
+    assert capped._jdf.queryExecution().optimizedPlan().toString().count("posexplode") == 1
