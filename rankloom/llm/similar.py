@@ -234,7 +234,13 @@ def partners(ids: np.ndarray, fps: np.ndarray, roots: np.ndarray, sizes: np.ndar
             more |= not few.all()
             found.append((who[few], lane[few], sure[few]))
     who, lane, sure = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
-    return np.maximum(ids[who], ids[lane]), np.minimum(ids[who], ids[lane]), sure, more
+    # sure links go as stars of what they join, and no pair inside one is tried: rows that a block makes of them are fewer than its members
+    star = forest(who[sure], lane[sure], n)
+    moved = np.flatnonzero(star != np.arange(n))
+    tried = np.flatnonzero(~sure & (star[who] != star[lane]))
+    tried = tried[np.unique(np.minimum(who[tried], lane[tried]) * n + np.maximum(who[tried], lane[tried]), return_index=True)[1]]
+    u, v = np.concatenate([moved, who[tried]]), np.concatenate([star[moved], lane[tried]])
+    return np.maximum(ids[u], ids[v]), np.minimum(ids[u], ids[v]), np.arange(len(u)) < len(moved), more
 
 
 EDGES = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])
