@@ -333,6 +333,32 @@ def test_scores_are_those_of_the_class_model(spark, monkeypatch, limits):
         assert sum(follows(a, c) * (sum(emitted(w) for w in count if kind(w) == c) + rest[c]) for c in range(k)) == pytest.approx(1.0)
 
 
+def shuffled_rows(spark, since=-1):
+    """Rows that stages of a number above since wrote to shuffles, and the last stage's number."""
+    gateway = spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    own = [x for x in (stages.apply(i) for i in range(stages.size())) if x.stageId() > since]
+    return sum(x.shuffleWriteRecords() for x in own), max((x.stageId() for x in own), default=since)
+
+
+def test_tail_words_shuffle_by_slice_not_by_text(spark, monkeypatch):
+    """Tail words that most texts hold: fewer rows shuffle than texts hold of them, as a slice sends each word once, packed with those of its bucket."""
+    monkeypatch.setattr(brown, "HEAD_SHARE", 0.004)
+    monkeypatch.setattr(brown, "ROUNDS", 1)
+    rng = random.Random(5)
+    tail = [f"t{i}" for i in range(1000)]
+    texts = [rng.sample(tail, 500) for _ in range(400)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(2)
+    since = shuffled_rows(spark)[1]
+    model = brown.train(docs)
+    trained, at = shuffled_rows(spark, since)
+    rows = brown.score(docs).collect()
+    scored, _ = shuffled_rows(spark, at)
+    assert not model.lexicon.words and len(rows) == len(texts)
+    assert all(r["n_known"] == r["n_tokens"] == 501 for r in rows)
+    assert 0 < scored - trained < len(texts) * 500 / 10  # score() trains again
+
+
 def test_exchange_rises_and_finds_the_classes(spark):
     """Words of a few hidden classes that follow each other in turn: each round kept is likelier, and words of one hidden class end together."""
     rng = random.Random(3)
