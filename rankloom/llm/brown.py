@@ -333,24 +333,23 @@ def class_vectors(dealt: DataFrame, size: int, classes: np.ndarray, drawn: np.nd
 
     def run(batches):
         kind, drawn = shared()
-        total = np.zeros(size * slots)  # at most (1 / HEAD_SHARE + TAILS) * slots numbers
+        width = (size // BUCKETS + 1) * slots
+        totals: dict[int, np.ndarray] = {}  # of a part's symbols, which are BUCKETS apart; all have at most (1 / HEAD_SHARE + TAILS) * slots numbers
         for b in batches:
             for i in range(b.num_rows):
                 symbol, other, n = values_of(b, "symbol", i, small), values_of(b, "other", i, small), values_of(b, "n", i, np.int64)
                 mine, follows = drawn[symbol], b.column("follows")[i].as_py()
-                symbol, other, n = symbol[mine].astype(np.int64), other[mine], n[mine]
-                key = symbol * slots + (0 if follows else KINDS) + kind[other]
+                symbol, other, n = symbol[mine], other[mine], n[mine]
+                row = symbol.astype(np.int64) // BUCKETS * slots
+                key = row + (0 if follows else KINDS) + kind[other]
                 if follows:
                     same = symbol == other
-                    key, n = np.concatenate([key, symbol[same] * slots + 2 * KINDS]), np.concatenate([n, n[same]])
-                if len(key):
-                    low = int(key.min())
-                    sums = np.bincount(key - low, n)
-                    total[low : low + len(sums)] += sums
-        full = np.flatnonzero(total)
-        for at in range(0, len(full), PAIRS):
-            some = full[at : at + PAIRS]
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some].astype(np.int64))], schema=PAIR_ARROW)
+                    key, n = np.concatenate([key, row[same] + 2 * KINDS]), np.concatenate([n, n[same]])
+                sums, part = np.bincount(key, n, width), b.column("part")[i].as_py()
+                totals[part] = totals[part] + sums if part in totals else sums
+        for part, total in totals.items():
+            full = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array((full // slots * BUCKETS + part) * slots + full % slots), pa.array(total[full].astype(np.int64))], schema=PAIR_ARROW)
 
     keyed = dealt.mapInArrow(run, PAIR).groupBy("pair").agg(F.sum("n").alias("n"))
     return keyed.select(F.expr(f"pair div {slots}").cast("int").alias("symbol"), (F.col("pair") % slots).cast("int").alias("slot"), "n")
